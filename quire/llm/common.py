@@ -70,6 +70,13 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+def slices(parts: Iterable, rows: int = 500) -> Iterable:
+    """The rows of pandas frames, a few at a time: what is made from a frame at once stays small."""
+    for part in parts:
+        for at in range(0, len(part), rows):
+            yield part.iloc[at : at + rows]
+
+
 def split_words(texts: Iterable[str | None], lower: bool = True) -> tuple[list[bytes], np.ndarray]:
     """UTF-8 words between ASCII white space of all texts in one list, and each text's number of them."""
     flat: list[bytes] = []

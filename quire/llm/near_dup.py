@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, mix64, sized, split_words, staged
+from quire.llm.common import WordIds, mix64, sized, slices, split_words, staged
 from quire.llm.graph import components
 
 WIDTH = 5
@@ -37,7 +37,7 @@ _FUNCTIONS = mix64(np.arange(1, 4 * M * R + 1, dtype=np.uint64) * np.uint64(0x9E
 class Shingles:
     """Sorted distinct 64-bit shingle hashes of texts."""
 
-    def __init__(self, width: int = WIDTH, room: int = 1_000_000):
+    def __init__(self, width: int = WIDTH, room: int = 150_000):
         self.width, self.room = width, room
         self.ids, self.hashes = WordIds(), np.zeros(0, np.uint64)
 
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
-        for part in parts:
+        for part in slices(parts):
             rows = []
             for s in shingles(part["text"]):
                 bands = _bands(s) if len(s) else None
@@ -177,7 +177,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perc
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
-        for part in parts:
+        for part in slices(parts):
             found = shingles(part["text"])
             mine = [_name(s) == (a, b) for s, a, b in zip(found, part["fp1"], part["fp2"])]
             out = part.loc[mine, ["node", "cluster", "blocks"]].copy()
