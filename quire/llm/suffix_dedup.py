@@ -1,10 +1,11 @@
 """Removal of repeated byte strings by suffix arrays built in two stages.
 
 Every window of `length` bytes is dealt to a bucket by the least hash among its 8-byte grams, so equal windows always
-meet, wherever they stand. Neighbouring windows of one least hash travel together as one piece of text. In a bucket,
-pieces whose least hash only one document has are dropped; over the rest a suffix array is built by two-stage sorting:
-only suffixes smaller than their successors are sorted directly, the others are induced by scanning the buckets of first
-bytes in order. Adjacent common prefixes then show the runs of equal windows, and each run's smallest doc_id.
+meet, wherever they stand. Neighbouring windows of one least gram travel together as one piece of text. In a bucket,
+pieces that share neither side of their gram with another document are dropped and equal pieces become one; over those
+that share a side with a different piece a suffix array is built by two-stage sorting: only suffixes smaller than their
+successors are sorted directly, the others are induced by scanning the buckets of first bytes in order. Adjacent common
+prefixes then show the runs of equal windows, and each run's smallest doc_id.
 
 Defined results: null or empty text has nothing to remove. Matches never cross documents. A row with a null doc_id is
 neither smaller nor larger than any other, so nothing is removed from it and it removes nothing. Rows with the same
@@ -30,16 +31,13 @@ _GRAM = 8
 #: Bytes of pieces that a bucket is planned for, and of text that a part of the last step is planned for.
 BUCKET_BYTES, PART_BYTES = 6_000_000, 6_000_000
 #: Bytes of text that one map batch cuts at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def grams(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as a big-endian number; past the end, zeros."""
     padded = np.concatenate([data, np.zeros(_GRAM, np.uint8)])
-    out = np.zeros(len(data), np.uint64)
-    for i in range(_GRAM):
-        out = (out << np.uint64(8)) | padded[i : i + len(data)]
-    return out
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(data: np.ndarray, depth: int, eight: np.ndarray | None = None) -> np.ndarray:
@@ -135,23 +133,26 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, eight: np.n
     return np.minimum(out, depth)
 
 
-def pieces(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one least gram hash: text index, first window, last window + 1, hash.
+def pieces(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows whose least gram hash stands at one place: text index, first window, last window + 1,
+    the gram's offset in the first window, and a hash of the gram.
 
-    data holds the texts one after another; begins has where each starts, and their end.
+    data holds the texts one after another, fewer than 2 ** 24 bytes; begins has where each starts, and their end. The
+    least hash of a window is the leftmost of the least 40-bit hashes of its grams, so it depends on the window alone.
     """
     width = length - _GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, np.zeros(0, np.uint64)
-    low = mix64(grams(data))
+        return none, none, none, none, np.zeros(0, np.uint64)
+    place = np.uint64((1 << 24) - 1)
+    eight = grams(data)
+    low = (mix64(eight) & ~place) | np.arange(len(data), dtype=np.uint64)
     span, least = 1, low
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    least = np.minimum(least[: len(low) - width + 1], least[width - span : width - span + len(low) - width + 1])
     count = len(data) - length + 1
-    least = least[:count]
+    least = (np.minimum(least[:count], least[width - span : width - span + count]) & place).astype(np.int64)
     text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[:count]
     valid = np.arange(count) + length <= begins[text + 1]
     edge = np.ones(count, bool)
@@ -160,7 +161,8 @@ def pieces(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarra
     last = np.append(first[1:], count)
     keep = valid[first]
     first, last = first[keep], last[keep]
-    return text[first], first, last, mix64(least[first] ^ np.uint64(0x2545F4914F6CDD1D))
+    at = least[first]
+    return text[first], first, last, at - first, mix64(eight[at] ^ np.uint64(0x2545F4914F6CDD1D))
 
 
 def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -176,7 +178,7 @@ def _runs(flag: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts), np.flatnonzero(stops) + 1
 
 
-_HEAD = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("pos", "<i4"), ("windows", "<i4"), ("hash", "<u4")])
+_HEAD = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("pos", "<i4"), ("windows", "u1"), ("offset", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -194,36 +196,40 @@ def _fields(raw: bytes, kind: np.dtype, n: int) -> np.ndarray:
     return out
 
 
-def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _cut(docs: DataFrame, buckets: int, length: int, twins: bool) -> DataFrame:
     """bucket, n, body: the pieces of some texts that go to a bucket."""
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, bytes]]]:
+    if not _GRAM < length < 256:
+        raise ValueError("length must be from 9 to 255 bytes")
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, bytes, int, int]]]:
+        """Texts (doc_id, bytes, crc, place in the whole text); a long text comes in slices that share no window."""
         held, size = [], 0
         for part in parts:
             for doc, text in zip(part["doc_id"], part["text"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) >= length:
-                    held.append((doc, raw))
-                    size += len(raw)
-                if size >= BATCH_BYTES:
-                    yield held
-                    held, size = [], 0
+                crc = zlib.crc32(raw) if twins else 0
+                for at in range(0, len(raw) - length + 1, BATCH_BYTES):
+                    held.append((doc, raw[at : at + BATCH_BYTES + length - 1], crc, at))
+                    size += len(held[-1][1])
+                    if size >= BATCH_BYTES:
+                        yield held
+                        held, size = [], 0
         if held:
             yield held
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches(parts):
-            data = np.frombuffer(b"".join(raw for _, raw in batch), np.uint8)
-            begins = np.concatenate([[0], np.cumsum([len(raw) for _, raw in batch])])
-            ids = np.array([doc for doc, _ in batch], np.int64)
-            crc = np.array([zlib.crc32(raw) for _, raw in batch], np.uint32)
-            text, first, last, mark = pieces(data, begins, length)
+            data = np.frombuffer(b"".join(x[1] for x in batch), np.uint8)
+            begins = np.concatenate([[0], np.cumsum([len(x[1]) for x in batch])])
+            ids, crc, place = (np.array([x[k] for x in batch], kind) for k, kind in ((0, np.int64), (2, np.uint32), (3, np.int64)))
+            text, first, last, offset, mark = pieces(data, begins, length)
             bucket = ((mark >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            text, first, last, mark, bucket = text[order], first[order], last[order], mark[order], bucket[order]
+            text, first, last, offset, bucket = text[order], first[order], last[order], offset[order], bucket[order]
             head = np.empty(len(text), _HEAD)
-            head["doc"], head["crc"], head["pos"] = ids[text], crc[text], first - begins[text]
-            head["windows"], head["hash"] = last - first, (mark & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            head["doc"], head["crc"], head["pos"] = ids[text], crc[text], first - begins[text] + place[text]
+            head["windows"], head["offset"] = last - first, offset
             size = last - first + length - 1
             body = _gather(data, first, size)
             stops = np.cumsum(size)
@@ -236,41 +242,113 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "bucket long, n int, body binary")
 
 
+def _several(marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows whose mark stands with more than one value between low and high."""
+    order = np.argsort(marks, kind="stable")
+    sorted_ = marks[order]
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    out = np.zeros(len(marks), bool)
+    out[order] = np.repeat(np.minimum.reduceat(low[order], at) < np.maximum.reduceat(high[order], at), np.diff(np.append(at, len(marks))))
+    return out
+
+
+def _sides(words: np.ndarray, start: np.ndarray, size: np.ndarray, offset: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the gram with `reach` bytes before it, and after it; 0 where the piece does not hold them.
+
+    A window holds the gram and length - 8 more bytes, so at least `reach`, half of them, on one side; pieces that share
+    a window share a hash.
+    """
+    gram, rows = start + offset, len(start)
+    left, right = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    for out, has, first in ((left, offset >= reach, gram - reach), (right, size - offset - _GRAM >= reach, gram)):
+        some, first = np.flatnonzero(has), first[has]
+        h = np.full(len(some), len(out) and (1 if out is left else 2), np.uint64)
+        for at in [*range(0, reach, _GRAM), reach]:
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[first + at])
+        out[some] = h
+    return left, right
+
+
+def _contents(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece."""
+    h = size.astype(np.uint64)
+    for at in range(0, int(size.max()) if len(size) else 0, _GRAM):
+        some = np.flatnonzero(size > at)
+        h[some] = mix64(h[some] * np.uint64(0x9E3779B97F4A7C15) + words[start[some] + np.minimum(at, size[some] - _GRAM)])
+    return h
+
+
 def repeated_windows(head: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """The spans (doc, crc, start, end) that windows of smaller documents cover, of the pieces of one bucket."""
-    # a hash that only one document has cannot repeat
-    order = np.argsort(head["hash"], kind="stable")
-    marks, docs = head["hash"][order], head["doc"][order]
-    at = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.zeros(0, np.int64)
-    shared = np.zeros(len(head), bool)
-    if len(at):
-        several = np.minimum.reduceat(docs, at) < np.maximum.reduceat(docs, at)
-        shared[order] = np.repeat(several, np.diff(np.append(at, len(marks))))
+    reach = (length - _GRAM) // 2
     size = head["windows"].astype(np.int64) + length - 1
-    stops = np.cumsum(size)
-    body = _gather(body, (stops - size)[shared], size[shared])
-    head, size = head[shared], size[shared]
-    if not len(head):
-        return np.zeros(0, _SPAN)
-    eight = grams(body)
-    suffixes = suffix_array(body, length, eight)
-    new = common_prefixes(body, suffixes, length, eight) < length
-    group = np.empty(len(body), np.int64)
+    start = np.cumsum(size) - size
+    words = np.ndarray(max(0, len(body) - _GRAM + 1), "<u8", body, strides=(1,))
+    for again in range(2):  # first by documents; then, of different pieces, by pieces
+        left, right = _sides(words, start, size, head["offset"].astype(np.int64), reach)
+        if again:
+            break
+        doc = head["doc"]
+        shared = np.zeros(len(head), bool)
+        for side in (left, right):
+            some = np.flatnonzero(side)
+            if len(some):
+                shared[some] |= _several(side[some], doc[some], doc[some])
+        head, start, size = head[shared], start[shared], size[shared]
+        if not len(head):
+            return np.zeros(0, _SPAN)
+        _, one, piece = np.unique(_contents(words, start, size), return_index=True, return_inverse=True)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, piece, head["doc"])
+        spans = [_whole(head[head["doc"] > least[piece]], length)]
+        # from here on, a row for each different piece
+        firsts = np.flatnonzero(head["doc"] == least[piece])
+        of = piece[firsts]
+        head_of_firsts = head[firsts]
+        own, start, size = head[one].copy(), start[one], size[one]
+        own["doc"] = least
+        head = own
+    mixed = np.zeros(len(head), bool)
+    number = np.arange(len(head))
+    for side in (left, right):
+        some = np.flatnonzero(side)
+        if len(some):
+            mixed[some] |= _several(side[some], number[some], number[some])
+    rows = np.flatnonzero(mixed)
+    if not len(rows):
+        return np.concatenate(spans)
+    size = size[rows]
+    text = _gather(body, start[rows], size)
+    eight = grams(text)
+    suffixes = suffix_array(text, length, eight)
+    new = common_prefixes(text, suffixes, length, eight) < length
+    group = np.empty(len(text), np.int64)
     group[suffixes] = np.cumsum(new) - 1
     del suffixes, eight
-    piece = np.repeat(np.arange(len(head)), size)
-    inside = np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size)
-    window = inside < head["windows"][piece]
-    doc = head["doc"][piece]
-    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group[window], doc[window])
-    flag = window & (least[group] < doc)
-    start, stop = _runs(flag, inside == 0)
-    out = np.empty(len(start), _SPAN)
-    of = piece[start]
-    out["doc"], out["crc"] = head["doc"][of], head["crc"][of]
-    out["start"] = head["pos"][of] + inside[start]
-    out["end"] = out["start"] + (stop - start) + length - 1
+    at = np.repeat(np.arange(len(rows)), size)
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    window = inside < head["windows"][rows][at]
+    doc = head["doc"][rows][at]
+    lowest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, group[window], doc[window])
+    begin, end = _runs(window & (lowest[group] < doc), inside == 0)
+    # the runs of each different piece go to every row that is the first with it (several rows may share a doc_id)
+    run_of = rows[at[begin]]
+    order = np.argsort(of, kind="stable")
+    lo, hi = np.searchsorted(of[order], run_of, "left"), np.searchsorted(of[order], run_of, "right")
+    run = np.repeat(np.arange(len(begin)), hi - lo)
+    row = head_of_firsts[order[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(run))]]
+    out = np.empty(len(run), _SPAN)
+    out["doc"], out["crc"] = row["doc"], row["crc"]
+    out["start"] = row["pos"] + inside[begin[run]]
+    out["end"] = out["start"] + (end - begin)[run] + length - 1
+    return np.concatenate([*spans, out])
+
+
+def _whole(head: np.ndarray, length: int) -> np.ndarray:
+    out = np.empty(len(head), _SPAN)
+    out["doc"], out["crc"], out["start"] = head["doc"], head["crc"], head["pos"]
+    out["end"] = head["pos"] + head["windows"] + (length - 1)
     return out
 
 
@@ -298,14 +376,14 @@ def _part(doc: np.ndarray, crc: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64) ^ (crc.astype(np.uint64) << np.uint64(32))) >> np.uint64(1)).astype(np.int64) % parts
 
 
-def _shrink(docs: DataFrame, parts: int) -> DataFrame:
+def _shrink(docs: DataFrame, parts: int, twins: bool) -> DataFrame:
     """part, doc_id, crc, packed: the texts, compressed to be moved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raws = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
-            crc = np.array([zlib.crc32(r) for r in raws], np.uint32)
+            crc = np.array([zlib.crc32(r) if twins else 0 for r in raws], np.uint32)
             doc = batch["doc_id"].fillna(-1).astype("int64").to_numpy()
             yield pd.DataFrame({"part": _part(doc, crc, parts), "doc_id": batch["doc_id"].astype("Int64"), "crc": crc.astype(np.int64), "packed": [press.compress(r) for r in raws]})
 
@@ -353,10 +431,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     single = marked.where("not copy")
     total = single.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, total // PART_BYTES)
-    cut = _cut(single.where("doc_id is not null and text is not null"), max(12, 33 * total // (10 * BUCKET_BYTES)), length)
+    # rows that share a doc_id are told apart by their texts' checksums, which are sent only then
+    twins = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    cut = _cut(single.where("doc_id is not null and text is not null"), max(12, 33 * total // (10 * BUCKET_BYTES)), length, twins)
     spans = staged(_find(cut, parts, length), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    kept = _shrink(single, parts).groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lambda t, s: _keep(t, s, with_text), schema)
+    kept = _shrink(single, parts, twins).groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lambda t, s: _keep(t, s, with_text), schema)
     gone = F.octet_length("text").cast("long")
     nothing = F.lit(b"")
     return kept.unionByName(
