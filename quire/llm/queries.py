@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.lm import language_model_scores
 from quire.llm.near_dup import near_duplicates
+from quire.llm.quality import quality_scores, training_row
 from quire.llm.suffix_dedup import remove_repeats
+from quire.llm.tiff import text_media
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +23,23 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op4_tiff_media": op4_tiff_media,
+    "op6_quality_classifier": op6_quality_classifier,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_minhash_near_dup": op8_minhash_near_dup,
 }
