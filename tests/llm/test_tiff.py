@@ -44,7 +44,7 @@ def test_pages_round_trip(codec, predictor, tiles):
 
 
 def test_big_endian_16_bit_colour():
-    data = np.arange(2 * 3 * 3, dtype=">u2").reshape(2, 3, 3) * 300
+    data = (np.arange(2 * 3 * 3).reshape(2, 3, 3) * 300).astype(">u2")
     diff = data.copy()
     diff[:, 1:] -= data[:, :-1]
     tags = [(256, 3, 3), (257, 3, 2), (258, 3, 16), (259, 3, 1), (273, 4, 8), (277, 3, 3), (278, 3, 2), (279, 4, 36), (317, 3, 2)]
