@@ -29,8 +29,8 @@ def words(text: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of its own for each row), words; staged, so that row numbers stay."""
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()), "words")
+    """doc_id, text_key (a hash of the text), words, row (a number of its own); staged, so that row numbers stay."""
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()), "words")
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def proximity_matches(rows: DataFrame, phrases: DataFrame, slop: int) -> DataFra
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key of each row of docs."""
     rows = numbered(docs)
     tests = item_words(items)
     # equal windows are looked up once
@@ -127,7 +127,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     named = hits.select("row", "phrase").distinct().join(sized(staged(owner, "owners")), "phrase").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = staged(covered.join(named, "row", "left"), "found")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
-    return rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(sized(found), "row", "left").select(
+    return rows.select("row", "doc_id", "text_key", F.size("words").cast("long").alias("n_words")).join(sized(found), "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "text_key",
     )

@@ -7,8 +7,8 @@ on the full sets, block against block, so no link between different sets is lost
 
 Defined results: null or white text has an empty set and links with nothing. Fewer than five words are one shingle.
 Rows with equal sets share one node, so copies are never compared. A row with a null doc_id belongs to the component of
-its set, but never names it; a set that only such rows have links with nothing, and their component_id is null. Repeated
-rows give repeated results. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+its set, but never names it; a set that only such rows have links with nothing, their component_id is null and they are
+kept. Repeated rows give repeated results. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +90,8 @@ def _name(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (the set's fingerprint), a, b (its band hashes; null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, fp1, fp2 (the set's fingerprint), a, b (its band hashes; null
+    for an empty set)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
@@ -100,10 +101,14 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 bands = _bands(s) if len(s) else None
                 rows.append((len(s), *_name(s), None if bands is None else bands[:M], None if bands is None else bands[M:]))
             out = pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "a", "b"])
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
+            out.insert(0, "doc_id", part["doc_id"].array)
+            out.insert(1, "text_key", part["text_key"].array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, fp1 long, fp2 long, a array<long>, b array<long>")
+    # ids pass Python as text, since pandas has no whole numbers with nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    found = rows.mapInPandas(run, "doc_id string, text_key long, n_shingles long, fp1 long, fp2 long, a array<long>, b array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def coarse_clusters(nodes: DataFrame) -> DataFrame:
@@ -209,7 +214,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perc
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: components of documents whose shingle sets reach percent of similarity."""
+    """doc_id, n_shingles, component_id, kept, text_key: components of documents whose shingle sets reach percent of similarity."""
     rows = staged(sketches(docs, width), "sketches")
     # a node is a distinct set; its name is the least doc_id that has it
     same = rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
@@ -224,6 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
         nodes.where("copies > 1").select("fp1", "fp2", "node", "doc_id").unionByName(nodes.where("copies = 1").join(moved, "node", "left_semi").select("fp1", "fp2", "node", "doc_id"))
         .join(moved, "node", "left").select("fp1", "fp2", F.coalesce("least", "doc_id").alias("least")), "components",
     )
-    out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(sized(final), ["fp1", "fp2"], "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "fp1", "fp2").join(sized(final), ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key")

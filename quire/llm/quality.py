@@ -150,14 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs, then score (0 to 1) and predicted (1 if score >= threshold)."""
     told = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    kind = "score double, predicted int"
-    taken = [c for c in docs.columns if c in ("score", "predicted")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*told.value)
-        for part in slices(parts):
-            score = scorer(part["text"])
-            yield part.assign(score=score, predicted=(score >= threshold).astype(np.int32))
+        for part in parts:
+            found = np.concatenate([np.zeros(0), *(scorer(some) for some in slices([part]))])
+            yield pd.DataFrame({"score": found, "predicted": (found >= threshold).astype(np.int32)})
 
-    rest = docs.drop(*taken)
-    return rest.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), kind]))
+    rest = docs.drop("score", "predicted", "_quality")
+    return rest.withColumn("_quality", score("text")).select(*rest.columns, "_quality.score", "_quality.predicted")

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.decontam import contamination
+from quire.llm.line_dedup import strip_boilerplate
 from quire.llm.lm import language_model_scores
+from quire.llm.mixing import in_order, mix
 from quire.llm.near_dup import near_duplicates
 from quire.llm.quality import quality_scores, training_row
+from quire.llm.secrets import scan
+from quire.llm.sharding import shard_rows
 from quire.llm.suffix_dedup import remove_repeats
 from quire.llm.tiff import text_media
 
@@ -23,6 +28,25 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = strip_boilerplate(table(spark, sf_dir, "pages"))
+    return kept.select("page_id", "host", "host_pages", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = in_order(mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
@@ -33,15 +57,68 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_lm_scoring": op1_lm_scoring,
-    "op4_tiff_media": op4_tiff_media,
-    "op6_quality_classifier": op6_quality_classifier,
-    "op5_suffix_array_dedup": op5_suffix_array_dedup,
-    "op8_minhash_near_dup": op8_minhash_near_dup,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_line_dedup, op3_sharding, op4_tiff_media, op5_suffix_array_dedup, op6_quality_classifier, op7_source_mixing, op8_minhash_near_dup,
+        op9_benchmark_decontamination, op10_secret_scan,
+    )
+}
+
+_WORDS9 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH bare AS (
+            SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
+                   regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS body
+            FROM pages),
+        cut AS (SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM bare),
+        totals AS (SELECT host, count(*) AS host_pages FROM cut WHERE host IS NOT NULL GROUP BY host),
+        held AS (SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host IS NOT NULL),
+        over_ratio AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host GROUP BY h.host, h.line, t.host_pages HAVING t.host_pages >= 5 AND count(*) > t.host_pages * 0.2),
+        lists AS (SELECT host, list(line) AS dropped FROM over_ratio GROUP BY host),
+        kept AS (SELECT c.page_id, c.host, coalesce(t.host_pages, 0) AS host_pages, c.lines,
+                        list_filter(c.lines, lambda x: NOT list_contains(coalesce(l.dropped, []::VARCHAR[]), x)) AS stays
+                 FROM cut c LEFT JOIN totals t ON c.host = t.host LEFT JOIN lists l ON c.host = l.host)
+        SELECT page_id, host, host_pages, len(lines)::BIGINT AS n_lines, (len(lines) - len(stays))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(stays, chr(10)), '')) AS kept_sha256 FROM kept""",
+    "op7_source_mixing": r"""
+        WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || doc_id::VARCHAR) AS place FROM documents),
+        each AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+        weighed AS (SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS bound FROM each),
+        filled AS (SELECT *, row_number() OVER w AS r, (sum(source_size) OVER ())::BIGINT - coalesce((sum(bound) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS rest,
+                          (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest_weight
+                   FROM weighed WINDOW w AS (ORDER BY bound / weight, number)),
+        first AS (SELECT r, rest, rest_weight FROM filled WHERE rest::DOUBLE * weight / rest_weight < bound ORDER BY r LIMIT 1),
+        goals AS (SELECT f.source, f.number, f.source_size, CASE WHEN first.r IS NULL OR f.r < first.r THEN f.bound::DOUBLE ELSE first.rest::DOUBLE * f.weight / first.rest_weight END AS target
+                  FROM filled f LEFT JOIN first ON true),
+        placed AS (SELECT s.doc_id, s.size, g.number, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS goal,
+                          (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS UNBOUNDED PRECEDING))::BIGINT - s.size AS start
+                   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+        taken AS (SELECT *, greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - source_size - start)) + greatest(0, least(size, goal - 2 * source_size - start)) AS taken,
+                         start::DOUBLE / greatest(goal, 1) AS share FROM placed),
+        timed AS (SELECT *, CASE number % 3
+                    WHEN 0 THEN share
+                    WHEN 1 THEN CASE WHEN share * 1.125 >= 0.75 THEN 0.5 + (sqrt(greatest(1.0 + -2.0 * (share * 1.125 - 0.75), 0.0)) - 1.0) / -1.0 ELSE (sqrt(greatest(4.0 + -4.0 * (share * 1.125), 0.0)) - 2.0) / -2.0 END
+                    ELSE CASE WHEN share * 1.075 >= 0.375 THEN 0.6 + (sqrt(greatest(1.0 + 7.5 * (share * 1.075 - 0.375), 0.0)) - 1.0) / 3.75 ELSE (sqrt(greatest(0.0625 + 2.5 * (share * 1.075), 0.0)) - 0.25) / 1.25 END
+                  END AS time FROM taken)
+        SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN least(floor(time * (SELECT sum(size) FROM sized))::BIGINT, (SELECT sum(size) FROM sized)::BIGINT) END AS position FROM timed""",
+    "op9_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS9} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS key FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        lens AS (SELECT DISTINCT n FROM win),
+        spots AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS key FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lens WHERE len(w) >= n)),
+        hit AS (SELECT spots.r, spots.k, spots.n, win.item_id FROM spots JOIN win ON spots.n = win.n AND spots.key = win.key),
+        covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+}

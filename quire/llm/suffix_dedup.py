@@ -384,10 +384,11 @@ def _shrink(docs: DataFrame, parts: int, twins: bool) -> DataFrame:
         for batch in batches:
             raws = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
             crc = np.array([zlib.crc32(r) if twins else 0 for r in raws], np.uint32)
-            doc = batch["doc_id"].fillna(-1).astype("int64").to_numpy()
-            yield pd.DataFrame({"part": _part(doc, crc, parts), "doc_id": batch["doc_id"].astype("Int64"), "crc": crc.astype(np.int64), "packed": [press.compress(r) for r in raws]})
+            doc = np.array([-1 if d is None else int(d) for d in batch["doc_id"]], np.int64)
+            yield pd.DataFrame({"part": _part(doc, crc, parts), "doc_id": batch["doc_id"].array, "crc": crc.astype(np.int64), "packed": [press.compress(r) for r in raws]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "part long, doc_id long, crc long, packed binary")
+    # ids pass Python as text, since pandas has no whole numbers with nulls
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "part long, doc_id string, crc long, packed binary")
 
 
 def _keep(texts: pd.DataFrame, spans: pd.DataFrame, with_text: bool) -> pd.DataFrame:
@@ -401,9 +402,9 @@ def _keep(texts: pd.DataFrame, spans: pd.DataFrame, with_text: bool) -> pd.DataF
     rows = []
     for doc, crc, packed in zip(texts["doc_id"], texts["crc"], texts["packed"]):
         raw = open_.decompress(packed) if packed else b""
-        mine = None if pd.isna(doc) else of.get((int(doc), int(crc)))
+        mine = None if doc is None else of.get((int(doc), int(crc)))
         rows.append(_cleaned(doc, raw, mine, with_text))
-    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _cleaned(doc, raw: bytes, spans: np.ndarray | None, with_text: bool) -> tuple:
@@ -435,8 +436,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     twins = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     cut = _cut(single.where("doc_id is not null and text is not null"), max(12, 33 * total // (10 * BUCKET_BYTES)), length, twins)
     spans = staged(_find(cut, parts, length), "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     kept = _shrink(single, parts, twins).groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lambda t, s: _keep(t, s, with_text), schema)
+    kept = kept.withColumn("doc_id", F.col("doc_id").cast("long"))
     gone = F.octet_length("text").cast("long")
     nothing = F.lit(b"")
     return kept.unionByName(

@@ -284,9 +284,11 @@ def store_text(docs: DataFrame, column: str = "text", out: str = "media") -> Dat
         for part in slices(parts):
             raws = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in part[column]]
             files = [store(r + b"\0" * (-len(r) % WIDTH if r else WIDTH)) for r in raws]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_bytes": [len(r) for r in raws], out: files})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": [len(r) for r in raws], out: files})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInPandas(run, f"doc_id long, n_bytes long, {out} binary")
+    # ids pass Python as text, since pandas has no whole numbers with nulls
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), column)
+    return rows.mapInPandas(run, f"doc_id string, n_bytes long, {out} binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 _PAGES = "array<struct<page:int,width:int,height:int,bits:int,samples:int,compression:int,predictor:int,tiled:boolean,mean:double,data:binary>>"
@@ -313,10 +315,10 @@ def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Store each text as TIFF, read the file back, and describe what was read."""
-    read = with_pages(store_text(docs)).withColumn("payload", F.expr("aggregate(pages, X'', (a, p) -> concat(a, p.data))"))
+    read = with_pages(store_text(docs).withColumn("doc_id", F.col("doc_id").cast("string"))).withColumn("payload", F.expr("aggregate(pages, X'', (a, p) -> concat(a, p.data))"))
     shape = F.transform("pages", lambda p: F.format_string("%dx%d:c%d:p%d:%s:%.4f", p["width"], p["height"], p["compression"], p["predictor"], F.when(p["tiled"], "tiles").otherwise("strips"), p["mean"]))
     return read.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.array_join(shape, ";").alias("feature"), F.size("pages").alias("n_pages"),
     )

@@ -1,0 +1,391 @@
+"""Each operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns, held
+against a plain computation of the same."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quire.llm import decontam, line_dedup, lm, mixing, near_dup, quality, secrets, sharding, suffix_dedup, tiff
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, row long, place string, number int, words string"
+
+
+def corpus():
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(400)] + ["Été", "naïve", "STOP", "a,b", "x.y"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passage = text(120), text(40)
+    rows = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "one two three four"), (6, "ONE two\tthree  four"), (7, text(9000)), (None, base), (None, text(30))]
+    rows += [(10 + i, text(rng.randrange(5, 200))) for i in range(40)]
+    for i in range(30):
+        cut = base.split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 8])):
+            cut[rng.randrange(len(cut))] = rng.choice(words)
+        rows.append((100 + i, " ".join(cut)))
+    rows += [(200 + i, f"{text(20)} {passage} {text(20)}") for i in range(8)]
+    rows += [(300, "ab" * 400), (301, "ab" * 300), (302, "zz" + "ab" * 60)]
+    rows += [(50, base), (50, base), (51, text(50)), (51, passage)]
+    rng.shuffle(rows)
+    return rows
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i == 11 else "en", None if i == 12 else f"s{(i or 0) % 5}", None, 7, 0.5, 3, "p", 1, "w") for i, t in ROWS]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def got(df, *columns):
+    return sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+
+
+def want(rows):
+    return sorted(map(repr, rows))
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates(spark, docs):
+    sets = {}
+    for i, t in ROWS:
+        s = frozenset(shingles(t))
+        if s:
+            sets.setdefault(s, []).append(i)
+    nodes = [s for s, ids in sets.items() if any(i is not None for i in ids)]
+    up = {s: s for s in sets}
+
+    def find(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    for a in nodes:
+        for b in nodes:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                up[find(a)] = find(b)
+    least = defaultdict(list)
+    for s, ids in sets.items():
+        least[find(s)] += [i for i in ids if i is not None]
+    expected = []
+    for i, t in ROWS:
+        s = frozenset(shingles(t))
+        c = min(least[find(s)], default=None) if s else i
+        expected.append((i, len(s), c, i is not None and i == c))
+    out = near_dup.near_duplicates(docs, percent=85)
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == want(expected)
+    assert len({r[2] for r in expected}) <= len(expected) - 20
+
+
+def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
+    whole = got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id")
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    assert got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id") == whole
+
+
+def test_remove_repeats(spark, docs):
+    starts = defaultdict(set)
+    for i, t in ROWS:
+        b = (t or "").encode()
+        if i is not None:
+            for k in range(len(b) - 49):
+                starts[b[k : k + 50]].add(i)
+    least = {w: min(ids) for w, ids in starts.items()}
+    expected = []
+    for i, t in ROWS:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if i is not None and least[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        expected.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    assert got(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(expected)
+
+
+def test_suffix_array_against_sorting():
+    import numpy as np
+
+    rng = random.Random(1)
+    for letters in (b"a", b"ab", b"abc", bytes(range(256))):
+        for n in (1, 2, 7, 100, 700):
+            raw = bytes(rng.choice(letters) for _ in range(n))
+            data = np.frombuffer(raw, np.uint8)
+            order = suffix_dedup.suffix_array(data, 1000)
+            assert order.tolist() == sorted(range(n), key=lambda i: raw[i:]) or letters == bytes(range(256)) and 0 in raw
+            shared = suffix_dedup.common_prefixes(data, order, 50)
+            for x, y, c in zip(order, order[1:], shared[1:]):
+                k = 0
+                while k < 50 and max(x, y) + k < n and raw[x + k] == raw[y + k]:
+                    k += 1
+                assert c == k
+
+
+def test_contamination(spark, docs):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    texts = [t for _, t in ROWS if t and len(t.split()) > 30]
+    items = [(1, " ".join(texts[0].split()[3:18])), (2, "Été W1"), (3, None), (4, "..."), (10, texts[5][:300].upper()), (11, "nothing of it here at all, is there any word"), (1, texts[7]), (None, texts[9])]
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[k : k + 10])].add(None if i is None else str(i))
+    expected = []
+    for i, t in ROWS:
+        w, hit, found = split(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    found |= windows[tuple(w[k : k + n])]
+                    hit |= set(range(k, k + n))
+        names = sorted(found - {None})
+        expected.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
+    assert got(decontam.contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want(expected)
+
+
+def test_proximity(spark):
+    rng = random.Random(2)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))] for _ in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, words array<string>")
+    phrases = [(0, ["a", "b"]), (1, ["c", "d", "e"]), (2, ["f", "f"]), (3, ["z", "a"])]
+    out = decontam.proximity_matches(rows, spark.createDataFrame(phrases, "phrase long, terms array<string>"), slop=1)
+    found = {(r["row"], r["phrase"]) for r in out.collect()}
+    expected = set()
+    for i, t in enumerate(texts):
+        for p, terms in phrases:
+            if any(set(terms) <= set(t[k : k + n]) for k in range(len(t)) for n in range(1, len(terms) + 2)):
+                expected.add((i, p))
+    assert found == expected
+    for r in out.collect():
+        assert set(phrases[r["phrase"]][1]) <= set(texts[r["row"]][r["place"] : r["place"] + r["span"]])
+
+
+def secret_rows():
+    key = "AKIA" + "Q7Z2" * 4
+    return [
+        (1, f'Password = "hunter22222" and token:abc token: secret: abcdefghijk {key} AKIA123'), (2, None), (3, ""), (4, "é" * 5 + " API_KEY='ab.cd/ef+gh==' " + "deadbeef" * 5),
+        (5, "x9Fq2Lw8Zr4Tk7Vb1Nm6Qs3 plain wordsthatarelongbutplainandplain"), (6, "12345678901234567890123456789"), (7, "id 123e4567-e89b-12d3-a456-426614174000 token==abcdefgh"),
+        (8, "0123456789abcdef" * 2 + "g" + "a1" * 30), (9, "secret=secret=abcdefghij, passwd : q w e r"), (10, "token:abcdefgh " * 50), (10, "token:abcdefgh " * 50), (None, "secret: ſecretſ Kelvin toKen=abcdefghij"),
+    ]
+
+
+def test_secret_scan(spark):
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    expected = []
+    for i, t in secret_rows():
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        count = Counter(k for _, k, _ in spans)
+        text = lambda some: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(some))
+        base = text(spans)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            if not re.search("[0-9]", m[0]) or any(re.search(a, m[0]) for a in secrets.ALLOWED):
+                continue
+            bits = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0]) else 3.7
+            hot = [k for k in range(len(m[0]) - 19) if round(20 * -sum(c / 20 * math.log2(c / 20) for c in Counter(m[0][k : k + 20]).values()), 9) >= bits * 20]
+            if hot:
+                spans.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20))
+        expected.append((i, count[0], count[1], count[2], hashlib.sha256(base.encode()).hexdigest(), text(spans)))
+    assert any("entropy" in e[5] for e in expected)
+    out = secrets.scan(spark.createDataFrame(secret_rows(), "doc_id long, text string").withColumn("kind", F.lit(1)))
+    assert got(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want(expected)
+
+
+def draw(key, name, weight):
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    bits = xxhash.xxh64_intdigest(name.encode(), seed) >> 12
+    return math.log((bits + 0.5) / 2.0**52) / weight
+
+
+def descend(key, node):
+    while node.children:
+        live = [c for c in node.children if c.weight > 0]
+        node = live[0] if len(live) == 1 else max(live, key=lambda c: draw(key, c.name, c.weight))
+    return node.shard
+
+
+def test_shards(spark, docs):
+    rows = sharding.shard_rows(docs, 40).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        b = (r["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(b) + 16, zlib.crc32(b), "key")
+        assert r["shard"] == descend(r["doc_id"], sharding.plan(40)) and r["grown_shard"] == descend(r["doc_id"], sharding.plan(41, 40))
+        assert r["grown_shard"] in (r["shard"], 40)
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == len(ROWS) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_weights_move_rows_of_their_subtree_only(spark):
+    ids = spark.range(3000)
+    tree = sharding.plan(16)
+    heavier = sharding.reweighted(tree, {3: 2.0})
+    moved = [(r[0], r[1]) for r in ids.select(sharding.shard_of(F.col("id"), tree), sharding.shard_of(F.col("id"), heavier)).collect() if r[0] != r[1]]
+    assert moved and all(b < 8 for _, b in moved) and sum(b == 3 for _, b in moved) > len(moved) / 4
+
+
+def test_mix(spark, docs):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    source = {(i, t): None if i == 12 else f"s{(i or 0) % 5}" for i, t in ROWS}
+    total = Counter()
+    for i, t in ROWS:
+        total[source[i, t]] += size(t)
+    names = sorted(total, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    goal, open_ = {}, set(names)
+    while True:
+        left = sum(total.values()) - sum(goal.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * total[s]}
+        if not full:
+            break
+        goal |= {s: 3.0 * total[s] for s in full}
+        open_ -= full
+    goal |= share
+    out = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in out:
+        s = source[r["doc_id"], r["text"]]
+        assert r["size"] == size(r["text"]) and r["source_size"] == total[s] and abs(r["target"] - goal[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        assert (r["position"] is None) == (r["taken"] == 0)
+        taken[s] += r["taken"]
+    assert len(out) == len(ROWS) and all(abs(taken[s] - goal[s]) <= 1 for s in names)
+    positions = [r["position"] for r in mixing.in_order(mixing.mix(docs)).collect()]
+    assert positions == sorted(positions, key=lambda p: (p is None, p))
+
+
+def test_inverse_demand(spark):
+    for schedule in mixing.SCHEDULES:
+        area = lambda t: sum((lambda a, b, wa, wb: (b - a) * (wa + (wa + (wb - wa) * (b - a) / (t1 - t0))) / 2)(t0, min(t, t1), w0, w1) for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]) if t > t0)  # noqa: B023, E731
+        for r in spark.range(11).select((F.col("id") / 10).alias("y"), mixing.inverse_demand(F.col("id") / 10, schedule).alias("t")).collect():
+            assert abs(area(r["t"]) / area(1.0) - r["y"]) < 1e-9
+
+
+def test_language_model(spark, docs):
+    words = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    count = Counter(w for i, t in ROWS if not held(i) for w in words(t))
+    n, v = sum(count.values()), len(count)
+    expected = [(i, held(i), len(words(t)), sum(w in count for w in words(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in ROWS]
+    out = lm.language_model_scores(docs)
+    assert got(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6)) == want(expected)
+    assert all(r["score"] < 0 for r in out.collect())
+
+
+def test_language_model_probabilities_sum_to_one(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "HEAD", 6)
+    count = Counter({b"\n": 9, b"aa": 8, b"ba": 7, b"c": 5, b"d": 4, b"e": 3, b"fa": 2, b"g": 2, b"h": 1})
+    words = list(count)
+    bounds = np.array([0, 1, 3, 6])
+    n, v = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
+    for w in words[6:]:
+        n[lm.tail_class(w)] += count[w]
+        v[lm.tail_class(w)] += 1
+    model = lm.Model(words, np.array(list(count.values())), bounds, np.log10(n + v + 1), sum(count.values()), len(count)).ready()
+    model.weights = lm.first_weights(model)
+    seq = [words[i % 9] for i in (1, 2, 3, 1, 2, 3, 6, 1, 2, 3, 1, 2, 3, 7, 0)]
+    ids, klass, entry = model.encode(seq)
+    before = lm.score_texts(model, ids, klass, entry, np.array([len(seq)])).sum()
+    lm.train(model, [(ids, klass, np.concatenate([[model.entry[model.end]], entry[:-1]]))] * 40)
+    after = lm.score_texts(model, ids, klass, entry, np.array([len(seq)])).sum()
+    assert after > before
+    h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
+    total = 0.0
+    for w in words[:6]:
+        i, k, _ = model.encode([w])
+        total += np.exp(lm.log_probability(model, h, i, k))[0]
+    for c in range(lm.TAILS):
+        total += np.exp(lm.log_probability(model, h, np.array([-1]), np.array([len(bounds) - 1 + c])))[0]
+    assert abs(total - 1) < 1e-4
+
+
+def test_language_model_windows_carry_state(monkeypatch):
+    import numpy as np
+
+    words = [b"\n", *(b"w%d" % i for i in range(30))]
+    model = lm.Model(words, np.arange(60, 29, -1), np.array([0, 4, 12, 31]), np.zeros(lm.TAILS), 100, 31).ready()
+    model.weights = lm.first_weights(model)
+    rng = np.random.default_rng(1)
+    sizes = np.array([5, 300, 1, 64, 65, 17])
+    ids, klass, entry = model.encode([words[i] for i in rng.integers(0, 31, sizes.sum())])
+    whole = lm.score_texts(model, ids, klass, entry, sizes, window=1000)
+    assert np.allclose(whole, lm.score_texts(model, ids, klass, entry, sizes, group=2, window=7), rtol=1e-5)
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["the", "river", "ran", "over", "stones", "and", "sang"]) for _ in range(30))
+    bad = lambda: rng.choice([lambda: "BUY!! " * 20, lambda: " ".join(rng.choice(["foo###", "bar***", "qux&&"]) for _ in range(25)), lambda: "stones " * 30])()
+    rows = [(i, good() if i % 3 else bad()) for i in range(300)] + [(900, None), (901, ""), (None, good()), (5, good())]
+    labels = [(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (7, None), (5000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    out = quality.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    told = out.collect()
+    assert len(told) == len(rows)
+    held = [r for r in told if r["doc_id"] is not None and r["doc_id"] < 300 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["doc_id"] != 5]
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in told)
+    empty = [r["score"] for r in told if not r["text"]]
+    assert len(set(empty)) == 1
+    none = quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r["score"] for r in none} == {0.5}
+
+
+def test_media(spark, docs):
+    expected = []
+    for i, t in ROWS:
+        b = (t or "").encode()
+        p = b + b"\0" * (-len(b) % 64 if b else 64)
+        expected.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(tiff.store(p)).hexdigest()))
+    assert got(tiff.text_media(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256") == want(expected)
+    pages = tiff.tiff_pages(tiff.store_text(docs.where("doc_id = 7")).withColumn("doc_id", F.col("doc_id").cast("string"))).orderBy("page").collect()
+    text = next(t for i, t in ROWS if i == 7).encode()
+    assert len(pages) > 1 and b"".join(bytes(p["data"]) for p in pages)[: len(text)] == text
+
+
+def test_boilerplate(spark):
+    page = lambda *lines: "<html><script>var a='<p>';</script><!-- x --><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body></html>"
+    rows = [(i, f"HTTP://A.example/{i}", page("Home  page", f"text {i}", "Home page", "ad" if i == 1 else "")) for i in range(6)]
+    rows += [(20 + i, f"https://b.example:80/{i}", page("Home page", "same")) for i in range(3)] + [(30, None, page("Home page")), (31, "no host", None), (1, "http://a.example/1", page("Home page"))]
+    out = {(r["page_id"], r["n_lines"]): r for r in line_dedup.strip_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")), 0.5).collect()}
+    assert len(out) == len(rows)
+    assert out[0, 3]["kept"] == "text 0" and out[0, 3]["n_dropped"] == 2 and out[0, 3]["host_pages"] == 7
+    assert out[1, 4]["kept"] == "text 1\nad" and out[1, 1]["kept"] == ""
+    assert out[20, 2]["kept"] == "Home page\nsame" and out[30, 1]["kept"] == "Home page" and out[30, 1]["host"] is None and out[31, 0]["kept"] == ""
+
+
+def test_boilerplate_with_salted_hosts(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<p>menu {i % 3}</p><p>t{i}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = got(line_dedup.strip_boilerplate(pages), "page_id", "kept")
+    monkeypatch.setattr(line_dedup, "sized", lambda df, rows=0: df)
+    assert got(line_dedup.strip_boilerplate(pages), "page_id", "kept") == one
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (near_dup.near_duplicates(none), suffix_dedup.remove_repeats(none), decontam.contamination(none, items), secrets.scan(none), sharding.shard_rows(none, 40), mixing.mix(none),
+               lm.language_model_scores(none), quality.quality_scores(none, labels), tiff.text_media(none), line_dedup.strip_boilerplate(pages)):
+        assert df.collect() == []
