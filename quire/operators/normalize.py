@@ -65,8 +65,8 @@ def expand_titles(text: Column) -> Column:
 
 def read_years_times(token: Column) -> Column:
     """Clock times and years as they are said; other tokens as they are."""
-    hour, minute = F.regexp_extract(token, r"^(\d+):(\d\d)$", 1), F.regexp_extract(token, r"^(\d+):(\d\d)$", 2).cast("int")
-    year, right, s = F.substring(token, 1, 4).cast("int"), F.substring(token, 3, 2).cast("int"), F.when(token.endswith("s"), "s").otherwise("")
+    hour, minute = F.regexp_extract(token, r"^(\d+):(\d\d)$", 1), F.regexp_extract(token, r"^(\d+):(\d\d)$", 2).try_cast("int")
+    year, right, s = F.substring(token, 1, 4).try_cast("int"), F.substring(token, 3, 2).try_cast("int"), F.when(token.endswith("s"), "s").otherwise("")
     left = F.substring(token, 1, 2)
     time = F.when(minute == 0, F.concat(hour, F.lit(" o'clock"))).when(minute < 10, F.concat(hour, F.lit(" oh "), minute)).otherwise(F.concat(hour, F.lit(" "), minute))
     hundred = year % 1000 >= 100
@@ -78,7 +78,7 @@ def read_money(token: Column) -> Column:
     """Dollar and pound amounts as they are said."""
     dollar = F.substring(token, 1, 1) == "$"
     unit, amount = F.when(dollar, "dollar").otherwise("pound"), F.substring(token, F.lit(2), F.length(token))
-    whole, cents = F.regexp_extract(amount, r"^(\d+)", 1), F.rpad(F.regexp_extract(amount, r"\.(\d+)$", 1), 2, "0").cast("int")
+    whole, cents = F.regexp_extract(amount, r"^(\d+)", 1), F.rpad(F.regexp_extract(amount, r"\.(\d+)$", 1), 2, "0").try_cast("int")
     plural = lambda x: F.when(x == "1", "").otherwise("s")
     small = F.when(dollar, F.when(cents == 1, "cent").otherwise("cents")).otherwise(F.when(cents == 1, "penny").otherwise("pence"))
     said = F.when(~amount.contains("."), F.concat(amount, F.lit(" "), unit, plural(amount))).otherwise(F.concat(whole, F.lit(" "), unit, plural(whole), F.lit(" and "), cents, F.lit(" "), small))
@@ -117,7 +117,7 @@ def _below_thousand(n: Column) -> Column:
 
 def number_words(token: Column) -> Column:
     """Whole numbers below a thousand million in words, years from 1100 to 2099 in pairs; null for other tokens."""
-    n = F.when(token.rlike(r"^\d{1,9}$"), token.cast("long"))
+    n = F.when(token.rlike(r"^\d{1,9}$"), token.try_cast("long"))
     million, thousand, rest = F.floor(n / 1_000_000), F.floor(n / 1000) % 1000, n % 1000
     parts = F.array(F.when(million > 0, F.concat(_below_thousand(million), F.lit(" million"))), F.when(thousand > 0, F.concat(_below_thousand(thousand), F.lit(" thousand"))), F.when((rest > 0) | (n == 0), _below_thousand(rest)))
     plain = F.array_join(F.filter(parts, lambda x: x.isNotNull()), " ")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quire.plans.base import ORACLE_SQL, QUERIES
 
-MODULES = ("documents",)
+MODULES = ("documents", "texts", "cache")
 
 
 def _load() -> None:
