@@ -158,14 +158,14 @@ def _(spark, d):
     return timing.estimate_chunk(timing.symbol_weights(_symbols(spark, d)), ["doc_id", "chunk_idx"])
 
 
-@bind("distribute_frames", """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, greatest(count(*) OVER g, (sum(l_quantity) OVER g)::BIGINT // 3) AS goal, sum(l_quantity::BIGINT) OVER g AS total FROM lineitem WINDOW g AS (PARTITION BY l_orderkey)),
+@bind("distribute_frames", """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, greatest(count(*) OVER g, (sum(l_quantity) OVER g)::BIGINT // 3) AS goal, sum(l_quantity::BIGINT) OVER g AS total FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WINDOW g AS (PARTITION BY l_orderkey)),
     b AS (SELECT *, greatest(1, q * goal // total)::BIGINT AS base, row_number() OVER (PARTITION BY l_orderkey ORDER BY (q * goal) % total DESC, l_linenumber) AS r FROM s),
     m AS (SELECT *, base + CASE WHEN rest > 0 THEN rest // n + CASE WHEN r <= rest % n THEN 1 ELSE 0 END ELSE 0 END AS f FROM (SELECT *, goal - sum(base) OVER (PARTITION BY l_orderkey) AS rest, count(*) OVER (PARTITION BY l_orderkey) AS n FROM b)),
     lv AS (SELECT l_orderkey, l_linenumber, rest, unnest(range(1, f::BIGINT)) AS lvl, rk FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY f DESC, l_linenumber) AS rk FROM m)),
     tk AS (SELECT l_orderkey, l_linenumber, count(*) AS taken FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY lvl, rk) AS k FROM lv) WHERE k <= -rest GROUP BY ALL)
     SELECT m.l_orderkey, m.l_linenumber, (f - coalesce(taken, 0))::BIGINT AS frames FROM m LEFT JOIN tk ON m.l_orderkey = tk.l_orderkey AND m.l_linenumber = tk.l_linenumber""")
 def _(spark, d):
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("weight2"))
+    li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("weight2"))
     total = li.groupBy("l_orderkey").agg(F.expr("sum(weight2) div 3").alias("total"))
     return timing.distribute_frames(li.join(total, "l_orderkey"), ["l_orderkey"], "l_linenumber", "total").select("l_orderkey", "l_linenumber", "frames")
 

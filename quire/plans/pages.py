@@ -111,11 +111,13 @@ def _(spark, d):
     return words.dedupe_overstrike(both)
 
 
-@bind("build_segments", "SELECT doc_id, page_index, col, line, count(*) AS n_runs FROM v_runs GROUP BY ALL")
+@bind("build_segments", """WITH b AS (SELECT *, (sum(CASE WHEN gap <= glyph_height THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_index, line ORDER BY x))::INT AS part FROM (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page_index, line ORDER BY x) AS gap FROM v_runs WHERE NOT is_mark)),
+    m AS (SELECT m.doc_id, m.page_index, m.line, m.token_idx, coalesce(b.part, -1 - m.token_idx) AS part FROM v_runs m LEFT JOIN b ON m.doc_id = b.doc_id AND b.token_idx = m.token_idx - 1 AND m.x - b.x - b.width <= b.glyph_height WHERE m.is_mark),
+    u AS (SELECT doc_id, page_index, line, token_idx, part FROM b UNION ALL SELECT * FROM m)
+    SELECT doc_id, page_index, min(token_idx) AS first_seq, count(*) AS n_runs FROM u GROUP BY doc_id, page_index, line, part""")
 def _(spark, d):
-    r = _boxes(spark, d)
-    s = layout.build_segments(r).join(r.select("doc_id", "page_index", "seq", "col", "line"), ["doc_id", "page_index", "seq"])
-    return s.groupBy("doc_id", "page_index", "segment_id").agg(F.max("col").alias("col"), F.max("line").alias("line"), F.count("*").alias("n_runs")).drop("segment_id")
+    s = layout.build_segments(_boxes(spark, d))
+    return s.groupBy("doc_id", "page_index", "segment_id").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_runs")).drop("segment_id")
 
 
 @bind("page_skew", "SELECT doc_id, page_index, CASE WHEN max(n) > 1 THEN 0.006::DOUBLE ELSE 0.0 END AS slope FROM (SELECT doc_id, page_index, count(*) AS n FROM v_runs WHERE NOT is_mark GROUP BY doc_id, page_index, col, line) GROUP BY ALL")
@@ -154,9 +156,14 @@ def _(spark, d):
     return layout.attach_superscripts(v.v_lines(spark, d), marks)
 
 
-@bind("column_gap_histogram")
+@bind("column_gap_histogram", """WITH r AS (SELECT doc_id, page_index, floor((40 + 12 * w + 330 * col + width / 2) / 10)::INT AS bin FROM v_runs), n AS (SELECT doc_id, page_index FROM r GROUP BY ALL HAVING count(*) >= 12),
+    g AS (SELECT doc_id, page_index, unnest(range(62)) AS bin FROM n), e AS (SELECT * FROM g ANTI JOIN r ON g.doc_id = r.doc_id AND g.page_index = r.page_index AND g.bin = r.bin),
+    i AS (SELECT doc_id, page_index, min(bin) AS s, count(*) AS len FROM (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page_index ORDER BY bin) AS g FROM e) GROUP BY doc_id, page_index, g)
+    SELECT doc_id, page_index, (s + len / 2) * 10 AS split_x FROM i WHERE len * 10 > 91.8 AND (s + len / 2) * 10 BETWEEN 183.6 AND 428.4 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY len DESC, s) = 1""")
 def _(spark, d):
-    return layout.column_gap_histogram(_boxes(spark, d).drop("height"), v.v_pages(spark, d))
+    # two narrow columns
+    r = _boxes(spark, d).withColumn("x", F.lit(40.0) + 12 * F.col("w") + 330 * F.col("col")).drop("height")
+    return layout.column_gap_histogram(r, v.v_pages(spark, d))
 
 
 @bind("baseline_lines", "SELECT doc_id, token_idx, dense_rank() OVER (PARTITION BY doc_id, page_index, col ORDER BY line)::INT - 1 AS line_id FROM v_runs")
@@ -313,10 +320,10 @@ def _column_lines(spark, d):
 
 
 _STATS = """body AS (SELECT * FROM v_lines WHERE line BETWEEN 0 AND 35), d AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line) - baseline AS step FROM body),
-    e AS (SELECT doc_id, page_index, col, count(*) AS n, median(height) AS em, list_sort(list(x0))[floor((count(*) - 1) * 0.2)::INT + 1] AS low FROM d GROUP BY ALL),
+    e AS (SELECT *, l[floor((n - 1) * 0.2)::INT + 1] AS low FROM (SELECT doc_id, page_index, col, count(*) AS n, median(height) AS em, list(x0 ORDER BY x0) AS l FROM d GROUP BY doc_id, page_index, col)),
     m AS (SELECT d.doc_id, d.page_index, d.col, e.n, e.em, e.low, coalesce(median(CASE WHEN step > 0.5 * em AND step < 3 * em THEN step END), 1.2 * em) AS pitch, count_if(abs(x0 - low) <= 0.6 * em) AS k, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END) AS mx, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END) AS my,
         CASE WHEN count_if(abs(x0 - low) <= 0.6 * em) >= 4 THEN coalesce(greatest(-0.025, least(0.025, regr_slope(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END, CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END))), 0.0) ELSE 0.0 END AS slope
-        FROM d JOIN e ON d.doc_id = e.doc_id AND d.page_index = e.page_index AND d.col = e.col GROUP BY ALL)"""
+        FROM d JOIN e ON d.doc_id = e.doc_id AND d.page_index = e.page_index AND d.col = e.col GROUP BY d.doc_id, d.page_index, d.col, e.n, e.em, e.low)"""
 
 
 @bind("column_metrics", f"WITH {_STATS} SELECT doc_id, page_index, col, n, em, pitch, round(slope, 6) AS slope, round(CASE WHEN k >= 4 THEN mx - slope * my ELSE low END, 4) AS intercept FROM m")
