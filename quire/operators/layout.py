@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.windows import islands
+from quire.operators.windows import cut_lineage, islands
 
 SEGMENT_GAP, LINE_TOLERANCE, SMALL = 1.0, 0.35, 0.8
 _PAGE = ["doc_id", "page_index"]
@@ -146,3 +146,30 @@ def baseline_lines(runs: DataFrame) -> DataFrame:
 
     at = rows.select(*_PAGE, "col", F.explode(F.arrays_zip(F.transform("b", lambda x: x["baseline"]), F.aggregate("b", zero, step, lambda s: s["out"])).cast("array<struct<baseline:double,line_id:int>>")).alias("z"))
     return runs.join(at.select(*_PAGE, "col", "z.baseline", "z.line_id"), [*_PAGE, "col", "baseline"])
+
+
+def reading_regions(segments: DataFrame, depth: int = 3) -> DataFrame:
+    """segments with region, a path by which regions sort in reading order.
+
+    Each round splits regions that have a gutter into left, right and spanning segments. A line right under a spanning
+    one, on its margin and of its size, spans too. Spanning segments cut bands; a band is read left, then right.
+    """
+    key = [*_PAGE, "region"]
+    # each round reads its segments several times, so they are written once between rounds
+    s = cut_lineage(segments.withColumn("region", F.lit("")))
+    for _ in range(depth):
+        g = find_gutter(s, key).select(*key, F.col("x").alias("_x"), F.col("width").alias("_w"))
+        j = s.join(g, key, "left")
+        slack = F.greatest(F.lit(4.0), F.col("_w") / 4)
+        j = j.withColumn("_side", F.when(F.col("_x").isNull(), None).when(F.col("x1") <= F.col("_x") + slack, 1).when(F.col("x0") >= F.col("_x") - slack, 2).otherwise(0))
+        along = W.partitionBy(*key).orderBy(F.desc("baseline"), "x0")
+        for _ in range(2):
+            above = lambda c: F.lag(c).over(along)  # noqa: B023, E731
+            under = (above("_side") == 0) & (F.abs(F.col("x0") - above("x0")) <= 2) & (F.abs(F.col("height") - above("height")) <= 0.1 * above("height")) & (above("baseline") - F.col("baseline") <= 1.6 * above("height"))
+            j = j.withColumn("_joins", F.coalesce(under, F.lit(False))).withColumn("_side", F.when(F.col("_side").isNotNull() & F.col("_joins"), 0).otherwise(F.col("_side")))
+        band = F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(along.rowsBetween(W.unboundedPreceding, 0))
+        j = j.withColumn("_band", band)
+        path = F.concat("region", F.lpad(F.col("_band").cast("string"), 5, "0"), F.lit("."), F.col("_side").cast("string"), F.lit("/"))
+        s = j.withColumn("_path", F.when(F.col("_side").isNull(), F.col("region")).otherwise(path)).drop("region", "_x", "_w", "_side", "_joins", "_band").withColumnRenamed("_path", "region")
+        s = cut_lineage(s)
+    return s

@@ -101,3 +101,10 @@ def timeline_audit(timeline: DataFrame) -> DataFrame:
         F.count("*").alias("n_words"), F.count_if("back").alias("backwards"), F.count_if(F.col("gap") > FRAMES_A_SECOND // 2).alias("wide_gaps"),
         F.round(F.count("*") * FRAMES_A_SECOND / F.max("end_frame"), 6).alias("words_a_second"),
     )
+
+
+def note_interjection(taps: DataFrame, markers: DataFrame, note_ends: DataFrame, timeline: DataFrame) -> DataFrame:
+    """taps (event_id, doc_id, t_frame, marker) with the tapped marker's note, that note's duration, and the word at which
+    the main stream goes on. markers has doc_id, marker, note; note_ends has doc_id, note, duration."""
+    hit = taps.join(markers, ["doc_id", "marker"]).join(note_ends, ["doc_id", "note"])
+    return word_at(hit, timeline).select("event_id", "doc_id", "note", "duration", F.col("word_idx").alias("resume_word"))

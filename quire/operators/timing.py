@@ -147,3 +147,23 @@ def fit_to_slot(samples: DataFrame, slots: DataFrame) -> DataFrame:
     """key, pos, sample for each position of the slot (key, size): cut, or filled with zeros."""
     at = slots.where("size > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("pos"))
     return at.join(samples, ["key", "pos"], "left").select("key", "pos", F.coalesce("sample", F.lit(0.0)).alias("sample"))
+
+
+def refine_words(symbol_frames: DataFrame, boundaries: DataFrame, totals: DataFrame) -> DataFrame:
+    """key, pos, frames: each stretch between boundaries (key, n, before, after) scaled from its old to its new length, one
+    frame at least, then the exact total restored from the end."""
+    group, along = W.partitionBy("key"), W.partitionBy("key").orderBy("pos")
+    old = F.sum("frames").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("frames")
+    edges = boundaries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("before", "after"))).alias("_b"))
+    s = symbol_frames.withColumn("_at", old).join(edges, "key").join(totals, "key").withColumn("_old", F.sum("frames").over(group))
+    s = s.withColumn("_k", F.size(F.filter("_b", lambda b: b["before"] <= F.col("_at"))))
+    edge = lambda k, side, other: F.coalesce(F.try_element_at(F.col("_b"), k)[side], other)
+    low = lambda side: F.when(F.col("_k") == 0, 0).otherwise(edge(F.greatest(F.col("_k"), F.lit(1)), side, F.lit(0)))
+    was = edge(F.col("_k") + 1, "before", F.col("_old")) - low("before")
+    now = edge(F.col("_k") + 1, "after", F.col("total")) - low("after")
+    s = s.withColumn("_f", F.greatest(F.lit(1).cast("long"), half_up(F.col("frames") * now / F.greatest(was, F.lit(1)))))
+    s = s.withColumn("_over", F.sum("_f").over(group) - F.col("total"))
+    after = F.coalesce(F.sum(F.col("_f") - 1).over(W.partitionBy("key").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = F.row_number().over(W.partitionBy("key").orderBy(F.desc("pos"))) == 1
+    less = F.when(F.col("_over") > 0, F.greatest(F.lit(0), F.least(F.col("_f") - 1, F.col("_over") - after))).otherwise(F.when(last, F.col("_over")).otherwise(0))
+    return s.select("key", "pos", (F.col("_f") - less).cast("long").alias("frames"))

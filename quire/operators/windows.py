@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,12 +36,16 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: st
     return out.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in rest], *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df checkpointed in the cluster's shared folder; in local mode with none set, in a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; in local mode with none set, a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quire-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quire.plans.base import ORACLE_SQL, QUERIES
 
-MODULES = ("documents", "texts", "cache", "chunks", "pages")
+MODULES = ("documents", "texts", "cache", "chunks", "pages", "stored")
 
 
 def _load() -> None:

@@ -293,3 +293,21 @@ def _(spark, d):
 def _(spark, d):
     slots = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), (40 + F.col("vec_id") % 50).cast("int").alias("size"))
     return timing.fit_to_slot(_samples(spark, d), slots).select("key", "pos", F.round(F.col("sample").cast("double"), 6).alias("sample"))
+
+
+@bind("refine_words")
+def _(spark, d):
+    symbols = _samples(spark, d).select("key", "pos", (1 + F.col("pos") % 4).cast("long").alias("frames"))
+    marks = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.posexplode(F.array(*[F.struct(F.lit(a).alias("before"), (F.lit(b) + F.col("vec_id") % 5).cast("int").alias("after")) for a, b in ((20, 22), (60, 55), (100, 110))])).alias("n", "b"))
+    totals = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), (170 + F.col("vec_id") % 7).alias("total"))
+    return timing.refine_words(symbols, marks.select("key", "n", "b.before", "b.after"), totals)
+
+
+@bind("chunk_documents")
+def _(spark, d):
+    """The flagship: documents in blocks, sentences, chunks, their estimated frames and where they lie."""
+    blocks = v.v_blocks(spark, d)
+    chunks = chunking.chunk_documents(v.v_block_tokens(spark, d), chunking.opening_target(blocks))
+    routed = chunking.route_streams(chunks, blocks).withColumn("frames", 3 * (F.col("hi") - F.col("lo")) + 2).withColumn("n", F.col("block_idx") * 100_000 + F.col("chunk_idx"))
+    laid = timing.stream_layout(timing.silence_between(routed))
+    return laid.groupBy("doc_id", "stream").agg(F.count("*").alias("n_chunks"), F.sum("frames").alias("frames"), F.max(F.col("start") + F.col("frames")).alias("duration"), F.count_if("over").alias("n_over"))

@@ -192,3 +192,12 @@ def _(spark, d):
     SELECT doc_id, count(*) AS n_words, count_if(back) AS backwards, count_if(gap > 20) AS wide_gaps, round(count(*) * 40 / max(end_frame), 6) AS words_a_second FROM t GROUP BY doc_id""")
 def _(spark, d):
     return timeline.timeline_audit(v.v_timeline(spark, d))
+
+
+@bind("note_interjection", f"""WITH {_AT}, marks AS (SELECT doc_id, block_idx AS marker, block_idx + 4 AS note FROM v_blocks WHERE role = 'footnoteMarker'), ends AS (SELECT doc_id, block_idx AS note, sum(4 + 2 * length(token))::BIGINT AS duration FROM v_block_tokens WHERE role = 'footnoteBody' GROUP BY ALL)
+    SELECT f.event_id, f.doc_id, m.note, e.duration, f.word_idx AS resume_word FROM found f JOIN marks m ON f.doc_id = m.doc_id AND m.marker = 4 + 9 * (f.t_frame % 2) JOIN ends e ON m.doc_id = e.doc_id AND m.note = e.note""")
+def _(spark, d):
+    taps = v.v_positions(spark, d).withColumn("marker", (4 + 9 * (F.col("t_frame") % 2)).cast("int"))
+    marks = v.v_blocks(spark, d).where("role = 'footnoteMarker'").select("doc_id", F.col("block_idx").alias("marker"), (F.col("block_idx") + 4).alias("note"))
+    ends = v.v_block_tokens(spark, d).where("role = 'footnoteBody'").groupBy("doc_id", F.col("block_idx").alias("note")).agg(F.sum(4 + 2 * F.length("token")).alias("duration"))
+    return timeline.note_interjection(taps, marks, ends, v.v_timeline(spark, d))

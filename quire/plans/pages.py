@@ -398,3 +398,11 @@ def _(spark, d):
     return paragraphs.interleave_blocks(v.v_blocks(spark, d)).select("doc_id", "block_idx", "rank")
 
 
+
+
+@bind("reading_regions", "SELECT doc_id, page_index, col, line, CASE WHEN count(*) FILTER (WHERE col = 1 AND x1 - x0 >= 30) OVER w >= 3 AND count(*) FILTER (WHERE col = 0 AND x1 - x0 >= 30) OVER w >= 3 THEN col + 1 ELSE 0 END AS side FROM (SELECT doc_id, page_index, col, line, min(x) AS x0, max(x + width) AS x1 FROM v_runs GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id, page_index)")
+def _(spark, d):
+    r = _boxes(spark, d)
+    seg = r.groupBy("doc_id", "page_index", "col", "line").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("height")).alias("y1"), F.median("glyph_height").alias("height"), F.median("baseline").alias("baseline"))
+    regions = layout.reading_regions(seg)
+    return regions.select("doc_id", "page_index", "col", "line", F.coalesce(F.nullif(F.regexp_extract("region", r"^\d+\.(\d)/", 1), F.lit("")).cast("int"), F.lit(0)).alias("side"))
