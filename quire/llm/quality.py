@@ -81,7 +81,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, floa
         _, pairs = pair_features(hashes[at], sizes)
         what, back = np.unique(np.concatenate([what, pairs]), return_inverse=True)
         weight = np.bincount(back, np.concatenate([times[who], np.ones(len(pairs))]), minlength=len(what)).astype(np.float32)
-        sets.append((what, weight / max(1.0, float(weight.sum()))))
+        sets.append((what.astype(np.int32), weight / max(1.0, float(weight.sum()))))
     steps, step = EPOCHS * len(sets), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(sets)):
@@ -143,8 +143,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     chosen = here.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # at most `sample` rows, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "quality").limit(sample).toPandas()
-    return train(list(rows["text"]), rows["quality"].to_numpy(np.int64))
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "quality").limit(sample).select("text", "quality")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        texts = [t for part in held for t in part["text"]]
+        logits, bias = train(texts, np.concatenate([np.zeros(0, np.int64), *(part["quality"].to_numpy(np.int64) for part in held)]))
+        yield pd.DataFrame({"logits": [logits.astype(np.float32).tobytes()], "bias": [bias]})
+
+    # the bounded sample is one partition, on which one task trains; the driver gets a weight for each bucket
+    model = rows.coalesce(1).mapInPandas(run, "logits binary, bias double").collect()
+    return (np.frombuffer(model[0]["logits"], np.float32), model[0]["bias"]) if model else train([], np.zeros(0, np.int64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

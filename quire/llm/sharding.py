@@ -63,17 +63,21 @@ def _draw(key: Column, node: Node) -> Column:
 
 def shard_of(key: Column, tree: Node) -> Column:
     """The shard of a key; draws are made on the way down only."""
-    live = [c for c in tree.children if c.weight > 0]
     if not tree.children:
         return F.lit(tree.shard)
+    live = [c for c in tree.children if c.weight > 0]
     if len(live) == 1:
         return shard_of(key, live[0])
-    draws = F.array(*[_draw(key, c) for c in live])
-    won = F.array_position(draws, F.array_max(draws))
-    out = shard_of(key, live[-1])
-    for i, child in reversed(list(enumerate(live[:-1], 1))):
-        out = F.when(won == i, shard_of(key, child)).otherwise(out)
-    return out
+    won = F.array_max(F.array(*[F.struct(_draw(key, c).alias("draw"), F.lit(-i).alias("i")) for i, c in enumerate(live)]))["i"]
+
+    def below(w: Column) -> Column:
+        out = shard_of(key, live[-1])
+        for i, child in reversed(list(enumerate(live[:-1]))):
+            out = F.when(w == -i, shard_of(key, child)).otherwise(out)
+        return out
+
+    # the winner is bound to a name, so that its draws stand in the plan once
+    return F.transform(F.array(won), below)[0]
 
 
 def shard_rows(docs: DataFrame, shards: int, base: int | None = None) -> DataFrame:
