@@ -50,9 +50,36 @@ HOMOGRAPHS = {
     "contract": ("kˈɑntɹækt", "kəntɹˈækt"),
     "object": ("ˈɑbʤɛkt", "əbʤˈɛkt"),
     "project": ("pɹˈɑʤɛkt", "pɹəʤˈɛkt"),
-    "permit": ("pˈɜɹmɪt", "pɚmˈɪt"),
+    "conduct": ("kˈɑndʌkt", "kəndˈʌkt"),
+    "contest": ("kˈɑntɛst", "kəntˈɛst"),
+    "contrast": ("kˈɑntɹæst", "kəntɹˈæst"),
+    "convert": ("kˈɑnvɜɹt", "kənvˈɜɹt"),
     "increase": ("ˈɪnkɹis", "ɪnkɹˈis"),
+    "decrease": ("dˈikɹis", "dɪkɹˈis"),
+    "permit": ("pˈɜɹmɪt", "pɚmˈɪt"),
+    "rebel": ("ɹˈɛbəl", "ɹɪbˈɛl"),
+    "protest": ("pɹˈoʊtɛst", "pɹətˈɛst"),
+    "progress": ("pɹˈɑɡɹɛs", "pɹəɡɹˈɛs"),
     "produce": ("pɹˈoʊdus", "pɹədˈus"),
+    "address": ("ˈædɹɛs", "ədɹˈɛs"),
+    "transfer": ("tɹˈænsfɜɹ", "tɹænsfˈɜɹ"),
+    "export": ("ˈɛkspɔɹt", "ɪkspˈɔɹt"),
+    "import": ("ˈɪmpɔɹt", "ɪmpˈɔɹt"),
+    "suspect": ("sˈʌspɛkt", "səspˈɛkt"),
+    "survey": ("sˈɜɹveɪ", "sɚvˈeɪ"),
+    "refuse": ("ɹˈɛfjus", "ɹɪfjˈuz"),
+    "separate": ("sˈɛpɚɪt", "sˈɛpɚeɪt"),
+    "delegate": ("dˈɛlɪɡɪt", "dˈɛlɪɡeɪt"),
+    "estimate": ("ˈɛstɪmɪt", "ˈɛstɪmeɪt"),
+    "moderate": ("mˈɑdɚɪt", "mˈɑdɚeɪt"),
+    "associate": ("əsˈoʊʃiɪt", "əsˈoʊʃieɪt"),
+    "deliberate": ("dɪlˈɪbɚɪt", "dɪlˈɪbɚeɪt"),
+    "alternate": ("ˈɔltɚnɪt", "ˈɔltɚneɪt"),
+    "appropriate": ("əpɹˈoʊpɹiɪt", "əpɹˈoʊpɹieɪt"),
+    "advocate": ("ˈædvəkɪt", "ˈædvəkeɪt"),
+    "aggregate": ("ˈæɡɹɪɡɪt", "ˈæɡɹɪɡeɪt"),
+    "elaborate": ("ɪlˈæbɚɪt", "ɪlˈæbɚeɪt"),
+    "articulate": ("ɑɹtˈɪkjəlɪt", "ɑɹtˈɪkjəleɪt"),
 }
 UNCONDITIONAL = {"lead": "lˈid", "leads": "lˈidz", "read": "ɹˈid", "reads": "ɹˈidz"}
 

@@ -17,7 +17,7 @@ def page_skew(lines: DataFrame) -> DataFrame:
     centred = W.partitionBy(*_PAGE, "line_key")
     c = lines.withColumn("_dx", F.col("x") - F.avg("x").over(centred)).withColumn("_dy", F.col("baseline") - F.avg("baseline").over(centred))
     fit = c.groupBy(*_PAGE).agg((F.sum(F.col("_dx") * F.col("_dy")) / F.nullif(F.sum(F.col("_dx") ** 2), F.lit(0.0))).alias("s"))
-    return fit.select(*_PAGE, F.coalesce(F.greatest(F.lit(-0.025), F.least(F.lit(0.025), F.col("s"))), F.lit(0.0)).alias("slope"))
+    return fit.select(*_PAGE, F.greatest(F.lit(-0.025), F.least(F.lit(0.025), F.coalesce("s", F.lit(0.0)))).alias("slope"))
 
 
 def build_segments(runs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def column_metrics(lines: DataFrame) -> DataFrame:
         F.median(F.when(step, F.col("_d"))).alias("_p"), F.count_if(near).alias("_k"), on(F.col("baseline")).alias("_my"), on(F.col("x0")).alias("_mx"),
         F.regr_slope(F.when(near, F.col("x0")), F.when(near, F.col("baseline"))).alias("_s"),
     )
-    slope = F.when(F.col("_k") >= 4, F.coalesce(F.greatest(F.lit(-0.025), F.least(F.lit(0.025), F.col("_s"))), F.lit(0.0))).otherwise(0.0)
+    slope = F.when(F.col("_k") >= 4, F.greatest(F.lit(-0.025), F.least(F.lit(0.025), F.coalesce("_s", F.lit(0.0))))).otherwise(0.0)
     fit = fit.select(*_COL, "n", "em", F.coalesce("_p", F.col("em") * 1.2).alias("pitch"), slope.alias("slope"), "_low", "_k", "_my", "_mx")
     fit = fit.withColumn("intercept", F.when(F.col("_k") >= 4, F.col("_mx") - F.col("slope") * F.col("_my")).otherwise(F.col("_low"))).drop("_low", "_k", "_my", "_mx")
     edges = lines.join(fit, _COL).groupBy(*_COL).agg(F.sort_array(F.collect_list(F.col("x1") - F.col("slope") * F.col("baseline"))).alias("_r"), F.count("*").alias("_n"))

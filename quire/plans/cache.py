@@ -91,7 +91,7 @@ def _(spark, d):
 _DONE = "done AS (SELECT doc_id, chunk_index, min(seq) AS seq, arg_min(frames, seq) AS frames, max(total_chunks) AS total FROM v_render WHERE status = 'rendered' GROUP BY doc_id, chunk_index), whole AS (SELECT *, chunk_index = row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS w FROM done)"
 
 
-@bind("render_progress", f"WITH {_DONE} SELECT doc_id, count_if(w) AS prefix, coalesce(sum(frames) FILTER (WHERE w), 0)::BIGINT AS frames, coalesce(sum(frames) FILTER (WHERE w), 0) / 40 AS seconds, count_if(w) = max(total) AS complete FROM whole GROUP BY doc_id")
+@bind("render_progress", f"WITH {_DONE} SELECT doc_id, count_if(w)::BIGINT AS prefix, coalesce(sum(frames) FILTER (WHERE w), 0)::BIGINT AS frames, coalesce(sum(frames) FILTER (WHERE w), 0) / 40 AS seconds, count_if(w) = max(total) AS complete FROM whole GROUP BY doc_id")
 def _(spark, d):
     return progress.render_progress(v.v_render(spark, d))
 

@@ -82,7 +82,7 @@ def _(spark, d):
     return chunking.cut_oversize(_words(spark, d), _tailed(spark, d))
 
 
-@bind("route_streams", f"WITH RECURSIVE {_TAILED} SELECT c.doc_id, CASE WHEN role = 'footnoteBody' THEN 'note-' || c.block_idx ELSE 'main' END AS stream, count(*) AS n_chunks, count_if(hi - lo > 510) AS n_over FROM tailed c JOIN v_blocks b ON c.doc_id = b.doc_id AND c.block_idx = b.block_idx GROUP BY ALL")
+@bind("route_streams", f"WITH RECURSIVE {_TAILED} SELECT c.doc_id, CASE WHEN role = 'footnoteBody' THEN 'note-' || c.block_idx ELSE 'main' END AS stream, count(*) AS n_chunks, count_if(hi - lo > 510)::BIGINT AS n_over FROM tailed c JOIN v_blocks b ON c.doc_id = b.doc_id AND c.block_idx = b.block_idx GROUP BY ALL")
 def _(spark, d):
     routed = chunking.route_streams(_tailed(spark, d), v.v_blocks(spark, d))
     return routed.groupBy("doc_id", "stream").agg(F.count("*").alias("n_chunks"), F.count_if("over").alias("n_over"))

@@ -189,7 +189,7 @@ def _(spark, d):
 
 
 @bind("timeline_audit", """WITH t AS (SELECT *, start_frame - lag(end_frame) OVER w AS gap, start_frame < lag(start_frame) OVER w AS back FROM v_timeline WINDOW w AS (PARTITION BY doc_id ORDER BY word_idx))
-    SELECT doc_id, count(*) AS n_words, count_if(back) AS backwards, count_if(gap > 20) AS wide_gaps, round(count(*) * 40 / max(end_frame), 6) AS words_a_second FROM t GROUP BY doc_id""")
+    SELECT doc_id, count(*) AS n_words, coalesce(count_if(back), 0)::BIGINT AS backwards, coalesce(count_if(gap > 20), 0)::BIGINT AS wide_gaps, round(count(*) * 40 / max(end_frame), 6) AS words_a_second FROM t GROUP BY doc_id""")
 def _(spark, d):
     return timeline.timeline_audit(v.v_timeline(spark, d))
 

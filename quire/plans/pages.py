@@ -322,7 +322,7 @@ def _column_lines(spark, d):
 _STATS = """body AS (SELECT * FROM v_lines WHERE line BETWEEN 0 AND 35), d AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line) - baseline AS step FROM body),
     e AS (SELECT *, l[floor((n - 1) * 0.2)::INT + 1] AS low FROM (SELECT doc_id, page_index, col, count(*) AS n, median(height) AS em, list(x0 ORDER BY x0) AS l FROM d GROUP BY doc_id, page_index, col)),
     m AS (SELECT d.doc_id, d.page_index, d.col, e.n, e.em, e.low, coalesce(median(CASE WHEN step > 0.5 * em AND step < 3 * em THEN step END), 1.2 * em) AS pitch, count_if(abs(x0 - low) <= 0.6 * em) AS k, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END) AS mx, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END) AS my,
-        CASE WHEN count_if(abs(x0 - low) <= 0.6 * em) >= 4 THEN coalesce(greatest(-0.025, least(0.025, regr_slope(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END, CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END))), 0.0) ELSE 0.0 END AS slope
+        CASE WHEN count_if(abs(x0 - low) <= 0.6 * em) >= 4 THEN greatest(-0.025, least(0.025, coalesce(regr_slope(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END, CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END), 0.0))) ELSE 0.0 END AS slope
         FROM d JOIN e ON d.doc_id = e.doc_id AND d.page_index = e.page_index AND d.col = e.col GROUP BY d.doc_id, d.page_index, d.col, e.n, e.em, e.low)"""
 
 
