@@ -6,10 +6,11 @@ its last bytes, within which it has its smoothed relative count, (c + 1) / (n +
 training tokens and distinct words. So a text's probability is a product of P(class | state) and P(word | class, state),
 and words never seen in training have a share.
 
-The recurrent weights are fitted by truncated backpropagation in numpy. Every training document gives one segment of
-`SEGMENT` tokens for each started `STRIPE` of them; segments are dealt to trainers, each of which walks its segments in
-windows of `WINDOW` tokens with carried state, and the trainers' weights are averaged after each round. Scoring walks
-every whole text in windows and carries the state from window to window.
+The recurrent weights are fitted by truncated backpropagation in numpy over every token of every training document.
+Documents are dealt to rounds; in a round each trainer reads its rows as a stream, a batch of about `BATCH` tokens at a
+time, and walks the batch's whole documents in `STREAMS` lanes by windows of `WINDOW` tokens, the state being carried
+from window to window and cleared where a document starts. The trainers' weights are averaged after each round. Scoring
+walks every whole text in windows and carries the state alike.
 
 Defined results: null text is empty and has its end token only. A null doc_id counts as the empty text for the choice of
 training rows. Repeated rows are scored and counted each. Other columns are ignored; an empty table gives no rows.
@@ -17,14 +18,14 @@ training rows. Repeated rows are scored and counted each. Other columns are igno
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +33,16 @@ from quire.llm.common import split_words, staged
 
 #: The end token; no word holds white space.
 END = b"\n"
-HEAD, CLASSES, TAILS, HIDDEN = 4096, 48, 24, 16
+HEAD, CLASSES, TAILS, HIDDEN = 4096, 48, 24, 24
 #: Most frequent words whose counts go to every task; the counts of others are joined.
 LISTED = 200_000
-WINDOW, SEGMENT, STRIPE = 16, 32, 1536
-#: Shares, of 16, of the segments in each round of training.
+WINDOW, STREAMS = 24, 128
+#: Tokens that a trainer holds at once; one longer document is held whole.
+BATCH = 400_000
+#: Shares, of 16, of the documents in each round of training.
 ROUNDS = (1, 4, 11)
-STREAMS = 64
-DOCS_PER_TRAINER, MOST_TRAINERS = 20_000, 512
-#: Steps that a trainer takes at least in all rounds, going over its segments again if they are few.
+DOCS_PER_TRAINER = 10_000
+#: Steps that a trainer takes at least in all rounds, going over its documents again if they are few.
 LEAST_STEPS = 1200
 
 
@@ -195,59 +197,84 @@ def first_weights(model: Model) -> dict[str, np.ndarray]:
     }
 
 
-def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = 0.2) -> None:
-    """Truncated backpropagation over segments (ids, classes, inputs), STREAMS of them side by side, by Adagrad."""
+def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = 0.2, seen: dict | None = None, rest: list | None = None) -> int:
+    """Truncated backpropagation over whole documents (ids, classes, inputs), STREAMS lanes of them side by side, by
+    Adagrad, whose sums are kept in seen. Returns the steps taken.
+
+    With rest, lanes are walked as far as half of them reach; what is left of the others, and their states, goes to rest
+    and comes first in the next call. Without it, or without segments, every lane is walked to its end.
+    """
     w = model.weights
-    seen = {k: np.full(v.shape, 0.05, np.float32) for k, v in w.items()}
-    end = model.entry[model.end]
-    for at in range(0, len(segments), STREAMS):
-        some = segments[at : at + STREAMS]
-        b, longest = len(some), max(len(s[0]) for s in some)
-        ids, klass, entry, live = np.zeros((b, longest), np.int64), np.zeros((b, longest), np.int64), np.full((b, longest), end), np.zeros((b, longest), bool)
-        for i, (x, y, z) in enumerate(some):
-            ids[i, : len(x)], klass[i, : len(x)], live[i, : len(x)] = x, y, True
-            entry[i, : len(z)] = z[: longest]
-        h = np.zeros((b, HIDDEN), np.float32)
-        for lo in range(0, longest, WINDOW):
-            steps = range(lo, min(lo + WINDOW, longest))
-            kept, states = [], []
-            for t in steps:
-                before = h
-                h, z, r, n, a = _step(w, entry[:, t], h)
-                kept.append((before, z, r, n, a))
-                states.append(h)
-            mask = live[:, lo : steps.stop].T
-            rows = np.flatnonzero(mask.ravel())
-            if not len(rows):
-                break
-            flat = np.concatenate(states)
-            grads = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
-            log_probability(model, flat[rows], ids[:, lo : steps.stop].T.ravel()[rows], klass[:, lo : steps.stop].T.ravel()[rows], grads)
-            dh_all = np.zeros_like(flat)
-            dh_all[rows] = grads.pop("h")
-            dh = np.zeros_like(h)
-            dx = []
-            for i in range(len(kept) - 1, -1, -1):
-                before, z, r, n, a = kept[i]
-                dh = dh + dh_all[i * b : (i + 1) * b]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before - n) * z * (1 - z)
-                dr = dn * a * r * (1 - r)
-                da = np.concatenate([dz, dr, dn * r], axis=1)
-                dx.append(np.concatenate([dz, dr, dn], axis=1))
-                grads["u"] += before.T @ da
-                dh = dh * z + da @ w["u"].T
-            scale = np.float32(1 / len(rows))
-            for k, g in grads.items():
-                g *= scale
-                seen[k] += g * g
-                w[k] -= rate * g / np.sqrt(seen[k])
-            used = entry[:, lo : steps.stop].T[::-1].ravel()
-            order = np.argsort(used, kind="stable")
-            which, first = np.unique(used[order], return_index=True)
-            g = np.add.reduceat(np.concatenate(dx)[order], first, axis=0) * scale
-            seen["x"][which] += g * g
-            w["x"][which] -= rate * g / np.sqrt(seen["x"][which])
+    seen = {} if seen is None else seen
+    for k, v in w.items():
+        seen.setdefault(k, np.full(v.shape, 0.05, np.float32))
+    old = rest or []
+    free = max(0, (STREAMS if rest is not None else min(STREAMS, len(segments))) - len(old))
+    lanes = [(len(x[0]), i, [x]) for i, (x, _) in enumerate(old)] + [(0, len(old) + i, []) for i in range(free)]
+    heapq.heapify(lanes)
+    # the longest documents first, each to the shortest lane
+    for i in sorted(range(len(segments)), key=lambda i: -len(segments[i][0])):
+        load, k, held = lanes[0]
+        carried = np.ones((len(segments[i][0]), 1), np.float32)
+        carried[:1] = 0
+        held.append((*segments[i], carried))
+        heapq.heapreplace(lanes, (load + len(carried), k, held))
+    lanes = sorted((x for x in lanes if x[0]), key=lambda x: (-x[0], x[1]))
+    if not lanes:
+        return 0
+    loads = np.array([x[0] for x in lanes])
+    ids, klass, entry, carried = (np.concatenate([x[k] for _, _, held in lanes for x in held]) for k in range(4))
+    start = np.cumsum(loads) - loads
+    h = np.stack([old[i][1] if i < len(old) else np.zeros(HIDDEN, np.float32) for _, i, _ in lanes])
+    stop = int(loads[0]) if rest is None or not segments else int(loads[len(loads) // 2]) // WINDOW * WINDOW
+    steps = 0
+    for lo in range(0, stop, WINDOW):
+        kept, states, where = [], [], []
+        for t in range(lo, min(lo + WINDOW, stop)):
+            live = int(np.searchsorted(-loads, -t))
+            at = start[:live] + t
+            before = h[:live] * carried[at]
+            h, z, r, n, a = _step(w, entry[at], before)
+            kept.append((before, z, r, n, a, carried[at]))
+            states.append(h)
+            where.append(at)
+        rows, flat = np.concatenate(where), np.concatenate(states)
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k not in ("x", "u")}
+        log_probability(model, flat, ids[rows], klass[rows], grads)
+        dh_all = grads.pop("h")
+        da, dx = np.empty((len(rows), 3 * HIDDEN), np.float32), np.empty((len(rows), 3 * HIDDEN), np.float32)
+        edge, back = len(rows), None
+        for before, z, r, n, a, on in reversed(kept):
+            mine = slice(edge - len(z), edge)
+            dh = dh_all[mine]
+            if back is not None:
+                dh[: len(back)] += back
+            dn = dh * (1 - z) * (1 - n * n)
+            dr = dn * a * r * (1 - r)
+            x, y = dx[mine], da[mine]
+            x[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
+            x[:, HIDDEN : 2 * HIDDEN] = dr
+            x[:, 2 * HIDDEN :] = dn
+            y[:, : 2 * HIDDEN] = x[:, : 2 * HIDDEN]
+            y[:, 2 * HIDDEN :] = dn * r
+            back = (dh * z + y @ w["u"].T) * on
+            edge -= len(z)
+        grads["u"] = np.concatenate([k[0] for k in kept]).T @ da
+        scale = np.float32(1 / len(rows))
+        for k, g in grads.items():
+            g *= scale
+            seen[k] += g * g
+            w[k] -= rate * g / np.sqrt(seen[k])
+        used = entry[rows]
+        by = np.argsort(used, kind="stable")
+        which, first = np.unique(used[by], return_index=True)
+        g = np.add.reduceat(dx[by], first, axis=0) * scale
+        seen["x"][which] += g * g
+        w["x"][which] -= rate * g / np.sqrt(seen["x"][which])
+        steps += 1
+    if rest is not None:
+        rest[:] = [(tuple(x[b + stop : b + n].copy() for x in (ids, klass, entry, carried)), h[i].copy()) for i, (b, n) in enumerate(zip(start, loads)) if n > stop]
+    return steps
 
 
 def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndarray, sizes: np.ndarray, group: int = 384, window: int = 64) -> np.ndarray:
@@ -305,26 +332,41 @@ def build_model(counts: DataFrame) -> Model:
     return Model(words, c, bounds, np.log10(n + v + 1), int(size[0]), int(size[1]))
 
 
-def _segments(docs: DataFrame, model, trainers: int) -> DataFrame:
-    """trainer, turn (0 to 15), size, raw: ids, classes and inputs of segments, the inputs one token behind."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(**model.value).ready()
-        for part in parts:
-            rows = []
-            for text in part["text"]:
-                words, _ = split_words([text])
-                seed = xxhash.xxh3_64_intdigest(b" ".join(words))
-                words.append(END)
-                for i, lo in enumerate(range(0, len(words), STRIPE)):
-                    pick = xxhash.xxh3_64_intdigest(b"%d" % i, seed)
-                    room = max(0, min(len(words), lo + STRIPE) - lo - SEGMENT)
-                    start = lo + (pick >> 8) % (room + 1) * ((pick & 3) > 0)
-                    ids, klass, entry = m.encode(words[start - 1 : start + SEGMENT] if start else [END, *words[:SEGMENT]])
-                    rows.append(((pick >> 40) % trainers, (pick >> 32) % 16, len(ids) - 1, np.stack([ids[1:], klass[1:], entry[:-1]]).astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["trainer", "turn", "size", "raw"])
-
-    return docs.select("text").mapInPandas(run, "trainer long, turn long, size int, raw binary")
+def _encoded(model: Model, texts: Iterable[str | None]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Batches of about BATCH tokens of whole documents: ids, classes and inputs, the inputs one token behind."""
+    held, size = [], 0
+    first = model.entry[model.end]
+    for text in texts:
+        words, _ = split_words([text])
+        ids, klass, entry = model.encode([*words, END])
+        held.append((ids, klass, np.concatenate([[first], entry[:-1]])))
+        size += len(ids)
+        if size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def learn(model: Model, texts: Iterable[str | None], least: int) -> int:
+    """Train on every token of texts, again and again until `least` steps are taken. Returns the tokens of one pass."""
+    seen: dict[str, np.ndarray] = {}
+    rest: list = []
+    tokens, steps, again = 0, 0, []
+    for batch in _encoded(model, texts):
+        steps += train(model, batch, seen=seen, rest=rest)
+        tokens += sum(len(x[0]) for x in batch)
+        # once a pass takes enough steps, nothing is held for another
+        again = [*again, batch] if steps < least else []
+    steps += train(model, [], seen=seen, rest=rest)
+    rng = np.random.default_rng(11)
+    while steps < least and again:
+        for batch in again:
+            if steps >= least:
+                break
+            steps += train(model, [batch[i] for i in rng.permutation(len(batch))], seen=seen, rest=rest)
+        steps += train(model, [], seen=seen, rest=rest)
+    return tokens
 
 
 def fit(spark, docs: DataFrame, model: Model) -> Model:
@@ -332,35 +374,30 @@ def fit(spark, docs: DataFrame, model: Model) -> Model:
     model.weights = first_weights(model)
     if not model.words:
         return model
-    trainers = int(min(MOST_TRAINERS, max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)))
-    bare = spark.sparkContext.broadcast(model.plain())
-    segments = staged(_segments(docs, bare, trainers), "segments")
+    trainers = max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)
     names = list(model.weights)
+    pick = F.pmod(F.xxhash64("text"), F.lit(16))
     turn = 0
     for share in ROUNDS:
         now = spark.sparkContext.broadcast(model.plain())
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = Model(**now.value).ready()
             m.weights = {k: v.copy() for k, v in m.weights.items()}
-            group = group.sort_values("raw")
-            sets = [np.frombuffer(r, np.int32).reshape(3, -1).astype(np.int64) for r in group["raw"]]
-            n = len(sets) * SEGMENT // (STREAMS * WINDOW) + 1
-            rng = np.random.default_rng(11)
-            train(m, [tuple(sets[i]) for _ in range(-(-LEAST_STEPS * share // (16 * n))) for i in rng.permutation(len(sets))])
-            n = float(group["size"].sum())
-            flat = np.concatenate([m.weights[k].ravel() for k in names])
-            pieces = np.array_split(flat, 16)
-            return pd.DataFrame({"piece": range(16), "n": n, "raw": [p.tobytes() for p in pieces]})
+            n = learn(m, (text for part in parts for text in part["text"]), -(-LEAST_STEPS * share // 16))
+            if n:
+                flat = np.concatenate([m.weights[k].ravel() for k in names])
+                pieces = np.array_split(flat, 16)
+                yield pd.DataFrame({"piece": range(16), "n": float(n), "raw": [p.tobytes() for p in pieces]})
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
             n = group["n"].sum()
             total = sum(np.frombuffer(r, np.float32).astype(np.float64) * k for r, k in zip(group["raw"], group["n"]))
             return pd.DataFrame({"piece": [group["piece"].iloc[0]], "raw": [(total / n).astype(np.float32).tobytes()]})
 
-        here = segments.where((F.col("turn") >= turn) & (F.col("turn") < turn + share))
+        here = docs.where((pick >= turn) & (pick < turn + share)).select("text")
         turn += share
-        trained = here.groupBy("trainer").applyInPandas(run, "piece int, n double, raw binary")
+        trained = here.coalesce(trainers).mapInPandas(run, "piece int, n double, raw binary")
         pieces = trained.groupBy("piece").applyInPandas(mean, "piece int, raw binary").collect()
         if not pieces:
             continue

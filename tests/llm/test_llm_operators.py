@@ -331,6 +331,60 @@ def test_language_model_windows_carry_state(monkeypatch):
     assert np.allclose(whole, lm.score_texts(model, ids, klass, entry, sizes, group=2, window=7), rtol=1e-5)
 
 
+def _trained_tokens(monkeypatch, tmp_path):
+    """A call that tells, for each call of lm.train since, the tokens it was given."""
+    real, at = lm.train, str(tmp_path)
+
+    def train(model, segments, *rest, **named):
+        import uuid
+
+        with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(len(s[0]) for s in segments)))
+        return real(model, segments, *rest, **named)
+
+    monkeypatch.setattr(lm, "train", train)
+    return lambda: [int(p.read_text()) for p in tmp_path.iterdir()]
+
+
+def test_language_model_trains_on_every_token(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([5000, 3, 0, 1600, 700, 40] * 5)]
+    told = _trained_tokens(monkeypatch, tmp_path)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    out = lm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(told()) == sum(r["n_tokens"] for r in out if not r["held_out"])
+
+
+def test_language_model_lanes_carry_state_over_batches(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "STREAMS", 3)
+    words = [b"\n", *(b"w%d" % i for i in range(30))]
+    rng = np.random.default_rng(1)
+    docs = []
+    for n in (400, 30, 1, 90, 200, 7):
+        x = rng.integers(0, 31, n)
+        docs.append((x, np.searchsorted([4, 12, 31], x, "right"), np.append(0, x[:-1])))
+    seen, got_, calls = Counter(), Counter(), []
+    model = lm.Model(words, np.arange(60, 29, -1), np.array([0, 4, 12, 31]), np.zeros(lm.TAILS), 100, 31).ready()
+    model.weights = lm.first_weights(model)
+    whole = lm.score_texts(model, *(np.concatenate([d[k] for d in docs]) for k in range(3)), np.array([len(d[0]) for d in docs]))
+    real = lm.log_probability
+
+    def counted(m, h, ids, klass, grads=None):
+        got_.update(ids.tolist())
+        out = real(m, h, ids, klass, grads)
+        calls.append(float(out.sum()))
+        return out
+
+    monkeypatch.setattr(lm, "log_probability", counted)
+    rest = []
+    for some in (docs[:2], docs[2:4], docs[4:], []):
+        seen.update(int(x) for d in some for x in d[0])
+        lm.train(model, some, 0.0, rest=rest)
+    assert not rest and got_ == seen and abs(sum(calls) - whole.sum()) < 1e-2 * abs(whole.sum()) / 10
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "river", "ran", "over", "stones", "and", "sang"]) for _ in range(30))
