@@ -7,10 +7,10 @@ training tokens and distinct words. So a text's probability is a product of P(cl
 and words never seen in training have a share.
 
 The recurrent weights are fitted by truncated backpropagation in numpy over every token of every training document.
-Documents are dealt to rounds; in a round each trainer reads its rows as a stream, a batch of about `BATCH` tokens at a
-time, and walks the batch's whole documents in `STREAMS` lanes by windows of `WINDOW` tokens, the state being carried
-from window to window and cleared where a document starts. The trainers' weights are averaged after each round. Scoring
-walks every whole text in windows and carries the state alike.
+Rows are dealt to rounds; in a round each trainer reads its rows as a stream, a batch of about `BATCH` tokens at a time,
+so that it never holds them all, however many are copies. It walks the batch's whole documents in `STREAMS` lanes by
+windows of `WINDOW` tokens, the state being carried from window to window and cleared where a document starts. The
+trainers' weights are averaged after each round. Scoring walks every whole text in windows and carries the state alike.
 
 Defined results: null text is empty and has its end token only. A null doc_id counts as the empty text for the choice of
 training rows. Repeated rows are scored and counted each. Other columns are ignored; an empty table gives no rows.
@@ -42,6 +42,8 @@ BATCH = 400_000
 #: Shares, of 16, of the documents in each round of training.
 ROUNDS = (1, 4, 11)
 DOCS_PER_TRAINER = 10_000
+#: Parts in which the trainers' weights are averaged: a task gets 1 / PIECES of each trainer's.
+PIECES = 256
 #: Steps that a trainer takes at least in all rounds, going over its documents again if they are few.
 LEAST_STEPS = 1200
 
@@ -369,6 +371,11 @@ def learn(model: Model, texts: Iterable[str | None], least: int) -> int:
     return tokens
 
 
+def turn_of():
+    """0 to 15, which says a row's round. By doc_id too, so that copies of a text go to all rounds; of the row alone, so that each is in one."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))
+
+
 def fit(spark, docs: DataFrame, model: Model) -> Model:
     """Train on docs in rounds of parallel trainers whose weights are averaged."""
     model.weights = first_weights(model)
@@ -376,7 +383,7 @@ def fit(spark, docs: DataFrame, model: Model) -> Model:
         return model
     trainers = max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)
     names = list(model.weights)
-    pick = F.pmod(F.xxhash64("text"), F.lit(16))
+    pick = turn_of()
     turn = 0
     for share in ROUNDS:
         now = spark.sparkContext.broadcast(model.plain())
@@ -387,8 +394,8 @@ def fit(spark, docs: DataFrame, model: Model) -> Model:
             n = learn(m, (text for part in parts for text in part["text"]), -(-LEAST_STEPS * share // 16))
             if n:
                 flat = np.concatenate([m.weights[k].ravel() for k in names])
-                pieces = np.array_split(flat, 16)
-                yield pd.DataFrame({"piece": range(16), "n": float(n), "raw": [p.tobytes() for p in pieces]})
+                pieces = np.array_split(flat, PIECES)
+                yield pd.DataFrame({"piece": range(PIECES), "n": float(n), "raw": [p.tobytes() for p in pieces]})
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
             n = group["n"].sum()

@@ -355,6 +355,16 @@ def test_language_model_trains_on_every_token(spark, monkeypatch, tmp_path):
     assert sum(told()) == sum(r["n_tokens"] for r in out if not r["held_out"])
 
 
+def test_language_model_holds_few_copies_at_once(spark, monkeypatch, tmp_path):
+    copies = spark.range(3000).selectExpr("id as doc_id", "'one text that a third of all rows hold' as text")
+    assert copies.select(lm.turn_of().alias("t")).distinct().count() == 16
+    told = _trained_tokens(monkeypatch, tmp_path)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm, "BATCH", 500)
+    out = lm.language_model_scores(copies).collect()
+    assert sum(told()) == 10 * sum(not r["held_out"] for r in out) and max(told()) <= 510
+
+
 def test_language_model_lanes_carry_state_over_batches(monkeypatch):
     import numpy as np
 
