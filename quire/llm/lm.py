@@ -122,7 +122,7 @@ class Model:
         """Of each token: its listed number or -1, its class, and its number as an input."""
         get = self.number.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        klass, entry = self.klass[ids], self.entry[ids]
+        klass, entry = (self.klass[ids], self.entry[ids]) if len(self.words) else (np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64))
         base = len(self.bounds) - 1
         for i in np.flatnonzero(ids < 0):
             klass[i] = k = base + tail_class(words[i])
@@ -437,7 +437,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
                 sizes = sizes + 1
                 ids, klass, entry = m.encode(flat)
                 text = np.repeat(np.arange(len(sizes)), sizes)
-                log_c = np.where(ids >= 0, m.log_c[ids], 0.0)
+                log_c = np.where(ids >= 0, m.log_c[ids], 0.0) if m.words else np.zeros(len(ids))
                 tail = klass >= len(m.bounds) - 1
                 within = np.where(tail, log_c - m.tail_log[np.maximum(klass - (len(m.bounds) - 1), 0)], 0.0)
                 total = lambda x: np.bincount(text, x, minlength=len(sizes))

@@ -53,7 +53,7 @@ class Shingles:
         k, n = self.width, len(h)
         at = np.zeros(max(0, n - k + 1), np.uint64)
         step = [_STEP[i % 5] + np.uint64(2 * (i // 5)) for i in range(k)]
-        for i in range(k):
+        for i in range(k if n >= k else 0):
             at += h[i : n - k + 1 + i] * step[i]
         at = mix64(at)
         out, start = [], 0

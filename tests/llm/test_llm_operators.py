@@ -91,6 +91,13 @@ def test_near_duplicates(spark, docs):
     assert len({r[2] for r in expected}) <= len(expected) - 20
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_shingles_of_one_short_text(n):
+    alone = near_dup.Shingles()([" ".join("abcde"[:n])])
+    among = near_dup.Shingles()([" ".join("abcde"[:n]), "one two three four five six seven"])
+    assert len(alone) == 1 and len(alone[0]) == min(n, 1) and alone[0].tolist() == among[0].tolist()
+
+
 def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     whole = got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id")
     monkeypatch.setattr(near_dup, "BLOCK", 3)
@@ -346,6 +353,13 @@ def _trained_tokens(monkeypatch, tmp_path):
     return lambda: [int(p.read_text()) for p in tmp_path.iterdir()]
 
 
+def test_language_model_of_held_out_rows_only(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = list(zip(ids, ["a b c", "", None, "d"]))
+    out = lm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens") == want([(i, True, len((t or "").split()) + 1, 0, 0) for i, t in rows])
+
+
 def test_language_model_trains_on_every_token(spark, monkeypatch, tmp_path):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([5000, 3, 0, 1600, 700, 40] * 5)]
