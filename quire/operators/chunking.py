@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.wordlists import ABBREVIATIONS
-from quire.operators.windows import islands
+from quire.operators.windows import as_of, islands
 
 TARGET, OPENING_TARGET, LEAST, LONG_SENTENCE, BUDGET = 250, 110, 60, 340, 510
 _CLAUSE = r"[,;:—–][\"'”’)\]]*$"
@@ -66,30 +66,39 @@ def _greedy(words: Column, target: Column, cut_anywhere: bool) -> Column:
     return F.aggregate(words, zero, step, lambda s: s["out"])
 
 
-def _cut(words: DataFrame, keys: list[str], name: str, target: Column, anywhere: bool) -> DataFrame:
-    """words with `name` numbering the runs of the groups of keys; only groups over the long limit are folded."""
-    group = W.partitionBy(*keys)
-    size = F.max("hi").over(group) - F.min("lo").over(group)
-    sized = words.withColumn("_size", size)
-    one = F.struct("token_idx", "lo", "hi", "clause", "joined")
-    long = sized.where(F.col("_size") > LONG_SENTENCE).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("w"), F.first(target).alias("_t"))
-    starts = long.select(*keys, F.explode(_greedy(F.col("w"), F.col("_t"), anywhere)).alias("token_idx")).withColumn("_start", F.lit(1))
-    marked = sized.join(starts, [*keys, "token_idx"], "left")
-    along = group.orderBy("token_idx").rowsBetween(W.unboundedPreceding, 0)
-    return marked.withColumn(name, F.sum(F.coalesce("_start", F.lit(0))).over(along).cast("int")).drop("_start", "_size")
+def _bounds(starts: Column, end: Column) -> Column:
+    """(a, b) of runs that start at `starts`, each up to the next one, the last up to end."""
+    following = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(end))
+    return F.zip_with(starts, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _cut(words: Column, run: Column, target: Column, anywhere: bool) -> Column:
+    """The runs (a, b) of places in words that a run becomes: only one over the long limit is cut."""
+    size = F.element_at(words, run["b"])["hi"] - F.element_at(words, run["a"] + 1)["lo"]
+    cuts = _greedy(F.slice(words, run["a"] + 1, run["b"] - run["a"]), target, anywhere)
+    return F.when(size > LONG_SENTENCE, _bounds(F.concat(F.array(run["a"]), cuts), run["b"])).otherwise(F.array(run))
 
 
 def split_long(words: DataFrame) -> DataFrame:
     """words (with lo, hi, sentence_id, target) with piece_id: sentences over the long limit are cut at clauses to the
-    target, and what is still too long is cut evenly at any word."""
-    w = words.withColumn("clause", F.col("token").rlike(_CLAUSE))
-    w = _cut(w, [*_BLOCK, "sentence_id"], "_clause", F.col("target"), False)
-    keys = [*_BLOCK, "sentence_id", "_clause"]
-    size = F.max("hi").over(W.partitionBy(*keys)) - F.min("lo").over(W.partitionBy(*keys))
-    w = w.withColumn("_even", F.ceil(size / F.ceil(size / F.col("target"))).cast("int"))
-    w = _cut(w, keys, "_word", F.col("_even"), True)
-    along = W.partitionBy(*_BLOCK).orderBy("sentence_id", "_clause", "_word")
-    return w.withColumn("piece_id", (F.dense_rank().over(along) - 1).cast("int")).drop("clause", "_clause", "_word", "_even")
+    target, and what is still too long is cut evenly at any word.
+
+    A block's words are gathered once and cut in place, so that nothing is joined back.
+    """
+    rest = [c for c in words.columns if c not in (*_BLOCK, "token_idx")]
+    rows = words.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("token_idx", F.struct(*rest).alias("x")))).alias("t"))
+    # places stand for token numbers, which may have gaps
+    one = lambda t, i: F.struct(i.alias("token_idx"), t["x"]["lo"].alias("lo"), t["x"]["hi"].alias("hi"), t["x"]["token"].rlike(_CLAUSE).alias("clause"), t["x"]["joined"].alias("joined"), t["x"]["sentence_id"].alias("sentence_id"), t["x"]["target"].alias("target"))
+    rows = rows.withColumn("w", F.transform("t", one))
+    w = F.col("w")
+    fresh = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get(w, i - 1)["sentence_id"] != x["sentence_id"]), i)), lambda i: i.isNotNull())
+    target = lambda run: F.element_at(w, run["a"] + 1)["target"]
+    size = lambda run: F.element_at(w, run["b"])["hi"] - F.element_at(w, run["a"] + 1)["lo"]
+    even = lambda run: F.ceil(size(run) / F.ceil(size(run) / target(run))).cast("int")
+    clauses = F.flatten(F.transform(_bounds(fresh, F.size(w)), lambda run: _cut(w, run, target(run), False)))
+    runs = F.flatten(F.transform(clauses, lambda run: _cut(w, run, even(run), True)))
+    cut = rows.select(*_BLOCK, "t", F.posexplode(runs).alias("piece_id", "run")).select(*_BLOCK, "piece_id", F.explode(F.slice("t", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("t"))
+    return cut.select(*[c if c in _BLOCK else F.col("t.token_idx") if c == "token_idx" else F.col(f"t.x.{c}") for c in words.columns], "piece_id")
 
 
 def pieces(words: DataFrame) -> DataFrame:
@@ -99,20 +108,18 @@ def pieces(words: DataFrame) -> DataFrame:
 
 def pack_chunks(parts: DataFrame) -> DataFrame:
     """pieces with chunk_idx: whole pieces are packed up to the target, a short chunk takes the next one regardless."""
-    one = F.struct("piece_id", "lo", "hi", "target")
-    rows = parts.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(one)).alias("p"))
-    first = F.element_at("p", 1)
-    zero = F.struct(first["lo"].alias("lo"), first["lo"].alias("hi"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    rest = [c for c in parts.columns if c not in (*_BLOCK, "piece_id")]
+    rows = parts.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("piece_id", F.struct(*rest).alias("x")))).alias("p"))
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
-        both, least = p["hi"] - s["lo"], F.least(F.lit(LEAST), p["target"] / 2)
-        joins = (F.size(s["out"]) == 0) | (both <= p["target"]) | ((s["hi"] - s["lo"] < least) & (both <= BUDGET))
-        n = F.when(joins, s["n"]).otherwise(s["n"] + 1)
-        return F.struct(F.when(joins, s["lo"]).otherwise(p["lo"]).alias("lo"), p["hi"].alias("hi"), n.alias("n"), F.array_append(s["out"], n).alias("out"))
+        both, least = p["x"]["hi"] - s["lo"], F.least(F.lit(LEAST), p["x"]["target"] / 2)
+        joins = (s["i"] > 0) & ((both <= p["x"]["target"]) | ((s["hi"] - s["lo"] < least) & (both <= BUDGET)))
+        return F.struct(F.when(joins, s["lo"]).otherwise(p["x"]["lo"]).alias("lo"), p["x"]["hi"].alias("hi"), (s["i"] + 1).alias("i"), F.when(joins, s["out"]).otherwise(F.array_append(s["out"], s["i"])).alias("out"))
 
-    folded = rows.withColumn("c", F.aggregate("p", zero, step, lambda s: s["out"]))
-    at = folded.select(*_BLOCK, F.explode(F.arrays_zip(F.transform("p", lambda x: x["piece_id"]), F.col("c")).cast("array<struct<piece_id:int,chunk_idx:int>>")).alias("z"))
-    return parts.join(at.select(*_BLOCK, "z.piece_id", "z.chunk_idx"), [*_BLOCK, "piece_id"])
+    starts = F.aggregate("p", zero, step, lambda s: s["out"])
+    packed = rows.select(*_BLOCK, "p", F.posexplode(_bounds(starts, F.size("p"))).alias("chunk_idx", "run")).select(*_BLOCK, "chunk_idx", F.explode(F.slice("p", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("p"))
+    return packed.select(*[c if c in _BLOCK else F.col("p.piece_id") if c == "piece_id" else F.col(f"p.x.{c}") for c in parts.columns], "chunk_idx")
 
 
 def chunks_of(packed: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def tail_merge(chunks: DataFrame) -> DataFrame:
 def cut_oversize(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """words of chunks with their ranges inside the chunk, cut at the budget: chunk_idx, lo, hi."""
     c = chunks.select(*_BLOCK, "chunk_idx", F.col("lo").alias("c_lo"), "first", "last")
-    held = words.join(c, _BLOCK).where((F.col("token_idx") >= F.col("first")) & (F.col("token_idx") <= F.col("last")))
+    held = as_of(words, c, _BLOCK, "token_idx", "first", ["chunk_idx", "c_lo", "last"]).where(F.col("token_idx") <= F.col("last"))
     lo = F.least(F.col("lo") - F.col("c_lo"), F.lit(BUDGET))
     return held.select(*_BLOCK, "token_idx", "chunk_idx", lo.alias("lo"), F.greatest(lo, F.least(F.col("hi") - F.col("c_lo"), F.lit(BUDGET))).alias("hi"))
 
@@ -184,6 +191,14 @@ def unknown_symbols(encoded: DataFrame, top: int = 8) -> DataFrame:
     return encoded.where("id is null").groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(top)
 
 
+def vocab_audit(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """symbol, problem, n: symbols of tokens that the vocabulary (symbol, id) lacks, and those of it that no token has."""
+    symbols = tokens.select(F.explode(F.filter(F.split("token", ""), lambda x: x != "")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+    both = symbols.join(vocabulary.select("symbol", F.lit(True).alias("known")), "symbol", "full")
+    problem = F.when(F.col("known").isNull(), "not in the vocabulary").when(F.col("n").isNull(), "in no text")
+    return both.select("symbol", problem.alias("problem"), F.coalesce("n", F.lit(0)).alias("n")).where("problem is not null")
+
+
 def route_streams(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """chunks with stream (the block of a footnote, else main) and over (whether they pass the budget)."""
     c = chunks.join(blocks.select(*_BLOCK, "role"), _BLOCK)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.windows import cut_lineage
+
 
 def library_list(library: DataFrame, chunk_meta: DataFrame) -> DataFrame:
     """Catalog rows with the bytes and chunks they have, newest opened first."""
@@ -19,12 +21,19 @@ def rendered_chunks(chunk_meta: DataFrame, key) -> DataFrame:
 
 
 def lru_evict(library: DataFrame, cap, keep=None) -> DataFrame:
-    """hash of whole documents to drop, oldest opened first, until the rest fits cap; keep is never dropped."""
-    total = F.sum("bytes").over(W.partitionBy())
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("opened", "hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sized = library.withColumn("total", total)
-    free = sized if keep is None else sized.where(~F.col("hash").eqNullSafe(F.lit(keep)))
-    return free.withColumn("before", before).where(F.col("total") - F.col("before") > cap).select("hash")
+    """hash of whole documents to drop, oldest opened first, until the rest fits cap; keep is never dropped.
+
+    Bytes are summed along the order in two steps: documents are parted by ranges of it, sums of the parts come first.
+    """
+    parted = cut_lineage(library.select("hash", "opened", "bytes").repartitionByRange("opened", "hash").withColumn("part", F.spark_partition_id()))
+    free = F.lit(True) if keep is None else ~F.col("hash").eqNullSafe(F.lit(keep))
+    # a row for each part
+    sums = parted.groupBy("part").agg(F.sum("bytes").alias("all"), F.sum(F.when(free, F.col("bytes")).otherwise(0)).alias("free"))
+    before = F.sum("free").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("part", F.sum("all").over(W.partitionBy()).alias("total"), F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.sum("bytes").over(W.partitionBy("part").orderBy("opened", "hash").rowsBetween(W.unboundedPreceding, -1))
+    placed = parted.where(free).withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(sums), "part")
+    return placed.where(F.col("total") - F.col("start") - F.col("inside") > cap).select("hash")
 
 
 def usage(chunk_meta: DataFrame) -> DataFrame:

@@ -194,7 +194,8 @@ def merge_pages_simple(blocks: DataFrame) -> DataFrame:
 def resolve_merged_ids(edges: DataFrame) -> DataFrame:
     """doc_id, absorbed, survivor: chains of merges (doc_id, absorbed, survivor) followed to their end.
 
-    Pointers are doubled until none moves, so a chain of n merges takes about log2(n) joins; 64 rounds end a cycle.
+    Pointers are doubled until none moves, so a chain of n merges takes about log2(n) joins; a cycle never settles and is
+    an error.
     """
     now = edges.select("doc_id", "absorbed", "survivor").dropDuplicates(["doc_id", "absorbed"])
     for _ in range(64):
@@ -202,8 +203,8 @@ def resolve_merged_ids(edges: DataFrame) -> DataFrame:
         joined = cut_lineage(now.join(step, ["doc_id", "survivor"], "left"))
         now = joined.select("doc_id", "absorbed", F.coalesce("further", "survivor").alias("survivor"))
         if joined.where("further is not null").isEmpty():
-            break
-    return now
+            return now
+    raise ValueError("merges go round in a cycle")
 
 
 def interleave_blocks(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.windows import as_of
+from quire.operators.windows import as_of, cut_lineage
 
 FRAMES_A_SECOND = 40
 #: Seconds into a block after which going back means its own start.
@@ -69,28 +69,53 @@ def word_at_offset(clicks: DataFrame, offsets: DataFrame) -> DataFrame:
     return as_of(clicks, offsets, ["doc_id"], "offset", "loc", ["block_idx", "token_idx"], first_if_before=True)
 
 
+#: Sides of the squares in which words are looked for, one after another, in points.
+SQUARES = (48.0, 192.0)
+
+
 def nearest_word(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
-    """clicks (click, doc_id, page_index, cx, cy) with the word whose box centre on the page is nearest, the first on ties."""
-    d = (F.col("x") + F.col("width") / 2 - F.col("cx")) ** 2 + (F.col("y") + F.col("height") / 2 - F.col("cy")) ** 2
-    near = clicks.join(boxes, ["doc_id", "page_index"])
-    return near.groupBy("click", "doc_id", "page_index").agg(F.min_by("token_idx", F.struct(d, F.col("token_idx"))).alias("token_idx"))
+    """clicks (click, doc_id, page_index, cx, cy) with the word whose box centre on the page is nearest, the first on ties.
+
+    A click meets the words of its square of the page and the eight around it. Whatever is nearer than a square's side is
+    surely among them; clicks with nothing so near go on to larger squares, and the last ones to the whole page.
+    """
+    words = boxes.select("doc_id", "page_index", "token_idx", (F.col("x") + F.col("width") / 2).alias("wx"), (F.col("y") + F.col("height") / 2).alias("wy"))
+    d = (F.col("wx") - F.col("cx")) ** 2 + (F.col("wy") - F.col("cy")) ** 2
+    best = F.min(F.struct(d.alias("d"), "token_idx")).alias("best")
+    page, told = ["doc_id", "page_index"], ["click", "doc_id", "page_index"]
+    left, found = clicks, None
+    around = lambda c, side: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col(c) / side) + k))
+    for side in SQUARES:
+        near = left.withColumn("sx", around("cx", side)).withColumn("sy", around("cy", side))
+        here = words.withColumn("sx", F.floor(F.col("wx") / side)).withColumn("sy", F.floor(F.col("wy") / side))
+        met = cut_lineage(near.join(here, [*page, "sx", "sy"]).groupBy(*told).agg(best).where(F.col("best.d") <= side * side))
+        found = met if found is None else found.unionByName(met)
+        left = left.join(met.select(*told), told, "left_anti")
+    found = found.unionByName(left.join(words, page).groupBy(*told).agg(best))
+    return found.select(*told, "best.token_idx")
 
 
 def ranges_at(points: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:
-    """points (doc_id, offset) with the first range (loc, len and names) that holds them."""
-    hit = points.join(ranges, "doc_id").where((F.col("loc") <= F.col("offset")) & (F.col("offset") < F.col("loc") + F.col("len")))
-    return hit.groupBy(*points.columns).agg(F.min_by(F.struct(*names), F.struct("loc", *names)).alias("r")).select(*points.columns, "r.*")
+    """points (doc_id, offset) that lie in a range (loc, len and names) with its names; ranges of a document do not overlap."""
+    found = as_of(points, ranges.withColumn("_end", F.col("loc") + F.col("len")), ["doc_id"], "offset", "loc", [*names, "_end"])
+    return found.where(F.col("offset") < F.col("_end")).drop("_end")
 
 
 def prefetch_window(positions: DataFrame, chunks: DataFrame, available: DataFrame, delivered: DataFrame, behind_s: int = 20, ahead_s: int = 150) -> DataFrame:
     """event_id, doc_id, chunk_idx, action: load chunks that meet the window, are available and not delivered; release
-    delivered ones outside it."""
-    meets = (F.col("offset") < F.col("t_frame") + ahead_s * FRAMES_A_SECOND) & (F.col("end") > F.col("t_frame") - behind_s * FRAMES_A_SECOND)
-    near = positions.join(chunks, "doc_id").withColumn("meets", meets)
-    key = ["doc_id", "chunk_idx"]
-    load = near.where("meets").join(available, key, "left_semi").join(delivered, key, "left_anti").withColumn("action", F.lit("load"))
-    release = near.where("not meets").join(delivered, key, "left_semi").withColumn("action", F.lit("release"))
-    return load.unionByName(release).select("event_id", "doc_id", "chunk_idx", "action")
+    delivered ones outside it. Chunks of a document follow each other, so a window is a run of them, whose ends are
+    looked up; only what is told is joined."""
+    key, nth = ["doc_id", "chunk_idx"], F.row_number().over(W.partitionBy("doc_id").orderBy("offset"))
+    c = chunks.withColumn("nth", nth)
+    p = positions.withColumn("_low", F.col("t_frame") - behind_s * FRAMES_A_SECOND).withColumn("_high", F.col("t_frame") + ahead_s * FRAMES_A_SECOND - 1)
+    # the first chunk whose end lies behind low, the last one that starts before high
+    p = as_of(p, c, ["doc_id"], "_low", "end", ["nth"]).withColumn("_first", F.coalesce("nth", F.lit(0)) + 1).drop("nth")
+    p = as_of(p, c, ["doc_id"], "_high", "offset", ["nth"]).withColumnRenamed("nth", "_last")
+    run = p.where("_last >= _first").select("event_id", "doc_id", F.explode(F.sequence("_first", "_last")).alias("nth"))
+    load = run.join(c.join(available.distinct(), key, "left_semi").join(delivered, key, "left_anti").select("doc_id", "nth", "chunk_idx"), ["doc_id", "nth"])
+    held = c.join(delivered.distinct(), key, "left_semi").select("doc_id", "nth", "chunk_idx")
+    release = p.join(held, "doc_id").where(F.col("_last").isNull() | (F.col("nth") < F.col("_first")) | (F.col("nth") > F.col("_last")))
+    return load.select("event_id", *key, F.lit("load").alias("action")).unionByName(release.select("event_id", *key, F.lit("release").alias("action")))
 
 
 def timeline_audit(timeline: DataFrame) -> DataFrame:

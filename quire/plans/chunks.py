@@ -61,7 +61,37 @@ def _(spark, d):
     return chunking.opening_target(v.v_blocks(spark, d))
 
 
-@bind("split_long")
+def _let(value: str, name: str, body: str) -> str:
+    """body, in which name stands for value."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _fold(rows: str, zero: str, step: str) -> str:
+    """What step (of a, the state, and x, the row) makes of zero over the list rows."""
+    return f"list_reduce({rows}, lambda a, x: {step}, {zero})"
+
+
+def _greedy(target: str, fits: str) -> str:
+    """Where runs start in a list l of words, as split_long cuts them."""
+    state = "{'lo': CASE WHEN k.again THEN x.lo WHEN k.soft THEN c.lo WHEN k.hard THEN x.lo ELSE a.lo END, 'at': CASE WHEN k.again THEN x.token_idx WHEN k.soft THEN c.cut WHEN k.hard THEN x.token_idx ELSE a.at END}"
+    out = "CASE WHEN k.again THEN list_concat(a.out, [c.cut, x.token_idx]) WHEN k.soft THEN list_append(a.out, c.cut) WHEN k.hard THEN list_append(a.out, x.token_idx) ELSE a.out END"
+    new = f"{{'lo': n.lo, 'at': n.at, 'cut': CASE WHEN c.cut > n.at THEN c.cut ELSE -1 END, 'cut_lo': CASE WHEN c.cut > n.at THEN c.lo ELSE 0 END, 'open': {fits}, 'out': {out}}}"
+    kind = f"{{'soft': c.cut > a.at AND x.hi - a.lo > {target}, 'again': c.cut > a.at AND x.hi - a.lo > {target} AND x.token_idx > c.cut AND x.hi - c.lo > 510, 'hard': x.token_idx > a.at AND x.hi - a.lo > 510 AND c.cut <= a.at}}"
+    step = _let("{'cut': CASE WHEN a.open THEN x.token_idx ELSE a.cut END, 'lo': CASE WHEN a.open THEN x.lo ELSE a.cut_lo END}", "c", _let(kind, "k", _let(state, "n", new)))
+    return _fold("l", "{'lo': l[1].lo, 'at': l[1].token_idx, 'cut': -1, 'cut_lo': 0, 'open': false, 'out': []::INT[]}", step) + ".out"
+
+
+_ONE = "list({'token_idx': token_idx, 'lo': lo, 'hi': hi, 'clause': clause, 'is_end': is_end} ORDER BY token_idx)"
+_STEP = """(sum((c{0}.token_idx IS NOT NULL)::INT) OVER (PARTITION BY {1} ORDER BY w.token_idx))::INT"""
+_SPLIT = rf"""{_SENTENCES}, {_TARGETS}, w0 AS (SELECT s.*, target, regexp_matches(token, '[,;:—–]["''”’)\]]*$') AS clause FROM said s JOIN targets t ON s.doc_id = t.doc_id AND s.block_idx = t.block_idx),
+    c1 AS (SELECT doc_id, block_idx, unnest({_greedy('target', 'x.clause')}) AS token_idx FROM (SELECT doc_id, block_idx, sentence_id, target, {_ONE} AS l FROM w0 GROUP BY ALL HAVING max(hi) - min(lo) > 340)),
+    w1 AS (SELECT w.*, {_STEP.format(1, 'w.doc_id, w.block_idx, w.sentence_id')} AS part FROM w0 w LEFT JOIN c1 ON w.doc_id = c1.doc_id AND w.block_idx = c1.block_idx AND w.token_idx = c1.token_idx),
+    c2 AS (SELECT doc_id, block_idx, unnest({_greedy('even', 'true')}) AS token_idx FROM (SELECT *, ceil(size / ceil(size / target))::INT AS even FROM (SELECT doc_id, block_idx, sentence_id, part, target, max(hi) - min(lo) AS size, {_ONE} AS l FROM w1 GROUP BY ALL HAVING max(hi) - min(lo) > 340))),
+    w2 AS (SELECT w.*, {_STEP.format(2, 'w.doc_id, w.block_idx, w.sentence_id, w.part')} AS word FROM w1 w LEFT JOIN c2 ON w.doc_id = c2.doc_id AND w.block_idx = c2.block_idx AND w.token_idx = c2.token_idx),
+    cut AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id, block_idx ORDER BY sentence_id, part, word) - 1)::INT AS piece_id FROM w2)"""
+
+
+@bind("split_long", f"WITH {_SPLIT} SELECT doc_id, block_idx, token_idx, piece_id FROM cut")
 def _(spark, d):
     said = chunking.sentences(_words(spark, d)).join(chunking.opening_target(v.v_blocks(spark, d)), ["doc_id", "block_idx"])
     return chunking.split_long(said).select("doc_id", "block_idx", "token_idx", "piece_id")
@@ -88,12 +118,27 @@ def _(spark, d):
     return routed.groupBy("doc_id", "stream").agg(F.count("*").alias("n_chunks"), F.count_if("over").alias("n_over"))
 
 
-@bind("passages")
+_KINDS = r"""CASE WHEN regexp_matches(token, '[.!?…]["''”’)\]]*$') THEN 2 WHEN regexp_matches(token, '[,;:—–]["''”’)\]]*$') THEN 1 ELSE 0 END"""
+_LAST = "list_max(list_transform(w, lambda x, i: CASE WHEN x = {} THEN i + 40 END))"
+
+
+@bind("passages", f"""WITH RECURSIVE t AS (SELECT doc_id, list({_KINDS} ORDER BY token_idx) AS e, count(*) AS n FROM v_tokens GROUP BY doc_id),
+    cuts AS (SELECT doc_id, 0 AS cut FROM t UNION ALL SELECT doc_id, (cut + coalesce({_LAST.format(2)}, {_LAST.format(1)}, 120))::INT FROM (SELECT c.doc_id, c.cut, e[c.cut + 41 : c.cut + 120] AS w FROM cuts c JOIN t ON c.doc_id = t.doc_id WHERE n - c.cut > 120))
+    SELECT v.doc_id, v.token_idx, (sum((c.cut IS NOT NULL)::INT) OVER (PARTITION BY v.doc_id ORDER BY v.token_idx))::INT - 1 AS passage_id FROM v_tokens v LEFT JOIN cuts c ON v.doc_id = c.doc_id AND v.token_idx = c.cut""")
 def _(spark, d):
     return chunking.passages(v.v_tokens(spark, d)).select("doc_id", "token_idx", "passage_id")
 
 
-@bind("uniform_chunks")
+_EVEN = _fold("l", "{'lo': 0, 'at': 0, 'cut': -1, 'cut_lo': 0, 'open': false, 'out': [0]}", _let(
+    "{'cut': CASE WHEN a.open THEN x.token_idx ELSE a.cut END, 'lo': CASE WHEN a.open THEN x.lo ELSE a.cut_lo END, 'over': x.hi - a.lo > goal AND x.token_idx > a.at}", "c", _let(
+        "{'at': CASE WHEN NOT c.over THEN a.at WHEN c.cut > a.at THEN c.cut ELSE x.token_idx END, 'lo': CASE WHEN NOT c.over THEN a.lo WHEN c.cut > a.at THEN c.lo ELSE x.lo END}", "n",
+        "{'lo': n.lo, 'at': n.at, 'cut': CASE WHEN c.cut > n.at THEN c.cut ELSE -1 END, 'cut_lo': CASE WHEN c.cut > n.at THEN c.lo ELSE 0 END, 'open': x.is_end AND x.hi - n.lo >= goal * 0.75, 'out': CASE WHEN c.over THEN list_append(a.out, n.at) ELSE a.out END}",
+    )))
+
+
+@bind("uniform_chunks", f"""WITH {_WORDS}, g AS (SELECT doc_id, block_idx, max(hi) AS size, list({{'token_idx': token_idx, 'lo': lo, 'hi': hi, 'is_end': is_end}} ORDER BY token_idx) AS l FROM words GROUP BY ALL),
+    c1 AS (SELECT DISTINCT doc_id, block_idx, unnest({_EVEN}.out) AS token_idx FROM (SELECT *, ceil(size / ceil(size / 510))::INT AS goal FROM g))
+    SELECT w.doc_id, w.block_idx, w.token_idx, {_STEP.format(1, 'w.doc_id, w.block_idx')} - 1 AS chunk_idx FROM words w LEFT JOIN c1 ON w.doc_id = c1.doc_id AND w.block_idx = c1.block_idx AND w.token_idx = c1.token_idx""")
 def _(spark, d):
     return chunking.uniform_chunks(_words(spark, d)).select("doc_id", "block_idx", "token_idx", "chunk_idx")
 
@@ -127,10 +172,9 @@ def _(spark, d):
     return e.select("doc_id", "token_idx", F.array_join(ids.cast("array<string>"), ",").alias("framed"))
 
 
-@bind("vocab_audit", f"SELECT chr(x::INT) AS symbol, 'not in the vocabulary' AS problem FROM (SELECT unnest(range(97, 127)) AS x) WHERE strpos('{_LETTERS}.,', chr(x::INT)) = 0")
+@bind("vocab_audit", f"WITH {_ENCODED} SELECT symbol, 'not in the vocabulary' AS problem, count(*) AS n FROM encoded WHERE id IS NULL GROUP BY symbol UNION ALL SELECT v.symbol, 'in no text', 0 FROM (SELECT unnest(string_split('{_LETTERS}.,', '')) AS symbol) v WHERE v.symbol <> '' AND v.symbol NOT IN (SELECT symbol FROM encoded)")
 def _(spark, d):
-    expected = spark.range(97, 127).select(F.chr("id").alias("symbol"))
-    return expected.join(_vocabulary(spark), "symbol", "left_anti").withColumn("problem", F.lit("not in the vocabulary"))
+    return chunking.vocab_audit(v.v_tokens(spark, d), _vocabulary(spark))
 
 
 @bind("round_frames", "SELECT event_id, greatest(1, floor(value / 10 + 0.5))::BIGINT AS frames FROM events")
@@ -263,9 +307,16 @@ def _(spark, d):
     return timing.frame_energy(_samples(spark, d), ["key"], 4).select("key", "frame", F.round("energy", 6).alias("energy"))
 
 
-@bind("snap_boundaries")
+_NEAR = _let("{'lo': greatest(a.before + 1, x - 3), 'hi': least(len(e) - 1, x + 3), 'skip': x <= a.before OR x >= len(e)}", "k", _let("e[k.lo + 1 : greatest(k.hi, k.lo) + 1]", "near", _let(
+    "CASE WHEN NOT k.skip AND k.hi > k.lo AND list_sum(near) / len(near) > 0 AND list_min(near) < list_sum(near) / len(near) * 0.3 THEN k.lo + list_position(near, list_min(near)) - 1 ELSE x END::INT", "moved",
+    "{'before': CASE WHEN k.skip THEN greatest(a.before, x) ELSE moved END, 'out': list_append(a.out, moved)}")))
+
+
+@bind("snap_boundaries", f"""WITH {_ENERGY}, es AS (SELECT key, list(energy ORDER BY frame) AS e FROM energy GROUP BY key), b AS (SELECT vec_id AS key, [3 + vec_id % 3, 7, 8, 13 - vec_id % 2]::INT[] AS l FROM embeddings)
+    SELECT key, (generate_subscripts(o, 1) - 1)::INT AS n, unnest(o) AS "at" FROM (SELECT b.key, {_fold('l', "{'before': 0, 'out': []::INT[]}", _NEAR)}.out AS o FROM b JOIN es ON b.key = es.key)""")
 def _(spark, d):
-    marks = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.posexplode(F.array(F.lit(3), F.lit(7), F.lit(8), F.lit(13))).alias("n", "at"))
+    at = F.array((3 + F.col("vec_id") % 3).cast("int"), F.lit(7), F.lit(8), (13 - F.col("vec_id") % 2).cast("int"))
+    marks = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.posexplode(at).alias("n", "at"))
     return timing.snap_boundaries(marks, timing.frame_energy(_samples(spark, d), ["key"], 4))
 
 
@@ -283,9 +334,9 @@ def _(spark, d):
     return timing.expand_frames(li, "frames").select("l_orderkey", "l_linenumber", "copy")
 
 
-@bind("style_lookup", "WITH s AS (SELECT vec_id AS row, label FROM embeddings WHERE vec_id < 300) SELECT doc_id, least(n_chars, (SELECT max(row) FROM s)) AS row, s.label FROM documents JOIN s ON s.row = least(n_chars, (SELECT max(row) FROM s))")
+@bind("style_lookup", "SELECT doc_id, least(n_chars, (SELECT max(vec_id) FROM embeddings)) AS row, label FROM documents JOIN embeddings ON vec_id = least(n_chars, (SELECT max(vec_id) FROM embeddings))")
 def _(spark, d):
-    styles = read(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("row"), "label")
+    styles = read(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "label")
     return timing.style_lookup(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("symbols")), styles).select("doc_id", "row", "label")
 
 
@@ -295,15 +346,30 @@ def _(spark, d):
     return timing.fit_to_slot(_samples(spark, d), slots).select("key", "pos", F.round(F.col("sample").cast("double"), 6).alias("sample"))
 
 
-@bind("refine_words")
+_BOUNDS = "[{'before': 20 + vec_id % 9, 'after': 22 + vec_id % 5}, {'before': 60 - vec_id % 7, 'after': 55 + vec_id % 5}, {'before': 100 + vec_id % 11, 'after': 110 + vec_id % 5}]"
+
+
+@bind("refine_words", f"""WITH {_SAMPLES}, s AS (SELECT key, pos, 1 + pos % 4 AS frames, (sum(1 + pos % 4) OVER (PARTITION BY key ORDER BY pos))::BIGINT - 1 - pos % 4 AS began, (sum(1 + pos % 4) OVER (PARTITION BY key))::BIGINT AS old FROM samples),
+    b AS (SELECT vec_id AS key, 170 + vec_id % 7 AS total, {_BOUNDS} AS b FROM embeddings), k AS (SELECT s.*, total, b, len(list_filter(b, lambda x: x.before <= began)) AS k FROM s JOIN b ON s.key = b.key),
+    f AS (SELECT *, greatest(1, floor(frames * (coalesce(b[k + 1].after, total) - CASE WHEN k = 0 THEN 0 ELSE b[k].after END) / greatest(1, coalesce(b[k + 1].before, old) - CASE WHEN k = 0 THEN 0 ELSE b[k].before END) + 0.5))::BIGINT AS f FROM k),
+    o AS (SELECT *, (sum(f) OVER (PARTITION BY key))::BIGINT - total AS too_many, coalesce(sum(f - 1) OVER (PARTITION BY key ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS later, lead(pos) OVER (PARTITION BY key ORDER BY pos) IS NULL AS final FROM f)
+    SELECT key, pos, (f - CASE WHEN too_many > 0 THEN greatest(0, least(f - 1, too_many - later)) WHEN final THEN too_many ELSE 0 END)::BIGINT AS frames FROM o""")
 def _(spark, d):
+    e = read(spark, d, "embeddings")
+    v_ = F.col("vec_id")
+    edge = lambda before, after: F.struct(before.cast("int").alias("before"), after.cast("int").alias("after"))
+    marks = e.select(v_.alias("key"), F.posexplode(F.array(edge(20 + v_ % 9, 22 + v_ % 5), edge(60 - v_ % 7, 55 + v_ % 5), edge(100 + v_ % 11, 110 + v_ % 5))).alias("n", "b"))
     symbols = _samples(spark, d).select("key", "pos", (1 + F.col("pos") % 4).cast("long").alias("frames"))
-    marks = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.posexplode(F.array(*[F.struct(F.lit(a).alias("before"), (F.lit(b) + F.col("vec_id") % 5).cast("int").alias("after")) for a, b in ((20, 22), (60, 55), (100, 110))])).alias("n", "b"))
-    totals = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), (170 + F.col("vec_id") % 7).alias("total"))
-    return timing.refine_words(symbols, marks.select("key", "n", "b.before", "b.after"), totals)
+    return timing.refine_words(symbols, marks.select("key", "n", "b.before", "b.after"), e.select(v_.alias("key"), (170 + v_ % 7).alias("total")))
+
+
+_FLAGSHIP = f"""{_SPLIT}, parts AS (SELECT doc_id, block_idx, piece_id, min(lo) AS lo, max(hi) AS hi, min(token_idx) AS first, max(token_idx) AS last, max(target) AS target FROM cut GROUP BY ALL)""" + _TAILED.removeprefix(_PIECES)
 
 
-@bind("chunk_documents")
+@bind("chunk_documents", f"""WITH RECURSIVE {_FLAGSHIP},
+    n AS (SELECT c.doc_id, CASE WHEN role = 'footnoteBody' THEN 'note-' || c.block_idx ELSE 'main' END AS stream, c.block_idx, c.chunk_idx, 3 * (hi - lo) + 2 AS frames, hi - lo > 510 AS too_long FROM tailed c JOIN v_blocks b ON c.doc_id = b.doc_id AND c.block_idx = b.block_idx),
+    q AS (SELECT *, CASE WHEN coalesce(lag(block_idx) OVER (PARTITION BY doc_id, stream ORDER BY block_idx, chunk_idx), block_idx) = block_idx THEN 0 ELSE 16 END AS silence FROM n)
+    SELECT doc_id, stream, count(*) AS n_chunks, sum(frames)::BIGINT AS frames, sum(frames + silence)::BIGINT AS duration, count_if(too_long)::BIGINT AS n_over FROM q GROUP BY ALL""")
 def _(spark, d):
     """The flagship: documents in blocks, sentences, chunks, their estimated frames and where they lie."""
     blocks = v.v_blocks(spark, d)

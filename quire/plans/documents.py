@@ -61,9 +61,9 @@ def _(spark, d):
     return reflow.reading_band_sort(marks).select("doc_id", "token_idx", F.col("rank").cast("long").alias("rank"))
 
 
-@bind("marker_insertion", """WITH m AS (SELECT doc_id, page_index, col, token_idx AS marker, x, width, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE is_mark),
-    w AS (SELECT doc_id, page_index, col, token_idx, x + width AS w_right, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE NOT is_mark),
-    hit AS (SELECT m.doc_id, m.page_index, m.marker, w.token_idx, row_number() OVER (PARTITION BY m.doc_id, m.marker ORDER BY w.w_right DESC, w.token_idx) AS r FROM m JOIN w ON m.doc_id = w.doc_id AND m.page_index = w.page_index AND m.col = w.col
+@bind("marker_insertion", """WITH m AS (SELECT doc_id, page_index, col, line, token_idx AS marker, x, width, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE is_mark),
+    w AS (SELECT doc_id, page_index, col, line, token_idx, x + width AS w_right, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE NOT is_mark),
+    hit AS (SELECT m.doc_id, m.page_index, m.marker, w.token_idx, row_number() OVER (PARTITION BY m.doc_id, m.marker ORDER BY w.w_right DESC, w.token_idx) AS r FROM m JOIN w ON m.doc_id = w.doc_id AND m.page_index = w.page_index AND m.col = w.col AND m.line = w.line -- lines are farther apart than any word is high
             AND w.y < m.y + m.height AND w.y + w.height > m.y AND w.w_right <= m.x + greatest(1.0, m.width))
     SELECT m.doc_id, m.page_index, m.marker, h.token_idx FROM m LEFT JOIN hit h ON m.doc_id = h.doc_id AND m.marker = h.marker AND h.r = 1""")
 def _(spark, d):
@@ -156,11 +156,11 @@ def _(spark, d):
     return timeline.word_at_offset(clicks, reflow.reflow_offsets(v.v_block_tokens(spark, d))).select("event_id", "doc_id", "block_idx", "token_idx")
 
 
-@bind("nearest_word", """WITH clicks AS (SELECT event_id AS click, doc_id, 0 AS page_index, (t_frame * 7 % 612)::DOUBLE AS cx, (t_frame * 11 % 792)::DOUBLE AS cy FROM v_positions),
+@bind("nearest_word", """WITH clicks AS (SELECT event_id AS click, doc_id, event_id % 3 AS page_index, (t_frame * 7 % 612)::DOUBLE AS cx, (t_frame * 11 % 792)::DOUBLE AS cy FROM v_positions),
     near AS (SELECT c.click, c.doc_id, c.page_index, r.token_idx, row_number() OVER (PARTITION BY c.click ORDER BY (r.x + r.width / 2 - c.cx) ** 2 + (r.baseline - 0.2 * r.glyph_height + r.glyph_height / 2 - c.cy) ** 2, r.token_idx) AS n
         FROM clicks c JOIN v_runs r ON c.doc_id = r.doc_id AND c.page_index = r.page_index) SELECT click, doc_id, page_index, token_idx FROM near WHERE n = 1""")
 def _(spark, d):
-    clicks = v.v_positions(spark, d).select(F.col("event_id").alias("click"), "doc_id", F.lit(0).alias("page_index"), (F.col("t_frame") * 7 % 612).cast("double").alias("cx"), (F.col("t_frame") * 11 % 792).cast("double").alias("cy"))
+    clicks = v.v_positions(spark, d).select(F.col("event_id").alias("click"), "doc_id", (F.col("event_id") % 3).cast("int").alias("page_index"), (F.col("t_frame") * 7 % 612).cast("double").alias("cx"), (F.col("t_frame") * 11 % 792).cast("double").alias("cy"))
     boxes = v.v_runs(spark, d).select("doc_id", "page_index", "token_idx", "x", "width", (F.col("baseline") - 0.2 * F.col("glyph_height")).alias("y"), F.col("glyph_height").alias("height"))
     return timeline.nearest_word(clicks, boxes)
 

@@ -315,11 +315,7 @@ def _(spark, d):
     return furniture.headings(b).select("doc_id", "block_idx", "is_heading")
 
 
-def _column_lines(spark, d):
-    return v.v_lines(spark, d).where("line between 0 and 35")
-
-
-_STATS = """body AS (SELECT * FROM v_lines WHERE line BETWEEN 0 AND 35), d AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line) - baseline AS step FROM body),
+_STATS = """body AS (SELECT * FROM v_lines), d AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line) - baseline AS step FROM body),
     e AS (SELECT *, l[floor((n - 1) * 0.2)::INT + 1] AS low FROM (SELECT doc_id, page_index, col, count(*) AS n, median(height) AS em, list(x0 ORDER BY x0) AS l FROM d GROUP BY doc_id, page_index, col)),
     m AS (SELECT d.doc_id, d.page_index, d.col, e.n, e.em, e.low, coalesce(median(CASE WHEN step > 0.5 * em AND step < 3 * em THEN step END), 1.2 * em) AS pitch, count_if(abs(x0 - low) <= 0.6 * em) AS k, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END) AS mx, avg(CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END) AS my,
         CASE WHEN count_if(abs(x0 - low) <= 0.6 * em) >= 4 THEN greatest(-0.025, least(0.025, coalesce(regr_slope(CASE WHEN abs(x0 - low) <= 0.6 * em THEN x0 END, CASE WHEN abs(x0 - low) <= 0.6 * em THEN baseline END), 0.0))) ELSE 0.0 END AS slope
@@ -328,49 +324,76 @@ _STATS = """body AS (SELECT * FROM v_lines WHERE line BETWEEN 0 AND 35), d AS (S
 
 @bind("column_metrics", f"WITH {_STATS} SELECT doc_id, page_index, col, n, em, pitch, round(slope, 6) AS slope, round(CASE WHEN k >= 4 THEN mx - slope * my ELSE low END, 4) AS intercept FROM m")
 def _(spark, d):
-    return paragraphs.column_metrics(_column_lines(spark, d)).select("doc_id", "page_index", "col", "n", "em", "pitch", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return paragraphs.column_metrics(v.v_lines(spark, d)).select("doc_id", "page_index", "col", "n", "em", "pitch", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
 
+_SAME_COL = "{0}.doc_id = {1}.doc_id AND {0}.page_index = {1}.page_index AND {0}.col = {1}.col"
+# the number of indented lines in a row, which decides some breaks, is carried from line to line
+_BREAKS = f"""{_STATS}, fit AS (SELECT doc_id, page_index, col, n, em, pitch, slope, CASE WHEN k >= 4 THEN mx - slope * my ELSE low END AS intercept FROM m),
+    edges AS (SELECT b.doc_id, b.page_index, b.col, list_sort(list(x1 - slope * baseline))[floor((count(*) - 1) * 0.8)::INT + 1] AS right_edge FROM body b JOIN fit f ON {_SAME_COL.format('b', 'f')} GROUP BY ALL),
+    j AS (SELECT b.*, n, em, pitch, x0 - (intercept + slope * baseline) AS inset, x1 < right_edge + slope * baseline - greatest(em * 1.5, greatest(em, right_edge - intercept) * 0.06) AS short, {_ENDS} AS ends,
+          row_number() OVER (PARTITION BY b.doc_id, b.page_index, b.col ORDER BY baseline DESC, line) - 1 AS i FROM body b JOIN fit f ON {_SAME_COL.format('b', 'f')} JOIN edges e ON {_SAME_COL.format('b', 'e')}),
+    g AS (SELECT *, inset > em * 0.8 AS indented, n >= 6 AND count_if(short AND i < n - 1 AND NOT ends) OVER (PARTITION BY doc_id, page_index, col) / (n - 1) > 0.25 AS ragged FROM j),
+    p AS (SELECT *, lag(baseline) OVER w - baseline AS gap, lag(ends) OVER w OR lag(short) OVER w AS could, lag(short) OVER w AND lag(ends) OVER w AS closed, lag(indented) OVER w AS p_indented, lag(inset) OVER w AS p_inset,
+          lag(height) OVER w AS p_height, height / lag(height) OVER w AS ratio, n_runs >= 3 AND lag(n_runs) OVER w >= 3 AS wide FROM g WINDOW w AS (PARTITION BY doc_id, page_index, col ORDER BY i)),
+    q AS (SELECT *, i = 0 OR gap > pitch * greatest(1.0, least(height, p_height) / em) * 1.25 OR gap <= em * 0.3 OR (indented AND NOT p_indented AND could) OR (indented AND p_indented AND abs(inset - p_inset) > em * 0.8 AND could)
+          OR (NOT ragged AND closed AND NOT indented AND NOT p_indented) OR ratio > 1.3 OR ratio < 0.77 OR ((ratio > 1.15 OR ratio < 0.87) AND wide) AS sure, coalesce(NOT indented AND p_indented AND could, false) AS back FROM p),
+    walk AS (SELECT doc_id, page_index, col, line, i, true AS starts, indented::INT AS run FROM q WHERE i = 0
+        UNION ALL SELECT q.doc_id, q.page_index, q.col, q.line, q.i, sure OR (back AND run >= 2), CASE WHEN NOT indented THEN 0 WHEN p_indented AND NOT (sure OR (back AND run >= 2)) THEN run + 1 ELSE 1 END
+        FROM walk JOIN q ON {_SAME_COL.format('walk', 'q')} AND q.i = walk.i + 1)"""
 
-@bind("paragraph_breaks")
+
+@bind("paragraph_breaks", f"WITH RECURSIVE {_BREAKS} SELECT doc_id, page_index, col, line, starts FROM walk")
 def _(spark, d):
-    return paragraphs.paragraph_breaks(_column_lines(spark, d)).select("doc_id", "page_index", "col", "line", "starts")
+    return paragraphs.paragraph_breaks(v.v_lines(spark, d)).select("doc_id", "page_index", "col", "line", "starts")
 
 
-@bind("paragraphs")
+@bind("paragraphs", f"""WITH RECURSIVE {_BREAKS}, told AS (SELECT q.*, w.starts FROM q JOIN walk w ON {_SAME_COL.format('q', 'w')} AND q.i = w.i), n AS (SELECT *, (sum(starts::INT) OVER (PARTITION BY doc_id, page_index, col ORDER BY i))::INT - 1 AS para_id FROM told)
+    SELECT doc_id, page_index, col, para_id, arg_min(line, i) AS first, arg_max(line, i) AS last, count(*) AS n_lines, arg_min(indented, i) AS starts_indented, arg_max(NOT short, i) AS ends_full FROM n GROUP BY ALL""")
 def _(spark, d):
-    return paragraphs.paragraphs(paragraphs.paragraph_breaks(_column_lines(spark, d)))
+    return paragraphs.paragraphs(paragraphs.paragraph_breaks(v.v_lines(spark, d)))
 
 
-@bind("paragraphs_simple", """WITH b AS (SELECT *, lag(baseline) OVER w - baseline AS gap FROM v_lines WHERE line BETWEEN 0 AND 35 WINDOW w AS (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line)),
+@bind("paragraphs_simple", """WITH b AS (SELECT *, lag(baseline) OVER w - baseline AS gap FROM v_lines WINDOW w AS (PARTITION BY doc_id, page_index, col ORDER BY baseline DESC, line)),
     s AS (SELECT doc_id, page_index, col, median(gap) FILTER (WHERE gap > 0) AS step, min(x0) AS l FROM b GROUP BY ALL)
     SELECT b.doc_id, b.page_index, b.col, b.line, (sum(CASE WHEN gap IS NULL OR gap > 1.35 * step OR gap <= 0 OR x0 - l > 0.8 * height THEN 1 ELSE 0 END) OVER (PARTITION BY b.doc_id, b.page_index, b.col ORDER BY baseline DESC, line))::INT - 1 AS para_id FROM b JOIN s ON b.doc_id = s.doc_id AND b.page_index = s.page_index AND b.col = s.col""")
 def _(spark, d):
-    return paragraphs.paragraphs_simple(_column_lines(spark, d)).select("doc_id", "page_index", "col", "line", "para_id")
+    return paragraphs.paragraphs_simple(v.v_lines(spark, d)).select("doc_id", "page_index", "col", "line", "para_id")
+
 
+_BROKEN = "token_idx % 10 = 9 AND token_idx % 3 = 0 AND length(token) > 4"
 
-@bind("dehyphenate", r"SELECT doc_id, token_idx * 2 AS token_idx, token, CASE WHEN token_idx % 10 = 9 AND token_idx % 3 = 0 AND length(token) > 4 AND regexp_matches(substring(token, length(token) // 2 + 1), '^\p{Ll}') THEN 2 ELSE 1 END AS n_boxes FROM v_tokens WHERE NOT regexp_matches(token, '[-‐]$') AND NOT (token_idx % 10 = 9 AND token_idx % 3 = 0 AND length(token) > 4 AND NOT regexp_matches(substring(token, length(token) // 2 + 1), '^\p{Ll}'))")
+
+@bind("dehyphenate", rf"""WITH p AS (SELECT doc_id, 2 * token_idx AS i, CASE WHEN {_BROKEN} THEN substring(token, 1, length(token) // 2) || '-' ELSE token END AS t, token_idx // 10 AS line FROM v_tokens
+        UNION ALL SELECT doc_id, 2 * token_idx + 1, substring(token, length(token) // 2 + 1), token_idx // 10 + 1 FROM v_tokens WHERE {_BROKEN}),
+    n AS (SELECT *, coalesce(length(t) > 1 AND regexp_matches(t, '[-‐]$') AND lead(line) OVER w <> line AND regexp_matches(lead(t) OVER w, '^\p{{Ll}}'), false) AS broken FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    k AS (SELECT *, coalesce(lag(broken) OVER (PARTITION BY doc_id ORDER BY i), false) AS goes_on FROM n), g AS (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM k)
+    SELECT doc_id, min(i)::INT AS token_idx, string_agg(CASE WHEN broken THEN regexp_replace(t, '[-‐]$', '') ELSE t END, '' ORDER BY i) AS token, count(*) AS n_boxes FROM g GROUP BY doc_id, word""")
 def _(spark, d):
-    t = v.v_tokens(spark, d).where(~F.col("token").rlike("[-‐]$"))
-    half = F.expr("length(token) div 2").cast("int")
-    broken = (F.col("token_idx") % 10 == 9) & (F.col("token_idx") % 3 == 0) & (F.length("token") > 4)
-    rest = F.substring("token", half + 1, F.length("token"))
-    t = t.where(~broken | rest.rlike(r"^\p{Ll}"))
-    line = F.expr("token_idx div 10")
-    parts = F.when(broken, F.array(F.struct(F.lit(0).alias("k"), F.concat(F.substring("token", F.lit(1), half), F.lit("-")).alias("token"), line.alias("line_key")), F.struct(F.lit(1).alias("k"), rest.alias("token"), (line + 1).alias("line_key")))).otherwise(F.array(F.struct(F.lit(0).alias("k"), F.col("token").alias("token"), line.alias("line_key"))))
+    t = v.v_tokens(spark, d)
+    half, line = F.expr("length(token) div 2").cast("int"), F.expr("token_idx div 10")
+    one = lambda k, token, line: F.struct(F.lit(k).alias("k"), token.alias("token"), line.alias("line_key"))
+    cut = F.array(one(0, F.concat(F.substring("token", F.lit(1), half), F.lit("-")), line), one(1, F.substring("token", half + 1, F.length("token")), line + 1))
+    parts = F.when(F.expr(_BROKEN), cut).otherwise(F.array(one(0, F.col("token"), line)))
     t = t.select("doc_id", "token_idx", F.explode(parts).alias("p")).select("doc_id", (2 * F.col("token_idx") + F.col("p.k")).alias("token_idx"), "p.token", "p.line_key")
     return paragraphs.dehyphenate(t)
 
 
-@bind("attach_punctuation", r"""SELECT doc_id, count(*) AS n_groups, sum(n)::BIGINT AS n_tokens FROM (SELECT doc_id, token_idx, 1 + CASE WHEN token_idx % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(token, '[^.,][.,]$') THEN 1 ELSE 0 END AS n FROM v_tokens WHERE regexp_matches(token, '^[\p{L}]+[.,]?$')) GROUP BY doc_id""")
+@bind("attach_punctuation", r"""WITH b AS (SELECT doc_id, token_idx, token_idx // 10 AS line, 72.0::DOUBLE + 22 * (token_idx % 10) AS x, regexp_replace(token, '[.,]$', '') AS word, CASE WHEN regexp_matches(token, '[.,]$') THEN substring(token, length(token), 1) END AS mark FROM v_tokens),
+    p AS (SELECT doc_id, 3 * token_idx AS i, line, '"' AS t, x - 1 AS x, 1.0::DOUBLE AS width FROM b WHERE token_idx % 11 = 0 UNION ALL SELECT doc_id, 3 * token_idx + 1, line, word, x, 15.0 FROM b WHERE word <> '' UNION ALL SELECT doc_id, 3 * token_idx + 2, line, mark, x + 15, 2.0 FROM b WHERE mark IS NOT NULL),
+    s AS (SELECT *, regexp_matches(t, '^[,.;:!?)\]}”’»…%]+$') AS closing, regexp_matches(t, '^[(\[{“‘«]+$') AS opening, regexp_matches(t, '^["'']+$') AS either, lag(t) OVER w IS NOT NULL AS l, lead(t) OVER w IS NOT NULL AS r,
+          CASE WHEN lag(line) OVER w = line THEN abs(x - lag(x) OVER w - lag(width) OVER w) ELSE 1e9 END AS to_left, CASE WHEN lead(line) OVER w = line THEN abs(lead(x) OVER w - x - width) ELSE 1e9 END AS to_right FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    d AS (SELECT *, CASE WHEN closing THEN CASE WHEN l THEN -1 WHEN r THEN 1 END WHEN opening THEN CASE WHEN r THEN 1 WHEN l THEN -1 END WHEN either THEN CASE WHEN l AND r THEN CASE WHEN to_left <= to_right THEN -1 ELSE 1 END WHEN l THEN -1 WHEN r THEN 1 END END AS way FROM s),
+    g AS (SELECT *, (sum((i = first_i OR (coalesce(before, 0) <> 1 AND coalesce(way, 0) <> -1))::INT) OVER (PARTITION BY doc_id ORDER BY i))::INT - 1 AS part FROM (SELECT *, lag(way) OVER (PARTITION BY doc_id ORDER BY i) AS before, min(i) OVER (PARTITION BY doc_id) AS first_i FROM d))
+    SELECT doc_id, part AS "group", string_agg(t, '' ORDER BY i) AS token, count(*) AS n_boxes FROM g GROUP BY doc_id, part""")
 def _(spark, d):
-    t = v.v_tokens(spark, d).where(F.col("token").rlike(r"^[\p{L}]+[.,]?$"))
-    mark = F.col("token").rlike("[.,]$")
+    t = v.v_tokens(spark, d)
+    mark, word = F.col("token").rlike("[.,]$"), F.regexp_replace("token", "[.,]$", "")
     at = F.lit(72.0) + 22 * (F.col("token_idx") % 10)
-    one = lambda k, token, x, w: F.struct(F.lit(k).alias("k"), token.alias("token"), x.alias("x"), w.alias("width"))
-    word = F.when(mark, F.regexp_replace("token", "[.,]$", "")).otherwise(F.col("token"))
-    parts = F.filter(F.array(F.when(F.col("token_idx") % 11 == 0, one(0, F.lit('"'), at - 1, F.lit(1.0))), one(1, word, at, F.lit(15.0)), F.when(mark, one(2, F.substring("token", -1, 1), at + 15, F.lit(2.0)))), lambda p: p.isNotNull())
-    t = t.select("doc_id", (F.expr("token_idx div 10")).alias("line_key"), F.col("token_idx").alias("i"), F.explode(parts).alias("p")).select("doc_id", "line_key", (3 * F.col("i") + F.col("p.k")).alias("token_idx"), "p.token", "p.x", "p.width")
-    return paragraphs.attach_punctuation(t).groupBy("doc_id").agg(F.count("*").alias("n_groups"), F.sum("n_boxes").alias("n_tokens"))
+    one = lambda k, token, x, w: F.struct(F.lit(k).alias("k"), token.alias("token"), x.alias("x"), F.lit(w).alias("width"))
+    parts = F.filter(F.array(F.when(F.col("token_idx") % 11 == 0, one(0, F.lit('"'), at - 1, 1.0)), F.when(word != "", one(1, word, at, 15.0)), F.when(mark, one(2, F.substring("token", -1, 1), at + 15, 2.0))), lambda p: p.isNotNull())
+    t = t.select("doc_id", F.expr("token_idx div 10").alias("line_key"), F.col("token_idx").alias("i"), F.explode(parts).alias("p")).select("doc_id", "line_key", (3 * F.col("i") + F.col("p.k")).alias("token_idx"), "p.token", "p.x", "p.width")
+    return paragraphs.attach_punctuation(t)
 
 
 @bind("document_indents", "WITH b AS (SELECT *, role = 'body' AND lag(role) OVER w = 'body' AND lag(page_index) OVER w = page_index AND lag(col) OVER w = col AS f FROM v_blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) SELECT doc_id, count_if(coalesce(f, false)) >= 3 AND count_if(coalesce(f, false) AND starts_indented) >= 0.5 * count_if(coalesce(f, false)) AS indents FROM b GROUP BY doc_id")
@@ -378,12 +401,31 @@ def _(spark, d):
     return paragraphs.document_indents(v.v_blocks(spark, d))
 
 
-@bind("merge_across_pages")
+_HEADS = f"""ind AS (SELECT doc_id, count_if(coalesce(f, false)) >= 3 AND count_if(coalesce(f, false) AND starts_indented) >= 0.5 * count_if(coalesce(f, false)) AS indents FROM (
+        SELECT *, role = 'body' AND lag(role) OVER w = 'body' AND lag(page_index) OVER w = page_index AND lag(col) OVER w = col AS f FROM v_blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) GROUP BY doc_id),
+    b AS (SELECT v.*, indents, {_ENDS} AS ends, coalesce(regexp_matches(trim(text)[1], '[[:alpha:]]|[^\\x00-\\x7F]') AND lower(trim(text)[1]) = trim(text)[1], false) AS low, row_number() OVER (PARTITION BY v.doc_id ORDER BY block_idx) AS r FROM v_blocks v JOIN ind ON v.doc_id = ind.doc_id)"""
+_LATER = "h_role = 'body' AND role = 'body' AND n_tokens > 0"
+_ACROSS = f"""{_LATER} AND (page_index > h_page_index OR (page_index = h_page_index AND col > h_col)) AND abs(h_col_width - col_width) <= greatest(h_col_width, col_width) * 0.25
+    AND CASE WHEN h_ends THEN indents AND NOT starts_indented AND h_ends_full ELSE low OR (indents AND NOT starts_indented AND NOT (h_n_lines <= {furniture.HEADING_LINES} AND h_n_tokens <= {furniture.HEADING_TOKENS})) END"""
+_SIMPLE = f"{_LATER} AND page_index > h_page_index AND NOT h_ends AND low"
+
+
+def _walk(joins: str, main: str) -> str:
+    """Blocks in turn: h_ columns tell the head of the text that is open, survivor the head that a block carries on, or itself."""
+    kept = "block_idx role page_index col col_width".split()
+    first = ", ".join(f"CASE WHEN {main} THEN {c} END AS h_{c}" for c in [*kept, "n_tokens", "ends", "ends_full"])
+    then = [f"CASE WHEN NOT j AND {main} THEN {c} ELSE h_{c} END" for c in kept] + [f"CASE WHEN j THEN h_n_tokens + n_tokens WHEN {main} THEN n_tokens ELSE h_n_tokens END"] + [f"CASE WHEN j OR {main} THEN {c} ELSE h_{c} END" for c in ("ends", "ends_full")]
+    return f"""walk AS (SELECT doc_id, r, block_idx AS own, block_idx AS survivor, {first}, 1 AS h_n_lines FROM b WHERE r = 1
+        UNION ALL SELECT doc_id, r, block_idx, CASE WHEN j THEN h_block_idx ELSE block_idx END, {", ".join(then)}, CASE WHEN j THEN h_n_lines + 1 WHEN {main} THEN 1 ELSE h_n_lines END
+        FROM (SELECT b.*, h_block_idx, h_role, h_page_index, h_col, h_col_width, h_n_tokens, h_ends, h_ends_full, h_n_lines, coalesce({joins}, false) AS j FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.r = w.r + 1))"""
+
+
+@bind("merge_across_pages", f"WITH RECURSIVE {_HEADS}, {_walk(_ACROSS, "role IN ('body', 'heading', 'caption')")} SELECT doc_id, own AS block_idx, survivor FROM walk")
 def _(spark, d):
     return paragraphs.merge_across_pages(v.v_blocks(spark, d))
 
 
-@bind("merge_pages_simple")
+@bind("merge_pages_simple", f"WITH RECURSIVE {_HEADS}, {_walk(_SIMPLE, 'true')} SELECT doc_id, own AS block_idx, survivor FROM walk")
 def _(spark, d):
     return paragraphs.merge_pages_simple(v.v_blocks(spark, d))
 

@@ -57,14 +57,14 @@ def _(spark, d):
 _OCR = "SELECT doc_id, token FROM (SELECT doc_id, CASE WHEN token_idx % 3 = 0 THEN regexp_replace(token, '[aeiouAEIOU]', '', 'g') ELSE token END AS token FROM v_tokens) WHERE token <> ''"
 
 
-@bind("choose_extraction", f"""WITH e AS ({_SCORED} ({_metrics_sql("SELECT doc_id, token FROM v_tokens WHERE doc_id % 3 <> 0")})), o AS ({_SCORED} ({_metrics_sql(_OCR)}))
+@bind("choose_extraction", f"""WITH e AS ({_SCORED} ({_metrics_sql("SELECT doc_id, token FROM v_tokens")})), o AS ({_SCORED} ({_metrics_sql(_OCR)}))
     SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, CASE WHEN coalesce(e.score >= 0.55, false) OR o.score IS NULL OR coalesce(o.score < e.score, false) THEN 'embedded' ELSE 'ocr' END AS choice,
            CASE WHEN coalesce(e.score >= 0.55, false) THEN false WHEN o.score IS NULL OR coalesce(o.score < e.score, false) THEN true ELSE NOT o.score >= 0.55 END AS needs_review FROM e FULL JOIN o ON e.doc_id = o.doc_id""")
 def _(spark, d):
     t = v.v_tokens(spark, d)
     ocr = t.withColumn("token", F.when(F.col("token_idx") % 3 == 0, F.regexp_replace("token", "[aeiouAEIOU]", "")).otherwise(F.col("token"))).where("token <> ''")
     scored = lambda x: quality.quality_score(quality.quality_metrics(x, _areas(spark, d)))
-    return quality.choose_extraction(scored(t.where("doc_id % 3 <> 0")), scored(ocr))
+    return quality.choose_extraction(scored(t), scored(ocr))
 
 
 @bind("dictionary_hit_ratio", rf"""WITH t AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY token_idx) - 1 AS n, greatest(1, count(*) OVER (PARTITION BY doc_id) // 600) AS step FROM (SELECT doc_id, token_idx, {_BARE} AS word FROM v_tokens) WHERE regexp_matches(word, '^\p{{L}}{{3,}}$')),
@@ -109,46 +109,62 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(normalize.fold_punctuation(F.col("text"))).alias("folded"))
 
 
-@bind("expand_titles")
+_TITLED = r"regexp_replace(regexp_replace(text, '\bThe ([A-Za-z])', 'Dr. Smith and Mrs. \1', 'g'), '\bThe ([A-Za-z])', 'Dr. Smith and Mrs. \1', 'g')"
+_SPOKEN = _TITLED
+for _find, _put in ((r"\bD[Rr]\.( [A-Z])", r"Doctor\1"), (r"\bMr\.", "Mister"), (r"\bMR\.( [A-Z])", r"Mister\1"), (r"\bMs\.", "Miss"), (r"\bMS\.( [A-Z])", r"Miss\1"), (r"\bMrs\.", "Mrs"), (r"\bMRS\.( [A-Z])", r"Mrs\1"), (r"(?i)\betc\.( [^A-Za-z]|[^ ]| ?$)", r"etc\1")):
+    _SPOKEN = f"regexp_replace({_SPOKEN}, '{_find}', '{_put}', 'g')"
+
+
+@bind("expand_titles", f"SELECT doc_id, md5({_SPOKEN}) AS spoken FROM documents")
 def _(spark, d):
     titled = F.regexp_replace("text", r"\bThe (?=[A-Za-z])", "Dr. Smith and Mrs. ")
     return read(spark, d, "documents").select("doc_id", F.md5(normalize.expand_titles(titled)).alias("spoken"))
 
 
-_LONG = "SELECT o.o_orderkey AS id, n.token FROM orders o CROSS JOIN v_numbers n WHERE o.o_orderkey % 19 = n.id UNION ALL SELECT id, token FROM v_numbers"
-
-
-def _numbers(spark, d):
-    n = F.broadcast(v.v_numbers(spark, d))  # nineteen rows
-    return read(spark, d, "orders").join(n, F.col("o_orderkey") % 19 == F.col("id")).select(F.col("o_orderkey").alias("id"), "token").unionByName(v.v_numbers(spark, d).select(F.col("id").cast("long").alias("id"), "token"))
-
-
-@bind("read_years_times", rf"""SELECT id, token, CASE WHEN regexp_matches(token, '^([1-9]|1[0-2]):[0-5]\d$') THEN CASE WHEN m = 0 THEN h || ' o''clock' WHEN m < 10 THEN h || ' oh ' || m ELSE h || ' ' || m END
+@bind("read_years_times", rf"""SELECT id, kind, token, CASE WHEN regexp_matches(token, '^([1-9]|1[0-2]):[0-5]\d$') THEN CASE WHEN m = 0 THEN h || ' o''clock' WHEN m < 10 THEN h || ' oh ' || m ELSE h || ' ' || m END
     WHEN regexp_matches(token, '^\d{{4}}s?$') THEN CASE WHEN y < 1100 OR y % 1000 < 10 THEN token WHEN y % 1000 >= 100 AND r = 0 THEN l || ' hundred' || s WHEN y % 1000 >= 100 AND r < 10 THEN l || ' oh ' || r || s ELSE l || ' ' || r || s END ELSE token END AS spoken
-    FROM (SELECT id, token, regexp_extract(token, '^(\d+):', 1) AS h, try_cast(regexp_extract(token, ':(\d\d)$', 1) AS INT) AS m, try_cast(substring(token, 1, 4) AS INT) AS y, try_cast(substring(token, 3, 2) AS INT) AS r, substring(token, 1, 2) AS l, CASE WHEN token LIKE '%s' THEN 's' ELSE '' END AS s FROM ({_LONG}))""")
+    FROM (SELECT id, kind, token, regexp_extract(token, '^(\d+):', 1) AS h, try_cast(regexp_extract(token, ':(\d\d)$', 1) AS INT) AS m, try_cast(substring(token, 1, 4) AS INT) AS y, try_cast(substring(token, 3, 2) AS INT) AS r, substring(token, 1, 2) AS l, CASE WHEN token LIKE '%s' THEN 's' ELSE '' END AS s FROM v_numbers)""")
 def _(spark, d):
-    return _numbers(spark, d).select("id", "token", normalize.read_years_times(F.col("token")).alias("spoken"))
+    return v.v_numbers(spark, d).select("id", "kind", "token", normalize.read_years_times(F.col("token")).alias("spoken"))
 
 
-@bind("read_money", rf"""SELECT id, token, CASE WHEN NOT regexp_matches(token, '^[$£]\d+(\.\d+)?$') THEN token WHEN NOT contains(a, '.') THEN a || ' ' || u || CASE WHEN a = '1' THEN '' ELSE 's' END
+@bind("read_money", rf"""SELECT id, kind, token, CASE WHEN NOT regexp_matches(token, '^[$£]\d+(\.\d+)?$') THEN token WHEN NOT contains(a, '.') THEN a || ' ' || u || CASE WHEN a = '1' THEN '' ELSE 's' END
     ELSE w || ' ' || u || CASE WHEN w = '1' THEN '' ELSE 's' END || ' and ' || c || ' ' || CASE WHEN u = 'dollar' THEN CASE WHEN c = 1 THEN 'cent' ELSE 'cents' END WHEN c = 1 THEN 'penny' ELSE 'pence' END END AS spoken
-    FROM (SELECT id, token, substring(token, 2) AS a, CASE WHEN token LIKE '$%' THEN 'dollar' ELSE 'pound' END AS u, regexp_extract(substring(token, 2), '^(\d+)', 1) AS w, try_cast(rpad(regexp_extract(token, '\.(\d+)$', 1), 2, '0') AS INT) AS c FROM ({_LONG}))""")
+    FROM (SELECT id, kind, token, substring(token, 2) AS a, CASE WHEN token LIKE '$%' THEN 'dollar' ELSE 'pound' END AS u, regexp_extract(substring(token, 2), '^(\d+)', 1) AS w, try_cast(rpad(regexp_extract(token, '\.(\d+)$', 1), 2, '0') AS INT) AS c FROM v_numbers)""")
 def _(spark, d):
-    return _numbers(spark, d).select("id", "token", normalize.read_money(F.col("token")).alias("spoken"))
+    return v.v_numbers(spark, d).select("id", "kind", "token", normalize.read_money(F.col("token")).alias("spoken"))
 
 
-@bind("read_decimals_ranges", rf"""SELECT id, token, regexp_replace(CASE WHEN regexp_matches(t, '^\d*\.\d+$') THEN regexp_extract(t, '^(\d*)', 1) || ' point ' || array_to_string(string_split(regexp_extract(t, '\.(\d+)$', 1), ''), ' ') ELSE t END, '(\d)-(\d)', '\1 to \2', 'g') AS spoken
-    FROM (SELECT id, token, regexp_replace(token, '(\d),(\d)', '\1\2', 'g') AS t FROM ({_LONG}))""")
+@bind("read_decimals_ranges", rf"""SELECT id, kind, token, regexp_replace(regexp_replace(CASE WHEN regexp_matches(t, '^\d*\.\d+$') THEN regexp_extract(t, '^(\d*)', 1) || ' point ' || array_to_string(string_split(regexp_extract(t, '\.(\d+)$', 1), ''), ' ') ELSE t END, '(\d)-(\d)', '\1 to \2', 'g'), '(\d)-(\d)', '\1 to \2', 'g') AS spoken
+    FROM (SELECT id, kind, token, regexp_replace(regexp_replace(token, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g') AS t FROM v_numbers)""")
 def _(spark, d):
-    return _numbers(spark, d).select("id", "token", normalize.read_decimals_ranges(F.col("token")).alias("spoken"))
+    return v.v_numbers(spark, d).select("id", "kind", "token", normalize.read_decimals_ranges(F.col("token")).alias("spoken"))
 
 
-@bind("number_words")
+def _named(n: str, below: int) -> str:
+    """SQL that names a number below 100 or 1000."""
+    ones, tens = (f"[{_quoted(x)}]" for x in (normalize.ONES, normalize.TENS))
+    small = lambda x: f"CASE WHEN {x} < 20 THEN {ones}[{x} + 1] WHEN {x} % 10 = 0 THEN {tens}[{x} // 10 - 1] ELSE {tens}[{x} // 10 - 1] || ' ' || {ones}[{x} % 10 + 1] END"
+    if below == 100:
+        return small(f"({n})")
+    return f"CASE WHEN {n} < 100 THEN {small(f'({n})')} WHEN {n} % 100 = 0 THEN {ones}[{n} // 100 + 1] || ' hundred' ELSE {ones}[{n} // 100 + 1] || ' hundred ' || {small(f'({n} % 100)')} END"
+
+
+@bind("number_words", rf"""SELECT id, kind, token, CASE WHEN n IS NULL THEN NULL WHEN length(token) = 4 AND n BETWEEN 1100 AND 2099 AND NOT n BETWEEN 2000 AND 2009
+        THEN {_named('n // 100', 100)} || CASE WHEN n % 100 = 0 THEN ' hundred' WHEN n % 100 < 10 THEN ' oh ' || {_named('n % 100', 100)} ELSE ' ' || {_named('n % 100', 100)} END
+        ELSE array_to_string(list_filter([CASE WHEN m > 0 THEN {_named('m', 1000)} || ' million' END, CASE WHEN k > 0 THEN {_named('k', 1000)} || ' thousand' END, CASE WHEN r > 0 OR n = 0 THEN {_named('r', 1000)} END], lambda x: x IS NOT NULL), ' ') END AS words
+    FROM (SELECT *, n // 1000000 AS m, n // 1000 % 1000 AS k, n % 1000 AS r FROM (SELECT *, CASE WHEN regexp_matches(token, '^\d{{1,9}}$') THEN try_cast(token AS BIGINT) END AS n FROM v_numbers))""")
 def _(spark, d):
-    return _numbers(spark, d).select("id", "token", normalize.number_words(F.col("token")).alias("words"))
+    return v.v_numbers(spark, d).select("id", "kind", "token", normalize.number_words(F.col("token")).alias("words"))
+
 
+_GAP = r"[\s\x0B\x85\p{Z}]*"
+_STOPS = rf'(?:{_GAP}[;:,.!?¡¿—…"«»“”]+{_GAP})+'
 
-@bind("split_punctuation")
+
+@bind("split_punctuation", rf"""WITH p AS (SELECT doc_id, string_split_regex(text, '{_STOPS}') AS said, regexp_extract_all(text, '{_STOPS}') AS stops FROM documents),
+    q AS (SELECT doc_id, list_filter(flatten(list_transform(range(1, len(said) + 1), lambda i: [said[i], stops[i]])), lambda x: x IS NOT NULL AND x <> '') AS l FROM p)
+    SELECT doc_id, seg_idx, text, regexp_full_match(text, '{_STOPS}') AS is_punct FROM (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS seg_idx, unnest(l) AS text FROM q)""")
 def _(spark, d):
     return normalize.split_punctuation(read(spark, d, "documents"), ["doc_id"])
 
@@ -172,12 +188,13 @@ def _(spark, d):
     return normalize.homographs(normalize.tag_pos(v.v_homographs(spark, d))).where("phonemes is not null").select("doc_id", "token_idx", "phonemes")
 
 
-_LEXICON = f"lexicon AS (SELECT DISTINCT word, reverse(word) AS phonemes FROM (SELECT {_BARE} AS word FROM v_tokens WHERE doc_id % 2 = 0) WHERE word <> '')"
+_LEXICON = f"lexicon AS (SELECT word, reverse(word) AS phonemes FROM (SELECT {_BARE} AS word FROM v_tokens) WHERE word <> '' GROUP BY word HAVING count(*) >= 3)"
 
 
 def _lexicon(spark, d):
-    """Words of every second document, read backwards: a stand-in for a pronouncing dictionary."""
-    return v.v_tokens(spark, d).where("doc_id % 2 = 0").select(bare(F.col("token")).alias("word")).where("word <> ''").distinct().withColumn("phonemes", F.reverse("word"))
+    """Words that occur three times or more, read backwards: a stand-in for a pronouncing dictionary."""
+    words = v.v_tokens(spark, d).select(bare(F.col("token")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return words.where("n >= 3").select("word", F.reverse("word").alias("phonemes"))
 
 
 @bind("pronounce_join", f"WITH {_LEXICON} SELECT t.doc_id, t.token_idx, coalesce(l.phonemes, array_to_string(list_filter(string_split(t.word, ''), lambda x: x <> ''), '-')) AS phonemes, l.word IS NULL AS spelled FROM (SELECT doc_id, token_idx, {_BARE} AS word FROM v_tokens) t LEFT JOIN lexicon l ON t.word = l.word")
@@ -190,7 +207,15 @@ def _(spark, d):
     return v.v_tokens(spark, d).groupBy(bare(F.col("token")).alias("word")).agg(F.count("*").alias("uses"))
 
 
-@bind("phoneme_postprocess")
+# what an engine might say, so that each remap is met
+_ENGINE = "CASE length(word) % 5 WHEN 0 THEN word || 'nˈaɪntihˈʌndɹɪd' WHEN 1 THEN word || ' z' WHEN 2 THEN 'kəkˈoːɹoʊ' || word WHEN 3 THEN ' z ' || word || 'nˈaɪntiː' ELSE word || 'ːhˈʌndɹɪd z.' END"
+_REMAPPED = "said"
+for _find, _put in (("kəkˈoːɹoʊ", "kˈoʊkəɹoʊ"), ("kəkˈɔːɹəʊ", "kˈəʊkəɹəʊ"), ("ʲ", "j"), ("r", "ɹ"), ("x", "k"), ("ɬ", "l")):
+    _REMAPPED = f"replace({_REMAPPED}, '{_find}', '{_put}')"
+_REMAPPED = f"""regexp_replace(regexp_replace(regexp_replace({_REMAPPED}, '([a-zɹː])(hˈʌndɹɪd)', '\\1 \\2', 'g'), ' z([;:,.!?¡¿—…"«»“” ]|$)', 'z\\1', 'g'), '(nˈaɪn)ti([^ː]|$)', '\\1di\\2', 'g')"""
+
+
+@bind("phoneme_postprocess", f"SELECT word, trim({_REMAPPED}) AS phonemes FROM (SELECT word, {_ENGINE} AS said FROM (SELECT DISTINCT {_BARE} AS word FROM v_tokens))")
 def _(spark, d):
     t = v.v_tokens(spark, d).select(bare(F.col("token")).alias("word")).distinct()
-    return t.select("word", normalize.phoneme_postprocess(F.col("word")).alias("phonemes"))
+    return t.select("word", normalize.phoneme_postprocess(F.expr(_ENGINE)).alias("phonemes"))

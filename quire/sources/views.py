@@ -120,15 +120,6 @@ def v_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("hash")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("opened"), F.sum(F.floor(F.col("value") * 100)).alias("bytes"), F.count("*").alias("chunks"))
 
 
-def _list(name: str, columns: list[str], rows: list[tuple]):
-    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame(rows, ", ".join(columns))
-
-    values = ", ".join("(" + ", ".join(repr(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-    SQL[name] = f"SELECT * FROM (VALUES {values}) AS t({', '.join(c.split()[0] for c in columns)})"
-    return make
-
-
 _SPLIT = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 SQL: dict[str, str] = {
     "v_tokens": rf"SELECT doc_id, unnest(w) AS token, (generate_subscripts(w, 1) - 1)::INT AS token_idx FROM (SELECT doc_id, {_SPLIT} AS w FROM documents)",
@@ -161,7 +152,35 @@ SQL: dict[str, str] = {
     "v_library": "SELECT user_id AS hash, max(epoch_us(ts)) AS opened, sum(floor(value * 100))::BIGINT AS bytes, count(*) AS chunks FROM events GROUP BY user_id",
 }
 
-v_numbers = _list("v_numbers", ["id int", "token string"], list(enumerate(["1993", "1900", "1905", "2005", "1990s", "3:00", "3:05", "3:30", "$1", "$2.50", "£1.01", "3.14", "1,000", "12-19", "0", "17", "342", "70015", "1234567"])))
+
+
+def v_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with digits: those of documents, and prices, dates, times, quantities and codes of the other tables as text."""
+    orders, lines, events = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "events"))
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")
+    whole, rest = F.floor(cents / 100).cast("long"), F.lpad((cents % 100).cast("string"), 2, "0")
+    sign = F.when(F.col("o_orderkey") % 2 == 0, "$").otherwise("£")
+    price = F.when(F.col("o_orderkey") % 5 == 0, F.concat(sign, whole)).otherwise(F.concat(sign, whole, F.lit("."), rest))
+    grouped = F.when(whole < 1000, whole.cast("string")).otherwise(F.concat(F.floor(whole / 1000).cast("long"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0")))
+    year = F.concat(F.year("o_orderdate") - F.col("o_orderkey") % 130, F.when(F.col("o_orderkey") % 7 == 0, "s").otherwise(""))
+    clock = F.concat(F.hour("ts") % 12 + 1, F.lit(":"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"))
+    of_orders = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("token")) for k, c in (("price", price), ("grouped", grouped), ("year", year), ("code", text((F.col("o_orderkey") * 7919) % 1_000_000_000)))]))
+    of_lines = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("token")) for k, c in (("range", F.concat("l_linenumber", F.lit("-"), F.col("l_quantity").cast("int"))), ("decimal", F.concat(F.lit("0."), F.lpad(F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), 2, "0"))), ("part", text("l_partkey")))]))
+    tokens = v_tokens(spark, sf_dir).where(F.col("token").rlike("[0-9]")).select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), "token")
+    return (
+        tokens.unionByName(orders.select(F.col("o_orderkey").alias("id"), of_orders.alias("t")).select("id", "t.kind", "t.token"))
+        .unionByName(lines.select(F.col("l_orderkey").alias("id"), of_lines.alias("t")).select("id", "t.kind", "t.token"))
+        .unionByName(events.select(F.col("event_id").alias("id"), F.lit("clock").alias("kind"), clock.alias("token")))
+    )
+
+
+SQL["v_numbers"] = """SELECT doc_id AS id, 'text' AS kind, token FROM v_tokens WHERE regexp_matches(token, '[0-9]')
+    UNION ALL SELECT id, unnest(['price', 'grouped', 'year', 'code']), unnest([CASE WHEN id % 5 = 0 THEN sign || c // 100 ELSE sign || c // 100 || '.' || lpad((c % 100)::VARCHAR, 2, '0') END,
+        CASE WHEN c // 100 < 1000 THEN (c // 100)::VARCHAR ELSE c // 100 // 1000 || ',' || lpad((c // 100 % 1000)::VARCHAR, 3, '0') END, year(o_orderdate) - id % 130 || CASE WHEN id % 7 = 0 THEN 's' ELSE '' END, (id * 7919 % 1000000000)::VARCHAR])
+        FROM (SELECT o_orderkey AS id, o_orderdate, floor(o_totalprice * 100 + 0.5)::BIGINT AS c, CASE WHEN o_orderkey % 2 = 0 THEN '$' ELSE '£' END AS sign FROM orders)
+    UNION ALL SELECT l_orderkey, unnest(['range', 'decimal', 'part']), unnest([l_linenumber || '-' || l_quantity::INT, '0.' || lpad(floor(l_discount * 100 + 0.5)::INT::VARCHAR, 2, '0'), l_partkey::VARCHAR]) FROM lineitem
+    UNION ALL SELECT event_id, 'clock', hour(ts) % 12 + 1 || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') FROM events"""
 
 
 def _replaced(every: int, marks: dict[int, str]):
