@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows up to which a side may be broadcast; beyond it the shuffle join runs.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of them as JSON, up to which a side may be broadcast; beyond either the shuffle join runs.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 #: Rows that Spark hands to Python at once; its default of 10,000 whole texts takes much memory.
@@ -37,17 +38,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Folders that `staged` wrote and `cleared` has not deleted.
+_STAGED: list[str] = []
+
+
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, parted by a column if asked for, and read it back: cuts lineage and survives lost
+    executors. The files stay until `cleared` deletes them, or whoever owns the folder does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _STAGED.append(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is. df should be staged, so that counting is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside, but for the last, which is the result."""
+    mark = len(_STAGED)
+    yield
+    for path in _STAGED[mark:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _STAGED[mark:-1]
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has few rows of few bytes, else as it is. df should be staged, so that both are
+    cheap to learn; bytes are summed only where rows are few."""
+    if df.count() > rows:
+        return df
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= size else df
 
 
 def lower_ascii(col):

@@ -1,18 +1,28 @@
 """MinHash near-duplicates with tensored banding.
 
 Two small collections of M band hashes, of R minhashes each, are computed per set; every pair (a_i, b_j) of them keys
-one of M * M tables. So M * M tables of 2 * R minhashes take 2 * M * R minhash functions instead of 2 * M * M * R.
-Sets that share a table key are gathered in coarse clusters, and every pair of different sets of a cluster is confirmed
-on the full sets, block against block, so no link between different sets is lost once they share a key.
+one of M * M tables. So M * M tables of 2 * R minhashes take 2 * M * R minhash functions instead of 2 * M * M * R. M
+follows from the similarity asked for: a link shares no table key with probability below 1 in 45,000.
+
+Candidates are confirmed on the full sets, and no link between two sets that share a key is lost:
+1. each node is held against the head (the least node) with which it shares most keys;
+2. then against the other heads of its buckets that are not in its component by now;
+3. in buckets whose other nodes still are in several components, each node outside the bucket's largest component is held
+   against the nodes of other components, in pairs where the bucket is small, else in blocks of nodes.
+So nodes of one component are never held against each other once it is known, and nothing is dealt out by component.
+Before full sets are moved, pairs are held against a bound: sets are told by the counts of their shingles in 256 ranges
+of the hash, and the sum of the lesser counts is no less than the intersection.
 
 Defined results: null or white text has an empty set and links with nothing. Fewer than five words are one shingle.
 Rows with equal sets share one node, so copies are never compared. A row with a null doc_id belongs to the component of
-its set, but never names it; a set that only such rows have links with nothing, their component_id is null and they are
-kept. Repeated rows give repeated results. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+its set, but never names it and is not kept; a set that only such rows have links with nothing and has a null
+component_id. Repeated rows give repeated results. Columns other than doc_id and text are ignored. An empty table gives an
+empty result. `representative` is kept, and true for rows of a null component_id too, which nothing else stands for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +35,18 @@ from quire.llm.common import WordIds, mix64, sized, slices, split_words, staged
 from quire.llm.graph import components
 
 WIDTH = 5
-#: Band hashes in each collection, and minhashes in each band hash. A link of similarity 0.85 shares no table key with
-#: probability below 2 * (1 - 0.85 ** 3) ** 12, or 1 in 45,000.
-M, R = 12, 3
-#: Nodes in a block; a coarse cluster of more nodes is compared block against block.
-BLOCK = 512
+#: Minhashes in each band hash, and the chance of a link that shares no table key.
+R, MISS = 3, 1 / 45_000
+#: Ranges of the hash in which a set's shingles are counted.
+RANGES = 256
+#: Nodes of a bucket up to which its pairs are formed; larger ones are compared in blocks of so many nodes.
+SMALL, BLOCK = 16, 1024
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
-_FUNCTIONS = mix64(np.arange(1, 4 * M * R + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 2 * M * R, 1)
+
+
+def bands_for(percent: int) -> int:
+    """Band hashes in each collection, so that a link is missed with probability MISS at most."""
+    return math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** R)) if percent < 100 else 1
 
 
 class Shingles:
@@ -71,48 +86,58 @@ class Shingles:
         return out
 
 
-def _bands(s: np.ndarray) -> np.ndarray:
+def _functions(m: int) -> np.ndarray:
+    return mix64(np.arange(1, 4 * m * R + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 2 * m * R, 1)
+
+
+def _bands(s: np.ndarray, functions: np.ndarray) -> np.ndarray:
     """2 * M band hashes of a set."""
-    low = np.full(2 * M * R, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(functions.shape[1], np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
-        np.minimum(low, ((s[None, at : at + 2048] ^ _FUNCTIONS[0]) * (_FUNCTIONS[1] | np.uint64(1))).min(axis=1), out=low)
-    low = mix64(low).reshape(2 * M, R)
+        np.minimum(low, ((s[None, at : at + 2048] ^ functions[0]) * (functions[1] | np.uint64(1))).min(axis=1), out=low)
+    low = mix64(low).reshape(-1, R)
     out = low[:, 0]
     for i in range(1, R):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + low[:, i])
     return out.view(np.int64)
 
 
+def _counts(s: np.ndarray) -> bytes:
+    """Shingles in each range of the hash; nothing if a count does not fit 16 bits."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return n.astype("<u2").tobytes() if len(s) < 65_536 or n.max() < 65_536 else b""
+
+
 def _name(s: np.ndarray) -> tuple[int, int]:
     """A set's 128-bit fingerprint."""
     twin = np.array([s.sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
     return int(twin[0]), int(twin[1])
 
 
-def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, fp1, fp2 (the set's fingerprint), a, b (its band hashes; null
-    for an empty set)."""
+def sketches(docs: DataFrame, width: int = WIDTH, bands: int = 12) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, fp1, fp2 (the set's fingerprint), counts (by range), a, b (its
+    band hashes; null for an empty set)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(width)
+        shingles, functions = Shingles(width), _functions(bands)
         for part in slices(parts):
             rows = []
             for s in shingles(part["text"]):
-                bands = _bands(s) if len(s) else None
-                rows.append((len(s), *_name(s), None if bands is None else bands[:M], None if bands is None else bands[M:]))
-            out = pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "a", "b"])
+                both = _bands(s, functions) if len(s) else None
+                rows.append((len(s), *_name(s), _counts(s), None if both is None else both[:bands], None if both is None else both[bands:]))
+            out = pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "counts", "a", "b"])
             out.insert(0, "doc_id", part["doc_id"].array)
             out.insert(1, "text_key", part["text_key"].array)
             yield out
 
     # ids pass Python as text, since pandas has no whole numbers with nulls
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    found = rows.mapInPandas(run, "doc_id string, text_key long, n_shingles long, fp1 long, fp2 long, a array<long>, b array<long>")
+    found = rows.mapInPandas(run, "doc_id string, text_key long, n_shingles long, fp1 long, fp2 long, counts binary, a array<long>, b array<long>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def coarse_clusters(nodes: DataFrame) -> DataFrame:
-    """(node, cluster) of nodes that share a table key with another, from nodes (node, a, b).
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Staged: key, node, head (the bucket's least node) of the tables' buckets of two nodes or more, from nodes (node, a, b).
 
     Only nodes that share a hash of each collection with some other node can share a pair of them, so the others leave
     before the M * M keys are formed.
@@ -128,100 +153,133 @@ def coarse_clusters(nodes: DataFrame) -> DataFrame:
         near.select("node", F.explode(F.expr("flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y))))")).alias("key")), "keys"
     )
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-    edges = keys.join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    return components(edges).withColumnRenamed("component", "cluster")
-
+    return staged(keys.join(heads, "key").select("key", "node", "head"), "buckets")
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs (i, j), i from left and j from right, of sets whose similarity reaches percent.
 
-    Shared shingles are counted through an inverted list, some rows of left at a time.
-    """
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate([sets[j] for j in right])
-    owner = np.repeat(np.arange(len(right)), size[right])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    found = []
-    for i in left:
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        some = hi > lo
-        if not some.any():
-            continue
-        lo, n = lo[some], (hi - lo)[some]
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(right))
-        hit = np.flatnonzero(100 * both >= percent * (size[i] + size[right] - both))
-        found += [(int(i), int(right[j])) for j in hit if right[j] != i]
-    return found
-
-
-def _forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """The pairs that join what was apart; the others add nothing to components."""
-    up = list(range(n))
-    kept = []
-    for x, y in pairs:
-        a, b = x, y
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            kept.append((x, y))
-    return kept
-
-
-def confirmed_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
-    """Links (u, v) between nodes of a cluster, enough of them to join all that links connect."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = staged(
-        clusters.join(sizes, "cluster").join(nodes.select("node", "doc_id", "fp1", "fp2"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "members"
-    )
-    wanted = sized(members.select("doc_id", "fp1", "fp2", "node", "cluster", "blocks"))
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Staged: node, shingles of the wanted nodes."""
+    wanted = sized(staged(nodes.join(wanted, "node", "left_semi").select("doc_id", "fp1", "fp2", "node"), "wanted"))
 
-    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
         for part in slices(parts):
             found = shingles(part["text"])
             mine = [_name(s) == (a, b) for s, a, b in zip(found, part["fp1"], part["fp2"])]
-            out = part.loc[mine, ["node", "cluster", "blocks"]].copy()
-            out["shingles"] = [s.tobytes() for s, m in zip(found, mine) if m]
-            yield out
-
-    one = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
-    full = one.select("node", "cluster", "blocks", "fp1", "fp2", "text").mapInPandas(sets, "node long, cluster long, blocks int, shingles binary")
-    packs = max(64, members.count() // 256)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = full.withColumn("own", own).withColumn("other", other).select(
-        "node", "cluster", "shingles", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster")).alias("pack"),
-    )
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, group in part.drop_duplicates(["node"]).groupby("cluster"):
-            s = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-            ids, own = group["node"].to_numpy(), group["own"].to_numpy()
-            x, y = group["x"].iloc[0], group["y"].iloc[0]
-            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-            if len(left) and len(right):
-                rows += [(ids[i], ids[j]) for i, j in _forest(_links(s, left, right, percent), len(s))]
-        return pd.DataFrame(rows, columns=["u", "v"])
-
-    return dealt.groupBy("pack", "x", "y").applyInPandas(compare, "u long, v long")
+            yield pd.DataFrame({"node": part["node"][mine], "shingles": [s.tobytes() for s, m in zip(found, mine) if m]})
+
+    # rows that share a doc_id and a set give it once
+    one = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "fp1", "fp2", "text")
+    return staged(one.mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether one set, by its counts x and size n, and each of others may reach percent of similarity."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _told(raw: list) -> np.ndarray:
+    """Counts of sets as rows; the greatest there are for sets that have none."""
+    full = np.full(RANGES, 65_535, "<u2").tobytes()
+    return np.frombuffer(b"".join(x or full for x in raw), "<u2").reshape(-1, RANGES)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Staged: the pairs (u, v) whose sets reach percent of similarity."""
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
+        most = np.minimum(_told(x), _told(y)).sum(axis=1, dtype=np.int64)
+        known = (x.str.len() > 0) & (y.str.len() > 0)
+        return (100 * most >= percent * (n + m - most)) | ~known
+
+    @F.pandas_udf("boolean")
+    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            at = np.searchsorted(b, a)
+            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            out.append(100 * both >= percent * (len(a) + len(b) - both))
+        return pd.Series(out)
+
+    def beside(df: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+        for side in ("u", "v"):
+            df = df.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{short}") for c, short in columns.items()]), side)
+        return df
+
+    close = beside(pairs, nodes, {"counts": "c", "n_shingles": "n"}).where(may("u_c", "u_n", "v_c", "v_n")).select("u", "v")
+    return staged(beside(staged(close, "close"), sets, {"shingles": "s"}).where(linked("u_s", "v_s")).select("u", "v"), "links")
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (u, v) that are not in one of the known components (node, component)."""
+    known = sized(known)
+    for side in ("u", "v"):
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component")), side, "left").withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
+    return pairs.where("u_component <> v_component").select("u", "v")
+
+
+def _left_in_buckets(held: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that may link, of nodes of one bucket that are in different components; heads are settled already."""
+    rest = held.where("node <> head").join(sized(known), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    each = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"))
+    open_ = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("name").alias("name"), F.max_by("component", "n").alias("largest")).where("parts > 1")
+    # buckets of the same nodes are looked at once
+    open_ = staged(open_.groupBy("n", "name").agg(F.min("key").alias("key"), F.min_by("largest", "key").alias("largest")).select("key", "n", "largest"), "open")
+    mine = staged(rest.join(sized(open_), "key"), "mixed")
+    small = mine.where(F.col("n") <= SMALL).groupBy("key", "largest").agg(F.collect_list(F.struct("node", "component")).alias("all"))
+    pairs = small.select("largest", "all", F.explode("all").alias("x")).where("x.component <> largest").select("x", F.explode("all").alias("y")).where("x.component <> y.component")
+    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+
+    large = mine.where(F.col("n") > SMALL)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), blocks - 1))
+    outer = large.where("component <> largest").select("key", "node", "component", F.lit(True).alias("outer"), block.alias("i"), all_.alias("j"))
+    inner = large.select("key", "node", "component", F.lit(False).alias("outer"), block.alias("j"), all_.alias("i")).select("key", "node", "component", "outer", "i", "j")
+    dealt = outer.unionByName(inner).join(nodes.select("node", "counts", "n_shingles"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group["outer"]], group[~group["outer"]]
+        counts, sizes, parts, names = _told(y["counts"]), y["n_shingles"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
+        unknown = (y["counts"].str.len() == 0).to_numpy()
+        u, v = [], []
+        for node, part, raw, n in zip(x["node"], x["component"], x["counts"], x["n_shingles"]):
+            hit = (parts != part) & (_may_link(_told([raw])[0], n, counts, sizes, percent) | unknown | (len(raw) == 0))
+            v.append(names[hit])
+            u.append(np.full(len(v[-1]), node, np.int64))
+        return pd.DataFrame({"u": np.concatenate([*u, np.zeros(0, np.int64)]), "v": np.concatenate([*v, np.zeros(0, np.int64)])})
+
+    found = dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return pairs.unionByName(found).distinct()
+
+
+def confirmed_links(docs: DataFrame, nodes: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """Links (u, v) between nodes that share a table key, enough of them to join all that such links connect."""
+    held = buckets(nodes)
+    sets = full_sets(docs, nodes, held.select("node").distinct(), width)
+    stars = staged(held.where("node <> head").groupBy(F.col("node").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("n")), "stars")
+    best = stars.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
+    best = staged(best, "best")
+    links = verified(best, nodes, sets, percent)
+    known = staged(components(links), "known")
+    others = stars.select("u", "v").join(best, ["u", "v"], "left_anti")
+    links = staged(links.unionByName(verified(_apart(others, known), nodes, sets, percent)), "links")
+    known = staged(components(links), "known")
+    return staged(links.unionByName(verified(_left_in_buckets(held, nodes, known, percent), nodes, sets, percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_key: components of documents whose shingle sets reach percent of similarity."""
-    rows = staged(sketches(docs, width), "sketches")
+    """doc_id, n_shingles, component_id, kept, text_key, representative: components of documents whose shingle sets reach
+    percent of similarity."""
+    rows = staged(sketches(docs, width, bands_for(percent)), "sketches")
     # a node is a distinct set; its name is the least doc_id that has it
-    same = rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
+    same = rows.where("n_shingles > 0").groupBy("fp1", "fp2").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("a").alias("a"), F.first("b").alias("b"),
+    )
     nodes = staged(same.where("doc_id is not null").withColumn("node", F.xxhash64("fp1", "fp2")), "nodes")
-    clusters = staged(coarse_clusters(nodes), "clusters")
-    links = staged(confirmed_links(docs, nodes, clusters, percent, width), "links")
-    joined = components(links)
+    joined = components(confirmed_links(docs, nodes, percent, width))
     named = joined.join(nodes.select("node", "doc_id"), "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     moved = named.join(least, "component").select("node", "least")
@@ -231,5 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     )
     out = rows.select("doc_id", "text_key", "n_shingles", "fp1", "fp2").join(sized(final), ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key")
+    kept = F.col("doc_id") == F.col("component_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "text_key", F.coalesce(kept, F.col("component_id").isNull()).alias("representative")
+    )
