@@ -2,18 +2,24 @@
 
 Three base kinds are found by pattern: assign (a value given to a password, token or the like), access (key ids) and hex
 (long lower-case hexadecimal runs). The kind entropy adds spans: each run of 20 or more characters of the base64
-alphabet that holds a digit is a candidate; a window of 20 characters slides over it and the Shannon entropy of its
-characters is kept up by counts, one character in and one out. Windows that reach the threshold of the candidate's
-class (hex, or mixed) make a span from the first one's start to the last one's end, unless an allow-listed pattern
-matches the candidate. The allow list never takes base spans away.
-
-Places are found from the lengths of matches and of what stands between them, summed along the text. Defined results:
-null or empty text has no spans. Starts and ends are code points, the end exclusive. Repeated rows, null doc_ids and
-other columns change nothing; an empty table gives no rows.
+alphabet is a candidate; a window of 20 characters slides over it and the Shannon entropy of its characters is kept up
+by counts, one character in and one out. A window counts if it holds letters and digits and reaches the threshold of
+its own class: hex, if all its letters are hexadecimal ones of one case and nothing else stands between, or mixed. So a
+hexadecimal secret glued to a name is judged as one. Windows that meet an allow-listed stretch do not count. The windows
+that count make one span of the candidate, from the first one's start to the last one's end. The allow list never takes
+base spans away.
+
+Places are found from the lengths of matches and of what stands between them, summed along the text. Texts are read once;
+time and memory grow in proportion to a text's length, also for one unbroken run of megabytes: no pattern backtracks over
+repeated groups, and each character changes two packed counters. Defined results: null or empty text has no spans. Starts
+and ends are code points, the end exclusive. Repeated rows, null doc_ids and other columns change nothing; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +30,29 @@ HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
 
 WINDOW = 20
-#: Runs of the base64 alphabet with a digit in them.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Runs of the base64 alphabet.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: Bits for each character that a window must reach, by class.
 HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Candidates that are no secrets: numbers and rulers, identifiers of the UUID form, path-like and sample strings.
-ALLOWED = (r"^[0-9+/_=-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|xxxx", r"^(/?[a-z]+)+(/[a-z]+[0-9]{0,3})+$")
+#: Stretches that are no secrets: identifiers of the UUID form, sample strings, and candidates that are paths of small letters.
+ALLOWED = (
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])", r"(?i:example|placeholder|x{4,})",
+    r"^/?+[a-z]++(?:[0-9]{0,3}+/[a-z]++)++[0-9]{0,3}+$",
+)
 KINDS = ("assign", "access", "hex", "entropy")
+#: Stands for an allow-listed character.
+_MASK = "."
+#: Code of a character of the alphabet: its number less this one. Twelve counters of five bits stand in a word.
+_FIRST, _CODES, _A_WORD, _BITS = ord("+"), ord("z") - ord("+") + 1, 12, 5
+#: Kinds of characters, each a counter: digits, small and capital hexadecimal letters, other letters, signs, masked ones.
+_SORTS = ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "+/_=-", _MASK)
+
+
+def masked(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """text with every character of allow-listed stretches masked."""
+    pattern = "|".join(allowed)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), sizes, lambda piece, n: F.concat(piece, F.repeat(F.lit(_MASK), F.coalesce(n, F.lit(0))))), "")
 
 
 def _units(counts: Column) -> Column:
@@ -38,50 +60,74 @@ def _units(counts: Column) -> Column:
     return F.when(counts > 1, counts * F.log2(counts)).otherwise(F.lit(0.0))
 
 
-def entropy_span(text: Column, bits: Column, window: int = WINDOW) -> Column:
-    """first, last: the ends of the first and the last window of text whose entropy reaches bits; 0 if none does.
+def entropy_span(text: Column, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS) -> Column:
+    """first, last: the ends of the first and the last window of text that counts; 0 if none does.
 
     The sum of x * log2(x) over the window's character counts x follows from the one before by the character that comes
     in and the one that goes out.
     """
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("units"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-
-    def step(state: Column, i: Column) -> Column:
-        into, out = F.ascii(F.substring(text, i, F.lit(1))), F.ascii(F.substring(text, F.greatest(i - window, F.lit(1)), F.lit(1)))
-        full, moved = i > window, (i <= window) | (into != out)
-        new, old = F.element_at(state["counts"], into + 1), F.element_at(state["counts"], out + 1)
-        counts = F.when(moved, F.transform(state["counts"], lambda x, k: x + F.when(k == into, 1).otherwise(0) - F.when(full & (k == out), 1).otherwise(0))).otherwise(state["counts"])
-        units = F.when(moved, state["units"] + _units(new + 1) - _units(new) + F.when(full, _units(old - 1) - _units(old)).otherwise(0.0)).otherwise(state["units"])
-        hit = (i >= window) & (F.round(F.lit(window * 1.0) * F.log2(F.lit(window * 1.0)) - units, 9) >= bits * window)
-        return F.struct(counts.alias("counts"), units.alias("units"), F.when(hit & (state["first"] == 0), i).otherwise(state["first"]).alias("first"), F.when(hit, i).otherwise(state["last"]).alias("last"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-
+    if not 1 < window < 1 << _BITS:
+        raise ValueError("a window's counts must fit five bits")
+    right = lambda x, n: F.call_function("shiftright", x, n)
+    counter = lambda x, n: right(x, n).bitwiseAND(F.lit((1 << _BITS) - 1))
+    sort_of = [next((1 << _BITS * k for k, some in enumerate(_SORTS) if chr(_FIRST + c) in some), 0) for c in range(_CODES)]
+    sorts = F.array(*[F.lit(x).cast("long") for x in sort_of])
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - _FIRST)
+    behind = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), F.lit(1), F.size(codes))
+    zero = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), -(-_CODES // _A_WORD)).alias("counts"), F.lit(0).cast("long").alias("sorts"), F.lit(0.0).alias("units"), F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+    )
 
-def _marks(kind: str, pattern: str, value: int) -> Column:
+    def step(s: Column, p: Column) -> Column:
+        i, full = s["i"] + 1, p["out"] >= 0
+        moved = p["into"] != p["out"]
+        word = lambda c: F.floor(F.greatest(c, F.lit(0)) / _A_WORD).cast("int")
+        place = lambda c: (F.greatest(c, F.lit(0)) % _A_WORD) * _BITS
+        one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c))
+        held = lambda c: counter(F.element_at(s["counts"], word(c) + 1), place(c))
+        new, old = held(p["into"]), held(p["out"])
+        counts = F.transform(s["counts"], lambda x, k: x + F.when(k == word(p["into"]), one(p["into"])).otherwise(F.lit(0).cast("long")) - F.when(full & (k == word(p["out"])), one(p["out"])).otherwise(F.lit(0).cast("long")))
+        units = s["units"] + _units(new + 1) - _units(new) + F.when(full, _units(old - 1) - _units(old)).otherwise(0.0)
+        counts, units = F.when(moved, counts).otherwise(s["counts"]), F.when(moved, units).otherwise(s["units"])
+        kinds = s["sorts"] + F.element_at(sorts, p["into"] + 1) - F.when(full, F.element_at(sorts, F.greatest(p["out"], F.lit(0)) + 1)).otherwise(F.lit(0).cast("long"))
+        return F.struct(counts.alias("counts"), kinds.alias("sorts"), units.alias("units"), i.alias("i"), s["first"].alias("first"), s["last"].alias("last"))
+
+    # what a step makes is bound to a name before it is judged, so that it is worked out once
+    def whole(s: Column, p: Column) -> Column:
+        return F.transform(F.array(step(s, p)), lambda t: _judge(t))[0]
+
+    def _judge(t: Column) -> Column:
+        digits, small, capital, letters, signs, mask = (counter(t["sorts"], F.lit(_BITS * k)) for k in range(len(_SORTS)))
+        bits = F.when((letters == 0) & (signs == 0) & ((small == 0) | (capital == 0)), hex_bits).otherwise(mixed_bits)
+        entropy = F.round(F.lit(window * math.log2(window)) - t["units"], 9)
+        hit = (t["i"] >= window) & (mask == 0) & (digits > 0) & (small + capital + letters > 0) & (entropy >= bits * window)
+        first, last = F.when(hit & (t["first"] == 0), t["i"]).otherwise(t["first"]), F.when(hit, t["i"]).otherwise(t["last"])
+        return F.struct(*[t[k].alias(k) for k in ("counts", "sorts", "units", "i")], first.alias("first"), last.alias("last"))
+
+    both = F.zip_with(codes, behind, lambda x, y: F.struct(x.alias("into"), y.alias("out")))
+    return F.aggregate(both, zero, whole, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def _marks(kind: str, pattern: str) -> Column:
     """Each match and the text before it, in order; the text after the last match comes with no match."""
-    between, whole = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all("text", F.lit(pattern), F.lit(value))
-    told = F.arrays_zip(F.transform(between, F.length), F.transform(whole, F.length), part).cast("array<struct<before:int,size:int,value:string>>")
+    between, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    told = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("before"), F.length(m).alias("size"), m.alias("found")))
     return F.struct(F.lit(kind).alias("kind"), told.alias("marks"))
 
 
 def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """row, doc_id, kind, start, end of each span of texts that may hold one; a row with null kind for each such text."""
-    hot = docs.where(_suspect()).withColumn("row", F.monotonically_increasing_id())
-    kinds = F.array(_marks("assign", ASSIGN, 2), _marks("access", ACCESS, 0), _marks("hex", HEX, 0), _marks("entropy", CANDIDATE, 0))
-    each = hot.select("row", "doc_id", F.explode(kinds).alias("k")).select("row", "doc_id", "k.kind", F.posexplode("k.marks").alias("n", "m"))
+    """row, doc_id, kind, start, end of each span; rows of a text with null kind come with it, one at least."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    kinds = F.when(_suspect(), F.array(_marks("assign", ASSIGN), _marks("access", ACCESS), _marks("hex", HEX), _marks("entropy", CANDIDATE)))
+    each = rows.select("row", "doc_id", F.explode_outer(kinds).alias("k")).select("row", "doc_id", "k.kind", F.posexplode_outer("k.marks").alias("n", "m"))
     along = Window.partitionBy("row", "kind").orderBy("n")
     end = F.sum(F.col("m.before") + F.coalesce("m.size", F.lit(0))).over(along)
-    found = each.select("row", "doc_id", "kind", end.alias("end"), F.col("m.size").alias("size"), F.col("m.value").alias("value")).withColumn("start", F.col("end") - F.col("size"))
-    text = F.col("value")
-    bits = F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(MIXED_BITS)
-    candidate = (F.col("kind") == "entropy") & F.col("size").isNotNull()
-    for pattern in allowed:
-        candidate &= ~text.rlike(pattern)
-    found = found.withColumn("hot", F.when(candidate, entropy_span(text, bits)))
-    kept = F.when(F.col("size").isNull(), False).when(F.col("kind") == "assign", F.length("value") >= LEAST_VALUE).when(F.col("kind") == "entropy", F.coalesce(F.col("hot.last") > 0, F.lit(False))).otherwise(True)
+    found = each.select("row", "doc_id", "kind", end.alias("end"), F.col("m.size").alias("size"), F.col("m.found").alias("found")).withColumn("start", F.col("end") - F.col("size"))
+    text = F.col("found")
     entropic = F.col("kind") == "entropy"
+    found = found.withColumn("hot", F.when(entropic & text.rlike("[0-9]") & text.rlike("[A-Za-z]"), entropy_span(masked(text, allowed))))
+    value = F.length(F.regexp_extract(text, ASSIGN, 2))
+    kept = F.when(F.col("size").isNull(), False).when(F.col("kind") == "assign", value >= LEAST_VALUE).when(entropic, F.coalesce(F.col("hot.last") > 0, F.lit(False))).otherwise(True)
     return found.select(
         "row", "doc_id", F.when(kept, F.col("kind")).alias("kind"),
         F.when(entropic, F.col("start") + F.col("hot.first") - WINDOW).otherwise(F.col("start")).alias("start"), F.when(entropic, F.col("start") + F.col("hot.last")).otherwise(F.col("end")).alias("end"),
@@ -91,7 +137,7 @@ def spans(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
 def _suspect() -> Column:
     """Whether any kind may match."""
     text = F.coalesce("text", F.lit(""))
-    return text.rlike(r"(?i)passw|secret|token|api_?key") | text.contains("AKIA") | text.rlike(r"[0-9a-f]{32}") | text.rlike(CANDIDATE)
+    return text.rlike(r"(?i)passw|secret|token|api_?key") | text.contains("AKIA") | text.rlike(CANDIDATE)
 
 
 def _joined(all_spans: Column) -> Column:
@@ -103,10 +149,9 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.when(F.col("kind").isNotNull(), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int"))
     one = F.when(F.col("kind").isNotNull(), F.struct(F.col("start").cast("int").alias("start"), order.alias("order"), F.col("end").cast("int").alias("end")))
-    hot = spans(docs).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(one)).alias("all")).select("doc_id", "all")
-    cold = docs.where(~_suspect()).select("doc_id", F.array().cast("array<struct<start:int,order:int,end:int>>").alias("all"))
+    hot = spans(docs).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
     count = lambda k: F.size(F.filter("all", lambda s: s["order"] == k)).cast("long")
-    return hot.unionByName(cold).select(
+    return hot.select(
         "doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"),
         F.sha2(_joined(F.filter("all", lambda s: s["order"] <= 3)), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), count(4).alias("n_entropy"),
     )
