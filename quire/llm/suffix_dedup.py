@@ -1,7 +1,9 @@
 """Removal of repeated byte strings by suffix arrays built in two stages.
 
 Every window of `length` bytes is dealt to a bucket by the least hash among its 8-byte grams, so equal windows always
-meet, wherever they stand. Neighbouring windows of one least gram travel together as one piece of text. In a bucket,
+meet, wherever they stand. Neighbouring windows of one least gram travel together as one piece of text. Grams that very
+many documents share would fill one bucket each: their pieces go by what stands beside the gram, and of those that many
+rows have alike only the first is sent at all (see `_cut`). In a bucket,
 pieces that share neither side of their gram with another document are dropped and equal pieces become one; over those
 that share a side with a different piece a suffix array is built by two-stage sorting: only suffixes smaller than their
 successors are sorted directly, the others are induced by scanning the buckets of first bytes in order. Adjacent common
@@ -32,6 +34,11 @@ _GRAM = 8
 BUCKET_BYTES, PART_BYTES = 6_000_000, 6_000_000
 #: Bytes of text that one map batch cuts at once.
 BATCH_BYTES = 2_000_000
+#: Documents from which common grams are told, the share of them (one in so many) and the number that make a gram common,
+#: and how many grams are at most. Like the next ones they only say where work is done.
+SAMPLE, COMMON_SHARE, LEAST_COMMON, MOST_COMMON = 10_000, 500, 20, 4096
+#: Rows that make a piece at a common gram a repeated one, and how many such pieces are told to all tasks.
+LEAST_REPEATED, MOST_REPEATED = 200, 200_000
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -196,47 +203,137 @@ def _fields(raw: bytes, kind: np.dtype, n: int) -> np.ndarray:
     return out
 
 
-def _cut(docs: DataFrame, buckets: int, length: int, twins: bool) -> DataFrame:
-    """bucket, n, body: the pieces of some texts that go to a bucket."""
+def _batches(parts: Iterator[pd.DataFrame], length: int, twins: bool) -> Iterator[list[tuple[int, bytes, int, int]]]:
+    """Texts (doc_id, bytes, crc, place in the whole text); a long text comes in slices that share no window."""
+    held, size = [], 0
+    for part in parts:
+        for doc, text in zip(part["doc_id"], part["text"]):
+            raw = text.encode("utf-8", "surrogatepass")
+            crc = zlib.crc32(raw) if twins else 0
+            for at in range(0, len(raw) - length + 1, BATCH_BYTES):
+                held.append((doc, raw[at : at + BATCH_BYTES + length - 1], crc, at))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
-    if not _GRAM < length < 256:
-        raise ValueError("length must be from 9 to 255 bytes")
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, bytes, int, int]]]:
-        """Texts (doc_id, bytes, crc, place in the whole text); a long text comes in slices that share no window."""
-        held, size = [], 0
-        for part in parts:
-            for doc, text in zip(part["doc_id"], part["text"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                crc = zlib.crc32(raw) if twins else 0
-                for at in range(0, len(raw) - length + 1, BATCH_BYTES):
-                    held.append((doc, raw[at : at + BATCH_BYTES + length - 1], crc, at))
-                    size += len(held[-1][1])
-                    if size >= BATCH_BYTES:
-                        yield held
-                        held, size = [], 0
-        if held:
-            yield held
+def _laid(batch: list[tuple[int, bytes, int, int]], length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """The bytes of a batch, where its texts begin, and its pieces."""
+    data = np.frombuffer(b"".join(x[1] for x in batch), np.uint8)
+    begins = np.concatenate([[0], np.cumsum([len(x[1]) for x in batch])])
+    return data, begins, pieces(data, begins, length)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    return np.ndarray(max(0, len(data) - _GRAM + 1), "<u8", data, strides=(1,))
+
+
+def _known(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether values are in a sorted array, and where."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return sorted_[at] == values, at
+
+
+def _common(docs: DataFrame, length: int) -> np.ndarray:
+    """Hashes of grams at which pieces of many documents stand, from a sample of documents. What it holds decides only
+    where pieces go, not what is found."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, n))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _batches(parts, length, False):
+            text, _, _, _, mark = _laid(batch, length)[2]
+            order = np.lexsort((text, mark))
+            once = np.append(True, (mark[order][1:] != mark[order][:-1]) | (text[order][1:] != text[order][:-1]))[: len(order)]
+            found, times = np.unique(mark[order][once], return_counts=True)
+            yield pd.DataFrame({"mark": found.view(np.int64), "n": times.astype(np.int64)})
+
+    counts = some.select("doc_id", "text").mapInPandas(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= max(LEAST_COMMON, min(n, SAMPLE) // COMMON_SHARE)).orderBy(F.desc("n"), "mark").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["mark"] for r in top], np.int64).view(np.uint64))
+
+
+def _names(words: np.ndarray, first: np.ndarray, last: np.ndarray, mark: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each piece and its gram."""
+    return mix64(_contents(words, first, last - first + length - 1) ^ mark)
+
+
+def _repeated(docs: DataFrame, marks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces at common grams, those that many rows have: their hashes in order, and the smallest doc_id of each."""
+    if not len(marks):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    told = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches(parts):
-            data = np.frombuffer(b"".join(x[1] for x in batch), np.uint8)
-            begins = np.concatenate([[0], np.cumsum([len(x[1]) for x in batch])])
+        for batch in _batches(parts, length, False):
+            data, _, (text, first, last, _, mark) = _laid(batch, length)
+            some = np.flatnonzero(_known(told.value, mark)[0])
+            if not len(some):
+                continue
+            ids = np.array([x[0] for x in batch], np.int64)[text[some]]
+            found, back, times = np.unique(_names(_words(data), first[some], last[some], mark[some], length), return_inverse=True, return_counts=True)
+            least = np.full(len(found), np.iinfo(np.int64).max)
+            np.minimum.at(least, back, ids)
+            yield pd.DataFrame({"name": found.view(np.int64), "first": least, "n": times.astype(np.int64)})
+
+    counts = docs.select("doc_id", "text").mapInPandas(run, "name long, first long, n long").groupBy("name").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= LEAST_REPEATED).orderBy(F.desc("n"), "name").limit(MOST_REPEATED).select("name", "first").toPandas()
+    names, first = top["name"].to_numpy(np.int64).view(np.uint64), top["first"].to_numpy(np.int64)
+    order = np.argsort(names)
+    return names[order], first[order]
+
+
+def _cut(docs: DataFrame, buckets: int, parts: int, length: int, twins: bool) -> DataFrame:
+    """bucket, n, body: the pieces of some texts that go to a bucket; of bucket -1 - part, spans that are settled already.
+
+    Pieces go by their gram. At a common gram, copies of what many rows have are settled on the spot, since the smallest
+    doc_id that has it is known; the others go by each of their sides, of which pieces that share a window share one.
+    """
+    if not _GRAM < length < 256:
+        raise ValueError("length must be from 9 to 255 bytes")
+    marks = _common(docs, length)
+    told = docs.sparkSession.sparkContext.broadcast((marks, *_repeated(docs, marks, length)))
+    reach = (length - _GRAM) // 2
+
+    def run(slices_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, names, least = told.value
+        for batch in _batches(slices_, length, twins):
+            data, begins, (text, first, last, offset, mark) = _laid(batch, length)
             ids, crc, place = (np.array([x[k] for x in batch], kind) for k, kind in ((0, np.int64), (2, np.uint32), (3, np.int64)))
-            text, first, last, offset, mark = pieces(data, begins, length)
-            bucket = ((mark >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            text, first, last, offset, bucket = text[order], first[order], last[order], offset[order], bucket[order]
             head = np.empty(len(text), _HEAD)
             head["doc"], head["crc"], head["pos"] = ids[text], crc[text], first - begins[text] + place[text]
             head["windows"], head["offset"] = last - first, offset
             size = last - first + length - 1
-            body = _gather(data, first, size)
-            stops = np.cumsum(size)
+            bucket_of = lambda x: ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            rows, piece, bucket = [], np.arange(len(text)), bucket_of(mark)
+            common = np.flatnonzero(_known(marks, mark)[0])
+            if len(common):
+                words = _words(data)
+                known, at = _known(names, _names(words, first[common], last[common], mark[common], length))
+                settled = known & (ids[text[common]] > (least[at] if len(least) else 0))
+                spans = _whole(head[common[settled]], length)
+                part = _part(spans["doc"], spans["crc"], parts)
+                order = np.argsort(part, kind="stable")
+                found, x = np.unique(part[order], return_index=True)
+                rows += [(-1 - p, j - i, _pack(spans[order[i:j]])) for p, i, j in zip(found, x, np.append(x[1:], len(order)))]
+                open_ = common[~settled]
+                sides = _sides(words, first[open_], size[open_], offset[open_], reach)
+                cold = np.ones(len(text), bool)
+                cold[common] = False
+                piece = np.concatenate([piece[cold], *(open_[side != 0] for side in sides)])
+                bucket = np.concatenate([bucket[cold], *(bucket_of(side[side != 0]) for side in sides)])
+            order = np.argsort(bucket, kind="stable")
+            piece, bucket = piece[order], bucket[order]
+            body = _gather(data, first[piece], size[piece])
+            stops = np.cumsum(size[piece])
             found, at = np.unique(bucket, return_index=True)
-            rows = []
             for b, x, y in zip(found, at, np.append(at[1:], len(bucket))):
-                rows.append((b, y - x, _pack(head[x:y], body[stops[x] - size[x] : stops[y - 1]])))
+                rows.append((b, y - x, _pack(head[piece[x:y]], body[stops[x] - size[piece[x]] : stops[y - 1]])))
             yield pd.DataFrame(rows, columns=["bucket", "n", "body"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "bucket long, n int, body binary")
@@ -283,7 +380,7 @@ def repeated_windows(head: np.ndarray, body: np.ndarray, length: int) -> np.ndar
     reach = (length - _GRAM) // 2
     size = head["windows"].astype(np.int64) + length - 1
     start = np.cumsum(size) - size
-    words = np.ndarray(max(0, len(body) - _GRAM + 1), "<u8", body, strides=(1,))
+    words = _words(body)
     for again in range(2):  # first by documents; then, of different pieces, by pieces
         left, right = _sides(words, start, size, head["offset"].astype(np.int64), reach)
         if again:
@@ -356,6 +453,8 @@ def _find(cut: DataFrame, parts: int, length: int) -> DataFrame:
     """part, n, spans: what is repeated in some documents of a part."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) and group["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"part": -1 - group["bucket"], "n": group["n"], "spans": group["body"]})
         heads, bodies = [], []
         for n, packed in zip(group["n"], group["body"]):
             raw = zstandard.ZstdDecompressor().decompress(packed)
@@ -434,7 +533,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     parts = max(12, total // PART_BYTES)
     # rows that share a doc_id are told apart by their texts' checksums, which are sent only then
     twins = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    cut = _cut(single.where("doc_id is not null and text is not null"), max(12, 33 * total // (10 * BUCKET_BYTES)), length, twins)
+    cut = _cut(single.where("doc_id is not null and text is not null"), max(12, 33 * total // (10 * BUCKET_BYTES)), parts, length, twins)
     spans = staged(_find(cut, parts, length), "spans")
     schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     kept = _shrink(single, parts, twins).groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(lambda t, s: _keep(t, s, with_text), schema)
