@@ -3,8 +3,10 @@
 The reader follows the TIFF 6.0 specification: it walks the chain of image directories in either byte order, decodes
 uncompressed, PackBits, LZW and deflate strips or tiles, undoes horizontal differencing, and gives one row for each page.
 
-Defined results: null bytes have no pages; a file that is not a TIFF, or is cut short, raises ValueError. Null text is
-stored like empty text, as 64 zero bytes. Equal payloads have equal files. Other columns are kept as they are.
+Defined results: null bytes have no pages. `read_tiff` raises ValueError for a file that is not a TIFF, is cut short, or
+lacks strips; the columns of `with_pages` say so in `fault` and have no pages then, so one broken file stops nothing. Null
+text is stored like empty text, as 64 zero bytes; texts of any length are cut into pages of PAGE_ROWS rows. Equal payloads
+have equal files. Other columns are kept, but for `pages` and `fault`, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ _CLEAR, _END = 256, 257
 WIDTH = 64
 #: Rows in a page, in a strip and in a tile.
 PAGE_ROWS, STRIP_ROWS, TILE = 256, 64, 64
-MOST_PAGES = 64
 _RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
@@ -227,7 +228,7 @@ def read_tiff(file: bytes) -> list[Page]:
             seen.add(at)
             tags, at = _directory(file, order, at)
             pages.append(_page(file, order, tags))
-    except struct.error as broken:
+    except (struct.error, zlib.error, IndexError) as broken:
         raise ValueError(f"cut TIFF file: {broken}") from None
     return pages
 
@@ -238,11 +239,18 @@ def _page(file: bytes, order: str, tags: dict[int, tuple]) -> Page:
     codec, predictor, tiled = one(259, NONE), one(317, 1), 322 in tags
     if bits not in (8, 16) or one(284, 1) != 1:
         raise ValueError("only 8- and 16-bit samples that stand together are read")
+    if width < 1 or height < 1 or samples < 1:
+        raise ValueError("a page without samples")
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(f"{order}u2")
     across, down = (one(322, width), one(323, height)) if tiled else (width, min(one(278, height), height))
     image = np.zeros((height, width, samples), np.uint8 if bits == 8 else np.uint16)
-    per_row = -(-width // across) if across else 0
-    for i, (start, size) in enumerate(zip(tags.get(324 if tiled else 273, ()), tags.get(325 if tiled else 279, ()))):
+    if across < 1 or down < 1:
+        raise ValueError("strips or tiles without samples")
+    per_row = -(-width // across)
+    where, sizes = tags.get(324 if tiled else 273, ()), tags.get(325 if tiled else 279, ())
+    if min(len(where), len(sizes)) < per_row * -(-height // down):
+        raise ValueError("strips or tiles are missing")
+    for i, (start, size) in enumerate(zip(where[: per_row * -(-height // down)], sizes)):
         y, x = i // per_row * down, i % per_row * across
         rows = down if tiled else min(down, height - y)
         want = rows * across * samples * kind.itemsize
@@ -269,8 +277,7 @@ def _page(file: bytes, order: str, tags: dict[int, tuple]) -> Page:
 def store(payload: bytes) -> bytes:
     """A payload of a multiple of 64 bytes as a TIFF file; codec, predictor and layout follow from its checksum."""
     pick = zlib.crc32(payload)
-    codec = {0: LZW, 1: PACKBITS}.get(pick % 16, DEFLATE)
-    return write_tiff(payload, codec, 1 + (pick >> 4) % 2, bool((pick >> 5) % 2), max(PAGE_ROWS, -(-len(payload) // WIDTH // MOST_PAGES)))
+    return write_tiff(payload, (LZW, PACKBITS, DEFLATE)[pick % 3], 1 + (pick >> 4) % 2, bool((pick >> 5) % 2))
 
 
 def _columns(df: DataFrame) -> str:
@@ -295,27 +302,36 @@ _PAGES = "array<struct<page:int,width:int,height:int,bits:int,samples:int,compre
 
 
 def with_pages(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with an array `pages` of each file's pages."""
+    """files with an array `pages` of each file's pages, and `fault`, what is wrong with a file that cannot be read."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(parts):
-            pages = []
+            pages, faults = [], []
             for file in part[column]:
-                found = read_tiff(bytes(file)) if file is not None else []
-                pages.append([dict(vars(p), page=i, mean=float(np.frombuffer(p.data, np.uint8 if p.bits == 8 else np.uint16).mean() if p.data else 0)) for i, p in enumerate(found)])
-            yield part.assign(pages=pages)
+                found, fault = [], None
+                try:
+                    found = read_tiff(bytes(file)) if file is not None else []
+                except ValueError as broken:
+                    fault = str(broken)
+                pages.append([dict(vars(p), page=i, mean=float(np.frombuffer(p.data, np.uint8 if p.bits == 8 else np.uint16).mean())) for i, p in enumerate(found)])
+                faults.append(fault)
+            yield part.assign(pages=pages, fault=faults)
 
-    return files.mapInPandas(run, f"{_columns(files)}, pages {_PAGES}")
+    files = files.drop("pages", "fault")
+    return files.mapInPandas(run, f"{_columns(files)}, pages {_PAGES}, fault string")
 
 
 def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page: the other columns of files, then the page's number, size, coding and samples."""
-    return with_pages(files, column).drop(column).withColumn("p", F.explode("pages")).select("*", "p.*").drop("pages", "p")
+    return with_pages(files, column).drop(column).withColumn("p", F.explode("pages")).select("*", "p.*").drop("pages", "p", "fault")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Store each text as TIFF, read the file back, and describe what was read."""
-    read = with_pages(store_text(docs).withColumn("doc_id", F.col("doc_id").cast("string"))).withColumn("payload", F.expr("aggregate(pages, X'', (a, p) -> concat(a, p.data))"))
+    # several pages are joined in one go, as hexadecimal text
+    several = F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["data"])), ""))
+    payload = F.when(F.size("pages") == 1, F.col("pages")[0]["data"]).otherwise(several)
+    read = with_pages(store_text(docs).withColumn("doc_id", F.col("doc_id").cast("string"))).withColumn("payload", payload)
     shape = F.transform("pages", lambda p: F.format_string("%dx%d:c%d:p%d:%s:%.4f", p["width"], p["height"], p["compression"], p["predictor"], F.when(p["tiled"], "tiles").otherwise("strips"), p["mean"]))
     return read.select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
