@@ -1,11 +1,12 @@
 """Boilerplate lines of web sites: lines that a large share of a site's pages hold are dropped from all of them.
 
 Pages are grouped by host. For each line of a host, the pages that contain it are divided by the host's pages; lines over
-the ratio go. A host has at most (lines a page) / ratio such lines, so they travel to its pages as one short list, salted
-if they are too many to broadcast; the pages themselves are not shuffled by host.
+the ratio go, unless one page alone has them, which no small host could otherwise have. A host has at most (lines a
+page) / ratio such lines, so they travel to its pages as one short list. Where the lists are too many to broadcast, pages
+are shuffled by host, and hosts of many pages, which are few, in several parts.
 
-Defined results: null html has no lines. A page whose url has no host keeps its lines, with host null. Hosts of fewer
-than `least_pages` pages keep theirs too. Repeated rows count as pages each. Other columns are ignored.
+Defined results: null html has no lines. A page whose url has no host keeps its lines, with host null. Repeated rows count
+as pages each. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import sized, staged
 
-RATIO, LEAST_PAGES = 0.2, 5
+#: Share of a host's pages, and pages, that a line must pass or reach to go.
+RATIO, LEAST_PAGES = 0.2, 2
 _SILENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-SALTS = 64
+#: Pages of a host that go to one part where pages are shuffled.
+PART_PAGES = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -31,12 +34,12 @@ def lines_of(html: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, host_pages, dropped (hashes of the lines over the ratio) of each host, from pages (host, lines)."""
+    """host, host_pages, dropped (hashes of the lines over the ratio; null without any) of each host, from pages (host, lines)."""
     known = pages.where("host is not null")
     totals = staged(known.groupBy("host").agg(F.count("*").alias("host_pages")), "hosts")
     held = known.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n"))
-    over = counts.join(sized(totals), "host").where((F.col("host_pages") >= least_pages) & (F.col("n") > F.col("host_pages") * ratio))
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    over = counts.join(sized(totals), "host").where(F.col("n") > F.col("host_pages") * ratio)
     lists = over.groupBy("host").agg(F.collect_list("line").alias("dropped"))
     return staged(totals.join(lists, "host", "left"), "boilerplate")
 
@@ -46,9 +49,12 @@ def strip_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     lists = boilerplate(cut, ratio, least_pages)
     near = sized(lists)
-    if near is lists:  # too many hosts: spread each one's pages over some tasks
-        near = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = cut.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(near, ["host", "salt"], "left")
+    if near is lists:
+        parts = F.ceil(F.col("host_pages") / PART_PAGES).cast("int")
+        large = sized(staged(lists.where(F.col("host_pages") > PART_PAGES).select("host", parts.alias("parts")), "large_hosts"))
+        near = lists.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = cut.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", F.size("lines")), F.coalesce("parts", F.lit(1))).cast("int"))
+        joined = dealt.join(near, ["host", "part"], "left")
     else:
         joined = cut.join(near, "host", "left")
     gone = F.coalesce(F.col("dropped"), F.array().cast("array<bigint>"))

@@ -9,11 +9,14 @@ Documents are range-sorted by position.
 Streams are summed in two steps, over hash buckets and inside each, so that a source of any size is spread out.
 
 Defined results: null text has size 0 and is never taken. A null source is a source of its own, the last one. Rows with
-equal doc_ids are separate. Sources of size 0 have target 0. Empty tables give empty results.
+equal doc_ids are separate; rows without a doc_id are ordered by their text. Sources of size 0 have target 0. Other columns
+are kept, but for those named like what is computed here (see `mix`), which are dropped. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from quire.llm.common import sized, staged
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Rows for which a hash bucket is planned, and the hexadecimal digits of its name at most.
+BUCKET_ROWS, LONGEST = 1000, 6
 #: Weight over time of the first, second, ... source, repeating: steady, early and late ones.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.25), (0.6, 1.0), (1.0, 2.5)))
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +33,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def sizes(docs: DataFrame) -> DataFrame:
     """docs with size, the number of words, and place, a hash that orders a source's documents."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")).withColumn("place", F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string"))))
+    place = F.coalesce(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")), F.concat(F.lit("no id:"), F.coalesce("text", F.lit(""))))
+    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")).withColumn("place", F.md5(place))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -75,8 +81,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """The columns of docs, then size, source_size, target, taken, position, the training word at which the mix first
     comes to it (null if it is never taken), and passes, the words and the position of each time its stream is read."""
     rest = docs.drop("size", "place", "bucket", "source_key", "no_source", "bucket_start", "number", "source_size", "target", "start", "taken", "position", "passes", "pass")
-    rows = sizes(rest).withColumn("bucket", F.substring("place", 1, 3))
-    small = staged(rows.select("source", "bucket", "size"), "mix_sizes")
+    rows = sizes(rest)
+    small = staged(rows.select("source", F.substring("place", 1, LONGEST).alias("bucket"), "size"), "mix_sizes")
+    # buckets are so narrow that each holds about BUCKET_ROWS rows of all sources; results do not depend on it
+    digits = min(LONGEST, max(1, math.ceil(math.log(max(1, small.count() / BUCKET_ROWS), 16))))
+    rows, small = (df.withColumn("bucket", F.substring(c, 1, digits)) for df, c in ((rows, "place"), (small, "bucket")))
     goals = staged(targets(small, weights, most), "targets")
     parts = small.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,7 +57,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_key", "representative")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
         cut AS (SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM bare),
         totals AS (SELECT host, count(*) AS host_pages FROM cut WHERE host IS NOT NULL GROUP BY host),
         held AS (SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host IS NOT NULL),
-        over_ratio AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host GROUP BY h.host, h.line, t.host_pages HAVING t.host_pages >= 5 AND count(*) > t.host_pages * 0.2),
+        over_ratio AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host GROUP BY h.host, h.line, t.host_pages HAVING count(*) >= 2 AND count(*) > t.host_pages * 0.2),
         lists AS (SELECT host, list(line) AS dropped FROM over_ratio GROUP BY host),
         kept AS (SELECT c.page_id, c.host, coalesce(t.host_pages, 0) AS host_pages, c.lines,
                         list_filter(c.lines, lambda x: NOT list_contains(coalesce(l.dropped, []::VARCHAR[]), x)) AS stays

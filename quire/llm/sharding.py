@@ -6,7 +6,8 @@ child and its weight alone, so a change of weights below a node only moves rows
 weights change. A grown tree gets each further shard as a region of its own, so that rows move into that shard only.
 
 Defined results: rows with equal keys, null too, go to one shard. Null text has size 16 and the checksum of no bytes.
-Repeated rows take a slot each. Other columns are kept; an empty table gives no rows.
+Repeated rows take a slot each. Other columns are kept, but for those named like an output column, which are replaced,
+and `_part` and `_start`, which are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,19 +81,26 @@ def shard_of(key: Column, tree: Node) -> Column:
     return F.transform(F.array(won), below)[0]
 
 
-def shard_rows(docs: DataFrame, shards: int, base: int | None = None) -> DataFrame:
-    """The columns of docs, then size, text_crc32, law, shard, slot and grown_shard."""
+def shard_rows(docs: DataFrame, shards: int, base: int | None = None, order: tuple[str, str] | None = None) -> DataFrame:
+    """The columns of docs, then size, text_crc32, law, shard, slot and grown_shard.
+
+    Slots follow a hash, or two columns that order names and that are dropped: a part of a bounded number of rows, and a
+    place inside it.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rest = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    rest = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_start", *(() if order else ("_part",)))
     rows = rest.withColumn("size", (F.octet_length(text) + 16).cast("long")).withColumn("text_crc32", F.crc32(text)).withColumn("law", F.lit("key"))
     base = shards if base is None else base
     key = F.col("doc_id")
     rows = rows.withColumn("shard", shard_of(key, plan(shards, base)).cast("int")).withColumn("grown_shard", shard_of(key, plan(shards + 1, base)).cast("int"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int"))
-    # at most shards * SLOT_PARTS rows
+    if order:
+        rows = rows.withColumn("_part", F.col(order[0]))
+    else:
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int"))
+    # at most a row for each shard and part
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(counts.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "slots")
-    inside = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "_part").orderBy(*([order[1]] if order else []), "doc_id", "text_crc32", "size")
     placed = rows.join(sized(starts), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.row_number().over(inside) - 1)
-    return placed.select(*rest.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return placed.select(*[c for c in rest.columns if c not in (order or ())], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
