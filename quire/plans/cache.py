@@ -113,12 +113,6 @@ def _(spark, d):
     return progress.failure_breaker(v.v_render(spark, d))
 
 
-@bind("online_calibration", "SELECT doc_id, round(sum(frames) / sum(30 + event_id % 40), 6) AS scale FROM v_render WHERE status = 'rendered' GROUP BY doc_id")
-def _(spark, d):
-    pairs = v.v_render(spark, d).where("status = 'rendered'").select("doc_id", (30 + F.col("event_id") % 40).alias("estimated"), F.col("frames").alias("actual"))
-    return progress.online_calibration(pairs).withColumn("scale", F.round("scale", 6))
-
-
 @bind("lookahead", "WITH c AS (SELECT doc_id, max(seq) // 2 AS cursor FROM v_render GROUP BY doc_id) SELECT DISTINCT r.doc_id, r.chunk_index FROM v_render r JOIN c ON r.doc_id = c.doc_id WHERE r.chunk_index >= cursor AND r.chunk_index < cursor + 8")
 def _(spark, d):
     r = v.v_render(spark, d)

@@ -11,6 +11,7 @@ from quire.plans.base import bind
 from quire.sources import store
 from quire.sources import views as v
 from quire.sources.views import read
+from quire.streaming import progress
 
 
 def _place(spark, name: str) -> str:
@@ -55,13 +56,22 @@ def _(spark, d):
     return store.vocab_load(spark, path, {"a": 1})
 
 
-@bind("timeline_updates", "SELECT user_id AS doc_id, count(*) AS chunks, sum(20 + floor(value))::BIGINT AS frames FROM events GROUP BY user_id")
-def _(spark, d):
-    """Totals as lengths stream in: each micro-batch is a re-emission, and the trigger is the throttle."""
-    path = _place(spark, "updates")
-    schema = read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    sums = stream.groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("chunks"), F.sum(20 + F.floor("value")).alias("frames"))
-    query = sums.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/now")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+def _streamed(spark, d, name: str, make):
+    """What a stream over the events ends with: each micro-batch is a re-emission, and the trigger is the throttle."""
+    path = _place(spark, name)
+    stream = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    query = make(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/now")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/now")
+
+
+@bind("timeline_updates", "SELECT user_id AS doc_id, count(*) AS chunks, sum(20 + floor(value))::BIGINT AS frames FROM events GROUP BY user_id")
+def _(spark, d):
+    """Totals as lengths stream in."""
+    return _streamed(spark, d, "updates", lambda e: e.groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("chunks"), F.sum(20 + F.floor("value")).alias("frames")))
+
+
+@bind("online_calibration", "SELECT user_id AS doc_id, round(sum(20 + floor(value)) / sum(30 + event_id % 40), 6) AS scale FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def _(spark, d):
+    pairs = lambda e: e.where("event_type <> 'error'").select(F.col("user_id").alias("doc_id"), (30 + F.col("event_id") % 40).alias("estimated"), (20 + F.floor("value")).alias("actual"))
+    return _streamed(spark, d, "scales", lambda e: progress.online_calibration(pairs(e)).withColumn("scale", F.round("scale", 6)))
