@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +102,7 @@ def test_shingles_of_one_short_text(n):
 def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     whole = got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id")
     monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
     assert got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id") == whole
 
 
@@ -191,30 +193,67 @@ def secret_rows():
     ]
 
 
+ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def hot_windows(run):
+    """Starts of windows of 20 characters that count, each judged by itself."""
+    shut = [any(m.start() <= i < m.end() for m in re.finditer("|".join(secrets.ALLOWED), run)) for i in range(len(run))] if len(run) < 3000 else [False] * len(run)
+    for k in range(len(run) - 19):
+        w = run[k : k + 20]
+        if any(shut[k : k + 20]) or not re.search("[0-9]", w) or not re.search("[A-Za-z]", w):
+            continue
+        bits = secrets.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else secrets.MIXED_BITS
+        if round(20 * -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()), 9) >= bits * 20:
+            yield k
+
+
+def plain_scan(i, t):
+    t = t or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    count = Counter(k for _, k, _ in spans)
+    text = lambda some: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(some))
+    base = text(spans)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+        hot = list(hot_windows(m[0]))
+        if hot:
+            spans.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20))
+    return i, count[0], count[1], count[2], hashlib.sha256(base.encode()).hexdigest(), text(spans)
+
+
 def test_secret_scan(spark):
-    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    expected = []
-    for i, t in secret_rows():
-        t = t or ""
-        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 8]
-        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
-        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
-        count = Counter(k for _, k, _ in spans)
-        text = lambda some: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(some))
-        base = text(spans)
-        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
-            if not re.search("[0-9]", m[0]) or any(re.search(a, m[0]) for a in secrets.ALLOWED):
-                continue
-            bits = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0]) else 3.7
-            hot = [k for k in range(len(m[0]) - 19) if round(20 * -sum(c / 20 * math.log2(c / 20) for c in Counter(m[0][k : k + 20]).values()), 9) >= bits * 20]
-            if hot:
-                spans.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20))
-        expected.append((i, count[0], count[1], count[2], hashlib.sha256(base.encode()).hexdigest(), text(spans)))
+    expected = [plain_scan(i, t) for i, t in secret_rows()]
     assert any("entropy" in e[5] for e in expected)
     out = secrets.scan(spark.createDataFrame(secret_rows(), "doc_id long, text string").withColumn("kind", F.lit(1)))
     assert got(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want(expected)
 
 
+def test_secret_windows_are_judged_by_their_own_class(spark):
+    rng = random.Random(8)
+    hexes = ["sig=" + "".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(20)]
+    rows = [*enumerate(hexes), (30, "example/" + "Zq8Lw2Rk7Vb1Nm6Qs3Tx9Yc4"), (31, "Zq8Lw2Rk7Vb1Nm6Qs3Tx9Yc4/example/Gh5Jd0Pf"), (32, "usr/lib/python3/dist/packages/one"), (33, "/usr/share/doc/12/abcdefghijklmnop")]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("entropy" in out[i] for i in range(20)) >= 19
+    assert out[30] == "entropy:7:32" and out[31] == "entropy:0:25" and not out[32]
+    assert all(out[i] == plain_scan(i, t)[5] for i, t in rows)
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    rng = random.Random(5)
+    n = 1_000_000
+    rows = [(1, "a/" * (n // 2) + "1"), (2, "z" * n), (3, "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))), (4, "0123456789abcdef" * (n // 16)),
+            (5, "token" * 1000 + " " * 100_000), (6, "example" * 20_000 + "Zq8Lw2Rk7Vb1Nm6Qs3Tx9Yc4"), (7, "token:abcdefgh " * 20_000), (8, "xxxx1" * 40_000)]
+    began = time.time()
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert time.time() - began < 120
+    assert out[1] == "" and out[2] == "" and out[5] == "" and out[8] == "" and out[6] == "entropy:140000:140024"
+    assert out[4] == f"hex:0:{n},entropy:0:{n}"
+    hot = list(hot_windows(rows[2][1]))
+    assert out[3].endswith(f"entropy:{hot[0]}:{hot[-1] + 20}") and out[7].count("assign") == 20_000
+
+
 def draw(key, name, weight):
     seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
     bits = xxhash.xxh64_intdigest(name.encode(), seed) >> 12
@@ -409,6 +448,123 @@ def test_language_model_lanes_carry_state_over_batches(monkeypatch):
     assert not rest and got_ == seen and abs(sum(calls) - whole.sum()) < 1e-2 * abs(whole.sum()) / 10
 
 
+def _small_model(seed=3):
+    import numpy as np
+
+    words = [b"\n", *(b"w%d" % i for i in range(20)), b"rare", b"odd"]
+    model = lm.Model(words, np.arange(60, 37, -1), np.array([0, 1, 4, 12, 21]), np.log10(np.arange(2.0, 2 + lm.TAILS)), 1000, 23).ready()
+    rng = np.random.default_rng(seed)
+    model.weights = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in lm.first_weights(model).items()}
+    return model, rng
+
+
+def plain_log_probability(model, words):
+    """The model's natural log probability of a text, from its definition, one token and one number at a time."""
+    w, k, base = model.weights, lm.HIDDEN, len(model.bounds) - 1
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    number = {x: i for i, x in enumerate(model.words)}
+    h, before, out = [0.0] * k, b"\n", 0.0
+    for word in words:
+        i = number.get(before, -1)
+        x = w["x"][:, i if 0 <= i < model.n_head else model.n_head + zlib.crc32(before[-2:]) % lm.TAILS]
+        a = [sum(h[r] * w["u"][r][c] for r in range(k)) for c in range(3 * k)]
+        z = [sigmoid(x[c] + a[c]) for c in range(k)]
+        r = [sigmoid(x[k + c] + a[k + c]) for c in range(k)]
+        n = [math.tanh(x[2 * k + c] + r[c] * a[2 * k + c]) for c in range(k)]
+        h = [(1 - z[c]) * n[c] + z[c] * h[c] for c in range(k)]
+        i = number.get(word, -1)
+        head = 0 <= i < model.n_head
+        klass = sum(i >= b for b in model.bounds[1:-1]) if head else base + zlib.crc32(word[-2:]) % lm.TAILS
+        logits = [sum(h[q] * w["c"][q][c] for q in range(k)) + w["cb"][c] for c in range(base + lm.TAILS)]
+        out += logits[klass] - math.log(sum(map(math.exp, logits)))
+        if head:
+            members = range(model.bounds[klass], model.bounds[klass + 1])
+            logits = {m: sum(h[q] * w["o"][m][q] for q in range(k)) + w["ob"][m] for m in members}
+            out += logits[i] - math.log(sum(map(math.exp, logits.values())))
+        before = word
+    return out
+
+
+def test_language_model_against_its_definition():
+    import numpy as np
+
+    model, rng = _small_model()
+    texts = [[(model.words + [b"new", b"other"])[i] for i in rng.integers(0, 25, n)] + [b"\n"] for n in (0, 1, 7, 30)]
+    codes, klass, entry = model.encode([w for t in texts for w in t])
+    found = lm.score_texts(model, codes, klass, entry, np.array([len(t) for t in texts]), group=3, window=5)
+    assert np.allclose(found, [plain_log_probability(model, t) for t in texts], rtol=1e-5)
+
+
+def test_language_model_gradients(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "STREAMS", 2)
+    model, rng = _small_model()
+    texts = [rng.integers(0, 23, n).astype(np.int32) for n in (9, 5, 7)]
+    segments = [(x, model.klass[x], np.append(model.first, model.entry[x][:-1])) for x in texts]
+    flat, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
+    start = model.weights
+
+    def loss(weights):
+        model.weights = weights
+        return -lm.score_texts(model, flat, model.klass[flat], model.entry[flat], sizes).sum() / sizes.sum()
+
+    model.weights = {k: v.copy() for k, v in start.items()}
+    lm.train(model, segments, 1.0, seen={k: np.full(v.shape, 1e12) for k, v in start.items()} | {"rows": int(sizes.sum())})
+    stepped = model.weights
+    for name in start:
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in start[name].shape)
+            more, less = ({k: v.copy() for k, v in start.items()} for _ in range(2))
+            more[name][at] += 2e-3
+            less[name][at] -= 2e-3
+            assert abs((start[name] - stepped[name])[at] * 1e6 - (loss(more) - loss(less)) / 4e-3) < 1e-4, name
+
+
+def test_language_model_beats_its_base_on_held_out_rows(spark):
+    rng = random.Random(9)
+    follow = {f"w{i}": [f"w{rng.randrange(40)}" for _ in range(2)] for i in range(40)}
+
+    def text():
+        words = [f"w{rng.randrange(40)}"]
+        while len(words) < 60:
+            words.append(rng.choice(follow[words[-1]]))
+        return " ".join(words)
+
+    out = lm.language_model_scores(spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")).collect()
+    held = [r for r in out if r["held_out"]]
+    assert len(held) > 20 and sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
+
+
+def test_language_model_where_no_word_is_listed(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 2)
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+    out = lm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 40 and all(r["score"] < 0 and math.isfinite(r["score"]) and r["n_tokens"] == 4 for r in out)
+
+
+def test_scorer_against_training_means(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "Été", "x", "x", "stone"]) for _ in range(rng.randrange(0, 40))) for _ in range(30)] + [None, ""]
+    logits, bias = quality.train(texts[:20], np.array([i % 2 for i in range(20)]))
+    expected = []
+    for t in texts:
+        words = (t or "").encode().split()
+        features = []
+        for w in words:
+            _, what, _ = quality.word_features([w])
+            features += what.tolist()
+        hashes = [quality.word_features([w])[2][0] for w in words]
+        for a, b in zip(hashes, hashes[1:]):
+            features += quality.pair_features(np.array([a, b], np.uint64), np.array([2]))[1].tolist()
+        mean = sum(float(logits[f]) for f in features) / max(1, len(features))
+        expected.append(1 / (1 + math.exp(-(mean + bias))))
+    assert np.allclose(quality.Scorer(logits, bias)(texts), expected, atol=1e-6)
+    assert np.allclose(quality.Scorer(logits, bias, room=2)(texts), expected, atol=1e-6)
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "river", "ran", "over", "stones", "and", "sang"]) for _ in range(30))
@@ -444,11 +600,29 @@ def test_boilerplate(spark):
     page = lambda *lines: "<html><script>var a='<p>';</script><!-- x --><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body></html>"
     rows = [(i, f"HTTP://A.example/{i}", page("Home  page", f"text {i}", "Home page", "ad" if i == 1 else "")) for i in range(6)]
     rows += [(20 + i, f"https://b.example:80/{i}", page("Home page", "same")) for i in range(3)] + [(30, None, page("Home page")), (31, "no host", None), (1, "http://a.example/1", page("Home page"))]
+    rows += [(40, "http://c.example/", page("alone")), (41, "http://d.example/", page("one", "both")), (42, "http://d.example/2", page("two", "both"))]
     out = {(r["page_id"], r["n_lines"]): r for r in line_dedup.strip_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")), 0.5).collect()}
     assert len(out) == len(rows)
     assert out[0, 3]["kept"] == "text 0" and out[0, 3]["n_dropped"] == 2 and out[0, 3]["host_pages"] == 7
     assert out[1, 4]["kept"] == "text 1\nad" and out[1, 1]["kept"] == ""
-    assert out[20, 2]["kept"] == "Home page\nsame" and out[30, 1]["kept"] == "Home page" and out[30, 1]["host"] is None and out[31, 0]["kept"] == ""
+    assert out[20, 2]["kept"] == "" and out[30, 1]["kept"] == "Home page" and out[30, 1]["host"] is None and out[31, 0]["kept"] == ""
+    assert out[40, 1]["kept"] == "alone" and out[41, 2]["kept"] == "one" and out[42, 2]["kept"] == "two"
+
+
+def test_repeats_at_common_grams(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    license_ = " ".join(word() for _ in range(14))
+    rows = [(i, f"{word()} {word()} {license_} {word()}" if i % 3 else " ".join(word() for _ in range(20))) for i in range(120)]
+    rows += [(200 + i, f"{word()} {license_[:60]} {word()} {license_[20:]}") for i in range(10)] + [(7, f"again {license_}"), (None, license_)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    plain = got(suffix_dedup.remove_repeats(docs), *columns)
+    monkeypatch.setattr(suffix_dedup, "LEAST_COMMON", 2)
+    assert len(suffix_dedup._common(docs.where("doc_id is not null"), 50)) > 3
+    for least in (10**9, 3):
+        monkeypatch.setattr(suffix_dedup, "LEAST_REPEATED", least)
+        assert got(suffix_dedup.remove_repeats(docs), *columns) == plain
 
 
 def test_boilerplate_with_salted_hosts(spark, monkeypatch):
@@ -456,6 +630,7 @@ def test_boilerplate_with_salted_hosts(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     one = got(line_dedup.strip_boilerplate(pages), "page_id", "kept")
     monkeypatch.setattr(line_dedup, "sized", lambda df, rows=0: df)
+    monkeypatch.setattr(line_dedup, "PART_PAGES", 7)
     assert got(line_dedup.strip_boilerplate(pages), "page_id", "kept") == one
 
 

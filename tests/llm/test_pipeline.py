@@ -120,3 +120,56 @@ def test_stages(spark, folder):
         docs = after
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(tuple(map(str, r)) for r in whole.drop("slot").collect()) == sorted(tuple(map(str, r)) for r in docs.drop("slot").collect())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, bucket string, position long, score double, words string, gone_id long, _held_0 int, shard int"
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, folder):
+    good = "the river and the stone sang over the hill in the morning cloud " * 3
+    long_ = "river stone and the over sang hill cloud in morning " * 3000
+    texts = [(1, good), (1, good), (None, good), (None, None), (2, None), (3, ""), (4, "   "), (5, long_), (6, "stone" * 5000), (7, good.replace("hill", "name1")), (None, "the morning sang over name7 and name8 in the river")]
+    rows = [(i, t, "en", None if i == 2 else "s", 1, 2, "b", 3, 0.5, "w", 9, 4, 5) for i, t in texts]
+    docs = spark.createDataFrame(rows, ODD).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = corpus_pipeline.staged(stage(spark, docs, folder), name)
+        after = docs.collect()
+        if name != "sharding":
+            assert docs.columns == spark.createDataFrame([], ODD).columns
+            assert all((r["size"], r["bucket"], r["position"], r["score"], r["words"], r["gone_id"], r["_held_0"], r["shard"]) == (2, "b", 3, 0.5, "w", 9, 4, 5) for r in after)
+        else:
+            assert docs.columns == [c for c in spark.createDataFrame([], ODD).columns if c not in ("size", "shard")] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+            assert all(r["bucket"] == "b" and r["_held_0"] == 4 for r in after) and len(after) == len(before)
+        if name == "minhash_near_dup":
+            ids = [r["doc_id"] for r in after]
+            assert ids.count(1) == min(1, [r["doc_id"] for r in before].count(1)) and all(r["text"] != good for r in after if r["doc_id"] is None)
+            apart = [r["text"] for r in before if r["doc_id"] is None and r["text"] != good]
+            assert sorted(map(str, apart)) == sorted(str(r["text"]) for r in after if r["doc_id"] is None)
+
+
+def test_stages_of_an_empty_table(spark, folder):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.staged(stage(spark, docs, folder), name)
+        assert docs.count() == 0
+
+
+def test_slots_follow_the_order_of_the_mix(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed_ = corpus_pipeline.staged(corpus_pipeline.mixing_stage(spark, docs, folder), "mixed")
+    read = [(r["doc_id"], r["text"]) for r in mixed_.select("*", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    rows = corpus_pipeline.sharding_stage(spark, mixed_, folder).orderBy("shard", "slot").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append((r["doc_id"], r["text"]))
+    for shard, held in by.items():
+        assert held == [x for x in read if descend(x[0], sharding.plan(40)) == shard]
+
+
+def test_run_deletes_what_it_staged_on_the_way(spark, folder, tmp_path, monkeypatch):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {name for name, _ in corpus_pipeline.STAGES}

@@ -62,3 +62,33 @@ def test_broken_files():
     for bad in (b"", b"PK\3\4", good[:20], good[:-30]):
         with pytest.raises(ValueError):
             tiff.read_tiff(bad)
+
+
+def _tagged(**other):
+    """A file of one grey page of 4 x 2 samples, with other values of some tags (None leaves a tag out)."""
+    tags = {256: 4, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 1, 279: 4} | {int(k[1:]): v for k, v in other.items()}
+    body = b"12345678"
+    tags = {k: v for k, v in tags.items() if v is not None}
+    return b"II*\0" + struct.pack("<I", 16) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", k, 4, 1, v) for k, v in sorted(tags.items())) + b"\0\0\0\0"
+
+
+def test_files_without_samples_or_strips():
+    for bad in ({"t256": 0}, {"t257": 0}, {"t277": 0}, {"t278": 0}, {"t273": None}, {}):  # of two strips, one is told
+        with pytest.raises(ValueError):
+            tiff.read_tiff(_tagged(**bad))
+    assert tiff.read_tiff(_tagged(t278=2, t279=8))[0].data == b"12345678"
+
+
+def test_a_broken_file_stops_nothing(spark):
+    rows = [(1, tiff.write_tiff(b"x" * 64, tiff.LZW)), (2, b"PK"), (3, None), (4, b"")]
+    files = spark.createDataFrame(rows, "doc_id long, media binary")
+    out = {r["doc_id"]: r for r in tiff.with_pages(files).collect()}
+    assert len(out[1]["pages"]) == 1 and out[1]["fault"] is None and out[3]["fault"] is None
+    assert all(out[i]["pages"] == [] and out[i]["fault"] for i in (2, 4))
+    assert [r["doc_id"] for r in tiff.tiff_pages(files).collect()] == [1]
+
+
+def test_each_codec_serves_a_third():
+    rng = random.Random(1)
+    seen = [tiff.read_tiff(tiff.store(bytes(rng.randrange(97, 100) for _ in range(64))))[0].compression for _ in range(300)]
+    assert all(seen.count(c) > 70 for c in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE))
