@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,17 @@ ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Spark's default for rows at once, where nobody has set another, gives way to ARROW_ROWS."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _temporary(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares. A local temporary folder is used in local mode only, where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-    at = tempfile.mkdtemp(prefix="quire-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return _temporary(spark.sparkContext.applicationId)
 
 
 #: Folders that `staged` wrote and `cleared` has not deleted.

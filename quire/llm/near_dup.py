@@ -8,7 +8,8 @@ Candidates are confirmed on the full sets, and no link between two sets that sha
 1. each node is held against the head (the least node) with which it shares most keys;
 2. then against the other heads of its buckets that are not in its component by now;
 3. in buckets whose other nodes still are in several components, each node outside the bucket's largest component is held
-   against the nodes of other components, in pairs where the bucket is small, else in blocks of nodes.
+   against the nodes of other components, in pairs where the bucket is small, else in blocks of nodes, of which only links
+   that join components come out.
 So nodes of one component are never held against each other once it is known, and nothing is dealt out by component.
 Before full sets are moved, pairs are held against a bound: sets are told by the counts of their shingles in 256 ranges
 of the hash, and the sum of the lesser counts is no less than the intersection.
@@ -142,12 +143,10 @@ def buckets(nodes: DataFrame) -> DataFrame:
     Only nodes that share a hash of each collection with some other node can share a pair of them, so the others leave
     before the M * M keys are formed.
     """
-    half = None
-    for side in ("a", "b"):
-        keys = nodes.select("node", F.posexplode(side).alias("i", "h"))
-        shared = keys.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1").select("i", "h")
-        some = keys.join(shared, ["i", "h"]).select("node").distinct()
-        half = some if half is None else half.join(some, "node")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("hashes")), F.struct(F.lit(1).alias("side"), F.col("b").alias("hashes"))))
+    hashes = nodes.select("node", sides.alias("s")).select("node", "s.side", F.posexplode("s.hashes").alias("i", "h"))
+    shared = hashes.groupBy("side", "i", "h").agg(F.count("*").alias("n")).where("n > 1").select("side", "i", "h")
+    half = hashes.join(shared, ["side", "i", "h"]).groupBy("node").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least <> most").select("node")
     near = nodes.join(half, "node")
     keys = staged(
         near.select("node", F.explode(F.expr("flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y))))")).alias("key")), "keys"
@@ -172,12 +171,6 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int)
     return staged(one.mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether one set, by its counts x and size n, and each of others may reach percent of similarity."""
-    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-    return 100 * most >= percent * (n + m - most)
-
-
 def _told(raw: list) -> np.ndarray:
     """Counts of sets as rows; the greatest there are for sets that have none."""
     full = np.full(RANGES, 65_535, "<u2").tobytes()
@@ -220,8 +213,10 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where("u_component <> v_component").select("u", "v")
 
 
-def _left_in_buckets(held: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that may link, of nodes of one bucket that are in different components; heads are settled already."""
+def _left_in_buckets(held: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets whose nodes, heads aside, are in several components: pairs (u, v) of small buckets, and (key, node,
+    component, outer, i, j) of large ones, to be compared by key, i and j. Outer nodes are those outside the bucket's
+    largest component."""
     rest = held.where("node <> head").join(sized(known), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     each = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"))
     open_ = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("name").alias("name"), F.max_by("component", "n").alias("largest")).where("parts > 1")
@@ -230,7 +225,7 @@ def _left_in_buckets(held: DataFrame, nodes: DataFrame, known: DataFrame, percen
     mine = staged(rest.join(sized(open_), "key"), "mixed")
     small = mine.where(F.col("n") <= SMALL).groupBy("key", "largest").agg(F.collect_list(F.struct("node", "component")).alias("all"))
     pairs = small.select("largest", "all", F.explode("all").alias("x")).where("x.component <> largest").select("x", F.explode("all").alias("y")).where("x.component <> y.component")
-    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
     large = mine.where(F.col("n") > SMALL)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -238,21 +233,43 @@ def _left_in_buckets(held: DataFrame, nodes: DataFrame, known: DataFrame, percen
     all_ = F.explode(F.sequence(F.lit(0), blocks - 1))
     outer = large.where("component <> largest").select("key", "node", "component", F.lit(True).alias("outer"), block.alias("i"), all_.alias("j"))
     inner = large.select("key", "node", "component", F.lit(False).alias("outer"), block.alias("j"), all_.alias("i")).select("key", "node", "component", "outer", "i", "j")
-    dealt = outer.unionByName(inner).join(nodes.select("node", "counts", "n_shingles"), "node")
+    return pairs, outer.unionByName(inner.join(outer.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi"))
+
+
+def _linked_in_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between outer and other nodes of a group of different components, as many as join what is apart."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["outer"]], group[~group["outer"]]
-        counts, sizes, parts, names = _told(y["counts"]), y["n_shingles"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
-        unknown = (y["counts"].str.len() == 0).to_numpy()
-        u, v = [], []
-        for node, part, raw, n in zip(x["node"], x["component"], x["counts"], x["n_shingles"]):
-            hit = (parts != part) & (_may_link(_told([raw])[0], n, counts, sizes, percent) | unknown | (len(raw) == 0))
-            v.append(names[hit])
-            u.append(np.full(len(v[-1]), node, np.int64))
-        return pd.DataFrame({"u": np.concatenate([*u, np.zeros(0, np.int64)]), "v": np.concatenate([*v, np.zeros(0, np.int64)])})
-
-    found = dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return pairs.unionByName(found).distinct()
+        if not len(x) or not len(y):
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        held = [np.frombuffer(r, np.uint64) for r in y["shingles"]]
+        sizes, parts, names = np.array([len(s) for s in held]), y["component"].to_numpy(), y["node"].to_numpy()
+        flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        rows = []
+        for node, part, raw in zip(x["node"], x["component"], x["shingles"]):
+            s = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            for k in np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (parts != part)):
+                a, b = root(part), root(parts[k])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    rows.append((node, names[k]))
+        return pd.DataFrame(rows, columns=["u", "v"], dtype=np.int64)
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def confirmed_links(docs: DataFrame, nodes: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
@@ -267,7 +284,8 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, percent: int, width: int
     others = stars.select("u", "v").join(best, ["u", "v"], "left_anti")
     links = staged(links.unionByName(verified(_apart(others, known), nodes, sets, percent)), "links")
     known = staged(components(links), "known")
-    return staged(links.unionByName(verified(_left_in_buckets(held, nodes, known, percent), nodes, sets, percent)), "links")
+    small, large = _left_in_buckets(held, known)
+    return staged(links.unionByName(verified(small, nodes, sets, percent)).unionByName(_linked_in_blocks(large, sets, percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
