@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import lower_ascii, sized, staged
 
 WIDTH = 10
+#: Words that may stand between those of a window for it to be near.
+SLOP = 2
 #: Everything in ASCII but digits and letters parts words.
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -90,28 +92,38 @@ def phrase_matches(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 def proximity_matches(rows: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """row, phrase, place, span: stretches of at most size + slop words that hold all the phrase's terms, in any order.
 
-    One stretch is told for each place of the rarest term: the least one around it, if each term's nearest occurrences
-    before and after it make one that is short enough.
+    Like phrases they are looked up from the rarest term on: where the second rarest stands near enough, the words around
+    are looked at in full. Postings meet in ranges of positions, so that frequent terms are not paired over a whole text.
+    One stretch, the first, is told for each place of the rarest term.
     """
     terms = staged(phrases.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = staged(term_counts(rows, terms), "term_counts")
-    wanted = phrases.select("phrase", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(sized(counts), "term")
-    rarest = F.row_number().over(Window.partitionBy("phrase").orderBy("n", "term"))
-    ranked = staged(wanted.withColumn("rank", rarest).withColumn("reach", F.size("terms") + slop), "ranked")
-    lists = staged(postings(rows, terms), "postings")
-    first = lists.join(sized(ranked.where("rank = 1").select("phrase", "term", "reach", "terms")), "term")
-    first = first.select("phrase", "row", F.col("pos").alias("place"), "reach", F.size(F.array_distinct("terms")).alias("need"))
-    others = lists.join(sized(ranked.where("rank > 1").select("phrase", "term")), "term").select("phrase", "term", "row", "pos")
-    near = first.join(others, ["phrase", "row"], "left").where(F.col("pos").isNull() | (F.abs(F.col("pos") - F.col("place")) < F.col("reach")))
-    whole = near.groupBy("phrase", "row", "place", "reach", "need").agg(F.collect_list(F.struct("pos", "term")).alias("around"))
-    begin = F.explode(F.array_distinct(F.transform(F.array_append(F.filter("around", lambda x: x["pos"] <= F.col("place")), F.struct(F.col("place").alias("pos"), F.lit(None).cast("string").alias("term"))), lambda x: x["pos"])))
-    # of each possible begin, the first end by which every term has come
-    ends = whole.withColumn("begin", begin).withColumn("seen", F.filter("around", lambda x: x["pos"] >= F.col("begin")))
-    ends = ends.where(F.size(F.array_distinct(F.transform("seen", lambda x: x["term"]))) >= F.col("need") - 1)
-    firsts = F.transform(F.array_distinct(F.transform("seen", lambda x: x["term"])), lambda t: F.array_min(F.transform(F.filter("seen", lambda x: x["term"] == t), lambda x: x["pos"])))
-    ends = ends.withColumn("end", F.greatest("place", F.coalesce(F.array_max(firsts), F.col("place"))))
-    best = ends.groupBy("phrase", "row", "place", "reach").agg(F.min(F.struct((F.col("end") - F.col("begin") + 1).alias("span"), "begin")).alias("b"))
-    return best.where(F.col("b.span") <= F.col("reach")).select("row", "phrase", F.col("b.begin").alias("place"), F.col("b.span").alias("span")).distinct()
+    anchored = staged(window_anchors(phrases, counts).withColumn("reach", F.size("terms") + slop).select("phrase", "t1", "t2", "reach"), "anchors")
+    wanted = anchored.select(F.col("t1").alias("term")).unionByName(anchored.select(F.col("t2").alias("term"))).where("term is not null").distinct()
+    lists = staged(postings(rows, staged(wanted, "anchor_terms")), "postings")
+    one = lists.join(sized(anchored.withColumnRenamed("t1", "term")), "term").select("phrase", "row", F.col("pos").alias("place"), F.col("t2").alias("term"), "reach")
+    single = one.where("term is null").select("phrase", "row", "place", "reach")
+    nearby = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("place") / F.col("reach")) + k))
+    reaches = sized(staged(anchored.where("t2 is not null").select(F.col("t2").alias("term"), "reach").distinct(), "reaches"))
+    others = lists.join(reaches, "term").withColumn("range", F.floor(F.col("pos") / F.col("reach")))
+    pair = one.where("term is not null").withColumn("range", nearby).join(others, ["term", "row", "reach", "range"]).where(F.abs(F.col("pos") - F.col("place")) < F.col("reach"))
+    found = staged(single.unionByName(pair.select("phrase", "row", "place", "reach")).distinct(), "candidates")
+    at = found.groupBy("row").agg(F.collect_list(F.struct("phrase", "place", "reach")).alias("places"))
+    full = rows.join(sized(staged(at, "places")), "row").select("row", "words", F.explode("places").alias("p")).select("row", "words", "p.*").join(sized(phrases.select("phrase", "terms")), "phrase")
+    begins = F.sequence(F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0)), F.col("place"))
+    first = F.array_min(F.filter(begins, lambda x: F.size(F.array_except("terms", F.slice("words", x + 1, F.col("reach")))) == 0))
+    return full.select("row", "phrase", first.alias("place"), F.least(F.col("reach"), F.size("words") - first).alias("span")).where("place is not null").distinct()
+
+
+def near_items(docs: DataFrame, items: DataFrame, slop: int = SLOP, width: int = WIDTH) -> DataFrame:
+    """doc_id, item_id, n_windows: how many different windows of an item have all their words within width + slop words of
+    a document; items of fewer words within their own number and slop."""
+    rows, tests = numbered(docs), item_words(items)
+    cut = staged(windows(tests, width), "windows")
+    phrases = staged(cut.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    owner = staged(cut.join(sized(phrases), "terms").join(sized(tests.select("item", "item_id")), "item").select("phrase", "item_id").distinct(), "owners")
+    hits = proximity_matches(rows, phrases, slop).select("row", "phrase").distinct().join(sized(owner), "phrase").groupBy("row", "item_id").agg(F.count("*").alias("n_windows"))
+    return hits.join(rows.select("row", "doc_id"), "row").select("doc_id", "item_id", "n_windows")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:

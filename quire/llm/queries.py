@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
-from quire.llm.decontam import contamination
+from quire.llm.decontam import contamination, near_items
 from quire.llm.line_dedup import strip_boilerplate
 from quire.llm.lm import language_model_scores
 from quire.llm.mixing import in_order, mix
@@ -64,11 +64,15 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_sharding, op4_tiff_media, op5_suffix_array_dedup, op6_quality_classifier, op7_source_mixing, op8_minhash_near_dup,
-        op9_benchmark_decontamination, op10_secret_scan,
+        op9_benchmark_decontamination, op10_secret_scan, benchmark_proximity,
     )
 }
 
@@ -110,6 +114,14 @@ ORACLE_SQL: dict[str, str] = {
                     ELSE CASE WHEN share * 1.075 >= 0.375 THEN 0.6 + (sqrt(greatest(1.0 + 7.5 * (share * 1.075 - 0.375), 0.0)) - 1.0) / 3.75 ELSE (sqrt(greatest(0.0625 + 2.5 * (share * 1.075), 0.0)) - 0.25) / 1.25 END
                   END AS time FROM taken)
         SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN least(floor(time * (SELECT sum(size) FROM sized))::BIGINT, (SELECT sum(size) FROM sized)::BIGINT) END AS position FROM timed""",
+    "benchmark_proximity": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS9} AS w FROM benchmark),
+        own AS (SELECT DISTINCT item_id, w[k:k + 9] AS terms FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        win AS (SELECT row_number() OVER () AS p, terms FROM (SELECT DISTINCT terms FROM own)),
+        sharing AS (SELECT r, p FROM (SELECT r, unnest(list_distinct(w)) AS t FROM d) x JOIN (SELECT p, len(list_distinct(terms)) AS n, unnest(list_distinct(terms)) AS t FROM win) y ON x.t = y.t GROUP BY r, p, n HAVING count(*) = n),
+        hit AS (SELECT DISTINCT r, p FROM (SELECT d.r, win.p, terms, w, unnest(range(1, greatest(len(w) - len(terms) - 1, 1) + 1)) AS k FROM sharing s JOIN d ON s.r = d.r JOIN win ON s.p = win.p) WHERE list_has_all(w[k:k + len(terms) + 1], terms))
+        SELECT doc_id, item_id, count(*) AS n_windows FROM hit JOIN win ON hit.p = win.p JOIN own ON own.terms = win.terms JOIN d ON d.r = hit.r GROUP BY d.r, doc_id, item_id""",
     "op9_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents),
         i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS9} AS w FROM benchmark),
