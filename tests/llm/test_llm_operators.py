@@ -61,7 +61,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_near_duplicates(spark, docs):
+def plain_near_duplicates():
     sets = {}
     for i, t in ROWS:
         s = frozenset(shingles(t))
@@ -87,11 +87,42 @@ def test_near_duplicates(spark, docs):
         s = frozenset(shingles(t))
         c = min(least[find(s)], default=None) if s else i
         expected.append((i, len(s), c, i is not None and i == c))
+    return expected
+
+
+def test_near_duplicates(spark, docs):
+    expected = plain_near_duplicates()
     out = near_dup.near_duplicates(docs, percent=85)
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == want(expected)
     assert len({r[2] for r in expected}) <= len(expected) - 20
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_links_share_a_table_key(percent):
+    import numpy as np
+
+    rng, m = np.random.default_rng(percent), near_dup.bands_for(percent)
+    functions, shared = near_dup._functions(m), 0
+    for _ in range(1000):
+        both = rng.integers(0, 2**64, 100, np.uint64)
+        n = (100 * 100 // percent - 100) // 2  # of each side alone, so that they are at the threshold or just above
+        x, y = (np.unique(np.append(both, rng.integers(0, 2**64, n, np.uint64))) for _ in range(2))
+        same = near_dup._bands(x, functions) == near_dup._bands(y, functions)
+        shared += same[:m].any() and same[m:].any()
+    assert shared >= 998
+
+
+def test_bound_is_no_less_than_the_intersection():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        both = rng.integers(0, 2**64, rng.integers(0, 400), np.uint64)
+        x, y = (np.unique(np.append(both, rng.integers(0, 2**64, rng.integers(1, 200), np.uint64))) for _ in range(2))
+        a, b = near_dup._told([near_dup._counts(x), near_dup._counts(y)])
+        assert np.minimum(a, b).sum(dtype=np.int64) >= len(np.intersect1d(x, y))
+
+
 @pytest.mark.parametrize("n", range(6))
 def test_shingles_of_one_short_text(n):
     alone = near_dup.Shingles()([" ".join("abcde"[:n])])
@@ -100,10 +131,9 @@ def test_shingles_of_one_short_text(n):
 
 
 def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
-    whole = got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id")
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     monkeypatch.setattr(near_dup, "SMALL", 2)
-    assert got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id") == whole
+    assert got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id") == want([(i, c) for i, _, c, _ in plain_near_duplicates()])
 
 
 def test_remove_repeats(spark, docs):
@@ -324,7 +354,8 @@ def test_inverse_demand(spark):
             assert abs(area(r["t"]) / area(1.0) - r["y"]) < 1e-9
 
 
-def test_language_model(spark, docs):
+def test_language_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_STEPS", 30)
     words = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
     count = Counter(w for i, t in ROWS if not held(i) for w in words(t))
