@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,13 +37,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: st
     return out.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in rest], *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
+@cache
+def _temporary(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; in local mode with none set, a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quire-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    """The cluster's shared folder; in local mode with none set, a temporary one, which the session is not told of."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    return _temporary(spark.sparkContext.applicationId)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
