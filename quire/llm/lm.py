@@ -29,23 +29,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import split_words, staged
+from quire.llm.common import WordIds, slices, split_words, staged
 
 #: The end token; no word holds white space.
 END = b"\n"
 HEAD, CLASSES, TAILS, HIDDEN = 4096, 48, 24, 24
 #: Most frequent words whose counts go to every task; the counts of others are joined.
 LISTED = 200_000
-WINDOW, STREAMS = 24, 128
+WINDOW, STREAMS = 24, 512
+#: Adagrad's rate, and what its sums of squares start from.
+RATE, FIRST_SQUARE = 0.1, 1e-7
+#: States whose classes are worked out at once, so that what is made of them stays in the processor's cache.
+BLOCK = 2048
+#: Tokens in a window of scoring, about.
+ROWS = 16_384
 #: Tokens that a trainer holds at once; one longer document is held whole.
-BATCH = 400_000
+BATCH = 1_200_000
 #: Shares, of 16, of the documents in each round of training.
 ROUNDS = (1, 4, 11)
 DOCS_PER_TRAINER = 10_000
 #: Parts in which the trainers' weights are averaged: a task gets 1 / PIECES of each trainer's.
 PIECES = 256
 #: Steps that a trainer takes at least in all rounds, going over its documents again if they are few.
-LEAST_STEPS = 1200
+LEAST_STEPS = 320
 
 
 def tail_class(word: bytes) -> int:
@@ -108,76 +114,123 @@ class Model:
     def ready(self) -> "Model":
         """Look-ups that a task makes for itself."""
         self.number = {w: i for i, w in enumerate(self.words)}
+        n, h, base = len(self.words), self.n_head, len(self.bounds) - 1
+        tails = np.array([*map(tail_class, self.words[h:]), *range(TAILS)], np.int64)
+        self.klass = np.concatenate([np.repeat(np.arange(base), np.diff(self.bounds)), base + tails]).astype(np.int16)
+        self.entry = np.concatenate([np.arange(h), h + tails]).astype(np.int16)
         self.end = self.number.get(END, -1)
-        n, h = len(self.words), self.n_head
-        self.klass = np.empty(n, np.int64)
-        self.klass[:h] = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-        base = len(self.bounds) - 1
-        self.klass[h:] = [base + tail_class(w) for w in self.words[h:]]
-        self.entry = np.where(np.arange(n) < h, np.arange(n), self.klass - base + h)
-        self.log_c = np.log10(self.counts + 1.0)
+        self.first = int(self.entry[self.end]) if self.end >= 0 else 0
+        self.log_c = np.append(np.log10(self.counts + 1.0), np.zeros(TAILS))
+        self.bounded = False
         return self
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Of each token: its number, or the number of words plus its tail class if it is not listed."""
+        get, n = self.number.get, len(self.words)
+        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        rare = np.flatnonzero(out < 0)
+        out[rare] = [n + tail_class(words[i]) for i in rare]
+        return out
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its listed number or -1, its class, and its number as an input."""
-        get = self.number.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        klass, entry = (self.klass[ids], self.entry[ids]) if len(self.words) else (np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64))
-        base = len(self.bounds) - 1
-        for i in np.flatnonzero(ids < 0):
-            klass[i] = k = base + tail_class(words[i])
-            entry[i] = k - base + self.n_head
-        return ids, klass, entry
+        """Of each token: its code, its class, and its number as an input."""
+        codes = self.codes(words)
+        return codes, self.klass[codes], self.entry[codes]
+
+    def watch(self) -> None:
+        """Note whether no state can make logits that exp() overflows, so that no maximum need be taken off them."""
+        w = self.weights
+        most = [float((np.abs(w[k]).sum(axis=axis) + np.abs(w[b])).max(initial=0)) for k, b, axis in (("c", "cb", 0), ("o", "ob", 1))]
+        self.bounded = max(most) < 80
 
+    def class_shares(self) -> np.ndarray:
+        """log10 of each tail class's share, which is all there is to say where no word is listed."""
+        return self.tail_log - np.log10((10.0**self.tail_log).sum())
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
 
+def _states(w: dict, entry: np.ndarray, on: np.ndarray | None, h: np.ndarray, lives: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Walk a window: at step t the first lives[t] lanes take the next inputs of entry. Arrays have a row for each unit and
+    a column for each lane, which keeps numpy's loops long.
 
-def _step(w: dict, entry: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    k = h.shape[1]
-    g = w["x"][entry]
-    a = h @ w["u"]
-    gates = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
-    z, r = gates[:, :k], gates[:, k:]
-    n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-    return n + z * (h - n), z, r, n, a[:, 2 * k :]
+    on clears the state before inputs that start a document. Returns of each step the states before and after it, its
+    gates z and r and new content n one upon another, and the products of the states before and the recurrent weights.
+    """
+    k, steps, edge = len(h), [], 0
+    down = np.ascontiguousarray(w["u"].T)
+    for live in lives:
+        at = slice(edge, edge + live)
+        edge += live
+        before = h[:, :live] if on is None else h[:, :live] * on[at]
+        a, g = down @ before, np.take(w["x"], entry[at], axis=1)
+        gates, n = g[: 2 * k], g[2 * k :]
+        gates += a[: 2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        n += g[k : 2 * k] * a[2 * k :]
+        np.tanh(n, out=n)
+        h = before - n
+        h *= g[:k]
+        h += n
+        steps.append((before, h, g, a))
+    return steps
 
 
-def _softmax_log(logits: np.ndarray, target: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each row's target, and if asked for the whole distribution."""
-    logits -= logits.max(axis=1, keepdims=True)
-    rows = np.arange(len(target))
-    hit = logits[rows, target]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    return hit - np.log(total), logits / total[:, None] if whole else None
+def _softmax_log(e: np.ndarray, target: np.ndarray, bounded: bool, whole: bool) -> np.ndarray:
+    """Natural log probability of each column's target; if asked for, logits e become the distribution, less 1 at the target."""
+    if not bounded:
+        e -= e.max(axis=0)
+    at = np.arange(len(target))
+    hit = e[target, at]
+    np.exp(e, out=e)
+    total = e.sum(axis=0)
+    if whole:
+        e /= total
+        e[target, at] -= 1
+    return hit - np.log(total)
 
 
 def log_probability(model: Model, h: np.ndarray, ids: np.ndarray, klass: np.ndarray, grads: dict | None = None) -> np.ndarray:
-    """Natural log of P(class | state), times P(word | class, state) for head words. grads gets the loss's gradients."""
-    w = model.weights
-    lp, p = _softmax_log(h @ w["c"] + w["cb"], klass, grads is not None)
-    if grads is not None:
-        p[np.arange(len(p)), klass] -= 1
-        grads["c"] += h.T @ p
-        grads["cb"] += p.sum(axis=0)
-        grads["h"] = p @ w["c"].T
+    """Natural log of P(class | state), times P(word | class, state) for head words, of states h, one a row. grads gets the
+    loss's gradients."""
+    w, learns, h = model.weights, grads is not None, h.T
+    lp, dh = np.empty(h.shape[1], np.float32), np.empty(h.shape, np.float32) if learns else None
+    to_classes = np.ascontiguousarray(w["c"].T)
+    for lo in range(0, len(lp), BLOCK):
+        some, at = h[:, lo : lo + BLOCK], slice(lo, lo + BLOCK)
+        e = to_classes @ some
+        e += w["cb"][:, None]
+        lp[at] = _softmax_log(e, klass[at], model.bounded, learns)
+        if learns:
+            grads["c"] += some @ e.T
+            grads["cb"] += e.sum(axis=1)
+            np.matmul(w["c"], e, out=dh[:, at])
+    # states by class, so that each class has one product
     order = np.argsort(klass, kind="stable")
-    at = np.searchsorted(klass[order], np.arange(len(model.bounds)))
+    edges = np.searchsorted(klass[order], np.arange(len(model.bounds)))
+    order = order[: edges[-1]]
+    sorted_h, sorted_ids = np.take(h, order, axis=1), ids[order]
+    own = np.zeros(len(order), np.float32)
+    back = np.zeros_like(sorted_h) if learns else None
     for k in range(len(model.bounds) - 1):
-        rows = order[at[k] : at[k + 1]]
-        lo, hi = model.bounds[k], model.bounds[k + 1]
-        if not len(rows) or hi - lo == 1:
+        a, b, lo, hi = edges[k], edges[k + 1], model.bounds[k], model.bounds[k + 1]
+        if a == b or hi - lo == 1:
             continue
-        mine = h[rows]
-        own, p = _softmax_log(mine @ w["o"][lo:hi].T + w["ob"][lo:hi], ids[rows] - lo, grads is not None)
-        lp[rows] += own
-        if grads is not None:
-            p[np.arange(len(p)), ids[rows] - lo] -= 1
-            grads["o"][lo:hi] += p.T @ mine
-            grads["ob"][lo:hi] += p.sum(axis=0)
-            grads["h"][rows] += p @ w["o"][lo:hi]
+        mine, out = sorted_h[:, a:b], w["o"][lo:hi]
+        e = out @ mine
+        e += w["ob"][lo:hi, None]
+        own[a:b] = _softmax_log(e, sorted_ids[a:b] - lo, model.bounded, learns)
+        if learns:
+            grads["o"][lo:hi] += e @ mine.T
+            grads["ob"][lo:hi] += e.sum(axis=1)
+            back[:, a:b] = out.T @ e
+    lp[order] += own
+    if learns:
+        whole = np.zeros_like(dh)
+        whole[:, order] = back
+        dh += whole
+        grads["h"] = dh.T
     return lp
 
 
@@ -190,7 +243,7 @@ def first_weights(model: Model) -> dict[str, np.ndarray]:
     tails = np.maximum(10.0**model.tail_log - 1, 1)
     share = np.concatenate([sums, tails])
     return {
-        "x": rng.normal(0, 0.3, (h + TAILS, 3 * HIDDEN)).astype(np.float32),
+        "x": rng.normal(0, 0.3, (3 * HIDDEN, h + TAILS)).astype(np.float32),
         "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
         "c": rng.normal(0, 0.02, (HIDDEN, k + TAILS)).astype(np.float32),
         "cb": np.log(share / share.sum()).astype(np.float32),
@@ -199,7 +252,7 @@ def first_weights(model: Model) -> dict[str, np.ndarray]:
     }
 
 
-def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = 0.2, seen: dict | None = None, rest: list | None = None) -> int:
+def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE, seen: dict | None = None, rest: list | None = None) -> int:
     """Truncated backpropagation over whole documents (ids, classes, inputs), STREAMS lanes of them side by side, by
     Adagrad, whose sums are kept in seen. Returns the steps taken.
 
@@ -209,7 +262,7 @@ def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     w = model.weights
     seen = {} if seen is None else seen
     for k, v in w.items():
-        seen.setdefault(k, np.full(v.shape, 0.05, np.float32))
+        seen.setdefault(k, np.full(v.shape, FIRST_SQUARE, np.float32))
     old = rest or []
     free = max(0, (STREAMS if rest is not None else min(STREAMS, len(segments))) - len(old))
     lanes = [(len(x[0]), i, [x]) for i, (x, _) in enumerate(old)] + [(0, len(old) + i, []) for i in range(free)]
@@ -227,83 +280,101 @@ def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     loads = np.array([x[0] for x in lanes])
     ids, klass, entry, carried = (np.concatenate([x[k] for _, _, held in lanes for x in held]) for k in range(4))
     start = np.cumsum(loads) - loads
-    h = np.stack([old[i][1] if i < len(old) else np.zeros(HIDDEN, np.float32) for _, i, _ in lanes])
+    h = np.stack([old[i][1] if i < len(old) else np.zeros(HIDDEN, np.float32) for _, i, _ in lanes], axis=1)
     stop = int(loads[0]) if rest is None or not segments else int(loads[len(loads) // 2]) // WINDOW * WINDOW
-    steps = 0
-    for lo in range(0, stop, WINDOW):
-        kept, states, where = [], [], []
-        for t in range(lo, min(lo + WINDOW, stop)):
-            live = int(np.searchsorted(-loads, -t))
-            at = start[:live] + t
-            before = h[:live] * carried[at]
-            h, z, r, n, a = _step(w, entry[at], before)
-            kept.append((before, z, r, n, a, carried[at]))
-            states.append(h)
-            where.append(at)
-        rows, flat = np.concatenate(where), np.concatenate(states)
-        grads = {k: np.zeros_like(v) for k, v in w.items() if k not in ("x", "u")}
-        log_probability(model, flat, ids[rows], klass[rows], grads)
-        dh_all = grads.pop("h")
-        da, dx = np.empty((len(rows), 3 * HIDDEN), np.float32), np.empty((len(rows), 3 * HIDDEN), np.float32)
-        edge, back = len(rows), None
-        for before, z, r, n, a, on in reversed(kept):
-            mine = slice(edge - len(z), edge)
-            dh = dh_all[mine]
+    k, steps = HIDDEN, 0
+    lo, most = 0, seen.get("rows", len(lanes) * WINDOW)
+    while lo < stop:
+        # where few lanes are left, steps are of more tokens of each
+        live = int(np.searchsorted(-loads, -lo))
+        times = np.arange(lo, min(lo + WINDOW * max(1, min(16, most // (WINDOW * live))), stop))
+        lo += len(times)
+        lives = np.searchsorted(-loads, -times)
+        edges = np.append(0, np.cumsum(lives))
+        rows = np.concatenate([start[:n] + t for t, n in zip(times, lives)])
+        used, on = entry[rows], carried[rows, 0]
+        walked = _states(w, used, on, h, lives)
+        h = walked[-1][1]
+        grads = {name: np.zeros_like(v) for name, v in w.items() if name not in ("x", "u")}
+        model.watch()
+        log_probability(model, np.concatenate([x[1] for x in walked], axis=1).T, ids[rows], klass[rows], grads)
+        dh_all = grads.pop("h").T
+        grads["u"] = np.zeros_like(w["u"])
+        dx, back = [], None
+        for t in range(len(times) - 1, -1, -1):
+            before, _, g, a = walked[t]
+            z, r, n = g[:k], g[k : 2 * k], g[2 * k :]
+            dh = dh_all[:, edges[t] : edges[t + 1]]
             if back is not None:
-                dh[: len(back)] += back
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * a * r * (1 - r)
-            x, y = dx[mine], da[mine]
-            x[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
-            x[:, HIDDEN : 2 * HIDDEN] = dr
-            x[:, 2 * HIDDEN :] = dn
-            y[:, : 2 * HIDDEN] = x[:, : 2 * HIDDEN]
-            y[:, 2 * HIDDEN :] = dn * r
-            back = (dh * z + y @ w["u"].T) * on
-            edge -= len(z)
-        grads["u"] = np.concatenate([k[0] for k in kept]).T @ da
-        scale = np.float32(1 / len(rows))
-        for k, g in grads.items():
+                dh[:, : back.shape[1]] += back
+            d = np.empty_like(g)
+            dz, dr, dn = d[:k], d[k : 2 * k], d[2 * k :]
+            kept = dh * z
+            np.subtract(dh, kept, out=dn)  # dh (1 - z)
+            np.subtract(before, n, out=dz)
+            dz *= z
+            dz *= dn
+            n *= n
+            np.subtract(1, n, out=n)
+            dn *= n
+            np.subtract(1, r, out=dr)
+            dr *= a[2 * k :]
+            dr *= r
+            dr *= dn
+            a[: 2 * k] = d[: 2 * k]
+            np.multiply(dn, r, out=a[2 * k :])
+            back = w["u"] @ a
+            back += kept
+            back *= on[edges[t] : edges[t + 1]]
+            grads["u"] += before @ a.T
+            dx.append(d)
+        dx = np.concatenate(dx[::-1], axis=1)
+        # each token weighs alike, also where few lanes are left
+        seen["rows"] = max(seen.get("rows", 0), len(rows))
+        scale = np.float32(1 / seen["rows"])
+        for name, g in grads.items():
             g *= scale
-            seen[k] += g * g
-            w[k] -= rate * g / np.sqrt(seen[k])
-        used = entry[rows]
+            seen[name] += g * g
+            w[name] -= rate * g / np.sqrt(seen[name])
         by = np.argsort(used, kind="stable")
-        which, first = np.unique(used[by], return_index=True)
-        g = np.add.reduceat(dx[by], first, axis=0) * scale
-        seen["x"][which] += g * g
-        w["x"][which] -= rate * g / np.sqrt(seen["x"][which])
+        sorted_ = used[by]
+        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        which = sorted_[first]
+        g = np.add.reduceat(np.take(dx, by, axis=1), first, axis=1) * scale
+        squares = seen["x"][:, which] + g * g
+        seen["x"][:, which] = squares
+        w["x"][:, which] -= rate * g / np.sqrt(squares)
         steps += 1
     if rest is not None:
-        rest[:] = [(tuple(x[b + stop : b + n].copy() for x in (ids, klass, entry, carried)), h[i].copy()) for i, (b, n) in enumerate(zip(start, loads)) if n > stop]
+        rest[:] = [(tuple(x[b + stop : b + n].copy() for x in (ids, klass, entry, carried)), h[:, i].copy()) for i, (b, n) in enumerate(zip(start, loads)) if n > stop]
     return steps
 
 
-def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndarray, sizes: np.ndarray, group: int = 384, window: int = 64) -> np.ndarray:
+def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndarray, sizes: np.ndarray, group: int = 4096, window: int = 512) -> np.ndarray:
     """Sum of log_probability over each text, of texts whose tokens stand one after another. Texts of like lengths run
-    side by side; the state goes from window to window."""
+    side by side, about ROWS tokens in a window; the state goes from window to window."""
     total = np.zeros(len(sizes))
     starts = np.cumsum(sizes) - sizes
-    before = np.empty_like(entry)
-    before[1:] = entry[:-1]
-    before[starts] = model.entry[model.end]
+    inputs = np.empty_like(entry)
+    inputs[1:] = entry[:-1]
+    inputs[starts] = model.first
     by_size = np.argsort(-sizes, kind="stable")
+    model.watch()
     for at in range(0, len(sizes), group):
         texts = by_size[at : at + group]
         size, start = sizes[texts], starts[texts]
-        h = np.zeros((len(texts), HIDDEN), np.float32)
-        for lo in range(0, int(size[0]), window):
-            states, rows, where = [], [], []
-            for t in range(lo, min(lo + window, int(size[0]))):
-                live = int(np.searchsorted(-size, -t))
-                h = h[:live]
-                h = _step(model.weights, before[start[:live] + t], h)[0]
-                states.append(h)
-                rows.append(start[:live] + t)
-                where.append(texts[:live])
-            rows, where = np.concatenate(rows), np.concatenate(where)
-            lp = log_probability(model, np.concatenate(states), ids[rows], klass[rows])
-            total += np.bincount(where, lp, minlength=len(sizes))
+        h = np.zeros((HIDDEN, len(texts)), np.float32)
+        lo, live = 0, len(texts)
+        while live:
+            times = np.arange(lo, min(lo + min(window, -(-ROWS // live)), int(size[0])))
+            lives = np.searchsorted(-size, -times)
+            rows = np.concatenate([start[:n] + t for t, n in zip(times, lives)])
+            walked = _states(model.weights, inputs[rows], None, h, lives)
+            h = walked[-1][1]
+            lp = log_probability(model, np.concatenate([x[1] for x in walked], axis=1).T, ids[rows], klass[rows])
+            total += np.bincount(np.concatenate([texts[:n] for n in lives]), lp, minlength=len(sizes))
+            lo += len(times)
+            live = int(np.searchsorted(-size, -lo))
     return total
 
 
@@ -334,15 +405,16 @@ def build_model(counts: DataFrame) -> Model:
     return Model(words, c, bounds, np.log10(n + v + 1), int(size[0]), int(size[1]))
 
 
-def _encoded(model: Model, texts: Iterable[str | None]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Batches of about BATCH tokens of whole documents: ids, classes and inputs, the inputs one token behind."""
+def _batches(model: Model, texts: Iterable[bytes]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Batches of about BATCH tokens of whole documents, given by their codes: codes, classes and inputs, the inputs one
+    token behind."""
     held, size = [], 0
-    first = model.entry[model.end]
-    for text in texts:
-        words, _ = split_words([text])
-        ids, klass, entry = model.encode([*words, END])
-        held.append((ids, klass, np.concatenate([[first], entry[:-1]])))
-        size += len(ids)
+    for raw in texts:
+        codes = np.frombuffer(raw, np.int32)
+        entry = model.entry[codes]
+        entry[1:], entry[0] = entry[:-1].copy(), model.first
+        held.append((codes, model.klass[codes], entry))
+        size += len(codes)
         if size >= BATCH:
             yield held
             held, size = [], 0
@@ -350,12 +422,12 @@ def _encoded(model: Model, texts: Iterable[str | None]) -> Iterator[list[tuple[n
         yield held
 
 
-def learn(model: Model, texts: Iterable[str | None], least: int) -> int:
+def learn(model: Model, texts: Iterable[bytes], least: int) -> int:
     """Train on every token of texts, again and again until `least` steps are taken. Returns the tokens of one pass."""
     seen: dict[str, np.ndarray] = {}
     rest: list = []
     tokens, steps, again = 0, 0, []
-    for batch in _encoded(model, texts):
+    for batch in _batches(model, texts):
         steps += train(model, batch, seen=seen, rest=rest)
         tokens += sum(len(x[0]) for x in batch)
         # once a pass takes enough steps, nothing is held for another
@@ -376,22 +448,69 @@ def turn_of():
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))
 
 
-def fit(spark, docs: DataFrame, model: Model) -> Model:
-    """Train on docs in rounds of parallel trainers whose weights are averaged."""
+def round_of():
+    """The round of training in which a row has its turn; the one after the last for rows that are not learned from."""
+    out, left = F.lit(len(ROUNDS)), F.lit(len(ROUNDS) - 1)
+    for i in range(len(ROUNDS) - 2, -1, -1):
+        left = F.when(turn_of() < sum(ROUNDS[: i + 1]), i).otherwise(left)
+    return F.when(training_row(F.col("doc_id")), left).otherwise(out)
+
+
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """Staged: row, doc_id, round, n_tokens, listed, log_c (the listed tokens' log10(c + 1)), within (the tail tokens'
+    share of log10 P(word | class) that their counts do not tell), codes, rare (unlisted words and how often they occur)."""
+    told = docs.sparkSession.sparkContext.broadcast(model.plain())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model(**told.value).ready()
+        listed, base = len(m.words), len(m.bounds) - 1
+        fixed = -m.tail_log if listed else m.class_shares() - m.tail_log
+        for part in slices(parts, 1000):
+            words, sizes = split_words(part["text"])
+            flat, edge = [], 0
+            for n in sizes:
+                flat += words[edge : edge + n]
+                flat.append(END)
+                edge += n
+            sizes = sizes + 1
+            codes = m.codes(flat)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            tail = np.flatnonzero(codes >= m.n_head)
+            total = lambda at, x: np.bincount(text[at], x, minlength=len(sizes))
+            log_c = m.log_c[codes]
+            within = np.where(codes[tail] < listed, log_c[tail], 0.0) + fixed[m.klass[codes[tail]] - base]
+            rare = np.flatnonzero(codes >= listed)
+            names = WordIds()
+            pairs, times = np.unique((text[rare] << 32) | names.ids([flat[i] for i in rare]), return_counts=True)
+            names, at = list(names), np.searchsorted(pairs >> 32, np.arange(len(sizes) + 1))
+            who = (pairs & 0xFFFFFFFF).tolist()
+            edges = np.append(0, np.cumsum(sizes))
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].array, "round": part["round"].array, "n_tokens": sizes, "listed": total(slice(None), codes < listed).astype(np.int64), "log_c": total(slice(None), log_c),
+                "within": total(tail, within), "codes": [codes[x:y].tobytes() for x, y in zip(edges, edges[1:])],
+                "rare": [[names[i] for i in who[x:y]] for x, y in zip(at, at[1:])], "times": [times[x:y] for x, y in zip(at, at[1:])],
+            })
+
+    # ids pass Python as text, since pandas has no whole numbers with nulls
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), round_of().cast("int").alias("round"), "text")
+    out = rows.mapInPandas(run, "doc_id string, round int, n_tokens long, listed long, log_c double, within double, codes binary, rare array<binary>, times array<long>")
+    return staged(out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "encoded", by="round")
+
+
+def fit(spark, rows: DataFrame, model: Model) -> Model:
+    """Train on encoded rows in rounds of parallel trainers whose weights are averaged."""
     model.weights = first_weights(model)
     if not model.words:
         return model
     trainers = max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)
     names = list(model.weights)
-    pick = turn_of()
-    turn = 0
-    for share in ROUNDS:
+    for turn, share in enumerate(ROUNDS):
         now = spark.sparkContext.broadcast(model.plain())
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = Model(**now.value).ready()
             m.weights = {k: v.copy() for k, v in m.weights.items()}
-            n = learn(m, (text for part in parts for text in part["text"]), -(-LEAST_STEPS * share // 16))
+            n = learn(m, (raw for part in parts for raw in part["codes"]), -(-LEAST_STEPS * share // sum(ROUNDS)))
             if n:
                 flat = np.concatenate([m.weights[k].ravel() for k in names])
                 pieces = np.array_split(flat, PIECES)
@@ -402,9 +521,7 @@ def fit(spark, docs: DataFrame, model: Model) -> Model:
             total = sum(np.frombuffer(r, np.float32).astype(np.float64) * k for r, k in zip(group["raw"], group["n"]))
             return pd.DataFrame({"piece": [group["piece"].iloc[0]], "raw": [(total / n).astype(np.float32).tobytes()]})
 
-        here = docs.where((pick >= turn) & (pick < turn + share)).select("text")
-        turn += share
-        trained = here.coalesce(trainers).mapInPandas(run, "piece int, n double, raw binary")
+        trained = rows.where(F.col("round") == turn).select("codes").coalesce(trainers).mapInPandas(run, "piece int, n double, raw binary")
         pieces = trained.groupBy("piece").applyInPandas(mean, "piece int, raw binary").collect()
         if not pieces:
             continue
@@ -418,46 +535,25 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learned = docs.where(training_row(F.col("doc_id")))
-    counts = staged(word_counts(learned), "counts")
-    model = fit(spark, learned, build_model(counts))
+    counts = staged(word_counts(docs.where(training_row(F.col("doc_id")))), "counts")
+    model = build_model(counts)
+    rows = encoded(docs, model)
+    model = fit(spark, rows, model)
     told = spark.sparkContext.broadcast(model.plain())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(**told.value).ready()
-        for whole in parts:
-            for at in range(0, len(whole), 2000):
-                part = whole.iloc[at : at + 2000]
-                words, sizes = split_words(part["text"])
-                flat, edge = [], 0
-                for n in sizes:
-                    flat += words[edge : edge + n]
-                    flat.append(END)
-                    edge += n
-                sizes = sizes + 1
-                ids, klass, entry = m.encode(flat)
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                log_c = np.where(ids >= 0, m.log_c[ids], 0.0) if m.words else np.zeros(len(ids))
-                tail = klass >= len(m.bounds) - 1
-                within = np.where(tail, log_c - m.tail_log[np.maximum(klass - (len(m.bounds) - 1), 0)], 0.0)
-                total = lambda x: np.bincount(text, x, minlength=len(sizes))
-                rare = [Counter() for _ in sizes]
-                for i in np.flatnonzero(ids < 0):
-                    rare[text[i]][flat[i]] += 1
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array, "n_tokens": sizes, "listed": total(ids >= 0).astype(np.int64), "log_c": total(log_c),
-                    "model": score_texts(m, ids, klass, entry, sizes) / np.log(10) + total(within) if m.words else total(within),
-                    "rare": [[{"word": w, "tf": n} for w, n in c.items()] for c in rare],
-                })
-
-    kind = "doc_id string, n_tokens long, listed long, log_c double, model double, rare array<struct<word binary, tf long>>"
-    scored = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
-    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(counts.select("word", "c"), "word", "left")
+        for part in slices(parts, 4096):
+            codes = np.frombuffer(b"".join(part["codes"]), np.int32)
+            found = score_texts(m, codes, m.klass[codes], m.entry[codes], part["n_tokens"].to_numpy()) / np.log(10) if m.words else 0.0
+            yield part.drop(columns="codes").assign(model=found)
+
+    taken = rows.select("row", "n_tokens", "codes").mapInPandas(run, "row long, n_tokens long, model double").select("row", "model")
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("tf")).join(counts.select("word", "c"), "word", "left")
     sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_log"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     log_all = float(np.log10(model.tokens + model.distinct + 1))
-    return scored.drop("rare").join(sums, "row", "left").select(
-        "doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "n_tokens", (F.col("listed") + zero("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("log_c") + zero("rare_log") - F.col("n_tokens") * log_all).alias("base_score"), (F.col("model") + zero("rare_log")).alias("score"),
+    return rows.select("row", "doc_id", "round", "n_tokens", "listed", "log_c", "within").join(taken, "row").join(sums, "row", "left").select(
+        "doc_id", (F.col("round") == len(ROUNDS)).alias("held_out"), "n_tokens", (F.col("listed") + zero("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_c") + zero("rare_log") - F.col("n_tokens") * log_all).alias("base_score"), (F.col("model") + F.col("within") + zero("rare_log")).alias("score"),
     )
