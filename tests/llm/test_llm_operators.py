@@ -97,32 +97,6 @@ def test_near_duplicates(spark, docs):
     assert len({r[2] for r in expected}) <= len(expected) - 20
 
 
-@pytest.mark.parametrize("percent", [80, 85, 95])
-def test_links_share_a_table_key(percent):
-    import numpy as np
-
-    rng, m = np.random.default_rng(percent), near_dup.bands_for(percent)
-    functions, shared = near_dup._functions(m), 0
-    for _ in range(1000):
-        both = rng.integers(0, 2**64, 100, np.uint64)
-        n = (100 * 100 // percent - 100) // 2  # of each side alone, so that they are at the threshold or just above
-        x, y = (np.unique(np.append(both, rng.integers(0, 2**64, n, np.uint64))) for _ in range(2))
-        same = near_dup._bands(x, functions) == near_dup._bands(y, functions)
-        shared += same[:m].any() and same[m:].any()
-    assert shared >= 998
-
-
-def test_bound_is_no_less_than_the_intersection():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        both = rng.integers(0, 2**64, rng.integers(0, 400), np.uint64)
-        x, y = (np.unique(np.append(both, rng.integers(0, 2**64, rng.integers(1, 200), np.uint64))) for _ in range(2))
-        a, b = near_dup._told([near_dup._counts(x), near_dup._counts(y)])
-        assert np.minimum(a, b).sum(dtype=np.int64) >= len(np.intersect1d(x, y))
-
-
 @pytest.mark.parametrize("n", range(6))
 def test_shingles_of_one_short_text(n):
     alone = near_dup.Shingles()([" ".join("abcde"[:n])])
@@ -132,7 +106,6 @@ def test_shingles_of_one_short_text(n):
 
 def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
-    monkeypatch.setattr(near_dup, "SMALL", 2)
     assert got(near_dup.near_duplicates(docs, percent=85), "doc_id", "component_id") == want([(i, c) for i, _, c, _ in plain_near_duplicates()])
 
 
