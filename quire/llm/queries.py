@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.centroids import cluster_vectors
+from quire.llm.collocations import collocations
 from quire.llm.common import table
 from quire.llm.decontam import contamination, near_items
 from quire.llm.line_dedup import strip_boilerplate
@@ -64,6 +66,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,13 +82,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_sharding, op4_tiff_media, op5_suffix_array_dedup, op6_quality_classifier, op7_source_mixing, op8_minhash_near_dup,
-        op9_benchmark_decontamination, op10_secret_scan, benchmark_proximity,
+        op9_benchmark_decontamination, op10_secret_scan, op11_phrase_collocations, op13_centroid_clustering, benchmark_proximity,
     )
 }
 
 _WORDS9 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+
+def _centroid_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Lloyd rounds written out, vectors and centroids one row a component."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        d{i} AS MATERIALIZED (SELECT r, cluster, sum((v - c) * (v - c))::BIGINT AS d FROM long_rows JOIN c{i} USING (i) GROUP BY r, cluster),
+        a{i} AS MATERIALIZED (SELECT r, arg_min(cluster, d::HUGEINT * {clusters} + cluster) AS cluster, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS MATERIALIZED (SELECT cluster, i, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM long_rows JOIN a{i} USING (r) GROUP BY cluster, i),
+        c{i + 1} AS MATERIALIZED (SELECT c.cluster, c.i, coalesce((s - ((s % n) + n) % n) // n, c.c)::BIGINT AS c FROM c{i} c LEFT JOIN s{i} s ON c.cluster = s.cluster AND c.i = s.i)""")
+    return f"""
+        WITH sound AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, q) - 1 AS r, vec_id, q FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM sound)),
+        long_rows AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(q) AS v FROM kept),
+        c0 AS MATERIALIZED (SELECT r AS cluster, i, v AS c FROM long_rows WHERE r < {clusters}),{",".join(steps)},
+        named AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+        SELECT vec_id, a.cluster::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} a JOIN kept USING (r) JOIN named n ON a.cluster = n.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, size, w[k:k + size - 1] AS p FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM cut, range(1, 5) sizes(size) WHERE len(w) >= size)),
+        f AS MATERIALIZED (SELECT lang, size, p, lang || chr(1) || array_to_string(p, ' ') AS key, count(*) AS f FROM grams GROUP BY lang, size, p),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, size, p, key, f AS a FROM f WHERE size >= 2 AND f >= 30),
+        cuts AS MATERIALIZED (SELECT key, a, k, lang || chr(1) || array_to_string(p[1:k], ' ') AS lk, lang || chr(1) || array_to_string(p[k + 1:size], ' ') AS rk FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+        lefts AS MATERIALIZED (SELECT cuts.*, f.f AS l FROM cuts JOIN f ON f.key = lk),
+        both_sides AS (SELECT lefts.*, f.f AS r, ((2000000::HUGEINT * a) // (l + f.f))::BIGINT AS score FROM lefts JOIN f ON f.key = rk),
+        best AS (SELECT key, min({'score': score, 'k': k, 'l': l, 'r': r}) AS cut FROM both_sides GROUP BY key),
+        inner_parts AS (SELECT lang || chr(1) || array_to_string(p[k:k + n - 1], ' ') AS key, max(a) AS longer FROM (SELECT lang, p, a, n, unnest(range(1, size - n + 2)) AS k FROM c, range(2, 4) sizes(n) WHERE n < size) GROUP BY 1),
+        outer_ones AS (SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, cut.l AS l, cut.r AS r, cut.score AS score FROM c JOIN best ON best.key = c.key LEFT JOIN inner_parts i ON i.key = c.key WHERE i.longer IS NULL OR 100 * i.longer < 80 * c.a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM outer_ones) JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_centroid_clustering": _centroid_sql(),
     "op2_line_dedup": r"""
         WITH bare AS (
             SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
