@@ -26,20 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import mix64, sized, slices, staged
+from quire.llm.common import mix64, sized, staged
 
 LONGEST = 4
 #: Buckets of pairs, a power of two: 2 ** 26 bits are 8 MB.
 BUCKET_BITS = 26
 #: Rows of buckets that are handed on together as one string of bits.
 BLOCK_BITS = 16
-#: Windows and pairs that a task holds before it hands on their counts.
-HELD = 1_500_000
+#: Windows and pairs that a task holds before it hands on their counts, and rows that it hands on at once.
+HELD, AT_ONCE = 400_000, 50_000
 #: Rows of a language that are ranked in one task.
 RANKED = 40_000
 #: Words that may share their hash with others before the run is given up.
@@ -58,9 +59,9 @@ class Words(dict):
         self[word] = n = len(self)
         return n
 
-    def numbers(self, text: str) -> np.ndarray:
+    def numbers(self, text: bytes) -> np.ndarray:
         """Numbers of a text's words with a break after each piece."""
-        tokens = text.encode("utf-8", "surrogatepass").translate(_BREAKS).lower().replace(b".", b" . ").split()
+        tokens = text.translate(_BREAKS).lower().replace(b".", b" . ").split()
         tokens.append(b".")
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
@@ -76,22 +77,28 @@ def pair_buckets(left: np.ndarray, right: np.ndarray, lang: np.ndarray) -> np.nd
     return (mix64(left * np.uint64(0x9E3779B97F4A7C15) + mix64(right ^ lang)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _held(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], Words, np.ndarray, np.ndarray]]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words, np.ndarray, np.ndarray]]:
     """Languages, words, and the numbers of language and word at each place, HELD places or few more at a time."""
     langs, words, flat, own, size = {}, Words(), [], [], 0
-    for part in slices(parts, 50):
-        for lang, text in zip(part["lang"], part["text"]):
-            if not isinstance(text, str):
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            if not text.is_valid:
                 continue
-            n = words.numbers(text)
+            n = words.numbers(text.as_py())
             flat.append(n)
-            own.append(np.full(len(n), langs.setdefault(lang, len(langs)), np.int64))
+            own.append(np.full(len(n), langs.setdefault(lang.as_py(), len(langs)), np.int64))
             size += len(n)
             if size > HELD:
-                yield list(langs), words, np.concatenate(own), np.concatenate(flat)
+                yield pa.array(list(langs), pa.string()), words, np.concatenate(own), np.concatenate(flat)
                 langs, words, flat, own, size = {}, Words(), [], [], 0
     if size:
-        yield list(langs), words, np.concatenate(own), np.concatenate(flat)
+        yield pa.array(list(langs), pa.string()), words, np.concatenate(own), np.concatenate(flat)
+
+
+def _handed(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    whole = pa.record_batch(columns)
+    for at in range(0, whole.num_rows, AT_ONCE):
+        yield whole.slice(at, AT_ONCE)
 
 
 def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -109,24 +116,25 @@ def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [seen, *reversed(out)], n
 
 
-def _lang_hashes(langs: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in langs], np.uint64)
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in langs.to_pylist()], np.uint64)
 
 
 def vocabulary(docs: DataFrame, least: int) -> DataFrame:
     """Two kinds of rows: (lang, word, h, n) for every word, and (bucket, n) for buckets of pairs that reach least."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for langs, words, own, flat in _held(parts):
-            h, by_lang, names = words.hashed(), _lang_hashes(langs), list(words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, words, own, flat in _held(batches):
+            h, by_lang, names = words.hashed(), _lang_hashes(langs), pa.array(list(words), pa.binary())
             some = flat > 0
             (lang, word), n = _counted(own[some], flat[some])
-            yield pd.DataFrame({"lang": [langs[i] for i in lang], "word": [names[i] for i in word], "h": h[word].view(np.int64), "bucket": np.full(len(n), -1), "n": n})
+            yield from _handed({"lang": langs.take(pa.array(lang)), "word": names.take(pa.array(word)), "h": pa.array(h[word].view(np.int64)), "bucket": pa.array(np.full(len(n), -1, np.int32)), "n": pa.array(n)})
             pair = np.flatnonzero(some[:-1] & some[1:])
             bucket, n = np.unique(pair_buckets(h[flat[pair]], h[flat[pair + 1]], by_lang[own[pair]]), return_counts=True)
-            yield pd.DataFrame({"lang": [None] * len(n), "word": [None] * len(n), "h": np.zeros(len(n), np.int64), "bucket": bucket, "n": n})
+            none = len(n)
+            yield from _handed({"lang": pa.nulls(none, pa.string()), "word": pa.nulls(none, pa.binary()), "h": pa.array(np.zeros(none, np.int64)), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(n)})
 
-    rows = docs.mapInPandas(run, "lang string, word binary, h long, bucket int, n long")
+    rows = docs.mapInArrow(run, "lang string, word binary, h long, bucket int, n long")
     return rows.groupBy("lang", "word", "h", "bucket").agg(F.sum("n").alias("n")).where((F.col("bucket") < 0) | (F.col("n") >= least))
 
 
@@ -148,7 +156,6 @@ def bucket_bits(counted: DataFrame) -> np.ndarray:
 
 def clashing_words(counted: DataFrame) -> dict[bytes, int]:
     """Words whose hash is another word's or a small number, each with a small number of its own."""
-    # null in a column of a frame is read back as such: the pairs' rows have no word
     names = counted.where("bucket < 0")
     shared = names.groupBy("h").agg(F.min("word").alias("x"), F.max("word").alias("y")).where(f"x <> y OR h BETWEEN 0 AND {CLASHES}").select("h")
     found = names.join(shared, "h", "left_semi").select("word").distinct().limit(CLASHES + 1).collect()
@@ -162,9 +169,9 @@ def windows(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int]) -> Dat
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bits)  # of a fixed size
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for langs, words, own, flat in _held(parts):
+        for langs, words, own, flat in _held(batches):
             h, by_lang = words.hashed(), _lang_hashes(langs)
             keys = h.view(np.int64).copy()
             for word, number in clashes.items():
@@ -182,13 +189,13 @@ def windows(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int]) -> Dat
                 goes = goes & (lead > 0)
             single = (flat > 0) & (columns[1] == 0)
             (lang, first), n = _counted(own[single], flat[single])
-            zero = np.zeros(len(n), np.int64)
-            yield pd.DataFrame({"lang": [langs[i] for i in lang], "w1": keys[first], **{f"w{i}": zero for i in range(2, LONGEST + 1)}, "n": n})
+            zero = pa.array(np.zeros(len(n), np.int64))
+            yield from _handed({"lang": langs.take(pa.array(lang)), "w1": pa.array(keys[first]), **{f"w{i}": zero for i in range(2, LONGEST + 1)}, "n": pa.array(n)})
             longer = columns[1] > 0
             (lang, *found), n = _counted(own[longer], *[c[longer] for c in columns])
-            yield pd.DataFrame({"lang": [langs[i] for i in lang], **{f"w{i + 1}": keys[c] for i, c in enumerate(found)}, "n": n})
+            yield from _handed({"lang": langs.take(pa.array(lang)), **{f"w{i + 1}": pa.array(keys[c]) for i, c in enumerate(found)}, "n": pa.array(n)})
 
-    return docs.mapInPandas(run, f"lang string, {', '.join(f'w{i} long' for i in range(1, LONGEST + 1))}, n long")
+    return docs.mapInArrow(run, f"lang string, {', '.join(f'w{i} long' for i in range(1, LONGEST + 1))}, n long")
 
 
 def phrase_counts(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int], least: int) -> DataFrame:
@@ -279,7 +286,7 @@ def ranked(phrases: DataFrame, first: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = 30, first: int = 2000, share: int = 80, scale: int = 2_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases of two to four words."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     counted = staged(vocabulary(rows, least), "words_and_pairs")
     clashes = clashing_words(counted)
     counts = staged(phrase_counts(rows, bucket_bits(counted), clashes, least), "phrases")

@@ -15,6 +15,7 @@ from quire.llm.line_dedup import strip_boilerplate
 from quire.llm.lm import language_model_scores
 from quire.llm.mixing import in_order, mix
 from quire.llm.near_dup import near_duplicates
+from quire.llm.personal import personal_data
 from quire.llm.quality import quality_scores, training_row
 from quire.llm.secrets import scan
 from quire.llm.sharding import shard_rows
@@ -70,6 +71,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
 
@@ -82,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_sharding, op4_tiff_media, op5_suffix_array_dedup, op6_quality_classifier, op7_source_mixing, op8_minhash_near_dup,
-        op9_benchmark_decontamination, op10_secret_scan, op11_phrase_collocations, op13_centroid_clustering, benchmark_proximity,
+        op9_benchmark_decontamination, op10_secret_scan, op11_phrase_collocations, op12_personal_data, op13_centroid_clustering, benchmark_proximity,
     )
 }
 
