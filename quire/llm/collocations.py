@@ -2,13 +2,13 @@
 
 Each word of a piece opens one window: itself and the words that lead it, up to the longest phrase, padded with 0 where
 the piece ends. Only these longest windows are counted. Spark's ROLLUP over (lang, w1 .. w4) then sums ever shorter
-prefixes: counts of four words, of three, of two, of one, and of all words of a language come from the one counting,
-without an explosion of n-grams for each length.
+prefixes: counts of four words, of three, of two and of one come from the one counting, without an explosion of n-grams
+for each length.
 
-A phrase that is frequent has only frequent pairs of words in it. So the reading that counts words also counts pairs in
-hashed buckets, and a window is padded from the first pair on whose bucket is below the threshold: no phrase that counts
-is cut, and few long windows of rare words are left. The buckets are a fixed number of bits whatever the input; where
-most of them are full, windows stay longer and the results are the same. Words are 64-bit hashes in windows; different
+A phrase that is frequent has only frequent words and pairs of words in it. So the reading that counts words also counts
+pairs in hashed buckets, and a window is opened only by a word, and padded from the first pair on, whose bucket reaches
+the threshold: no phrase that counts is cut, and few windows of rare words are left. The buckets are a fixed number of
+bits whatever the input; where most of them are full, windows stay longer and the results are the same. Words are 64-bit hashes in windows; different
 words with one hash are found exactly over the whole vocabulary and given numbers of their own.
 
 Everything after the ROLLUP works on frequent phrases only: cuts are joined with the counts of their parts, inner
@@ -138,8 +138,8 @@ def vocabulary(docs: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("lang", "word", "h", "bucket").agg(F.sum("n").alias("n")).where((F.col("bucket") < 0) | (F.col("n") >= least))
 
 
-def bucket_bits(counted: DataFrame) -> np.ndarray:
-    """A bit for each bucket that is frequent; at most 2 ** (BUCKET_BITS - 3) bytes."""
+def bucket_bits(buckets: DataFrame) -> np.ndarray:
+    """A bit for each bucket of the table; at most 2 ** (BUCKET_BITS - 3) bytes."""
     block = F.shiftright("bucket", BLOCK_BITS)
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -149,11 +149,21 @@ def bucket_bits(counted: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << (BUCKET_BITS - 3), np.uint8)
     size = 1 << (BLOCK_BITS - 3)
-    for r in counted.where("bucket >= 0").groupBy(block.alias("block")).applyInPandas(pack, "block int, bits binary").collect():
+    for r in buckets.select("bucket").distinct().groupBy(block.alias("block")).applyInPandas(pack, "block int, bits binary").collect():
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def frequent_buckets(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the frequent words' buckets, which are the low bits of their hashes, and of the frequent pairs'."""
+    words = counted.where(F.col("bucket") < 0).where(F.col("n") >= least)
+    return bucket_bits(words.select(F.col("h").bitwiseAND((1 << BUCKET_BITS) - 1).cast("int").alias("bucket"))), bucket_bits(counted.where("bucket >= 0"))
+
+
+def _set(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+
+
 def clashing_words(counted: DataFrame) -> dict[bytes, int]:
     """Words whose hash is another word's or a small number, each with a small number of its own."""
     names = counted.where("bucket < 0")
@@ -164,13 +174,13 @@ def clashing_words(counted: DataFrame) -> dict[bytes, int]:
     return {bytes(w): i + 1 for i, w in enumerate(sorted(bytes(r["word"]) for r in found))}
 
 
-def windows(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int]) -> DataFrame:
+def windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], clashes: dict[bytes, int]) -> DataFrame:
     """lang, w1 .. w4, n: padded longest windows and how often a task has met each. Columns are 0 from the padding on."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bits)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        word_bits, pair_bits = sent.value
         for langs, words, own, flat in _held(batches):
             h, by_lang = words.hashed(), _lang_hashes(langs)
             keys = h.view(np.int64).copy()
@@ -178,16 +188,15 @@ def windows(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int]) -> Dat
                 if word in words:
                     keys[words[word]] = number
             lead = np.append(flat[1:], 0)
-            goes = (flat > 0) & (lead > 0)
+            opens = _set(word_bits, (h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64))[flat] & (flat > 0)
+            goes = opens & np.append(opens[1:], False)
             pair = np.flatnonzero(goes)
-            bucket = pair_buckets(h[flat[pair]], h[flat[pair + 1]], by_lang[own[pair]])
-            goes[pair] = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+            goes[pair] = _set(pair_bits, pair_buckets(h[flat[pair]], h[flat[pair + 1]], by_lang[own[pair]]))
             columns = [flat]
             for _ in range(LONGEST - 1):  # the next word leads on while every pair so far is frequent
                 columns.append(np.where(goes, lead, 0))
                 lead, goes = np.append(lead[1:], 0), goes & np.append(goes[1:], False)
-                goes = goes & (lead > 0)
-            single = (flat > 0) & (columns[1] == 0)
+            single = opens & (columns[1] == 0)
             (lang, first), n = _counted(own[single], flat[single])
             zero = pa.array(np.zeros(len(n), np.int64))
             yield from _handed({"lang": langs.take(pa.array(lang)), "w1": pa.array(keys[first]), **{f"w{i}": zero for i in range(2, LONGEST + 1)}, "n": pa.array(n)})
@@ -198,15 +207,15 @@ def windows(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int]) -> Dat
     return docs.mapInArrow(run, f"lang string, {', '.join(f'w{i} long' for i in range(1, LONGEST + 1))}, n long")
 
 
-def phrase_counts(docs: DataFrame, bits: np.ndarray, clashes: dict[bytes, int], least: int) -> DataFrame:
-    """lang, size, w1 .. w4 (0 beyond size), f: phrases that come least times or more, and with size 0 all words."""
+def phrase_counts(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], clashes: dict[bytes, int], least: int) -> DataFrame:
+    """lang, size, w1 .. w4 (0 beyond size), f: phrases that come least times or more."""
     names = [f"w{i}" for i in range(1, LONGEST + 1)]
     rolled = windows(docs, bits, clashes).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     # the grouping id has a one for every column that is summed over, so 2 ** i - 1 for a prefix that leaves i off
     size = F.lit(LONGEST) - F.round(F.log2(F.col("g") + 1)).cast("int")
     last = F.element_at(F.array(F.lit(1), *names), F.col("size") + 1)
-    rolled = rolled.withColumn("size", size).where("size >= 0")
-    return rolled.where((F.col("size") == 0) | ((F.col("f") >= least) & (last != 0))).select("lang", "size", *[F.coalesce(w, F.lit(0)).alias(w) for w in names], "f")
+    rolled = rolled.withColumn("size", size).where("size >= 1")
+    return rolled.where((F.col("f") >= least) & (last != 0)).select("lang", "size", *[F.coalesce(w, F.lit(0)).alias(w) for w in names], "f")
 
 
 def _slice(start: int, stop: int) -> list:
@@ -289,8 +298,8 @@ def collocations(docs: DataFrame, least: int = 30, first: int = 2000, share: int
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     counted = staged(vocabulary(rows, least), "words_and_pairs")
     clashes = clashing_words(counted)
-    counts = staged(phrase_counts(rows, bucket_bits(counted), clashes, least), "phrases")
+    counts = staged(phrase_counts(rows, frequent_buckets(counted, least), clashes, least), "phrases")
     candidates = outermost(scored(counts, scale), counts, share)
     best = ranked(staged(spelled(candidates, counted, clashes, least), "candidates"), first)
-    totals = sized(counts.where("size = 0").select("lang", F.col("f").alias("n")))
+    totals = sized(staged(counted.where("bucket < 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -11,9 +11,9 @@ after a plus). Spans that the classifier may add, where they overlap no base spa
 full IPv6 addresses, numbers that miss Luhn's check, phone numbers without a plus, identity numbers and bank accounts
 (`id`), and names after a title or beginning with a common first name (`name`).
 
-Texts are read once; what is kept of them is their spans. Patterns of votes are at most 3 ** 8 rows. The classifier
-learns from the TRAINED distinct rows (features, votes) of least hash, weighed by their counts: the one bound on data
-here. Every pattern runs in time proportional to the text: runs are taken whole or not at all.
+Texts are read once; what is kept of them is their spans. Kinds with patterns of votes are 12 * 3 ** 8 rows at most. The
+classifier learns from the TRAINED distinct rows (kind, votes, features) of least hash, weighed by their counts: the one
+bound on data here. Every pattern runs in time proportional to the text: runs are taken whole or not at all.
 
 Defined results: null texts are empty; rows without a doc_id, repeated rows and equal texts each have their own result;
 of added spans that overlap, the first by start, then by kind stays; an empty table gives an empty result; without any
@@ -37,10 +37,14 @@ from quire.llm.common import staged
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE = KINDS[:4]
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "refusal", "glued", "company", "repeats")
+#: What is believed of a labeler that speaks before any count: P(no, yes) of other and of personal spans, and how much
+#: that weighs against the counts. A failed checksum is close to a definition, so it weighs as much as all spans.
+PRIOR = {"checksum": (1.0, ((0.85, 0.15), (0.01, 0.99)))}
+OTHERWISE = (0.05, ((0.7, 0.3), (0.1, 0.9)))
 #: Distinct (features, votes) that the classifier learns from.
 TRAINED = 20_000
 #: Hashed features, and the probability from which a span is added.
-ROOM, THRESHOLD = 4096, 0.5
+ROOM, THRESHOLD = 4096, 0.7
 #: Characters before and after a span that labelers read.
 AROUND = 48
 
@@ -245,29 +249,31 @@ def _decoded(pattern: int) -> list[int]:
     return [pattern // 3**i % 3 - 1 for i in range(len(LABELERS))]
 
 
-def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, float], np.ndarray, float]:
-    """Each pattern's probability of being personal, P(vote | class) by labeler and class, and the share of personal
-    spans, by expectation-maximisation from the majority's word. A pseudo-count for each vote keeps labelers that never
-    speak neutral and none of them certain."""
-    patterns = sorted(counts)
-    n = np.array([counts[p] for p in patterns], float)
-    v = np.array([_decoded(p) for p in patterns]) + 1
-    n = n / n.sum() * min(n.sum(), 1e6)
-    believed = 1 / (1 + np.exp(-1.5 * (v - 1).sum(axis=1)))
+def reliabilities(counts: dict[tuple[str, bool, int], int], rounds: int = 50) -> tuple[dict[tuple[str, bool, int], float], np.ndarray, dict[str, float]]:
+    """From counts of (kind, sure, votes): the probability of each to be personal, P(no, yes | class) by labeler and class,
+    and the share of personal ones among each kind's open spans, by expectation-maximisation from the majority's word.
+    Spans of the base rules are personal by definition; a labeler that says nothing tells nothing. PRIOR keeps the classes
+    apart where nearly all spans are of one, and no labeler is certain."""
+    keys = sorted(counts)
+    n, sure = np.array([counts[k] for k in keys], float), np.array([k[1] for k in keys])
+    kind, v = np.array([KINDS.index(k[0]) for k in keys]), np.array([_decoded(k[2]) for k in keys])
+    total = n.sum()
+    weight, table = zip(*[PRIOR.get(x, OTHERWISE) for x in LABELERS])
+    prior = np.array(table) * (1 + np.array(weight) * total)[:, None, None]
+    of_kind = np.eye(len(KINDS))[kind]
+    believed = np.where(sure, 1.0, 1 / (1 + np.exp(-1.5 * v.sum(axis=1))))
     for _ in range(rounds):
-        share = (n @ believed + 1) / (n.sum() + 2)
-        said = np.ones((v.shape[1], 2, 3))
-        # what a labeler's words mean is anchored: yes is likelier of personal spans, no of others
-        said[:, 1, 2] += 1
-        said[:, 0, 0] += 1
-        for i in range(v.shape[1]):
-            for vote in range(3):
-                said[i, 1, vote] += n[v[:, i] == vote] @ believed[v[:, i] == vote]
-                said[i, 0, vote] += n[v[:, i] == vote] @ (1 - believed[v[:, i] == vote])
+        open_ = n * ~sure
+        share = ((open_ * believed) @ of_kind + 1) / (open_ @ of_kind + 2)
+        said = prior.copy()
+        for vote, at in ((-1, 0), (1, 1)):
+            said[:, 1, at] += ((v == vote) * (n * believed)[:, None]).sum(axis=0)
+            said[:, 0, at] += ((v == vote) * (n * (1 - believed))[:, None]).sum(axis=0)
         said /= said.sum(axis=2, keepdims=True)
-        weigh = np.log(said[np.arange(v.shape[1])[None, :], 1, v]) - np.log(said[np.arange(v.shape[1])[None, :], 0, v])
-        believed = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + weigh.sum(axis=1), -30, 30)))
-    return dict(zip(patterns, believed.tolist())), said, float(share)
+        ratio = np.log(said[:, 1]) - np.log(said[:, 0])
+        odds = np.log(share / (1 - share))[kind] + (v == -1) @ ratio[:, 0] + (v == 1) @ ratio[:, 1]
+        believed = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    return dict(zip(keys, believed.tolist())), said, dict(zip(KINDS, share.tolist()))
 
 
 def fit(rows: list[tuple[list[int], float, float]], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
@@ -292,11 +298,12 @@ def fit(rows: list[tuple[list[int], float, float]], steps: int = 300, rate: floa
 def personal_data(docs: DataFrame, trained: int = TRAINED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans."""
     found = staged(proposals(docs), "spans")
-    each = found.select(F.explode("spans").alias("s")).select("s.votes", "s.features")
-    counts = {r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # 3 ** 8 rows at most
-    believed, _, _ = reliabilities(counts) if counts else ({}, None, 0.0)
-    told = each.groupBy("features", "votes").agg(F.count("*").alias("n")).orderBy(F.xxhash64("features", "votes"), "features", "votes").limit(trained).collect()
-    weights = fit([(list(r["features"]), believed[r["votes"]], r["n"]) for r in told])
+    each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.sure", "s.votes", "s.features")
+    known = ["kind", "sure", "votes"]
+    counts = {tuple(r[c] for c in known): r["n"] for r in each.groupBy(*known).agg(F.count("*").alias("n")).collect()}  # 12 * 3 ** 8 rows at most
+    believed = reliabilities(counts)[0] if counts else {}
+    told = each.groupBy(*known, "features").agg(F.count("*").alias("n")).orderBy(F.xxhash64(*known, "features"), *known, "features").limit(trained).collect()
+    weights = fit([(list(r["features"]), believed[tuple(r[c] for c in known)], r["n"]) for r in told])
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # of a fixed size
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
