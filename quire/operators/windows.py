@@ -1,8 +1,9 @@
-"""Two patterns that most sequence operators are made of: islands and as-of lookups."""
+"""Patterns that most sequence operators are made of: islands, as-of lookups and folds."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: st
     return out.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in rest], *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
+def let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result of value, which is computed once however often result names it."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
 @cache
 def _temporary(application: str) -> str:
     return tempfile.mkdtemp(prefix="quire-")

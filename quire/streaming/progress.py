@@ -71,35 +71,121 @@ def ready_to_resume(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("ready", F.col("rendered") & F.coalesce(following, F.lit(True)))
 
 
+class _Rendered:
+    """What a document's state holds: how far its chunks are rendered without a hole, and the chunks beyond that.
+
+    Events of a document come in the order of seq, over as many micro-batches as it takes. The value is read and written
+    once for each key and micro-batch; the map is touched for chunks beyond a hole only.
+    """
+
+    def init(self, handle) -> None:
+        self.waiting = handle.getMapState("waiting", "chunk_index int", "seq long, frames long, total long")
+        self.through = handle.getValueState("through", "prefix int, frames long, total long, at long, held int, told boolean")
+
+    def advanced(self, rows):
+        """The state after each chunk that joins the prefix: prefix, frames, total (largest so far), at (largest seq
+        through it), own total; last comes the state as it is, with an own total of null. Writes the state in the end."""
+        import pandas as pd
+
+        prefix, frames, total, at, held, self.told = self.through.get() if self.through.exists() else (0, 0, 0, -1, 0, False)
+        part = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for r in part[part["status"] == "rendered"].itertuples():
+            chunk, own = int(r.chunk_index), int(r.total_chunks)
+            total = max(total, own)
+            if chunk > prefix and not (held and self.waiting.containsKey((chunk,))):
+                self.waiting.updateValue((chunk,), (int(r.seq), int(r.frames), own))
+                held += 1
+            if chunk != prefix:
+                continue
+            seq, more = int(r.seq), int(r.frames)
+            while True:
+                prefix, frames, at = prefix + 1, frames + more, max(at, seq)
+                yield prefix, frames, total, at, own
+                if not held or not self.waiting.containsKey((prefix,)):
+                    break
+                seq, more, own = self.waiting.getValue((prefix,))
+                self.waiting.removeKey((prefix,))
+                held -= 1
+        yield prefix, frames, total, at, None
+        self.through.update((prefix, frames, total, at, held, self.told))
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(events: DataFrame, processor, schema: str, mode: str) -> DataFrame:
+    return events.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+
+
 def progress_stream(events: DataFrame) -> DataFrame:
-    """render_progress as a stream, in update mode: a document's state is the chunks beyond its prefix, and the prefix.
+    """render_progress as a stream, in update mode: one row for each document that a micro-batch touches.
 
-    events is a stream of (doc_id, chunk_index, frames, status, total_chunks). Needs the RocksDB state store provider.
+    events is a stream of (doc_id, seq, chunk_index, frames, status, total_chunks). Needs the RocksDB state store provider.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
-    class Progress(StatefulProcessor):
+    class Progress(_Rendered, StatefulProcessor):
+        def handleInputRows(self, key, rows, timer_values):
+            *_, (prefix, frames, total, _, _) = self.advanced(rows)
+            if total:
+                yield pd.DataFrame({"doc_id": [key[0]], "prefix": [prefix], "frames": [frames], "seconds": [frames / FRAMES_A_SECOND], "complete": [prefix == total]})
+
+    return _stateful(events, Progress(), "doc_id long, prefix long, frames long, seconds double, complete boolean", "Update")
+
+
+def priming_stream(events: DataFrame, lead_frames: int) -> DataFrame:
+    """priming as a stream, in append mode: a document's one row comes in the micro-batch in which the lead is reached."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Priming(_Rendered, StatefulProcessor):
+        def handleInputRows(self, key, rows, timer_values):
+            ready = None
+            for prefix, frames, _, at, own in self.advanced(rows):
+                if own is not None and not self.told and (frames >= lead_frames or prefix == own):
+                    self.told, ready = True, at
+            if ready is not None:
+                yield pd.DataFrame({"doc_id": [key[0]], "ready_at": [ready]})
+
+    return _stateful(events, Priming(), "doc_id long, ready_at long", "Append")
+
+
+def breaker_stream(events: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
+    """Events that pass the breaker, in append mode, with opened on the failure that opens it; later ones of the document
+    are cut. A rendered chunk resets the count; other states pass and leave it."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Breaker(StatefulProcessor):
         def init(self, handle) -> None:
-            self.waiting = handle.getMapState("waiting", "chunk_index int", "frames long")
-            self.through = handle.getValueState("through", "prefix int, frames long")
+            self.count = handle.getValueState("count", "failures int, open boolean")
 
         def handleInputRows(self, key, rows, timer_values):
-            prefix, frames = self.through.get() if self.through.exists() else (0, 0)
-            total = 0
-            for part in rows:
-                for r in part.itertuples():
-                    total = max(total, int(r.total_chunks))
-                    if r.status == "rendered" and r.chunk_index >= prefix and not self.waiting.containsKey((int(r.chunk_index),)):
-                        self.waiting.updateValue((int(r.chunk_index),), (int(r.frames),))
-            while self.waiting.containsKey((prefix,)):
-                frames += self.waiting.getValue((prefix,))[0]
-                self.waiting.removeKey((prefix,))
-                prefix += 1
-            self.through.update((prefix, frames))
-            yield pd.DataFrame({"doc_id": [key[0]], "prefix": [prefix], "frames": [frames], "complete": [prefix == total]})
+            failures, is_open = self.count.get() if self.count.exists() else (0, False)
+            passed = []
+            if not is_open:
+                for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
+                    failures = failures + 1 if r.status == "failed" else 0 if r.status == "rendered" else failures
+                    is_open = failures >= most
+                    passed.append((key[0], r.seq, r.chunk_index, r.status, is_open))
+                    if is_open:
+                        break
+                self.count.update((failures, is_open))
+            yield pd.DataFrame(passed, columns=["doc_id", "seq", "chunk_index", "status", "opened"])
 
         def close(self) -> None:
             pass
 
-    return events.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=Progress(), outputStructType="doc_id long, prefix int, frames long, complete boolean", outputMode="Update", timeMode="None")
+    return _stateful(events, Breaker(), "doc_id long, seq long, chunk_index int, status string, opened boolean", "Append")
+
+
+def lookahead_stream(cursors: DataFrame, chunks: DataFrame, ahead: int = LOOKAHEAD) -> DataFrame:
+    """Chunks that come within `ahead` of a document's cursor, each once, in append mode.
+
+    cursors is a stream (doc_id, cursor, at) with a watermark on at; chunks is a table. A cursor names the chunks in front
+    of it, so the stream-static join is on equal keys, and each cursor meets `ahead` rows at most.
+    """
+    wanted = cursors.select("doc_id", "at", F.explode(F.sequence(F.col("cursor").cast("int"), (F.col("cursor") + ahead - 1).cast("int"))).alias("chunk_index"))
+    once = wanted.dropDuplicatesWithinWatermark(["doc_id", "chunk_index"])
+    return once.join(chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"]).select("doc_id", "chunk_index")
