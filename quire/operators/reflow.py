@@ -43,10 +43,32 @@ def paragraph_ranges(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("doc_id", "block_idx").agg(F.min("loc").alias("loc"), (F.max(F.col("loc") + F.col("len")) - F.min("loc")).alias("len"))
 
 
+#: UTF-16 units of text that tokens are held against at once.
+_UNITS = 512
+
+
+def _units(text):
+    """Two characters for each UTF-16 unit, none of them beyond the basic plane, so that places are doubled offsets."""
+    return F.decode(F.encode(text, "UTF-16BE"), "ISO-8859-1")
+
+
 def reflow_check(offsets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Tokens that their range does not cut out of the text (texts without astral characters)."""
-    cut = F.substring(F.col("text"), (F.col("loc") + 1).cast("int"), F.col("len"))
-    return offsets.join(texts, "doc_id").where(cut != F.col("token")).select("doc_id", "block_idx", "token_idx")
+    """Tokens that their range does not cut out of the text, ranges in UTF-16 units.
+
+    Texts and tokens are cut at the same places, every _UNITS units, and each piece of a token is held against its block
+    of the text: time is in proportion to the text, and a long document is spread over its blocks. Documents without a
+    text are not told.
+    """
+    size, every = 2 * _UNITS, F.lit(f"(?s).{{1,{2 * _UNITS}}}")
+    blocks = texts.where("text is not null").select("doc_id", F.posexplode_outer(F.regexp_extract_all(_units(F.col("text")), every, F.lit(0))).alias("_no", "_block"))
+    start, u = F.col("loc") * 2, _units(F.col("token"))
+    first = (F.lit(size) - start % size).cast("int")
+    pieces = F.concat(F.array(F.substring(u, F.lit(1), first)), F.regexp_extract_all(F.substring(u, first + 1, F.length(u)), every, F.lit(0)))
+    t = offsets.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "block_idx", "token_idx", start.alias("_start"), F.posexplode(pieces).alias("_i", "_piece"))
+    t = t.withColumn("_no", (F.floor(F.col("_start") / size) + F.col("_i")).cast("int")).withColumn("_at", F.when(F.col("_i") == 0, F.col("_start") % size).otherwise(0).cast("int"))
+    held = t.join(blocks, ["doc_id", "_no"], "left")
+    cut = F.coalesce(F.substring(F.col("_block"), F.col("_at") + 1, F.length("_piece")), F.lit(""))
+    return held.where(cut != F.col("_piece")).select("doc_id", "block_idx", "token_idx").distinct()
 
 
 def marker_carrier(blocks: DataFrame) -> DataFrame:

@@ -102,20 +102,34 @@ def ranges_at(points: DataFrame, ranges: DataFrame, names: list[str]) -> DataFra
 
 
 def prefetch_window(positions: DataFrame, chunks: DataFrame, available: DataFrame, delivered: DataFrame, behind_s: int = 20, ahead_s: int = 150) -> DataFrame:
-    """event_id, doc_id, chunk_idx, action: load chunks that meet the window, are available and not delivered; release
-    delivered ones outside it. Chunks of a document follow each other, so a window is a run of them, whose ends are
-    looked up; only what is told is joined."""
+    """event_id, doc_id, action, first_chunk, last_chunk, n_chunks.
+
+    Load: each chunk that meets the window, is available and not delivered, a row of its own. Release: the delivered
+    chunks before the window and those after it, as one run each: its ends and how many delivered chunks it has. Chunks
+    of a document follow each other, so the window and both runs are found by looking up their ends; no position meets
+    more chunks than its window has.
+    """
     key, nth = ["doc_id", "chunk_idx"], F.row_number().over(W.partitionBy("doc_id").orderBy("offset"))
     c = chunks.withColumn("nth", nth)
     p = positions.withColumn("_low", F.col("t_frame") - behind_s * FRAMES_A_SECOND).withColumn("_high", F.col("t_frame") + ahead_s * FRAMES_A_SECOND - 1)
     # the first chunk whose end lies behind low, the last one that starts before high
     p = as_of(p, c, ["doc_id"], "_low", "end", ["nth"]).withColumn("_first", F.coalesce("nth", F.lit(0)) + 1).drop("nth")
-    p = as_of(p, c, ["doc_id"], "_high", "offset", ["nth"]).withColumnRenamed("nth", "_last")
+    p = as_of(p, c, ["doc_id"], "_high", "offset", ["nth"]).withColumn("_last", F.coalesce("nth", F.lit(0))).drop("nth")
     run = p.where("_last >= _first").select("event_id", "doc_id", F.explode(F.sequence("_first", "_last")).alias("nth"))
     load = run.join(c.join(available.distinct(), key, "left_semi").join(delivered, key, "left_anti").select("doc_id", "nth", "chunk_idx"), ["doc_id", "nth"])
-    held = c.join(delivered.distinct(), key, "left_semi").select("doc_id", "nth", "chunk_idx")
-    release = p.join(held, "doc_id").where(F.col("_last").isNull() | (F.col("nth") < F.col("_first")) | (F.col("nth") > F.col("_last")))
-    return load.select("event_id", *key, F.lit("load").alias("action")).unionByName(release.select("event_id", *key, F.lit("release").alias("action")))
+    whole = W.partitionBy("doc_id").orderBy("nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    held = c.join(delivered.distinct(), key, "left_semi").select(
+        "doc_id", "nth", "chunk_idx", F.first("chunk_idx").over(whole).alias("head"), F.last("chunk_idx").over(whole).alias("tail"),
+        F.row_number().over(W.partitionBy("doc_id").orderBy("nth")).cast("long").alias("upto"), F.count("*").over(whole).alias("all"),
+    )
+    p = p.select("event_id", "doc_id", (F.col("_first") - 1).alias("_before"), (-F.col("_last") - 1).alias("_after"))
+    before = as_of(p, held, ["doc_id"], "_before", "nth", ["chunk_idx", "head", "upto"]).where("chunk_idx is not null")
+    after = as_of(p, held.withColumn("_back", -F.col("nth")), ["doc_id"], "_after", "_back", ["chunk_idx", "tail", "upto", "all"]).where("chunk_idx is not null")
+    told = lambda rows, action, first, last, n: rows.select("event_id", "doc_id", F.lit(action).alias("action"), F.col(first).alias("first_chunk"), F.col(last).alias("last_chunk"), n.alias("n_chunks"))
+    return (
+        told(load, "load", "chunk_idx", "chunk_idx", F.lit(1).cast("long")).unionByName(told(before, "release", "head", "chunk_idx", F.col("upto")))
+        .unionByName(told(after, "release", "chunk_idx", "tail", F.col("all") - F.col("upto") + 1))
+    )
 
 
 def timeline_audit(timeline: DataFrame) -> DataFrame:
