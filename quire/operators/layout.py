@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.windows import cut_lineage, islands
+from quire.operators.windows import cut_lineage, islands, let
 
 SEGMENT_GAP, LINE_TOLERANCE, SMALL = 1.0, 0.35, 0.8
 _PAGE = ["doc_id", "page_index"]
@@ -21,35 +21,49 @@ def page_skew(lines: DataFrame) -> DataFrame:
 
 
 def build_segments(runs: DataFrame) -> DataFrame:
-    """runs (x, width, baseline, glyph_height, seq) with segment_id: stretches of a line without a gap of an em.
-
-    Runs of one height and more are clustered by baseline, then cut at gaps; small raised or lowered runs join the
-    segment that ends just before them and is nearest. Skewed pages are straightened first (page_skew). A page whose
-    lines overlap each other can differ from a left-to-right chaining of its runs.
+    """doc_id, page_index, seq, segment_id of runs (x, width, baseline, glyph_height, seq): stretches of a line without a
+    gap of an em, numbered by page in the order in which they begin.
+
+    The runs of a page are taken from left to right (from the top on ties) and each joins the nearest open segment it
+    fits, or opens one. It is held against the last run of each segment, so skew does no harm; a small raised or lowered
+    run joins without moving its segment's baseline. The state of the fold is the array of open segments; a segment
+    leaves it once no run of the page can reach it any more, so a run meets about as many segments as the page has lines
+    there, however long the page is.
     """
-    tall = F.max("glyph_height").over(W.partitionBy(*_PAGE, "near"))
-    along = W.partitionBy(*_PAGE).orderBy(F.desc("baseline"), "x")
-    step = F.lag("baseline").over(along) - F.col("baseline")
-    r = runs.withColumn("_new", F.when(step > LINE_TOLERANCE * F.col("glyph_height") * 2, 1).otherwise(0))
-    r = r.withColumn("near", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    r = r.withColumn("_small", F.col("glyph_height") < SMALL * tall)
-    base = r.where("not _small").withColumn("_down", -F.col("baseline"))
-    line = F.lag("_down").over(W.partitionBy(*_PAGE).orderBy("_down", "x"))
-    base = islands(base, _PAGE, ["_down", "x"], F.col("_down") - line > LINE_TOLERANCE * F.col("glyph_height"), "cluster")
-    right = F.lag(F.col("x") + F.col("width")).over(W.partitionBy(*_PAGE, "cluster").orderBy("x", "seq"))
-    base = islands(base, [*_PAGE, "cluster"], ["x", "seq"], F.col("x") - right > SEGMENT_GAP * F.col("glyph_height"), "part")
-    number = F.dense_rank().over(W.partitionBy(*_PAGE).orderBy("cluster", "part")) - 1
-    base = base.withColumn("segment_id", number)
-    host = base.select(*_PAGE, "near", "segment_id", (F.col("x") + F.col("width")).alias("h_right"), F.col("baseline").alias("h_base"), F.col("glyph_height").alias("h_height"))
-    small = r.where("_small").select(*_PAGE, "near", "seq", "x", "baseline", "glyph_height")
-    gap, rise = F.col("x") - F.col("h_right"), F.abs(F.col("baseline") - F.col("h_base"))
-    fits = (gap <= SEGMENT_GAP * F.col("h_height")) & (gap >= -0.5 * F.col("h_height")) & (rise > 0.1 * F.col("h_height")) & (rise <= 0.75 * F.col("h_height"))
-    joined = small.join(host, [*_PAGE, "near"]).where(fits).groupBy(*_PAGE, "seq").agg(F.min_by("segment_id", F.struct(rise + F.greatest(F.lit(0.0), gap) * 0.01, F.col("segment_id"))).alias("_host"))
-    last = base.groupBy(*_PAGE).agg(F.max("segment_id").alias("_last"))
-    alone = r.where("_small").select(*_PAGE, "seq").join(joined, [*_PAGE, "seq"], "left").join(last, _PAGE, "left")
-    lone = F.row_number().over(W.partitionBy(*_PAGE, F.col("_host").isNull()).orderBy("seq"))
-    alone = alone.select(*_PAGE, "seq", F.coalesce("_host", F.coalesce("_last", F.lit(-1)) + lone).alias("segment_id"))
-    return base.select(*_PAGE, "seq", "segment_id").unionByName(alone)
+    run = F.struct("x", (-F.col("baseline")).alias("down"), "seq", F.col("width").cast("double").alias("width"), "baseline", F.col("glyph_height").alias("height"))
+    pages = runs.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(run)).alias("_runs"), F.max("glyph_height").alias("_most"))
+    segment = "struct<right:double,baseline:double,height:double,id:int>"
+    state = F.struct(F.array().cast(f"array<{segment}>").alias("open"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+
+    def fits(s: Column, r: Column, i: Column) -> Column:
+        gap, rise, em = r["x"] - s["right"], F.abs(r["baseline"] - s["baseline"]), F.greatest(r["height"], s["height"])
+        on_line = rise <= LINE_TOLERANCE * F.least(r["height"], s["height"])
+        script = (r["height"] < s["height"] * SMALL) & (rise > 0.1 * s["height"]) & (rise <= 0.75 * s["height"])
+        distance = rise + F.when(script, s["height"]).otherwise(0.0) + F.greatest(F.lit(0.0), gap) * 0.01
+        # most segments are on other lines, which is told first
+        return F.when((rise <= 0.75 * em) & (gap <= SEGMENT_GAP * em) & (gap >= -0.5 * em) & (on_line | script), F.struct(distance.alias("distance"), i.alias("i"), (~on_line).alias("script")))
+
+    def step(state: Column, r: Column) -> Column:
+        reached = F.filter(state["open"], lambda s: r["x"] - s["right"] <= SEGMENT_GAP * F.col("_most"))
+        return let(reached, lambda reached: let(F.array_min(F.transform(reached, lambda s, i: fits(s, r, i))), lambda best: taken(state, reached, best, r)))
+
+    def taken(state: Column, reached: Column, best: Column, r: Column) -> Column:
+        own = F.struct((r["x"] + r["width"]).alias("right"), r["baseline"].alias("baseline"), r["height"].alias("height"), state["n"].alias("id"))
+
+        def joined(s: Column, i: Column) -> Column:
+            base, height = F.when(best["script"], s["baseline"]).otherwise(r["baseline"]), F.when(best["script"], s["height"]).otherwise(r["height"])
+            return F.when(i == best["i"], F.struct((r["x"] + r["width"]).alias("right"), base.alias("baseline"), height.alias("height"), s["id"].alias("id"))).otherwise(s)
+
+        alone = best.isNull()
+        return F.struct(
+            F.when(alone, F.array_append(reached, own)).otherwise(F.transform(reached, joined)).alias("open"), (state["n"] + alone.cast("int")).alias("n"),
+            F.array_append(state["ids"], F.when(alone, state["n"]).otherwise(F.get(reached, best["i"])["id"])).alias("ids"),
+        )
+
+    cast = F.transform("_runs", lambda r: F.struct(r["x"].cast("double").alias("x"), r["seq"].alias("seq"), r["width"].alias("width"), r["baseline"].cast("double").alias("baseline"), r["height"].cast("double").alias("height")))
+    pages = pages.withColumn("_runs", cast)
+    ids = F.aggregate("_runs", state, step, lambda s: s["ids"])
+    return pages.withColumn("_ids", ids).select(*_PAGE, F.inline(F.arrays_zip(F.transform("_runs", lambda r: r["seq"]).alias("seq"), F.col("_ids").alias("segment_id")))).toDF(*_PAGE, "seq", "segment_id")
 
 
 def segments_of(runs: DataFrame) -> DataFrame:
@@ -148,28 +162,82 @@ def baseline_lines(runs: DataFrame) -> DataFrame:
     return runs.join(at.select(*_PAGE, "col", "z.baseline", "z.line_id"), [*_PAGE, "col", "baseline"])
 
 
+def _spanning(parts: Column) -> Column:
+    """Of a region's segments, from the top down, whether each spans: side 0, or right under a segment that does, on its
+    margin and of its size. What is under another comes after it, so one pass finds all that follow from others."""
+    kept = F.array().cast("array<struct<x0:double,height:double,baseline:double>>")
+
+    def step(s: Column, p: Column) -> Column:
+        near = F.filter(s["open"], lambda a: a["baseline"] - p["baseline"] <= a["height"] * 1.6)
+        return let(near, lambda near: let((p["side"] == 0) | F.exists(near, lambda a: under(a, p)), lambda spans: told(s, p, near, spans)))
+
+    def under(a: Column, p: Column) -> Column:
+        return (F.abs(p["x0"] - a["x0"]) <= 2) & (F.abs(p["height"] - a["height"]) <= a["height"] * 0.1) & (a["baseline"] - p["baseline"] > 0)
+
+    def told(s: Column, p: Column, near: Column, spans: Column) -> Column:
+        own = F.struct(p["x0"].alias("x0"), p["height"].alias("height"), p["baseline"].alias("baseline"))
+        return F.struct(F.when(spans, F.array_append(near, own)).otherwise(near).alias("open"), F.array_append(s["told"], spans).alias("told"))
+
+    return F.aggregate(parts, F.struct(kept.alias("open"), F.array().cast("array<boolean>").alias("told")), step, lambda s: s["told"])
+
+
+def _blocks(spanning: Column, columns: Column) -> Column:
+    """Spanning segments from the top down in blocks: upper and lower (the middles of its first and last) and the keys of
+    each. A block ends where the middle of a column's segment lies between it and the next spanning one."""
+    block = "struct<upper:double,lower:double,floor:double,keys:array<string>>"
+
+    def step(s: Column, p: Column) -> Column:
+        last = F.try_element_at(s, F.lit(-1))
+        between = F.exists(columns, lambda c: (c["mid"] < last["floor"]) & (c["mid"] >= p["y1"]))
+        alone = F.struct(p["mid"].alias("upper"), p["mid"].alias("lower"), p["y0"].alias("floor"), F.array(p["key"]).alias("keys"))
+        grown = F.struct(last["upper"].alias("upper"), p["mid"].alias("lower"), F.least(last["floor"], p["y0"]).alias("floor"), F.array_append(last["keys"], p["key"]).alias("keys"))
+        return F.when(last.isNull() | between, F.array_append(s, alone)).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(grown)))
+
+    return F.aggregate(spanning, F.array().cast(f"array<{block}>"), step)
+
+
 def reading_regions(segments: DataFrame, depth: int = 3) -> DataFrame:
     """segments with region, a path by which regions sort in reading order.
 
     Each round splits regions that have a gutter into left, right and spanning segments. A line right under a spanning
-    one, on its margin and of its size, spans too. Spanning segments cut bands; a band is read left, then right.
+    one, on its margin and of its size, spans too, and so do those under it. Spanning segments are gathered in blocks
+    with no column text between; blocks cut bands; a band is read left, then right, then the block under it. A part of
+    the path has the number of the band, then 1 for left, 2 for right or 3 for the block, which is not split further. A
+    column's segment beside a block of several lines, between the middles of its first and last, belongs to no band: its
+    region is null. A region's segments are gathered in one cell, at most those of a page.
     """
     key = [*_PAGE, "region"]
     # each round reads its segments several times, so they are written once between rounds
-    s = cut_lineage(segments.withColumn("region", F.lit("")))
+    s = cut_lineage(segments.withColumn("region", F.lit("")).withColumn("_key", F.uuid()))
     for _ in range(depth):
-        g = find_gutter(s, key).select(*key, F.col("x").alias("_x"), F.col("width").alias("_w"))
-        j = s.join(g, key, "left")
-        slack = F.greatest(F.lit(4.0), F.col("_w") / 4)
-        j = j.withColumn("_side", F.when(F.col("_x").isNull(), None).when(F.col("x1") <= F.col("_x") + slack, 1).when(F.col("x0") >= F.col("_x") - slack, 2).otherwise(0))
-        along = W.partitionBy(*key).orderBy(F.desc("baseline"), "x0")
-        for _ in range(2):
-            above = lambda c: F.lag(c).over(along)  # noqa: B023, E731
-            under = (above("_side") == 0) & (F.abs(F.col("x0") - above("x0")) <= 2) & (F.abs(F.col("height") - above("height")) <= 0.1 * above("height")) & (above("baseline") - F.col("baseline") <= 1.6 * above("height"))
-            j = j.withColumn("_joins", F.coalesce(under, F.lit(False))).withColumn("_side", F.when(F.col("_side").isNotNull() & F.col("_joins"), 0).otherwise(F.col("_side")))
-        band = F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(along.rowsBetween(W.unboundedPreceding, 0))
-        j = j.withColumn("_band", band)
+        g = find_gutter(s.where("region is not null and region not like '%.3/'"), key).select(*key, F.col("x").alias("_x"), F.greatest(F.lit(4.0), F.col("width") / 4).alias("_slack"))
+        into_left, into_right = F.col("_x") - F.col("x0"), F.col("x1") - F.col("_x")
+        side = F.when((into_left > F.col("_slack")) & (into_right > F.col("_slack")), 0).when(into_right <= into_left, 1).otherwise(2)
+        part = F.struct(
+            (-F.col("baseline")).alias("down"), "x0", F.col("_key").alias("key"), side.alias("side"), F.col("x0").cast("double").alias("left"), "height", "baseline", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("mid"),
+        )
+        parts = s.join(g, key).groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+        parts = parts.withColumn("_parts", F.transform("_parts", lambda p: F.struct(
+            p["key"].alias("key"), p["side"].alias("side"), p["left"].alias("x0"), *[p[c].cast("double").alias(c) for c in ("height", "baseline", "y0", "y1", "mid")]
+        )))
+        parts = parts.withColumn("_spans", _spanning(F.col("_parts")))
+        both = F.transform("_parts", lambda p, i: F.struct((-p["y1"]).alias("top"), i.alias("i"), p.alias("p"), F.get("_spans", i).alias("spans")))
+        parts = parts.withColumn("_all", both)
+        down = F.transform(F.array_sort(F.filter("_all", lambda b: b["spans"])), lambda b: b["p"])
+        columns = F.transform(F.filter("_all", lambda b: ~b["spans"]), lambda b: b["p"])
+        parts = parts.withColumn("_down", down).withColumn("_columns", columns).withColumn("_blocks", _blocks(F.col("_down"), F.col("_columns")))
+        own = F.flatten(F.transform("_blocks", lambda b, k: F.transform(b["keys"], lambda x: F.struct(x.alias("_key"), k.alias("_band"), F.lit(3).alias("_side")))))
+
+        def placed(c: Column) -> Column:
+            # the band above block k is left once the middle lies under k's first middle, and the next begins under its last
+            band = F.size(F.filter("_blocks", lambda b: c["mid"] < b["upper"]))
+            above = F.try_element_at(F.col("_blocks"), F.when(band > 0, band).otherwise(F.lit(1)))
+            inside = (band == 0) | (c["mid"] < above["lower"])
+            return F.struct(c["key"].alias("_key"), F.when(inside, band).alias("_band"), c["side"].alias("_side"))
+
+        told = parts.select(*_PAGE, "region", F.inline(F.concat(own, F.transform("_columns", placed)))).toDF(*_PAGE, "region", "_key", "_band", "_side")
         path = F.concat("region", F.lpad(F.col("_band").cast("string"), 5, "0"), F.lit("."), F.col("_side").cast("string"), F.lit("/"))
-        s = j.withColumn("_path", F.when(F.col("_side").isNull(), F.col("region")).otherwise(path)).drop("region", "_x", "_w", "_side", "_joins", "_band").withColumnRenamed("_path", "region")
+        told = told.select("_key", path.alias("_path"), F.lit(True).alias("_split"))
+        s = s.join(told, "_key", "left").withColumn("region", F.when(F.col("_split"), F.col("_path")).otherwise(F.col("region"))).drop("_path", "_split")
         s = cut_lineage(s)
-    return s
+    return s.drop("_key")

@@ -111,22 +111,79 @@ def lift_markers(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.where("not is_marker"), runs.where("is_marker")
 
 
+_CLOSING, _OPENING, _EITHER = r"^[,.;:!?)\]}”’»…%]+$", r"^[(\[{“‘«]+$", "^[\"']+$"
+
+
+def _marks_attached(marks: Column) -> Column:
+    """For the marks that follow a word, in order: where groups start, and whether the last ones go to the next word.
+
+    marks has token_idx, kind (closing, opening or either), x, right, line_key, and of what follows n_x, n_line, n_any; the
+    word before, if any, is told by p_right, p_line and p_any of the first mark. What goes forward is carried and judged
+    together with the next mark: alike kinds stay what they are, unlike ones become a word of their own. Marks of the
+    document's end fall back, those of its start fall forward.
+    """
+    far = F.lit(float("inf"))
+    first = F.try_element_at(marks, F.lit(1))
+    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("string")
+    state = F.struct(
+        F.coalesce(first["p_any"], F.lit(False)).alias("any"), first["p_right"].alias("right"), first["p_line"].alias("line"), none.alias("from"), nothing.alias("kind"),
+        F.lit(None).cast("double").alias("x"), first["p_line"].alias("x_line"), F.array().cast("array<long>").alias("starts"),
+    )
+
+    def step(s: Column, m: Column) -> Column:
+        carried = s["from"].isNotNull()
+        kind = F.when(carried & (s["kind"] != m["kind"]), "word").otherwise(m["kind"])
+        start = F.coalesce(s["from"], m["token_idx"])
+        x, x_line = F.when(carried, s["x"]).otherwise(m["x"]), F.when(carried, s["x_line"]).otherwise(m["line_key"])
+        left = F.when(s["line"] == x_line, F.abs(x - s["right"])).otherwise(far)
+        right = F.when(m["n_line"] == m["line_key"], F.abs(m["n_x"] - m["right"])).otherwise(far)
+        either = F.when(s["any"] & m["n_any"], F.when(left <= right, "back").otherwise("forward")).when(s["any"], "back").when(m["n_any"], "forward")
+        way = (
+            F.when(kind == "closing", F.when(s["any"], "back").when(m["n_any"], "forward")).when(kind == "opening", F.when(m["n_any"], "forward").when(s["any"], "back"))
+            .when(kind == "either", either)
+        )
+        way = F.coalesce(way, F.lit("stays"))
+        goes = way == "forward"
+        return F.struct(
+            (s["any"] | ~goes).alias("any"), F.when(goes, s["right"]).otherwise(m["right"]).alias("right"), F.when(goes, s["line"]).otherwise(m["line_key"]).alias("line"),
+            F.when(goes, start).alias("from"), F.when(goes, kind).alias("kind"), F.when(goes, x).alias("x"), F.when(goes, x_line).alias("x_line"),
+            F.when(way == "stays", F.array_append(s["starts"], start)).otherwise(s["starts"]).alias("starts"),
+        )
+
+    return F.aggregate(marks, state, step, lambda s: F.struct(s["starts"].alias("starts"), s["from"].alias("from")))
+
+
 def attach_punctuation(tokens: DataFrame) -> DataFrame:
-    """doc_id, group, token, n_boxes: tokens of punctuation alone join the word they belong to. tokens has x, width."""
+    """doc_id, group, token, n_boxes: tokens of punctuation alone join the word they belong to. tokens has x, width and
+    line_key.
+
+    A closing mark joins what stands before it, an opening one what comes next, a straight quote the nearer of both (what
+    stands before on ties, and across lines); at an end of the document each falls to the other side. The marks after a
+    word are folded in order, with what goes forward carried along; words are independent of each other but for what the
+    marks between them carry on.
+    """
     along = W.partitionBy("doc_id").orderBy("token_idx")
-    closing, opening, either = F.col("token").rlike(r"^[,.;:!?)\]}”’»…%]+$"), F.col("token").rlike(r"^[(\[{“‘«]+$"), F.col("token").rlike("^[\"']+$")
-    left = F.abs(F.col("x") - (F.lag("x").over(along) + F.lag("width").over(along)))
-    right = F.abs(F.lead("x").over(along) - (F.col("x") + F.col("width")))
-    same_l, same_r = F.lag("line_key").over(along) == F.col("line_key"), F.lead("line_key").over(along) == F.col("line_key")
-    far = F.lit(float("inf"))
-    back = F.coalesce(F.when(same_l, left), far) <= F.coalesce(F.when(same_r, right), far)
-    has_l, has_r = F.lag("token").over(along).isNotNull(), F.lead("token").over(along).isNotNull()
-    to = F.when(closing, F.when(has_l, "back").when(has_r, "forward")).when(opening, F.when(has_r, "forward").when(has_l, "back")).when(either, F.when(has_l & has_r, F.when(back, "back").otherwise("forward")).when(has_l, "back").when(has_r, "forward"))
-    t = tokens.withColumn("_to", to)
-    starts = (F.coalesce(F.lag("_to").over(along), F.lit("")) != "forward") & (F.coalesce(F.col("_to"), F.lit("")) != "back")
-    t = islands(t, ["doc_id"], ["token_idx"], starts, "group")
+    token = F.col("token")
+    kind = F.when(token.rlike(_CLOSING), "closing").when(token.rlike(_OPENING), "opening").when(token.rlike(_EITHER), "either")
+    t = tokens.withColumn("_kind", kind).withColumn("_right", F.col("x") + F.col("width"))
+    t = t.withColumn("_run", F.sum(F.col("_kind").isNull().cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    mark = F.struct(
+        "token_idx", F.col("_kind").alias("kind"), F.col("x").cast("double").alias("x"), F.col("_right").cast("double").alias("right"), "line_key",
+        F.lead("x").over(along).cast("double").alias("n_x"), F.lead("line_key").over(along).alias("n_line"), F.lead("token").over(along).isNotNull().alias("n_any"),
+        F.lag("_right").over(along).cast("double").alias("p_right"), F.lag("line_key").over(along).alias("p_line"), F.lag("token").over(along).isNotNull().alias("p_any"),
+    )
+    t = t.withColumn("_mark", F.when(F.col("_kind").isNotNull(), mark))
+    runs = t.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list("_mark")).alias("_marks"), F.array_sort(F.collect_list(F.struct("token_idx", "token"))).alias("_tokens"), F.min(F.when(F.col("_kind").isNull(), F.col("token_idx"))).alias("_word"))
+    runs = runs.withColumn("_found", _marks_attached(F.col("_marks")))
+    # a word starts a group unless marks before it were carried on, whose first then does
+    carried = F.lag("_found.from").over(W.partitionBy("doc_id").orderBy("_run"))
+    runs = runs.withColumn("_starts", F.filter(F.concat("_found.starts", F.array(F.coalesce(carried, F.col("_word")))), lambda i: i.isNotNull()))
+    # marks that one word's run carries on belong to the next run's group
+    heads = runs.select("doc_id", F.explode("_starts").alias("token_idx"), F.lit(1).alias("_head"))
+    each = runs.select("doc_id", F.inline("_tokens")).join(heads, ["doc_id", "token_idx"], "left")
+    each = each.withColumn("group", (F.sum(F.coalesce("_head", F.lit(0))).over(along.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("token_idx", "token")))
-    return t.groupBy("doc_id", "group").agg(F.array_join(F.transform(parts, lambda x: x["token"]), "").alias("token"), F.count("*").alias("n_boxes"))
+    return each.groupBy("doc_id", "group").agg(F.array_join(F.transform(parts, lambda x: x["token"]), "").alias("token"), F.count("*").alias("n_boxes"))
 
 
 def document_indents(blocks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -120,36 +121,93 @@ def assemble_word(pieces: DataFrame) -> DataFrame:
 
 # fixed values: ligatures, and spacing accents with their combining forms
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+DOTLESS = {"ı": "i", "ȷ": "j"}
 ACCENTS = {"¨": "̈", "´": "́", "`": "̀", "ˆ": "̂", "˜": "̃", "¸": "̧", "˚": "̊", "ˇ": "̌", "˘": "̆", "¯": "̄", "˝": "̋", "˙": "̇"}
 
 
-def composed() -> list[tuple[str, str]]:
-    """(letter and combining mark, one character) for all Latin letters that have one."""
-    out = []
-    for mark in ACCENTS.values():
-        for letter in map(chr, [*range(65, 91), *range(97, 123)]):
-            one = unicodedata.normalize("NFC", letter + mark)
-            if len(one) == 1:
-                out.append((letter + mark, one))
-    return out
+_MARK = f"[{''.join(ACCENTS)}]"
+
+
+@cache
+def composed(mark: str) -> tuple[str, str]:
+    """Letters of all scripts that have one character with a combining mark, and these characters in the same order."""
+    pairs = [(x, y) for x in _letters() if len(y := unicodedata.normalize("NFC", x + mark)) == 1]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+@cache
+def _letters() -> list[str]:
+    """Letters in canonical composition."""
+    return [x for x in map(chr, range(0x41, 0x30000)) if unicodedata.category(x)[0] == "L" and unicodedata.normalize("NFC", x) == x]
+
+
+@cache
+def _reordered() -> dict[str, str]:
+    """Letters that a cedilla takes apart, since it stands before the marks above, with what they become."""
+    mark = ACCENTS["¸"]
+    found = {x: unicodedata.normalize("NFC", x + mark) for x in _letters()}
+    return {x: y for x, y in found.items() if len(y) > 1 and y != x + mark}
+
+
+@cache
+def _unstable() -> dict[str, str]:
+    """Letters that canonical composition replaces."""
+    letters = [x for x in map(chr, range(0x41, 0x30000)) if unicodedata.category(x)[0] == "L"]
+    return {x: y for x in letters if (y := unicodedata.normalize("NFC", x)) != x}
+
+
+def _looked_up(letter: Column, table: dict[str, str]) -> Column:
+    """What table has for a letter, or null."""
+    single = {x: y for x, y in table.items() if len(y) == 1}
+    several = [F.lit(x) for pair in table.items() if len(pair[1]) > 1 for x in pair]
+    one = F.translate(letter, "".join(single), "".join(single.values())) if single else letter
+    return F.coalesce(F.try_element_at(F.create_map(*several), letter), F.when(one != letter, one))
+
+
+def _accented(part: Column) -> Column:
+    """A letter and its spacing accents, in any order, as one letter with combining marks.
+
+    The cedilla comes first, since it stands under the letter; marks above compose one by one until one does not, and all
+    after it follow as they are. No letter composes with more than three marks, so further ones are only appended."""
+    before = part.rlike(rf"^{_MARK}\p{{L}}")  # two of the accents are letters themselves
+    letter = F.translate(F.when(before, F.substring(part, 2, 1)).otherwise(F.substring(part, 1, 1)), "".join(DOTLESS), "".join(DOTLESS.values()))
+    letter = F.coalesce(_looked_up(letter, _unstable()), letter)
+    marks = F.when(before, F.concat(F.substring(part, 1, 1), F.substring(part, F.lit(3), F.length(part)))).otherwise(F.substring(part, F.lit(2), F.length(part)))
+    under, over = F.regexp_replace(marks, "[^¸]", ""), F.replace(marks, F.lit("¸"), F.lit(""))
+    below, cedilla = F.translate(letter, *composed(ACCENTS["¸"])), F.lit(ACCENTS["¸"])
+    apart = F.when(under != "", _looked_up(letter, _reordered()))
+    lead = F.coalesce(apart, F.when(under == "", letter).when(below != letter, below).otherwise(F.concat(letter, cedilla)))
+    # marks compose with the head; the tail is what follows it
+    rest, more = F.substring(lead, F.lit(2), F.length(lead)), F.repeat(cedilla, F.greatest(F.length(under) - 1, F.lit(0)))
+    tail = F.when(apart.isNull(), F.concat(rest, more)).otherwise(F.concat(more, rest))
+    state = F.struct(F.substring(lead, 1, 1).alias("head"), tail.alias("tail"), apart.isNull().alias("open"))
+
+    def step(s: Column, mark: Column) -> Column:
+        whole = F.lit(None).cast("string")
+        for spacing in ACCENTS:
+            if spacing != "¸":
+                whole = F.when(mark == spacing, F.translate(s["head"], *composed(ACCENTS[spacing]))).otherwise(whole)
+        goes = s["open"] & (whole != s["head"])
+        combining = F.translate(mark, "".join(ACCENTS), "".join(ACCENTS.values()))
+        return F.struct(F.when(goes, whole).otherwise(s["head"]).alias("head"), F.when(goes, s["tail"]).otherwise(F.concat(s["tail"], combining)).alias("tail"), goes.alias("open"))
+
+    first = F.regexp_extract_all(F.substring(over, 1, 4), F.lit("."), F.lit(0))
+    rest = F.translate(F.substring(over, F.lit(5), F.length(over)), "".join(ACCENTS), "".join(ACCENTS.values()))
+    return F.concat(F.aggregate(first, state, step, lambda s: F.concat(s["head"], s["tail"])), rest)
 
 
 def clean_word(text: Column) -> Column:
-    """Ligatures spelled out, soft hyphens resolved, spacing accents composed with the letter after, else before them."""
+    """Ligatures spelled out, soft hyphens resolved, spacing accents composed with the letter after, else before them.
+
+    An accent in front of a letter belongs to it; other accents belong to the letter they follow, and stay where there is
+    none. A word is cut once into accented letters and what lies between, in time proportional to its length."""
     for short, long in LIGATURES.items():
         text = F.replace(text, F.lit(short), F.lit(long))
-    text = F.regexp_replace(F.regexp_replace(text, "­(?=.)", ""), "­$", "-")
-    marked = text
-    for spacing, mark in ACCENTS.items():
-        marked = F.regexp_replace(marked, rf"{spacing}(\p{{L}})", f"$1{mark}")
-        marked = F.regexp_replace(marked, rf"(\p{{L}}){spacing}", f"$1{mark}")
-    marked = F.regexp_replace(F.regexp_replace(marked, "ı(?=[̀-ͯ])", "i"), "ȷ(?=[̀-ͯ])", "j")
-    pairs = composed()
-    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    # each letter with a mark is looked up; the rest of the word is kept
-    parts = F.regexp_extract_all(marked, F.lit("(?s)[A-Za-z][̀-ͯ]|."), F.lit(0))
-    whole = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
-    return F.when(text.rlike("[¨´`ˆ˜¸˚ˇ˘¯˝˙]"), whole).otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, "\u00ad(?=.)", ""), "\u00ad$", "-")
+    after = rf"{_MARK}[{''.join(m for m in ACCENTS if not m.isalpha())}]*(?!\p{{L}})"  # marks none of which has a letter next
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){_MARK}\p{{L}}(?:{after})?|\p{{L}}{after}|[^{_MARK[1:-1]}]+(?!{_MARK})|."), F.lit(0))
+    cut = F.transform(parts, lambda p: F.when(p.rlike(rf"^(?:{_MARK}\p{{L}}|\p{{L}}{_MARK})"), _accented(p)).otherwise(p))
+    return F.when(text.rlike(_MARK), F.array_join(cut, "")).otherwise(text)
 
 
 def dedupe_overstrike(runs: DataFrame) -> DataFrame:

@@ -442,9 +442,21 @@ def _(spark, d):
 
 
 
-@bind("reading_regions", "SELECT doc_id, page_index, col, line, CASE WHEN count(*) FILTER (WHERE col = 1 AND x1 - x0 >= 30) OVER w >= 3 AND count(*) FILTER (WHERE col = 0 AND x1 - x0 >= 30) OVER w >= 3 THEN col + 1 ELSE 0 END AS side FROM (SELECT doc_id, page_index, col, line, min(x) AS x0, max(x + width) AS x1 FROM v_runs GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id, page_index)")
-def _(spark, d):
+@bind("reading_regions", """WITH lines AS (SELECT doc_id, page_index, col, line, min(x) AS x0, max(x + width) AS x1 FROM v_runs GROUP BY ALL),
+    titles AS (SELECT doc_id, page_index, line FROM lines WHERE line % 12 = 0 GROUP BY ALL HAVING count(*) = 2),
+    seg AS (SELECT l.*, t.line IS NOT NULL AS spans FROM lines l LEFT JOIN titles t ON l.doc_id = t.doc_id AND l.page_index = t.page_index AND l.line = t.line WHERE t.line IS NULL OR l.col = 0),
+    page AS (SELECT doc_id, page_index, count(*) >= 6 AND count_if(NOT spans AND col = 0 AND x1 - x0 >= 30) >= 3 AND count_if(NOT spans AND col = 1 AND x1 - x0 >= 30) >= 3 AS split FROM seg GROUP BY ALL),
+    told AS (SELECT s.*, p.split, spans OR (col = 0 AND line % 12 = 1 AND coalesce(lag(spans) OVER (PARTITION BY s.doc_id, s.page_index, col ORDER BY line), false)) AS joined FROM seg s JOIN page p ON s.doc_id = p.doc_id AND s.page_index = p.page_index),
+    banded AS (SELECT t.*, (SELECT count(*) FROM titles x WHERE x.doc_id = t.doc_id AND x.page_index = t.page_index AND x.line < t.line) AS above FROM told t)
+    SELECT doc_id, page_index, col, line, CASE WHEN NOT split THEN '' WHEN spans THEN lpad(above::VARCHAR, 5, '0') || '.3/' WHEN joined THEN lpad((above - 1)::VARCHAR, 5, '0') || '.3/' ELSE lpad(above::VARCHAR, 5, '0') || '.' || (col + 1) || '/' END AS region FROM banded""")
+def _(spark, d):
+    """Every twelfth line goes over both columns as a title; the line under it on the left is its second line."""
     r = _boxes(spark, d)
     seg = r.groupBy("doc_id", "page_index", "col", "line").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("height")).alias("y1"), F.median("glyph_height").alias("height"), F.median("baseline").alias("baseline"))
-    regions = layout.reading_regions(seg)
-    return regions.select("doc_id", "page_index", "col", "line", F.coalesce(F.nullif(F.regexp_extract("region", r"^\d+\.(\d)/", 1), F.lit("")).cast("int"), F.lit(0)).alias("side"))
+    row = W.partitionBy("doc_id", "page_index", "line")
+    title = (F.col("line") % 12 == 0) & (F.count("*").over(row) == 2)
+    seg = seg.withColumn("title", title).withColumn("x1", F.when(F.col("title"), F.max("x1").over(row)).otherwise(F.col("x1"))).where("not title or col = 0")
+    large = F.col("title") | ((F.col("col") == 0) & (F.col("line") % 12 == 1))
+    tall = F.col("baseline") - 0.2 * 14
+    seg = seg.withColumn("height", F.when(large, 14.0).otherwise(F.col("height"))).withColumn("y0", F.when(large, tall).otherwise(F.col("y0"))).withColumn("y1", F.when(large, tall + 14).otherwise(F.col("y1")))
+    return layout.reading_regions(seg).select("doc_id", "page_index", "col", "line", "region")
