@@ -378,19 +378,41 @@ def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndar
     return total
 
 
+def listed_words(counts: DataFrame) -> pd.DataFrame:
+    """word, c of the LISTED most frequent words and the end token, most frequent first, then by word.
+
+    Counts are told apart by eighths of a doubling first, then one by one where the last of them fall, and of the words
+    that share the last count those of the least hashes are taken: few numbers reach the driver, whatever the vocabulary.
+    """
+
+    def upto(groups: list, held: int) -> tuple[int, int]:
+        """How many groups go in whole, and what is held then."""
+        for i, row in enumerate(groups):
+            if held + row["n"] > LISTED:
+                return i, held
+            held += row["n"]
+        return len(groups), held
+
+    octave, h = F.floor(F.log2("c") * 8), F.shiftrightunsigned(F.xxhash64("word"), 48)
+    steps = sorted(counts.groupBy(octave.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), reverse=True)
+    i, held = upto(steps, 0)
+    taken = F.col("c") >= (steps[i - 1]["least"] if i else 2**62)
+    if i < len(steps):
+        step = steps[i]["step"]
+        ones = sorted(counts.where(octave == step).groupBy("c").agg(F.count("*").alias("n")).collect(), reverse=True)
+        i, held = upto(ones, held)
+        last = ones[i]["c"]
+        same = sorted(counts.where(F.col("c") == last).groupBy(h.alias("h")).agg(F.count("*").alias("n")).collect())
+        i, _ = upto(same, held)
+        taken = taken | ((octave == step) & (F.col("c") > last)) | ((F.col("c") == last) & (h < same[i]["h"]))
+    top = counts.where(taken | (F.col("word") == F.lit(bytearray(END)))).select("word", "c").toPandas()
+    return top.sort_values(["c", "word"], ascending=[False, True])
+
+
 def build_model(counts: DataFrame) -> Model:
     """Listed words and class totals from staged word counts."""
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # words with a count from `least` on are LISTED at most; counts are told apart by eighths of a doubling
-    octave = F.floor(F.log2("c") * 8)
-    steps = sorted(counts.groupBy(octave.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), reverse=True)
-    least, held = None, 0
-    for row in steps:
-        held += row["n"]
-        if held > LISTED:
-            break
-        least = row["least"]
-    top = counts.where(F.col("c") >= F.lit(least)).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
+    top = listed_words(counts)
     words, c = [bytes(x) for x in top["word"]], top["c"].to_numpy(np.int64)
     n_head = min(HEAD, len(words))
     share = np.cumsum(np.sqrt(c[:n_head])) if n_head else np.zeros(0)
@@ -502,7 +524,7 @@ def fit(spark, rows: DataFrame, model: Model) -> Model:
     model.weights = first_weights(model)
     if not model.words:
         return model
-    trainers = max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)
+    trainers = max(1, int(model.counts[model.words.index(END)]) // DOCS_PER_TRAINER)  # the end token counts rows
     names = list(model.weights)
     for turn, share in enumerate(ROUNDS):
         now = spark.sparkContext.broadcast(model.plain())

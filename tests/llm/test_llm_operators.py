@@ -540,11 +540,39 @@ def test_language_model_beats_its_base_on_held_out_rows(spark):
     assert len(held) > 20 and sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
 
 
-def test_language_model_where_no_word_is_listed(spark, monkeypatch):
-    monkeypatch.setattr(lm, "LISTED", 2)
-    rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+def test_language_model_lists_the_first_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 50)
+    counts = [(f"w{i}".encode(), 0, 40 - i // 10) for i in range(100)] + [(f"v{i}".encode(), 0, 2) for i in range(30)] + [(lm.END, 0, 1)]
+    table = spark.createDataFrame(counts, "word binary, tail int, c long")
+    listed = lm.listed_words(table)
+    # whole groups of ten, and the end token whatever its count
+    assert [bytes(w) for w in listed["word"]] == sorted((f"w{i}".encode() for i in range(50)), key=lambda w: (int(w[1:]) // 10, w)) + [lm.END]
+    monkeypatch.setattr(lm, "LISTED", 115)
+    some = [bytes(w) for w in lm.listed_words(table)["word"]]
+    assert len(some) in range(101, 117) and {f"w{i}".encode() for i in range(100)} < set(some) and lm.END in some and 10 <= sum(w[:1] == b"v" for w in some) <= 15
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_language_model_of_few_rows_with_many_rare_words(spark, monkeypatch, rows):
+    monkeypatch.setattr(lm, "LISTED", 200)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 30)
+    trained = []
+    learn = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda spark, rows, model: trained.append(model) or learn(spark, rows, model))
+    text = " ".join([f"a{i}" for i in range(100)] * 3 + [f"b{i}" for i in range(150)] * 2)
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2][:rows]
+    out = lm.language_model_scores(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")).collect()
+    assert len(out) == rows and all(r["n_tokens"] == r["n_known"] == 601 and r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+    assert len(trained[0].words) > 150 and lm.END in trained[0].words
+
+
+def test_language_model_of_a_few_very_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_STEPS", 30)
+    rng = random.Random(5)
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    rows = [(ids[0], " ".join(f"w{rng.randrange(300)}" for _ in range(40_000))), (ids[1], "x" * 1_000_000), (ids[1], " ".join(f"d{i}" for i in range(60_000)))]
     out = lm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(out) == 40 and all(r["score"] < 0 and math.isfinite(r["score"]) and r["n_tokens"] == 4 for r in out)
+    assert sorted(r["n_tokens"] for r in out) == [2, 40_001, 60_001] and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
 def test_scorer_against_training_means(spark):
