@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -43,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _temporary(spark.sparkContext.applicationId)
 
 
-#: Folders that `staged` wrote and `cleared` has not deleted.
-_STAGED: list[str] = []
+#: Folders that `staged` has written within the innermost `cleared`; each thread has its own.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
@@ -52,20 +53,29 @@ def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     executors. The files stay until `cleared` deletes them, or whoever owns the folder does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    if (within := _STAGED.get()) is not None:
+        within.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Delete what is staged inside, but for the last, which is the result."""
-    mark = len(_STAGED)
-    yield
-    for path in _STAGED[mark:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _STAGED[mark:-1]
+    """Delete what is staged inside by this thread, but for the last, which is the result; after an error the last too.
+    Blocks may be nested: the outer one takes the inner ones' results."""
+    outer, mine, kept = _STAGED.get(), [], None
+    token = _STAGED.set(mine)
+    try:
+        yield
+        kept = mine[-1] if mine else None
+    finally:
+        _STAGED.reset(token)
+        for path in mine:
+            if path != kept:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if outer is not None and kept:
+            outer.append(kept)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import threading
 from collections import Counter, defaultdict
 
 import pytest
 from test_llm_operators import LOW, descend, shingles
 
 import corpus_pipeline
-from quire.llm import quality, sharding
+from quire.llm import common, quality, sharding
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +174,47 @@ def test_run_deletes_what_it_staged_on_the_way(spark, folder, tmp_path, monkeypa
     monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {name for name, _ in corpus_pipeline.STAGES}
+
+
+def _staged_by(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    return lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+
+
+def test_two_runs_at_once_leave_each_other_alone(spark, monkeypatch, tmp_path):
+    there = _staged_by(spark, monkeypatch, tmp_path)
+    gate, found = threading.Barrier(2), {}
+
+    def run(name, n):
+        with common.cleared(spark):
+            docs = spark.range(n)
+            for step in range(3):
+                with common.cleared(spark):
+                    common.staged(docs.where("id < 0"), f"{name}aside")
+                    gate.wait(60)
+                    docs = common.staged(docs.where(f"id <> {step}"), f"{name}{step}")
+                    gate.wait(60)
+        found[name] = docs.count()
+
+    both = [threading.Thread(target=run, args=x) for x in (("a", 50), ("b", 70))]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join()
+    assert found == {"a": 47, "b": 67} and there() == ["a2", "b2"]
+
+
+def test_a_failing_stage_leaves_nothing(spark, monkeypatch, tmp_path):
+    there = _staged_by(spark, monkeypatch, tmp_path)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: spark.range(5))
+
+    def fails(spark, docs, sf_dir):
+        common.staged(docs, "half")
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda spark, docs, sf_dir: common.staged(docs, "aside").where("id > 1")), ("second", fails)])
+    with pytest.raises(RuntimeError, match="stage"):
+        corpus_pipeline.run(spark, "")
+    assert there() == []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+    assert corpus_pipeline.run(spark, "").count() == 3 and there() == ["first"]
