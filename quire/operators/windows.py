@@ -59,6 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder."""
-    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    """df checkpointed in the shared folder, or in the one that the caller has set on the context."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -61,11 +61,10 @@ def _(spark, d):
     return reflow.reading_band_sort(marks).select("doc_id", "token_idx", F.col("rank").cast("long").alias("rank"))
 
 
-@bind("marker_insertion", """WITH m AS (SELECT doc_id, page_index, col, line, token_idx AS marker, x, width, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE is_mark),
-    w AS (SELECT doc_id, page_index, col, line, token_idx, x + width AS w_right, baseline - 0.2 * glyph_height AS y, glyph_height AS height FROM v_runs WHERE NOT is_mark),
-    hit AS (SELECT m.doc_id, m.page_index, m.marker, w.token_idx, row_number() OVER (PARTITION BY m.doc_id, m.marker ORDER BY w.w_right DESC, w.token_idx) AS r FROM m JOIN w ON m.doc_id = w.doc_id AND m.page_index = w.page_index AND m.col = w.col AND m.line = w.line -- lines are farther apart than any word is high
-            AND w.y < m.y + m.height AND w.y + w.height > m.y AND w.w_right <= m.x + greatest(1.0, m.width))
-    SELECT m.doc_id, m.page_index, m.marker, h.token_idx FROM m LEFT JOIN hit h ON m.doc_id = h.doc_id AND m.marker = h.marker AND h.r = 1""")
+@bind("marker_insertion", """WITH r AS (SELECT doc_id, page_index, col, line, is_mark, {'i': token_idx, 'x': x, 'width': width, 'low': baseline - 0.2 * glyph_height, 'high': baseline + 0.8 * glyph_height} AS box FROM v_runs WHERE line % 7 = 3 AND line < 36), -- lines with markers; lines are farther apart than any word is high
+    l AS (SELECT doc_id, page_index, list(box) FILTER (WHERE NOT is_mark) AS words, unnest(list(box) FILTER (WHERE is_mark)) AS m FROM r GROUP BY doc_id, page_index, col, line),
+    hit AS (SELECT doc_id, page_index, m.i AS marker, list_max(list_transform(list_filter(words, lambda w: w.low < m.high AND w.high > m.low AND w.x + w.width <= m.x + greatest(1.0, m.width)), lambda w: {'right': w.x + w.width, 'back': -w.i})) AS best FROM l)
+    SELECT doc_id, page_index, marker, -best.back AS token_idx FROM hit""")
 def _(spark, d):
     runs = v.v_runs(spark, d).withColumn("y", F.col("baseline") - 0.2 * F.col("glyph_height")).withColumn("height", F.col("glyph_height"))
     return reflow.marker_insertion(runs.where("is_mark").withColumn("marker", F.col("token_idx")).drop("token_idx"), runs.where("not is_mark"))
