@@ -79,6 +79,17 @@ def _cut(words: Column, run: Column, target: Column, anywhere: bool) -> Column:
     return F.when(size > LONG_SENTENCE, _bounds(F.concat(F.array(run["a"]), cuts), run["b"])).otherwise(F.array(run))
 
 
+def _runs(w: Column) -> Column:
+    """The pieces (a, b) of a block's words, by place: sentences, those over the long limit cut at clauses to the target,
+    and what is still too long cut evenly at any word. w has place, lo, hi, clause, joined, sentence_id and target."""
+    fresh = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (F.get(w, i - 1)["sentence_id"] != x["sentence_id"]), i)), lambda i: i.isNotNull())
+    target = lambda run: F.element_at(w, run["a"] + 1)["target"]
+    size = lambda run: F.element_at(w, run["b"])["hi"] - F.element_at(w, run["a"] + 1)["lo"]
+    even = lambda run: F.ceil(size(run) / F.ceil(size(run) / target(run))).cast("int")
+    clauses = F.flatten(F.transform(_bounds(fresh, F.size(w)), lambda run: _cut(w, run, target(run), False)))
+    return F.flatten(F.transform(clauses, lambda run: _cut(w, run, even(run), True)))
+
+
 def split_long(words: DataFrame) -> DataFrame:
     """words (with lo, hi, sentence_id, target) with piece_id: sentences over the long limit are cut at clauses to the
     target, and what is still too long is cut evenly at any word.
@@ -90,14 +101,7 @@ def split_long(words: DataFrame) -> DataFrame:
     # places stand for token numbers, which may have gaps
     one = lambda t, i: F.struct(i.alias("token_idx"), t["x"]["lo"].alias("lo"), t["x"]["hi"].alias("hi"), t["x"]["token"].rlike(_CLAUSE).alias("clause"), t["x"]["joined"].alias("joined"), t["x"]["sentence_id"].alias("sentence_id"), t["x"]["target"].alias("target"))
     rows = rows.withColumn("w", F.transform("t", one))
-    w = F.col("w")
-    fresh = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get(w, i - 1)["sentence_id"] != x["sentence_id"]), i)), lambda i: i.isNotNull())
-    target = lambda run: F.element_at(w, run["a"] + 1)["target"]
-    size = lambda run: F.element_at(w, run["b"])["hi"] - F.element_at(w, run["a"] + 1)["lo"]
-    even = lambda run: F.ceil(size(run) / F.ceil(size(run) / target(run))).cast("int")
-    clauses = F.flatten(F.transform(_bounds(fresh, F.size(w)), lambda run: _cut(w, run, target(run), False)))
-    runs = F.flatten(F.transform(clauses, lambda run: _cut(w, run, even(run), True)))
-    cut = rows.select(*_BLOCK, "t", F.posexplode(runs).alias("piece_id", "run")).select(*_BLOCK, "piece_id", F.explode(F.slice("t", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("t"))
+    cut = rows.select(*_BLOCK, "t", F.posexplode(_runs(F.col("w"))).alias("piece_id", "run")).select(*_BLOCK, "piece_id", F.explode(F.slice("t", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("t"))
     return cut.select(*[c if c in _BLOCK else F.col("t.token_idx") if c == "token_idx" else F.col(f"t.x.{c}") for c in words.columns], "piece_id")
 
 
@@ -106,19 +110,24 @@ def pieces(words: DataFrame) -> DataFrame:
     return words.groupBy(*_BLOCK, "piece_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("token_idx").alias("first"), F.max("token_idx").alias("last"), F.max("target").alias("target"))
 
 
-def pack_chunks(parts: DataFrame) -> DataFrame:
-    """pieces with chunk_idx: whole pieces are packed up to the target, a short chunk takes the next one regardless."""
-    rest = [c for c in parts.columns if c not in (*_BLOCK, "piece_id")]
-    rows = parts.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("piece_id", F.struct(*rest).alias("x")))).alias("p"))
+def _packed(parts: Column) -> Column:
+    """The chunks (a, b) of a block's pieces (lo, hi, target), by place."""
     zero = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
-        both, least = p["x"]["hi"] - s["lo"], F.least(F.lit(LEAST), p["x"]["target"] / 2)
-        joins = (s["i"] > 0) & ((both <= p["x"]["target"]) | ((s["hi"] - s["lo"] < least) & (both <= BUDGET)))
-        return F.struct(F.when(joins, s["lo"]).otherwise(p["x"]["lo"]).alias("lo"), p["x"]["hi"].alias("hi"), (s["i"] + 1).alias("i"), F.when(joins, s["out"]).otherwise(F.array_append(s["out"], s["i"])).alias("out"))
+        both, least = p["hi"] - s["lo"], F.least(F.lit(LEAST), p["target"] / 2)
+        joins = (s["i"] > 0) & ((both <= p["target"]) | ((s["hi"] - s["lo"] < least) & (both <= BUDGET)))
+        return F.struct(F.when(joins, s["lo"]).otherwise(p["lo"]).alias("lo"), p["hi"].alias("hi"), (s["i"] + 1).alias("i"), F.when(joins, s["out"]).otherwise(F.array_append(s["out"], s["i"])).alias("out"))
+
+    return _bounds(F.aggregate(parts, zero, step, lambda s: s["out"]), F.size(parts))
 
-    starts = F.aggregate("p", zero, step, lambda s: s["out"])
-    packed = rows.select(*_BLOCK, "p", F.posexplode(_bounds(starts, F.size("p"))).alias("chunk_idx", "run")).select(*_BLOCK, "chunk_idx", F.explode(F.slice("p", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("p"))
+
+def pack_chunks(parts: DataFrame) -> DataFrame:
+    """pieces with chunk_idx: whole pieces are packed up to the target, a short chunk takes the next one regardless."""
+    rest = [c for c in parts.columns if c not in (*_BLOCK, "piece_id")]
+    rows = parts.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("piece_id", F.struct(*rest).alias("x")))).alias("p"))
+    runs = _packed(F.transform("p", lambda p: p["x"]))
+    packed = rows.select(*_BLOCK, "p", F.posexplode(runs).alias("chunk_idx", "run")).select(*_BLOCK, "chunk_idx", F.explode(F.slice("p", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("p"))
     return packed.select(*[c if c in _BLOCK else F.col("p.piece_id") if c == "piece_id" else F.col(f"p.x.{c}") for c in parts.columns], "chunk_idx")
 
 
@@ -127,11 +136,16 @@ def chunks_of(packed: DataFrame) -> DataFrame:
     return packed.groupBy(*_BLOCK, "chunk_idx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("target").alias("target"))
 
 
+def _short(lo: Column, hi: Column, target: Column, before: Column) -> Column:
+    """Whether a block's last chunk joins the one that starts at before."""
+    return (hi - lo < F.least(F.lit(LEAST), target / 2)) & (hi - before <= BUDGET)
+
+
 def tail_merge(chunks: DataFrame) -> DataFrame:
     """chunks with a short last one joined to the one before, if both fit the budget."""
     along = W.partitionBy(*_BLOCK).orderBy("chunk_idx")
     last, before = F.lead("chunk_idx").over(along).isNull(), F.lag("lo").over(along)
-    short = last & before.isNotNull() & (F.col("hi") - F.col("lo") < F.least(F.lit(LEAST), F.col("target") / 2)) & (F.col("hi") - before <= BUDGET)
+    short = last & before.isNotNull() & _short(F.col("lo"), F.col("hi"), F.col("target"), before)
     merged = chunks.withColumn("chunk_idx", F.when(F.coalesce(short, F.lit(False)), F.col("chunk_idx") - 1).otherwise(F.col("chunk_idx")))
     return chunks_of(merged)
 
@@ -151,11 +165,43 @@ def opening_target(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block_idx", F.when(main & (nth <= 2), OPENING_TARGET).otherwise(TARGET).alias("target"))
 
 
+def _spans(rows: Column, runs: Column) -> Column:
+    """lo, hi, first, last, target of runs (a, b) of rows that have these."""
+    def one(run: Column) -> Column:
+        start, end = F.element_at(rows, run["a"] + 1), F.element_at(rows, run["b"])
+        return F.struct(start["lo"].alias("lo"), end["hi"].alias("hi"), start["first"].alias("first"), end["last"].alias("last"), start["target"].alias("target"))
+
+    return F.transform(runs, one)
+
+
+def _tail_merged(chunks: Column) -> Column:
+    last, before = F.element_at(chunks, -1), F.try_element_at(chunks, F.lit(-2))
+    both = F.struct(before["lo"].alias("lo"), last["hi"].alias("hi"), before["first"].alias("first"), last["last"].alias("last"), before["target"].alias("target"))
+    joins = before.isNotNull() & _short(last["lo"], last["hi"], last["target"], before["lo"])
+    return F.when(joins, F.concat(F.slice(chunks, F.lit(1), F.size(chunks) - 2), F.array(both))).otherwise(chunks)
+
+
 def chunk_documents(block_tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """Chunks of blocks: every token has its letters as symbols, and no token is joined to the next."""
-    words = block_tokens.withColumn("symbols", F.length("token")).withColumn("joined", F.lit(False)).withColumn("is_end", sentence_end(F.col("token")))
-    words = sentences(word_symbol_ranges(words)).join(targets, _BLOCK)
-    return tail_merge(chunks_of(pack_chunks(pieces(split_long(words)))))
+    """Chunks of blocks: every token has its letters as symbols, and no token is joined to the next.
+
+    The same as tail_merge(chunks_of(pack_chunks(pieces(split_long(words))))), but a block's words are gathered once,
+    without their text, and stay in its row until its chunks are told.
+    """
+    words = block_tokens.select(
+        *_BLOCK, "token_idx", F.length("token").alias("symbols"), F.lit(False).alias("joined"), sentence_end(F.col("token")).alias("is_end"), F.col("token").rlike(_CLAUSE).alias("clause")
+    )
+    words = sentences(word_symbol_ranges(words))
+    word = F.struct("token_idx", "lo", "hi", "clause", "joined", "sentence_id")
+    rows = words.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(word)).alias("t")).join(targets, _BLOCK)
+    # places stand for token numbers, which may have gaps
+    rows = rows.withColumn("w", F.transform("t", lambda x, i: F.struct(
+        i.alias("token_idx"), *[x[c].alias(c) for c in ("lo", "hi", "clause", "joined", "sentence_id")], F.col("target").alias("target"), x["token_idx"].alias("first"), x["token_idx"].alias("last")
+    )))
+    rows = rows.select(*_BLOCK, "w", _runs(F.col("w")).alias("runs"))
+    rows = rows.select(*_BLOCK, _spans(F.col("w"), F.col("runs")).alias("pieces"))
+    rows = rows.select(*_BLOCK, _spans(F.col("pieces"), _packed(F.col("pieces"))).alias("chunks"))
+    chunks = rows.select(*_BLOCK, F.posexplode(_tail_merged(F.col("chunks"))).alias("chunk_idx", "c"))
+    return chunks.select(*_BLOCK, "chunk_idx", "c.lo", "c.hi", "c.first", "c.last", "c.target")
 
 
 def passages(tokens: DataFrame, limit: int = 120) -> DataFrame:
