@@ -7,7 +7,10 @@ no others can be met, and how often each is found in training texts decides whic
 
 Defined results: null or wordless text has no words, no hits and no items. An item without words has no window; one of
 fewer than `width` words is one window. Null item_ids count as no item for the list of items, but their words are hit.
-Repeated rows are handled each. Other columns are ignored; empty tables give empty results or no hits.
+Repeated rows are handled each. Terms that are equally rare are taken in their own order, then by offset; that decides where
+candidates come from, never the result. A text is read whole: its words go to postings one row each, so one very long
+text takes more time, not more memory in one place; an unbroken run is one word. Other columns are ignored; empty tables
+give empty results or no hits.
 """
 
 from __future__ import annotations

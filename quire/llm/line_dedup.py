@@ -6,7 +6,8 @@ page) / ratio such lines, so they travel to its pages as one short list. Where t
 are shuffled by host, and hosts of many pages, which are few, in several parts.
 
 Defined results: null html has no lines. A page whose url has no host keeps its lines, with host null. Repeated rows count
-as pages each. Other columns are ignored; an empty table gives no rows.
+as pages each. A line at exactly the ratio stays. A page is one cell whatever its length, and a line without an end is one
+line. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from quire.llm.common import sized, staged
 #: Share of a host's pages, and pages, that a line must pass or reach to go.
 RATIO, LEAST_PAGES = 0.2, 2
 _SILENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-#: Pages of a host that go to one part where pages are shuffled.
-PART_PAGES = 1_000_000
+#: Pages of a host that go to one part where pages are shuffled: about a gigabyte of them with all their lines.
+PART_PAGES = 10_000
 
 
 def host_of(url: Column) -> Column:

@@ -9,7 +9,9 @@ Documents are range-sorted by position.
 Streams are summed in two steps, over hash buckets and inside each, so that a source of any size is spread out.
 
 Defined results: null text has size 0 and is never taken. A null source is a source of its own, the last one. Rows with
-equal doc_ids are separate; rows without a doc_id are ordered by their text. Sources of size 0 have target 0. Other columns
+equal doc_ids are separate, and repeated rows are taken each; rows without a doc_id are ordered by their text. Equal
+places are taken by doc_id, then size; equal positions are sorted by doc_id. Of a text only its number of words counts,
+however long it is. Sources of size 0 have target 0. Other columns
 are kept, but for those named like what is computed here (see `mix`), which are dropped. Empty tables give empty results.
 """
 

@@ -8,7 +8,9 @@ on the full sets, block against block, so no link between different sets is lost
 Defined results: null or white text has an empty set and links with nothing. Fewer than five words are one shingle.
 Rows with equal sets share one node, so copies are never compared. A row with a null doc_id belongs to the component of
 its set, but never names it and is not kept; a set that only such rows have links with nothing and has a null
-component_id. `representative` is kept, and true for rows of a null component_id too. Repeated rows give repeated results. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+component_id. `representative` is kept, and true for rows of a null component_id too. Repeated rows give repeated
+results. Of equal band hashes the node of the smaller name leads, which decides no result. A text is read whole; its set is
+one cell in the comparison. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

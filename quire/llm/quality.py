@@ -7,7 +7,9 @@ each word's summed logit, worked out once for each different word a task meets.
 
 Training takes at most `SAMPLE` labelled rows, those with the least hash of doc_id. Defined results: null or empty text
 scores by the bias alone. Rows with no label, or a quality other than 0 and 1, teach nothing; with no labels at all each
-score is 0.5. A null doc_id is scored like any other. Repeated rows are scored each; an empty table gives no rows.
+score is 0.5. A null doc_id is scored like any other. Repeated rows are scored each and, of the labelled ones, equal hashes are taken
+by doc_id. A text is read whole, in time proportional to its length; an unbroken run is one word with the n-grams it has.
+Other columns are kept, but for `score`, `predicted` and `_quality`, which are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

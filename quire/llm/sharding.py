@@ -6,7 +6,8 @@ child and its weight alone, so a change of weights below a node only moves rows
 weights change. A grown tree gets each further shard as a region of its own, so that rows move into that shard only.
 
 Defined results: rows with equal keys, null too, go to one shard. Null text has size 16 and the checksum of no bytes.
-Repeated rows take a slot each. Other columns are kept, but for those named like an output column, which are replaced,
+Repeated rows take a slot each; in a part of a shard, slots follow doc_id, checksum and size, so rows alike in these are
+alike in all that is told. Of a text only its size and checksum are read, however long it is. Other columns are kept, but for those named like an output column, which are replaced,
 and `_part` and `_start`, which are dropped; an empty table gives no rows.
 """
 
@@ -21,8 +22,8 @@ from quire.llm.common import sized, staged
 
 #: Racks in a region and shards in a rack of the planned tree.
 RACKS, SHARDS = 2, 4
-#: Parts of each shard in which its slots are counted.
-SLOT_PARTS = 64
+#: Parts of each shard in which its slots are counted, at least, and rows that a part holds about, from which there are more.
+SLOT_PARTS, PART_ROWS = 64, 50_000
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,8 @@ def shard_rows(docs: DataFrame, shards: int, base: int | None = None, order: tup
     if order:
         rows = rows.withColumn("_part", F.col(order[0]))
     else:
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int"))
+        parts = max(SLOT_PARTS, -(-docs.count() // (shards * PART_ROWS)))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
     # at most a row for each shard and part
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

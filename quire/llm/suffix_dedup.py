@@ -11,7 +11,8 @@ prefixes then show the runs of equal windows, and each run's smallest doc_id.
 
 Defined results: null or empty text has nothing to remove. Matches never cross documents. A row with a null doc_id is
 neither smaller nor larger than any other, so nothing is removed from it and it removes nothing. Rows with the same
-doc_id do not affect each other. Columns other than doc_id and text are ignored; an empty table gives an empty result.
+doc_id, repeated rows too, do not affect each other. A text of megabytes is cut into pieces at its grams; one unbroken run
+of a byte is one piece. Columns other than doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

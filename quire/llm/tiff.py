@@ -6,7 +6,7 @@ uncompressed, PackBits, LZW and deflate strips or tiles, undoes horizontal diffe
 Defined results: null bytes have no pages. `read_tiff` raises ValueError for a file that is not a TIFF, is cut short, or
 lacks strips; the columns of `with_pages` say so in `fault` and have no pages then, so one broken file stops nothing. Null
 text is stored like empty text, as 64 zero bytes; texts of any length are cut into pages of PAGE_ROWS rows. Equal payloads
-have equal files. Other columns are kept, but for `pages` and `fault`, which are replaced; an empty table gives no rows.
+have equal files, repeated rows too. A payload of megabytes is one cell and one file of many pages. Other columns are kept, but for `pages` and `fault`, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -282,6 +282,15 @@ def test_shards(spark, docs):
     assert len(rows) == len(ROWS) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_have_no_gap_however_many_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    monkeypatch.setattr(sharding, "SLOT_PARTS", 2)
+    held = defaultdict(list)
+    for r in sharding.shard_rows(docs, 3).collect():
+        held[r["shard"]].append(r["slot"])
+    assert len(held) == 3 and all(sorted(x) == list(range(len(x))) for x in held.values())
+
+
 def test_weights_move_rows_of_their_subtree_only(spark):
     ids = spark.range(3000)
     tree = sharding.plan(16)
