@@ -96,11 +96,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet and read again; what stages staged on their way is deleted,
-    and so are their own files once the last stage has been written. A run that fails leaves nothing."""
-    with cleared(spark):
-        docs = table(spark, sf_dir, "documents")
-        for name, stage in STAGES:
-            with cleared(spark):
-                docs = staged(stage(spark, docs, sf_dir), name)
+    """All stages over the documents, each written as Parquet and read again; what a stage staged on its way is deleted,
+    also where it fails."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        with cleared(spark):
+            docs = staged(stage(spark, docs, sf_dir), name)
     return docs
