@@ -81,10 +81,13 @@ def note_body_lines(lines: DataFrame, body: DataFrame) -> DataFrame:
     return lines.join(body, "doc_id").withColumn("is_note", (F.col("body_height") > 0) & (F.sum(F.when(stop, 1).otherwise(0)).over(along) == 0)).drop("body_height")
 
 
-def note_bodies(lines: DataFrame) -> DataFrame:
-    """doc_id, page_index, note_id, label, text of note lines (seq orders them); a line that opens with a label begins one."""
+def note_bodies(lines: DataFrame, may_open: Column | None = None) -> DataFrame:
+    """doc_id, page_index, note_id, label, text of note lines (seq orders them); a line that opens with a label begins one.
+
+    may_open tells the lines that can, where labels stand apart from text: other lines may open with a number of their own.
+    """
     first = F.regexp_replace(F.regexp_extract("text", r"^(\S+)", 1), r"^[.)\]]+|[.)\]]+$", "")
-    n = lines.withColumn("_label", F.when(marker_text(first), first))
+    n = lines.withColumn("_label", F.when(marker_text(first) & (F.lit(True) if may_open is None else may_open), first))
     n = islands(n, ["doc_id", "page_index"], ["seq"], F.col("_label").isNotNull(), "note_id")
     body = F.when(F.col("_label").isNotNull(), F.trim(F.regexp_replace("text", r"^\S+", ""))).otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("seq", body.alias("t"))))
