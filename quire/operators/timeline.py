@@ -132,6 +132,19 @@ def prefetch_window(positions: DataFrame, chunks: DataFrame, available: DataFram
     )
 
 
+def prefetch_rows(runs: DataFrame, chunks: DataFrame, delivered: DataFrame) -> DataFrame:
+    """event_id, doc_id, chunk_idx, action: the runs of prefetch_window with a row for each chunk, so as many as are told.
+
+    A document's delivered chunks are numbered in order, and the numbers of a run's ends are found from its ends.
+    """
+    key = ["doc_id", "chunk_idx"]
+    held = chunks.join(delivered.distinct(), key, "left_semi").select(*key, F.row_number().over(W.partitionBy("doc_id").orderBy("offset")).alias("_n"))
+    out = runs.where("action = 'release'").join(held.select("doc_id", F.col("chunk_idx").alias("first_chunk"), "_n"), ["doc_id", "first_chunk"])
+    out = out.select("event_id", "doc_id", "action", F.explode(F.sequence(F.col("_n"), (F.col("_n") + F.col("n_chunks") - 1).cast("int"))).alias("_n")).join(held, ["doc_id", "_n"])
+    load = runs.where("action = 'load'").select("event_id", "doc_id", F.col("first_chunk").alias("chunk_idx"), "action")
+    return load.unionByName(out.select("event_id", *key, "action"))
+
+
 def timeline_audit(timeline: DataFrame) -> DataFrame:
     """doc_id, n_words, backwards, wide_gaps (over half a second), words_a_second."""
     along = W.partitionBy("doc_id").orderBy("word_idx")
