@@ -15,9 +15,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files that a partition of dealt documents gets, 200,000 to 400,000 words.
+DEALT = 1 << 20
+
+
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents by doc_id over as many partitions as their files' size asks for.
+
+    What a text is cut into is many times its size. It is dealt out whole, so that windows and groups over a document's
+    lines, words and letters find them in place, and none of these are shuffled; small partitions are sorted in memory.
+    """
+    size = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").agg(F.sum("length")).first()[0] or 0
+    return read(spark, sf_dir, "documents").repartition(size // DEALT + 1, "doc_id")
+
+
 def v_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("token_idx", "token"))
+    return dealt(spark, sf_dir).select("doc_id", F.posexplode(words).alias("token_idx", "token"))
 
 
 def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +50,9 @@ def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = v_tokens(spark, sf_dir).groupBy("doc_id").agg(F.max(F.expr("token_idx div 800")).alias("last"))
-    page = page.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("page_index"))
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    page = read(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max(n).alias("n")).where("n > 0")
+    page = page.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast((n - 1) div 800 as int)"))).alias("page_index"))
     return page.select("doc_id", "page_index", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(612.0).alias("x1"), F.lit(792.0).alias("y1"))
 
 
@@ -72,7 +87,7 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return read(spark, sf_dir, "documents").select("source", "doc_id", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("line_no", "text")).select("source", "doc_id", "line_no", "n_lines", "text")
+    return dealt(spark, sf_dir).select("source", "doc_id", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("line_no", "text")).select("source", "doc_id", "line_no", "n_lines", "text")
 
 
 def v_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
