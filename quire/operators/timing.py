@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,13 +87,29 @@ def word_timeline(layout: DataFrame, symbol_frames: DataFrame, words: DataFrame)
     """doc_id, block_idx, token_idx, start_frame, end_frame of words whose chunk-local symbol ranges are lo to hi; chunks
     are framed by one pad symbol at each end."""
     key = ["doc_id", "block_idx", "chunk_idx"]
-    along = W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    ends = symbol_frames.withColumn("_end", F.sum("frames").over(along)).select(*key, "pos", "_end", (F.col("_end") - F.col("frames")).alias("_start"))
-    at = lambda name, edge, out: ends.select(*key, F.col("pos").alias(name), F.col(edge).alias(out))
-    w = words.withColumn("_p", F.col("lo") + 1).withColumn("_q", F.greatest("lo", F.col("hi") - 1) + 1)
-    w = w.join(at("_p", "_start", "s"), [*key, "_p"]).join(at("_q", "_end", "e"), [*key, "_q"])
-    e = F.when(F.col("hi") > F.col("lo"), F.col("e")).otherwise(F.col("s"))
-    return w.join(layout.select(*key, "start"), key).select("doc_id", "block_idx", "token_idx", (F.col("start") + F.col("s")).alias("start_frame"), (F.col("start") + e).alias("end_frame"))
+
+    @F.pandas_udf("array<struct<s:long,e:long>>")
+    def spans(pos: pd.Series, frames: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([_spans(*(np.asarray(c, dtype=np.int64) for c in row)) for row in zip(pos, frames, lo, hi)], dtype=object)
+
+    # a chunk's symbols and words meet as arrays in one row each, so that no symbol is joined by itself
+    f = symbol_frames.groupBy(*key).agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("frames").cast("int").alias("frames"))).alias("_f"))
+    w = words.groupBy(*key).agg(F.collect_list(F.struct("token_idx", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("_w"))
+    both = w.join(f, key).join(layout.select(*key, "start"), key)
+    both = both.withColumn("_s", spans("_f.pos", "_f.frames", "_w.lo", "_w.hi")).select("doc_id", "block_idx", "start", F.inline(F.arrays_zip(F.col("_w.token_idx").alias("token_idx"), F.col("_s").alias("_s"))))
+    both = both.toDF("doc_id", "block_idx", "start", "token_idx", "_s").where("_s is not null")
+    return both.select("doc_id", "block_idx", "token_idx", (F.col("start") + F.col("_s.s")).alias("start_frame"), (F.col("start") + F.col("_s.e")).alias("end_frame"))
+
+
+def _spans(pos, frames, lo, hi) -> list:
+    """Where a chunk's words start and end, in frames from its own start; None for words outside its symbols."""
+    order = np.argsort(pos, kind="stable")
+    pos, end = pos[order], np.cumsum(frames[order])
+    start = end - frames[order]
+    first, last = lo + 1, np.maximum(lo, hi - 1) + 1
+    i, j = (np.minimum(np.searchsorted(pos, at), len(pos) - 1) for at in (first, last))
+    s, e = start[i], np.where(hi > lo, end[j], start[i])
+    return [{"s": a, "e": b} if there else None for a, b, there in zip(s.tolist(), e.tolist(), ((pos[i] == first) & (pos[j] == last)).tolist())]
 
 
 def timing_choice(chunks: DataFrame) -> DataFrame:
