@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left
+from math import floor
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.windows import cut_lineage, islands, let
+from quire.operators.windows import islands
 
 SEGMENT_GAP, LINE_TOLERANCE, SMALL = 1.0, 0.35, 0.8
 _PAGE = ["doc_id", "page_index"]
@@ -26,44 +31,61 @@ def build_segments(runs: DataFrame) -> DataFrame:
 
     The runs of a page are taken from left to right (from the top on ties) and each joins the nearest open segment it
     fits, or opens one. It is held against the last run of each segment, so skew does no harm; a small raised or lowered
-    run joins without moving its segment's baseline. The state of the fold is the array of open segments; a segment
-    leaves it once no run of the page can reach it any more, so a run meets about as many segments as the page has lines
-    there, however long the page is.
+    run joins without moving its segment's baseline. Open segments are kept by height on the page, and leave once no run
+    can reach them any more, so a run meets few of them, however long the page is.
     """
-    run = F.struct("x", (-F.col("baseline")).alias("down"), "seq", F.col("width").cast("double").alias("width"), "baseline", F.col("glyph_height").alias("height"))
-    pages = runs.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(run)).alias("_runs"), F.max("glyph_height").alias("_most"))
-    segment = "struct<right:double,baseline:double,height:double,id:int>"
-    state = F.struct(F.array().cast(f"array<{segment}>").alias("open"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
-
-    def fits(s: Column, r: Column, i: Column) -> Column:
-        gap, rise, em = r["x"] - s["right"], F.abs(r["baseline"] - s["baseline"]), F.greatest(r["height"], s["height"])
-        on_line = rise <= LINE_TOLERANCE * F.least(r["height"], s["height"])
-        script = (r["height"] < s["height"] * SMALL) & (rise > 0.1 * s["height"]) & (rise <= 0.75 * s["height"])
-        distance = rise + F.when(script, s["height"]).otherwise(0.0) + F.greatest(F.lit(0.0), gap) * 0.01
-        # most segments are on other lines, which is told first
-        return F.when((rise <= 0.75 * em) & (gap <= SEGMENT_GAP * em) & (gap >= -0.5 * em) & (on_line | script), F.struct(distance.alias("distance"), i.alias("i"), (~on_line).alias("script")))
-
-    def step(state: Column, r: Column) -> Column:
-        reached = F.filter(state["open"], lambda s: r["x"] - s["right"] <= SEGMENT_GAP * F.col("_most"))
-        return let(reached, lambda reached: let(F.array_min(F.transform(reached, lambda s, i: fits(s, r, i))), lambda best: taken(state, reached, best, r)))
-
-    def taken(state: Column, reached: Column, best: Column, r: Column) -> Column:
-        own = F.struct((r["x"] + r["width"]).alias("right"), r["baseline"].alias("baseline"), r["height"].alias("height"), state["n"].alias("id"))
-
-        def joined(s: Column, i: Column) -> Column:
-            base, height = F.when(best["script"], s["baseline"]).otherwise(r["baseline"]), F.when(best["script"], s["height"]).otherwise(r["height"])
-            return F.when(i == best["i"], F.struct((r["x"] + r["width"]).alias("right"), base.alias("baseline"), height.alias("height"), s["id"].alias("id"))).otherwise(s)
-
-        alone = best.isNull()
-        return F.struct(
-            F.when(alone, F.array_append(reached, own)).otherwise(F.transform(reached, joined)).alias("open"), (state["n"] + alone.cast("int")).alias("n"),
-            F.array_append(state["ids"], F.when(alone, state["n"]).otherwise(F.get(reached, best["i"])["id"])).alias("ids"),
-        )
-
-    cast = F.transform("_runs", lambda r: F.struct(r["x"].cast("double").alias("x"), r["seq"].alias("seq"), r["width"].alias("width"), r["baseline"].cast("double").alias("baseline"), r["height"].cast("double").alias("height")))
-    pages = pages.withColumn("_runs", cast)
-    ids = F.aggregate("_runs", state, step, lambda s: s["ids"])
-    return pages.withColumn("_ids", ids).select(*_PAGE, F.inline(F.arrays_zip(F.transform("_runs", lambda r: r["seq"]).alias("seq"), F.col("_ids").alias("segment_id")))).toDF(*_PAGE, "seq", "segment_id")
+
+    @F.pandas_udf("array<int>")
+    def numbered(x: pd.Series, width: pd.Series, baseline: pd.Series, height: pd.Series, seq: pd.Series) -> pd.Series:
+        return pd.Series([_segments(*row) for row in zip(x, width, baseline, height, seq)], dtype=object)
+
+    run = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "width", "baseline", "glyph_height")], "seq")
+    pages = runs.groupBy(*_PAGE).agg(F.collect_list(run).alias("_runs"))
+    pages = pages.withColumn("_ids", numbered(*[F.col(f"_runs.{c}") for c in ("x", "width", "baseline", "glyph_height", "seq")]))
+    return pages.select(*_PAGE, F.inline(F.arrays_zip(F.col("_runs.seq").alias("seq"), F.col("_ids").alias("segment_id")))).toDF(*_PAGE, "seq", "segment_id")
+
+
+def _segments(x, width, baseline, height, seq) -> list[int]:
+    """The number of each run's segment."""
+    order = np.lexsort((seq, -baseline, x)).tolist()
+    most = float(height.max())
+    # what a run may join has its baseline at most so far away
+    step = most * 0.75 * 1.0001 if most > 0 else 1.0
+    xs, widths, bases, heights = (c.tolist() for c in (x, width, baseline, height))
+    rows: dict[int, list] = {}  # open segments: right, baseline, height, number
+    ids, n = [0] * len(xs), 0
+    for i in order:
+        at, base, tall = xs[i], bases[i], heights[i]
+        row, best = floor(base / step), None
+        for near in (row - 1, row, row + 1):
+            here = rows.get(near)
+            if not here:
+                continue
+            gone = False
+            for s in here:
+                gap, rise, em = at - s[0], abs(base - s[1]), max(tall, s[2])
+                if gap > SEGMENT_GAP * most:
+                    gone = True
+                if rise <= 0.75 * em and -0.5 * em <= gap <= SEGMENT_GAP * em:
+                    on_line = rise <= LINE_TOLERANCE * min(tall, s[2])
+                    script = tall < s[2] * SMALL and 0.1 * s[2] < rise <= 0.75 * s[2]
+                    if on_line or script:
+                        found = (rise + (s[2] if script else 0.0) + max(0.0, gap) * 0.01, s[3], not on_line, s, near)
+                        best = found if best is None or found[:2] < best[:2] else best
+            if gone:
+                rows[near] = [s for s in here if at - s[0] <= SEGMENT_GAP * most]
+        if best is None:
+            rows.setdefault(row, []).append([at + widths[i], base, tall, n])
+            ids[i], n = n, n + 1
+            continue
+        s = best[3]
+        ids[i], s[0] = s[3], at + widths[i]
+        if not best[2]:
+            s[1], s[2] = base, tall
+            if best[4] != row:
+                rows[best[4]] = [o for o in rows[best[4]] if o is not s]
+                rows.setdefault(row, []).append(s)
+    return ids
 
 
 def segments_of(runs: DataFrame) -> DataFrame:
@@ -75,30 +97,50 @@ def segments_of(runs: DataFrame) -> DataFrame:
     )
 
 
+def _gutter(x0, x1, y0, y1, height):
+    """(x, width) of the strip that almost nothing crosses, or None, of segments' edges in arrays of numpy.
+
+    How many lines cross a place changes at their ends only, so that the work grows with segments, not with the width."""
+    left, right, em = x0.min(), x1.max(), np.median(height)
+    if len(x0) < 6 or not right > left:
+        return None
+    extent = right - left
+    low, high = np.floor(left + extent * 0.25), np.ceil(left + extent * 0.75)
+    line = x1 - x0 >= em * 3
+    x0, x1, y0, y1 = x0[line], x1[line], y0[line], y1[line]
+    a, b = np.maximum(low, np.ceil(x0)), np.minimum(high, np.floor(x1))
+    a, b = a[a <= b], b[a <= b] + 1
+    at = np.unique(np.concatenate([[low, high + 1], a, b]))
+    change = np.bincount(np.searchsorted(at, a), minlength=len(at)) - np.bincount(np.searchsorted(at, b), minlength=len(at))
+    crossed = np.cumsum(change)[:-1]
+    fewest = crossed.min()
+    edge = np.diff(np.concatenate([[0], (crossed == fewest).astype(int), [0]]))
+    starts, ends = at[edge == 1], at[edge == -1]
+    best = np.argmax(ends - starts)
+    strip, x = ends[best] - starts[best], starts[best] + (ends[best] - starts[best]) / 2
+    l_, r = x1 <= x, x0 >= x
+    if not (fewest <= len(x0) * 0.35 and strip >= max(3.0, em * 0.4) and l_.sum() >= 3 and r.sum() >= 3):
+        return None
+    wide = x1 - x0
+    if not (np.median(wide[l_]) >= extent * 0.22 and np.median(wide[r]) >= extent * 0.22):
+        return None
+    top_l, top_r, foot_l, foot_r = y1[l_].max(), y1[r].max(), y0[l_].min(), y0[r].min()
+    return (x, strip) if min(top_l, top_r) - max(foot_l, foot_r) >= min(top_l - foot_l, top_r - foot_r) * 0.5 else None
+
+
 def find_gutter(segments: DataFrame, keys: list[str] = _PAGE) -> DataFrame:
-    """keys, x, width of the strip that almost nothing crosses, with columns of text on both sides of it."""
-    all_ = segments.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.median("height").alias("em")).where("n >= 6 and right > left")
-    all_ = all_.withColumn("extent", F.col("right") - F.col("left")).withColumn("from", F.floor(F.col("left") + F.col("extent") * 0.25)).withColumn("to", F.ceil(F.col("left") + F.col("extent") * 0.75))
-    lines = segments.join(all_, keys).where(F.col("x1") - F.col("x0") >= F.col("em") * 3)
-    a, b = F.greatest("from", F.ceil("x0")), F.least("to", F.floor("x1"))
-    crossed = lines.where(a <= b).select(*keys, F.explode(F.sequence(a, b)).alias("at")).groupBy(*keys, "at").agg(F.count("*").alias("k"))
-    grid = all_.select(*keys, F.explode(F.sequence("from", "to")).alias("at")).join(crossed, [*keys, "at"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    fewest = grid.groupBy(*keys).agg(F.min("k").alias("fewest"))
-    low = grid.join(fewest, keys).where("k = fewest")
-    runs = low.withColumn("_g", F.col("at") - F.row_number().over(W.partitionBy(*keys).orderBy("at"))).groupBy(*keys, "_g", "fewest").agg(F.min("at").alias("start"), F.count("*").alias("width"))
-    best = runs.groupBy(*keys, "fewest").agg(F.max_by(F.struct("start", "width"), F.struct(F.col("width"), -F.col("start"))).alias("r"))
-    best = best.select(*keys, "fewest", F.col("r.width").alias("strip"), (F.col("r.start") + F.col("r.width") / 2).alias("x"))
-    c = lines.join(best, keys)
-    left, right = F.col("x1") <= F.col("x"), F.col("x0") >= F.col("x")
-    pick = lambda cond, f, col: f(F.when(cond, col))
-    wide = F.col("x1") - F.col("x0")
-    s = c.groupBy(*keys, "fewest", "strip", "x", "em", "extent").agg(
-        F.count("*").alias("lines"), F.count_if(left).alias("nl"), F.count_if(right).alias("nr"), pick(left, F.median, wide).alias("wl"), pick(right, F.median, wide).alias("wr"),
-        pick(left, F.max, F.col("y1")).alias("tl"), pick(right, F.max, F.col("y1")).alias("tr"), pick(left, F.min, F.col("y0")).alias("bl"), pick(right, F.min, F.col("y0")).alias("br"),
-    )
-    ok = (F.col("fewest") <= F.col("lines") * 0.35) & (F.col("strip") >= F.greatest(F.lit(3.0), F.col("em") * 0.4)) & (F.col("nl") >= 3) & (F.col("nr") >= 3) & (F.col("wl") >= F.col("extent") * 0.22) & (F.col("wr") >= F.col("extent") * 0.22)
-    beside = F.least("tl", "tr") - F.greatest("bl", "br") >= F.least(F.col("tl") - F.col("bl"), F.col("tr") - F.col("br")) * 0.5
-    return s.where(ok & beside).select(*keys, "x", F.col("strip").alias("width"))
+    """keys, x, width of the strip that almost nothing crosses, with columns of text on both sides of it. The segments of
+    a page are gathered in one row."""
+
+    @F.pandas_udf("struct<x:double,width:double>")
+    def gutter(x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series, height: pd.Series) -> pd.DataFrame:
+        found = [_gutter(*(np.asarray(c, dtype=float) for c in row)) or (None, None) for row in zip(x0, x1, y0, y1, height)]
+        return pd.DataFrame(found, columns=["x", "width"], dtype=float)
+
+    edges = ("x0", "x1", "y0", "y1", "height")
+    rows = segments.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in edges])).alias("_s")).where(F.size("_s") >= 6)
+    found = rows.select(*keys, gutter(*[F.col(f"_s.{c}") for c in edges]).alias("_g"))
+    return found.where("_g.x is not null").select(*keys, F.col("_g.x").alias("x"), F.col("_g.width").cast("long").alias("width"))
 
 
 def lines_of_region(runs: DataFrame) -> DataFrame:
@@ -162,38 +204,63 @@ def baseline_lines(runs: DataFrame) -> DataFrame:
     return runs.join(at.select(*_PAGE, "col", "z.baseline", "z.line_id"), [*_PAGE, "col", "baseline"])
 
 
-def _spanning(parts: Column) -> Column:
+def _spanning(order, side, x0, height, baseline) -> list[bool]:
     """Of a region's segments, from the top down, whether each spans: side 0, or right under a segment that does, on its
     margin and of its size. What is under another comes after it, so one pass finds all that follow from others."""
-    kept = F.array().cast("array<struct<x0:double,height:double,baseline:double>>")
-
-    def step(s: Column, p: Column) -> Column:
-        near = F.filter(s["open"], lambda a: a["baseline"] - p["baseline"] <= a["height"] * 1.6)
-        return let(near, lambda near: let((p["side"] == 0) | F.exists(near, lambda a: under(a, p)), lambda spans: told(s, p, near, spans)))
-
-    def under(a: Column, p: Column) -> Column:
-        return (F.abs(p["x0"] - a["x0"]) <= 2) & (F.abs(p["height"] - a["height"]) <= a["height"] * 0.1) & (a["baseline"] - p["baseline"] > 0)
-
-    def told(s: Column, p: Column, near: Column, spans: Column) -> Column:
-        own = F.struct(p["x0"].alias("x0"), p["height"].alias("height"), p["baseline"].alias("baseline"))
-        return F.struct(F.when(spans, F.array_append(near, own)).otherwise(near).alias("open"), F.array_append(s["told"], spans).alias("told"))
-
-    return F.aggregate(parts, F.struct(kept.alias("open"), F.array().cast("array<boolean>").alias("told")), step, lambda s: s["told"])
-
-
-def _blocks(spanning: Column, columns: Column) -> Column:
-    """Spanning segments from the top down in blocks: upper and lower (the middles of its first and last) and the keys of
-    each. A block ends where the middle of a column's segment lies between it and the next spanning one."""
-    block = "struct<upper:double,lower:double,floor:double,keys:array<string>>"
-
-    def step(s: Column, p: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        between = F.exists(columns, lambda c: (c["mid"] < last["floor"]) & (c["mid"] >= p["y1"]))
-        alone = F.struct(p["mid"].alias("upper"), p["mid"].alias("lower"), p["y0"].alias("floor"), F.array(p["key"]).alias("keys"))
-        grown = F.struct(last["upper"].alias("upper"), p["mid"].alias("lower"), F.least(last["floor"], p["y0"]).alias("floor"), F.array_append(last["keys"], p["key"]).alias("keys"))
-        return F.when(last.isNull() | between, F.array_append(s, alone)).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(grown)))
-
-    return F.aggregate(spanning, F.array().cast(f"array<{block}>"), step)
+    near, told = [], []
+    for i in order:
+        near = [k for k in near if baseline[k] - baseline[i] <= height[k] * 1.6]
+        spans = side[i] == 0 or any(abs(x0[i] - x0[k]) <= 2 and abs(height[i] - height[k]) <= height[k] * 0.1 and baseline[k] > baseline[i] for k in near)
+        near += [i] if spans else []
+        told.append(spans)
+    return told
+
+
+def _blocks(spanning, mids, y0, y1, mid) -> list[list]:
+    """Spanning segments from the top down in blocks: upper and lower (the middles of its first and last), its foot and
+    its segments. A block ends where one of mids, the middles of columns' segments in order, lies between it and the next."""
+    blocks = []
+    for i in spanning:
+        at = bisect_left(mids, y1[i])
+        if not blocks or (at < len(mids) and mids[at] < blocks[-1][2]):
+            blocks.append([mid[i], mid[i], y0[i], [i]])
+        else:
+            last = blocks[-1]
+            last[1], last[2] = mid[i], min(last[2], y0[i])
+            last[3].append(i)
+    return blocks
+
+
+def _page_regions(x0, x1, y0, y1, baseline, height, depth: int) -> list[str | None]:
+    """The regions of a page's segments, as reading_regions tells them."""
+    mid, region = (y0 + y1) / 2, [""] * len(x0)
+    lists = [c.tolist() for c in (x0, y0, y1, mid, baseline, height)]
+    l_x0, l_y0, l_y1, l_mid, l_base, l_height = lists
+    for _ in range(depth):
+        parts: dict[str, list[int]] = {}
+        for i, path in enumerate(region):
+            if path is not None and not path.endswith(".3/"):
+                parts.setdefault(path, []).append(i)
+        for path, own in parts.items():
+            found = _gutter(*(c[own] for c in (x0, x1, y0, y1, height)))
+            if not found:
+                continue
+            x, slack = found[0], max(4.0, found[1] / 4)
+            side = {i: 0 if x - x0[i] > slack and x1[i] - x > slack else 1 if x1[i] - x <= x - x0[i] else 2 for i in own}
+            order = sorted(own, key=lambda i: (-l_base[i], l_x0[i]))
+            spans = _spanning(order, side, l_x0, l_height, l_base)
+            columns = [i for i, s in zip(order, spans) if not s]
+            blocks = _blocks(sorted((i for i, s in zip(order, spans) if s), key=lambda i: -l_y1[i]), sorted(l_mid[i] for i in columns), l_y0, l_y1, l_mid)
+            place = lambda band, to: f"{path}{band:05d}.{to}/"  # noqa: B023, E731
+            for k, block in enumerate(blocks):
+                for i in block[3]:
+                    region[i] = place(k, 3)
+            uppers = np.array([b[0] for b in blocks])
+            for i in columns:
+                # the band above block k is left once the middle lies under k's first middle, and the next begins under its last
+                band = int(np.count_nonzero(uppers > l_mid[i]))
+                region[i] = place(band, side[i]) if band == 0 or l_mid[i] < blocks[band - 1][1] else None
+    return region
 
 
 def reading_regions(segments: DataFrame, depth: int = 3) -> DataFrame:
@@ -204,40 +271,16 @@ def reading_regions(segments: DataFrame, depth: int = 3) -> DataFrame:
     with no column text between; blocks cut bands; a band is read left, then right, then the block under it. A part of
     the path has the number of the band, then 1 for left, 2 for right or 3 for the block, which is not split further. A
     column's segment beside a block of several lines, between the middles of its first and last, belongs to no band: its
-    region is null. A region's segments are gathered in one cell, at most those of a page.
+    region is null. A page's segments are gathered in one row, in which all rounds are done.
     """
-    key = [*_PAGE, "region"]
-    # each round reads its segments several times, so they are written once between rounds
-    s = cut_lineage(segments.withColumn("region", F.lit("")).withColumn("_key", F.uuid()))
-    for _ in range(depth):
-        g = find_gutter(s.where("region is not null and region not like '%.3/'"), key).select(*key, F.col("x").alias("_x"), F.greatest(F.lit(4.0), F.col("width") / 4).alias("_slack"))
-        into_left, into_right = F.col("_x") - F.col("x0"), F.col("x1") - F.col("_x")
-        side = F.when((into_left > F.col("_slack")) & (into_right > F.col("_slack")), 0).when(into_right <= into_left, 1).otherwise(2)
-        part = F.struct(
-            (-F.col("baseline")).alias("down"), "x0", F.col("_key").alias("key"), side.alias("side"), F.col("x0").cast("double").alias("left"), "height", "baseline", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("mid"),
-        )
-        parts = s.join(g, key).groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
-        parts = parts.withColumn("_parts", F.transform("_parts", lambda p: F.struct(
-            p["key"].alias("key"), p["side"].alias("side"), p["left"].alias("x0"), *[p[c].cast("double").alias(c) for c in ("height", "baseline", "y0", "y1", "mid")]
-        )))
-        parts = parts.withColumn("_spans", _spanning(F.col("_parts")))
-        both = F.transform("_parts", lambda p, i: F.struct((-p["y1"]).alias("top"), i.alias("i"), p.alias("p"), F.get("_spans", i).alias("spans")))
-        parts = parts.withColumn("_all", both)
-        down = F.transform(F.array_sort(F.filter("_all", lambda b: b["spans"])), lambda b: b["p"])
-        columns = F.transform(F.filter("_all", lambda b: ~b["spans"]), lambda b: b["p"])
-        parts = parts.withColumn("_down", down).withColumn("_columns", columns).withColumn("_blocks", _blocks(F.col("_down"), F.col("_columns")))
-        own = F.flatten(F.transform("_blocks", lambda b, k: F.transform(b["keys"], lambda x: F.struct(x.alias("_key"), k.alias("_band"), F.lit(3).alias("_side")))))
-
-        def placed(c: Column) -> Column:
-            # the band above block k is left once the middle lies under k's first middle, and the next begins under its last
-            band = F.size(F.filter("_blocks", lambda b: c["mid"] < b["upper"]))
-            above = F.try_element_at(F.col("_blocks"), F.when(band > 0, band).otherwise(F.lit(1)))
-            inside = (band == 0) | (c["mid"] < above["lower"])
-            return F.struct(c["key"].alias("_key"), F.when(inside, band).alias("_band"), c["side"].alias("_side"))
-
-        told = parts.select(*_PAGE, "region", F.inline(F.concat(own, F.transform("_columns", placed)))).toDF(*_PAGE, "region", "_key", "_band", "_side")
-        path = F.concat("region", F.lpad(F.col("_band").cast("string"), 5, "0"), F.lit("."), F.col("_side").cast("string"), F.lit("/"))
-        told = told.select("_key", path.alias("_path"), F.lit(True).alias("_split"))
-        s = s.join(told, "_key", "left").withColumn("region", F.when(F.col("_split"), F.col("_path")).otherwise(F.col("region"))).drop("_path", "_split")
-        s = cut_lineage(s)
-    return s.drop("_key")
+    edges = ("x0", "x1", "y0", "y1", "baseline", "height")
+
+    @F.pandas_udf("array<string>")
+    def regions(x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series, baseline: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([_page_regions(*(np.asarray(c, dtype=float) for c in row), depth) for row in zip(x0, x1, y0, y1, baseline, height)], dtype=object)
+
+    rest = [c for c in segments.columns if c not in _PAGE]
+    pages = segments.groupBy(*_PAGE).agg(F.collect_list(F.struct(*rest)).alias("_s"))
+    told = regions(*[F.col(f"_s.{c}").cast("array<double>") for c in edges])
+    pages = pages.withColumn("_region", told).select(*_PAGE, F.inline(F.arrays_zip("_s", "_region")))
+    return pages.select(*[c if c in _PAGE else F.col(f"_s.{c}") for c in segments.columns], F.col("_region").alias("region"))
