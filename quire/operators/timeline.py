@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.windows import as_of, cut_lineage
+from quire.operators.windows import as_of
 
 FRAMES_A_SECOND = 40
 #: Seconds into a block after which going back means its own start.
@@ -69,30 +71,45 @@ def word_at_offset(clicks: DataFrame, offsets: DataFrame) -> DataFrame:
     return as_of(clicks, offsets, ["doc_id"], "offset", "loc", ["block_idx", "token_idx"], first_if_before=True)
 
 
-#: Sides of the squares in which words are looked for, one after another, in points.
-SQUARES = (48.0, 192.0)
+#: Clicks of a page that are looked up together; a page has as many rows of them as it needs.
+LOT = 4096
+
+
+def _nearest(cx, cy, token, wx, wy) -> tuple:
+    """The token whose middle is nearest to each click and its squared distance, the first token on ties."""
+    order = np.argsort(token, kind="stable")
+    token, wx, wy = token[order], wx[order], wy[order]
+    at, far = np.empty(len(cx), dtype=np.int64), np.empty(len(cx))
+    step = max(1, (1 << 20) // len(token))
+    for i in range(0, len(cx), step):
+        d = (wx - cx[i : i + step, None]) ** 2 + (wy - cy[i : i + step, None]) ** 2
+        at[i : i + step] = d.argmin(axis=1)
+        far[i : i + step] = d.min(axis=1)
+    return token[at], far
 
 
 def nearest_word(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
     """clicks (click, doc_id, page_index, cx, cy) with the word whose box centre on the page is nearest, the first on ties.
 
-    A click meets the words of its square of the page and the eight around it. Whatever is nearer than a square's side is
-    surely among them; clicks with nothing so near go on to larger squares, and the last ones to the whole page.
+    A page's words are gathered in one row, and its clicks in rows of LOT at most; they meet by document, and then by
+    page, so that words which are dealt by document already are not shuffled.
     """
-    words = boxes.select("doc_id", "page_index", "token_idx", (F.col("x") + F.col("width") / 2).alias("wx"), (F.col("y") + F.col("height") / 2).alias("wy"))
-    d = (F.col("wx") - F.col("cx")) ** 2 + (F.col("wy") - F.col("cy")) ** 2
-    best = F.min(F.struct(d.alias("d"), "token_idx")).alias("best")
+
+    @F.pandas_udf("struct<token:array<int>,d:array<double>>")
+    def found(cx: pd.Series, cy: pd.Series, token: pd.Series, wx: pd.Series, wy: pd.Series) -> pd.DataFrame:
+        rows = [_nearest(*(np.asarray(c, dtype=float) for c in row[:2]), np.asarray(row[2]), *(np.asarray(c, dtype=float) for c in row[3:])) for row in zip(cx, cy, token, wx, wy)]
+        return pd.DataFrame({"token": [t for t, _ in rows], "d": [d for _, d in rows]}, dtype=object)
+
     page, told = ["doc_id", "page_index"], ["click", "doc_id", "page_index"]
-    left, found = clicks, None
-    around = lambda c, side: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col(c) / side) + k))
-    for side in SQUARES:
-        near = left.withColumn("sx", around("cx", side)).withColumn("sy", around("cy", side))
-        here = words.withColumn("sx", F.floor(F.col("wx") / side)).withColumn("sy", F.floor(F.col("wy") / side))
-        met = cut_lineage(near.join(here, [*page, "sx", "sy"]).groupBy(*told).agg(best).where(F.col("best.d") <= side * side))
-        found = met if found is None else found.unionByName(met)
-        left = left.join(met.select(*told), told, "left_anti")
-    found = found.unionByName(left.join(words, page).groupBy(*told).agg(best))
-    return found.select(*told, "best.token_idx")
+    word = F.struct("token_idx", (F.col("x") + F.col("width") / 2).alias("wx"), (F.col("y") + F.col("height") / 2).alias("wy"))
+    pages = boxes.groupBy(*page).agg(F.collect_list(word).alias("_w"))
+    nth = F.row_number().over(W.partitionBy(*page).orderBy("click"))
+    lots = clicks.withColumn("_lot", F.floor((nth - 1) / LOT)).groupBy("doc_id", F.col("page_index").alias("_page"), "_lot").agg(F.collect_list(F.struct("click", "cx", "cy")).alias("_c"))
+    # a difference, since an equal page as a second key would ask for words dealt by page
+    met = pages.join(lots, "doc_id").where(F.col("page_index") - F.col("_page") == 0)
+    met = met.select(*page, F.col("_c.click").alias("click"), found("_c.cx", "_c.cy", "_w.token_idx", "_w.wx", "_w.wy").alias("_f"))
+    each = met.select(*page, F.inline(F.arrays_zip("click", F.col("_f.token").alias("token_idx"), F.col("_f.d").alias("d")))).toDF(*page, "click", "token_idx", "d")
+    return each.groupBy(*told).agg(F.min_by("token_idx", F.struct("d", "token_idx")).alias("token_idx"))
 
 
 def ranges_at(points: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:

@@ -55,3 +55,17 @@ def test_timeline_of_symbols_with_arrays(spark, capsys):
     assert rows(told, "token_idx", "start_frame", "end_frame") == [(0, 101, 106), (1, 106, 110), (2, 110, 110)]
     told.explain()
     assert "_p#" not in capsys.readouterr().out  # no symbol is joined by its place
+
+
+def test_nearest_word_shuffles_no_words(spark, capsys):
+    """Words that are dealt by document are met in place; a page's clicks go in several lots."""
+    boxes = spark.createDataFrame([(1, p, t, 10.0 * t, 2.0, 100.0 * p, 2.0) for p in range(2) for t in range(50)], "doc_id long, page_index int, token_idx int, x double, width double, y double, height double")
+    clicks = spark.createDataFrame([(c, 1, c % 2, c % 500 + 0.5, 101.0) for c in range(6000)], "click long, doc_id long, page_index int, cx double, cy double")
+    told = timeline.nearest_word(clicks, boxes.repartition(16, "doc_id"))
+    # a click in the middle between two words goes to the first
+    want = [(c, c % 2, min(range(50), key=lambda t: (abs(10 * t + 1 - (c % 500 + 0.5)), t))) for c in range(6000)]
+    assert rows(told, "click", "page_index", "token_idx") == want
+    told.explain()
+    plan = capsys.readouterr().out
+    assert "(wx" not in plan and not [line for line in plan.splitlines() if "Exchange" in line and "page_index" in line and "_w" in line]
+    assert "Checkpoint" not in plan and "ExistingRDD[click" in plan and "sx" not in plan
