@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import inf
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,46 +115,58 @@ def lift_markers(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.where("not is_marker"), runs.where("is_marker")
 
 
+CLOSING, OPENING, EITHER = 1, 2, 3
 _CLOSING, _OPENING, _EITHER = r"^[,.;:!?)\]}”’»…%]+$", r"^[(\[{“‘«]+$", "^[\"']+$"
 
 
-def _marks_attached(marks: Column) -> Column:
-    """For the marks that follow a word, in order: where groups start, and whether the last ones go to the next word.
+#: Places between two words, at which no mark can bind, that a row of attach_punctuation holds.
+PLACES = 512
 
-    marks has token_idx, kind (closing, opening or either), x, right, line_key, and of what follows n_x, n_line, n_any; the
-    word before, if any, is told by p_right, p_line and p_any of the first mark. What goes forward is carried and judged
-    together with the next mark: alike kinds stay what they are, unlike ones become a word of their own. Marks of the
-    document's end fall back, those of its start fall forward.
-    """
-    far = F.lit(float("inf"))
-    first = F.try_element_at(marks, F.lit(1))
-    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("string")
-    state = F.struct(
-        F.coalesce(first["p_any"], F.lit(False)).alias("any"), first["p_right"].alias("right"), first["p_line"].alias("line"), none.alias("from"), nothing.alias("kind"),
-        F.lit(None).cast("double").alias("x"), first["p_line"].alias("x_line"), F.array().cast("array<long>").alias("starts"),
-    )
 
-    def step(s: Column, m: Column) -> Column:
-        carried = s["from"].isNotNull()
-        kind = F.when(carried & (s["kind"] != m["kind"]), "word").otherwise(m["kind"])
-        start = F.coalesce(s["from"], m["token_idx"])
-        x, x_line = F.when(carried, s["x"]).otherwise(m["x"]), F.when(carried, s["x_line"]).otherwise(m["line_key"])
-        left = F.when(s["line"] == x_line, F.abs(x - s["right"])).otherwise(far)
-        right = F.when(m["n_line"] == m["line_key"], F.abs(m["n_x"] - m["right"])).otherwise(far)
-        either = F.when(s["any"] & m["n_any"], F.when(left <= right, "back").otherwise("forward")).when(s["any"], "back").when(m["n_any"], "forward")
-        way = (
-            F.when(kind == "closing", F.when(s["any"], "back").when(m["n_any"], "forward")).when(kind == "opening", F.when(m["n_any"], "forward").when(s["any"], "back"))
-            .when(kind == "either", either)
-        )
-        way = F.coalesce(way, F.lit("stays"))
-        goes = way == "forward"
-        return F.struct(
-            (s["any"] | ~goes).alias("any"), F.when(goes, s["right"]).otherwise(m["right"]).alias("right"), F.when(goes, s["line"]).otherwise(m["line_key"]).alias("line"),
-            F.when(goes, start).alias("from"), F.when(goes, kind).alias("kind"), F.when(goes, x).alias("x"), F.when(goes, x_line).alias("x_line"),
-            F.when(way == "stays", F.array_append(s["starts"], start)).otherwise(s["starts"]).alias("starts"),
-        )
-
-    return F.aggregate(marks, state, step, lambda s: F.struct(s["starts"].alias("starts"), s["from"].alias("from")))
+def _attached(token_idx, token, kind, x, right, line_key) -> tuple[list[int], list[str]]:
+    """How many tokens each group has and its text, of a stretch of tokens that no mark binds to what is around it.
+
+    What goes forward is carried and judged together with the next mark: alike kinds stay what they are, unlike ones
+    become a word of their own. Marks of the document's end fall back, those of its start fall forward.
+    """
+    order = np.argsort(token_idx, kind="stable")
+    token, kind, x, right, line_key = token[order], kind[order], x[order].tolist(), right[order].tolist(), line_key[order].tolist()
+    n = len(token)
+    heads = kind == 0  # words, for now
+    last, carried = -1, None  # the last token that did not go forward; where what does began
+    for i in np.flatnonzero(kind).tolist():
+        if last < i - 1 and kind[i - 1] == 0:
+            last, carried = i - 1, None
+        was = carried
+        start, k = (i, int(kind[i])) if was is None else (was, was_kind if was_kind == kind[i] else 0)
+        left, follows = last >= 0, i + 1 < n
+        if k == CLOSING:
+            way = -1 if left else 1 if follows else 0
+        elif k == OPENING:
+            way = 1 if follows else -1 if left else 0
+        elif k == EITHER:
+            if left and follows:
+                to_left = abs(x[start] - right[last]) if line_key[last] == line_key[start] else inf
+                to_right = abs(x[i + 1] - right[i]) if line_key[i + 1] == line_key[i] else inf
+                way = -1 if to_left <= to_right else 1
+            else:
+                way = -1 if left else 1 if follows else 0
+        else:
+            way = 0
+        if way == 1:
+            carried, was_kind = start, k
+            if i + 1 < n and kind[i + 1] == 0:
+                heads[start], heads[i + 1] = True, False
+        else:
+            heads[start] = heads[start] or way == 0
+            last, carried = i, None
+    heads[:1] = True
+    starts = np.flatnonzero(heads)
+    sizes = np.diff(np.append(starts, n)).tolist()
+    words = token[starts].tolist()
+    for g in np.flatnonzero(np.array(sizes) > 1).tolist():
+        words[g] = "".join(token[starts[g] : starts[g] + sizes[g]])
+    return sizes, words
 
 
 def attach_punctuation(tokens: DataFrame) -> DataFrame:
@@ -158,32 +174,30 @@ def attach_punctuation(tokens: DataFrame) -> DataFrame:
     line_key.
 
     A closing mark joins what stands before it, an opening one what comes next, a straight quote the nearer of both (what
-    stands before on ties, and across lines); at an end of the document each falls to the other side. The marks after a
-    word are folded in order, with what goes forward carried along; words are independent of each other but for what the
-    marks between them carry on.
+    stands before on ties, and across lines); at an end of the document each falls to the other side. No mark binds where
+    two words stand side by side, so a document is cut there into rows of bounded size, in which marks are attached.
     """
+
+    @F.pandas_udf("struct<n:array<int>,token:array<string>>")
+    def attached(token_idx: pd.Series, token: pd.Series, kind: pd.Series, x: pd.Series, right: pd.Series, line_key: pd.Series) -> pd.DataFrame:
+        rows = [_attached(*(np.asarray(c) for c in row)) for row in zip(token_idx, token, kind, x, right, line_key)]
+        return pd.DataFrame({"n": [n for n, _ in rows], "token": [t for _, t in rows]}, dtype=object)
+
     along = W.partitionBy("doc_id").orderBy("token_idx")
     token = F.col("token")
-    kind = F.when(token.rlike(_CLOSING), "closing").when(token.rlike(_OPENING), "opening").when(token.rlike(_EITHER), "either")
-    t = tokens.withColumn("_kind", kind).withColumn("_right", F.col("x") + F.col("width"))
-    t = t.withColumn("_run", F.sum(F.col("_kind").isNull().cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)))
-    mark = F.struct(
-        "token_idx", F.col("_kind").alias("kind"), F.col("x").cast("double").alias("x"), F.col("_right").cast("double").alias("right"), "line_key",
-        F.lead("x").over(along).cast("double").alias("n_x"), F.lead("line_key").over(along).alias("n_line"), F.lead("token").over(along).isNotNull().alias("n_any"),
-        F.lag("_right").over(along).cast("double").alias("p_right"), F.lag("line_key").over(along).alias("p_line"), F.lag("token").over(along).isNotNull().alias("p_any"),
-    )
-    t = t.withColumn("_mark", F.when(F.col("_kind").isNotNull(), mark))
-    runs = t.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list("_mark")).alias("_marks"), F.array_sort(F.collect_list(F.struct("token_idx", "token"))).alias("_tokens"), F.min(F.when(F.col("_kind").isNull(), F.col("token_idx"))).alias("_word"))
-    runs = runs.withColumn("_found", _marks_attached(F.col("_marks")))
-    # a word starts a group unless marks before it were carried on, whose first then does
-    carried = F.lag("_found.from").over(W.partitionBy("doc_id").orderBy("_run"))
-    runs = runs.withColumn("_starts", F.filter(F.concat("_found.starts", F.array(F.coalesce(carried, F.col("_word")))), lambda i: i.isNotNull()))
-    # marks that one word's run carries on belong to the next run's group
-    heads = runs.select("doc_id", F.explode("_starts").alias("token_idx"), F.lit(1).alias("_head"))
-    each = runs.select("doc_id", F.inline("_tokens")).join(heads, ["doc_id", "token_idx"], "left")
-    each = each.withColumn("group", (F.sum(F.coalesce("_head", F.lit(0))).over(along.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int"))
-    parts = F.array_sort(F.collect_list(F.struct("token_idx", "token")))
-    return each.groupBy("doc_id", "group").agg(F.array_join(F.transform(parts, lambda x: x["token"]), "").alias("token"), F.count("*").alias("n_boxes"))
+    # a token with a letter or digit in front is a word
+    kind = F.when(token.rlike(r"^[A-Za-z0-9]"), 0).when(token.rlike(_CLOSING), CLOSING).when(token.rlike(_OPENING), OPENING).when(token.rlike(_EITHER), EITHER).otherwise(0)
+    t = tokens.select("doc_id", "token_idx", "token", F.col("x").cast("double").alias("x"), (F.col("x") + F.col("width")).cast("double").alias("right"), F.col("line_key").cast("double").alias("line_key"), kind.alias("kind"))
+    place = (F.col("kind") == 0) & (F.lag("kind").over(along) == 0)
+    t = t.withColumn("_place", F.coalesce(place, F.lit(False)).cast("int"))
+    t = t.withColumn("_row", F.floor(F.sum("_place").over(along.rowsBetween(W.unboundedPreceding, 0)) / PLACES))
+    columns = ("token_idx", "token", "kind", "x", "right", "line_key")
+    rows = t.groupBy("doc_id", "_row").agg(F.collect_list(F.struct(*columns)).alias("_t"))
+    rows = rows.select("doc_id", "_row", attached(*[F.col(f"_t.{c}") for c in columns]).alias("_g"))
+    before = F.sum(F.size("_g.n")).over(W.partitionBy("doc_id").orderBy("_row").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0)))
+    each = rows.select("doc_id", "_before", F.posexplode(F.arrays_zip(F.col("_g.token").alias("token"), F.col("_g.n").alias("n"))).alias("_i", "_z"))
+    return each.select("doc_id", (F.col("_before") + F.col("_i")).cast("int").alias("group"), "_z.token", F.col("_z.n").cast("long").alias("n_boxes"))
 
 
 def document_indents(blocks: DataFrame) -> DataFrame:
