@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from quire.functions.wordlists import ABBREVIATIONS
 from quire.operators.windows import as_of, islands
 
 TARGET, OPENING_TARGET, LEAST, LONG_SENTENCE, BUDGET = 250, 110, 60, 340, 510
-_CLAUSE = r"[,;:—–][\"'”’)\]]*$"
+CLAUSE = r"[,;:—–][\"'”’)\]]*$"
 _BLOCK = ["doc_id", "block_idx"]
 
 
@@ -19,7 +23,9 @@ def sentence_end(token: Column) -> Column:
     bare = F.regexp_replace(token, r"[\"'”’)\]}]+$", "")
     core = F.regexp_replace(bare, r"\.$", "")
     period = (F.length(core) > 1) & ~core.contains(".") & ~F.lower(core).isin(ABBREVIATIONS)
-    return F.when(bare.rlike(r"[!?]$"), True).when(bare.rlike(r"\.$"), period).otherwise(False)
+    ends = F.when(bare.rlike(r"[!?]$"), True).when(bare.rlike(r"\.$"), period).otherwise(False)
+    # most tokens have none of these marks, and are told without the patterns
+    return F.when(token.contains(".") | token.contains("!") | token.contains("?"), ends).otherwise(False)
 
 
 def word_symbol_ranges(words: DataFrame) -> DataFrame:
@@ -40,30 +46,77 @@ def sentences(words: DataFrame) -> DataFrame:
     return islands(words, _BLOCK, ["token_idx"], before & ~F.col("joined"), "sentence_id")
 
 
-def _greedy(words: Column, target: Column, cut_anywhere: bool) -> Column:
-    """Token numbers at which a new run starts, of an ordered array of (token_idx, lo, hi, clause, joined).
+def _greedy(words: tuple, a: int, b: int, target: int, cut_anywhere: bool) -> list[int]:
+    """Places in words (lists of lo, hi, clause, joined) at which a new run starts, between a and b.
 
     A run is cut at the last place that may be cut once it grows over target, and before the word that would pass the
     budget if there is no such place.
     """
-    first = F.element_at(words, 1)
-    zero = F.struct(first["lo"].alias("lo"), first["token_idx"].alias("at"), F.lit(-1).alias("cut"), F.lit(0).alias("cut_lo"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
+    lo, hi, clause, joined = words
+    at, start, cut, is_open, out = a, lo[a], -1, False, []
+    for i in range(a, b):
         # the word before may have been a place to cut, now that this word is known
-        here = s["open"] & ~w["joined"]
-        cut, cut_lo = F.when(here, w["token_idx"]).otherwise(s["cut"]), F.when(here, w["lo"]).otherwise(s["cut_lo"])
-        size, later = w["hi"] - s["lo"], w["token_idx"] > s["at"]
-        at_cut = (cut > s["at"]) & (size > target)
-        hard = later & (size > BUDGET) & (cut <= s["at"])
-        start, lo = F.when(at_cut, cut).when(hard, w["token_idx"]).otherwise(s["at"]), F.when(at_cut, cut_lo).when(hard, w["lo"]).otherwise(s["lo"])
-        again = at_cut & (w["token_idx"] > cut) & (w["hi"] - cut_lo > BUDGET)
-        out = F.when(again, F.concat(s["out"], F.array(cut, w["token_idx"]))).when(at_cut | hard, F.array_append(s["out"], start)).otherwise(s["out"])
-        start, lo = F.when(again, w["token_idx"]).otherwise(start), F.when(again, w["lo"]).otherwise(lo)
-        fits = F.lit(True) if cut_anywhere else w["clause"]
-        return F.struct(lo.alias("lo"), start.alias("at"), F.when(cut > start, cut).otherwise(-1).alias("cut"), F.when(cut > start, cut_lo).otherwise(0).alias("cut_lo"), fits.alias("open"), out.alias("out"))
+        if is_open and not joined[i]:
+            cut = i
+        if cut > at and hi[i] - start > target:
+            out.append(cut)
+            at, start = cut, lo[cut]
+            if i > at and hi[i] - start > BUDGET:
+                out.append(i)
+                at, start = i, lo[i]
+        elif i > at and hi[i] - start > BUDGET and cut <= at:
+            out.append(i)
+            at, start = i, lo[i]
+        is_open = cut_anywhere or clause[i]
+    return out
+
+
+def _runs(words: tuple, fresh: list[int], target: int) -> list[int]:
+    """Where the pieces of a block's words start: sentences, those over the long limit cut at clauses to the target, and
+    what is still too long cut evenly at any word. fresh tells where sentences start."""
+    lo, hi = words[:2]
+    starts, n = [], len(lo)
+    for a, b in zip(fresh, fresh[1:] + [n]):
+        if hi[b - 1] - lo[a] <= LONG_SENTENCE:
+            starts.append(a)
+            continue
+        parts = [a] + _greedy(words, a, b, target, False)
+        for c, d in zip(parts, parts[1:] + [b]):
+            size = hi[d - 1] - lo[c]
+            starts.append(c)
+            if size > LONG_SENTENCE:
+                starts += _greedy(words, c, d, ceil(size / ceil(size / target)), True)
+    return starts
+
+
+def split_long(words: DataFrame) -> DataFrame:
+    """words (with lo, hi, sentence_id, target, and clause or token) with piece_id: sentences over the long limit are cut
+    at clauses to the target, and what is still too long is cut evenly at any word.
+
+    A block's words are gathered once and cut in place, so that nothing is joined back.
+    """
 
-    return F.aggregate(words, zero, step, lambda s: s["out"])
+    @F.pandas_udf("struct<at:array<int>,piece:array<int>>")
+    def cut(token_idx: pd.Series, lo: pd.Series, hi: pd.Series, clause: pd.Series, joined: pd.Series, sentence: pd.Series, target: pd.Series) -> pd.DataFrame:
+        at, piece = [], []
+        for idx, *row in zip(token_idx, lo, hi, clause, joined, sentence, target):
+            order = np.argsort(idx, kind="stable")
+            low, high, clauses, joins, told = (c[order] for c in row[:5])
+            fresh = np.flatnonzero(np.diff(told, prepend=told[0] - 1)).tolist()
+            starts = _runs((low.tolist(), high.tolist(), clauses.tolist(), joins.tolist()), fresh, int(row[5][order[0]]))
+            mark = np.zeros(len(low), dtype=np.int32)
+            mark[starts] = 1
+            at.append(order)
+            piece.append(np.cumsum(mark) - 1)
+        return pd.DataFrame({"at": at, "piece": piece}, dtype=object)
+
+    clause = F.col("clause") if "clause" in words.columns else F.col("token").rlike(CLAUSE)
+    rest = [c for c in words.columns if c not in _BLOCK]
+    rows = words.withColumn("_clause", clause).groupBy(*_BLOCK).agg(F.collect_list(F.struct(*rest, "_clause")).alias("t"))
+    rows = rows.select(*_BLOCK, "t", cut(*[F.col(f"t.{c}") for c in ("token_idx", "lo", "hi", "_clause", "joined", "sentence_id", "target")]).alias("c"))
+    each = rows.select(*_BLOCK, "t", F.inline(F.arrays_zip(F.col("c.at").alias("at"), F.col("c.piece").alias("piece_id"))))
+    each = each.select(*_BLOCK, F.get("t", F.col("at")).alias("t"), "piece_id")
+    return each.select(*[c if c in _BLOCK else F.col(f"t.{c}") for c in words.columns], "piece_id")
 
 
 def _bounds(starts: Column, end: Column) -> Column:
@@ -72,39 +125,6 @@ def _bounds(starts: Column, end: Column) -> Column:
     return F.zip_with(starts, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def _cut(words: Column, run: Column, target: Column, anywhere: bool) -> Column:
-    """The runs (a, b) of places in words that a run becomes: only one over the long limit is cut."""
-    size = F.element_at(words, run["b"])["hi"] - F.element_at(words, run["a"] + 1)["lo"]
-    cuts = _greedy(F.slice(words, run["a"] + 1, run["b"] - run["a"]), target, anywhere)
-    return F.when(size > LONG_SENTENCE, _bounds(F.concat(F.array(run["a"]), cuts), run["b"])).otherwise(F.array(run))
-
-
-def _runs(w: Column) -> Column:
-    """The pieces (a, b) of a block's words, by place: sentences, those over the long limit cut at clauses to the target,
-    and what is still too long cut evenly at any word. w has place, lo, hi, clause, joined, sentence_id and target."""
-    fresh = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (F.get(w, i - 1)["sentence_id"] != x["sentence_id"]), i)), lambda i: i.isNotNull())
-    target = lambda run: F.element_at(w, run["a"] + 1)["target"]
-    size = lambda run: F.element_at(w, run["b"])["hi"] - F.element_at(w, run["a"] + 1)["lo"]
-    even = lambda run: F.ceil(size(run) / F.ceil(size(run) / target(run))).cast("int")
-    clauses = F.flatten(F.transform(_bounds(fresh, F.size(w)), lambda run: _cut(w, run, target(run), False)))
-    return F.flatten(F.transform(clauses, lambda run: _cut(w, run, even(run), True)))
-
-
-def split_long(words: DataFrame) -> DataFrame:
-    """words (with lo, hi, sentence_id, target) with piece_id: sentences over the long limit are cut at clauses to the
-    target, and what is still too long is cut evenly at any word.
-
-    A block's words are gathered once and cut in place, so that nothing is joined back.
-    """
-    rest = [c for c in words.columns if c not in (*_BLOCK, "token_idx")]
-    rows = words.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("token_idx", F.struct(*rest).alias("x")))).alias("t"))
-    # places stand for token numbers, which may have gaps
-    one = lambda t, i: F.struct(i.alias("token_idx"), t["x"]["lo"].alias("lo"), t["x"]["hi"].alias("hi"), t["x"]["token"].rlike(_CLAUSE).alias("clause"), t["x"]["joined"].alias("joined"), t["x"]["sentence_id"].alias("sentence_id"), t["x"]["target"].alias("target"))
-    rows = rows.withColumn("w", F.transform("t", one))
-    cut = rows.select(*_BLOCK, "t", F.posexplode(_runs(F.col("w"))).alias("piece_id", "run")).select(*_BLOCK, "piece_id", F.explode(F.slice("t", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))).alias("t"))
-    return cut.select(*[c if c in _BLOCK else F.col("t.token_idx") if c == "token_idx" else F.col(f"t.x.{c}") for c in words.columns], "piece_id")
-
-
 def pieces(words: DataFrame) -> DataFrame:
     """doc_id, block_idx, piece_id, lo, hi, first, last, target of words with piece_id."""
     return words.groupBy(*_BLOCK, "piece_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("token_idx").alias("first"), F.max("token_idx").alias("last"), F.max("target").alias("target"))
@@ -158,57 +178,74 @@ def cut_oversize(words: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.select(*_BLOCK, "token_idx", "chunk_idx", lo.alias("lo"), F.greatest(lo, F.least(F.col("hi") - F.col("c_lo"), F.lit(BUDGET))).alias("hi"))
 
 
-def opening_target(blocks: DataFrame) -> DataFrame:
-    """doc_id, block_idx, target: the first two main-stream blocks of a document are cut finer."""
+def aimed(blocks: DataFrame) -> DataFrame:
+    """blocks with target: the first two main-stream blocks of a document are cut finer."""
     main = F.col("role").isin("body", "heading")
     nth = F.sum(F.when(main, 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0))
-    return blocks.select("doc_id", "block_idx", F.when(main & (nth <= 2), OPENING_TARGET).otherwise(TARGET).alias("target"))
-
-
-def _spans(rows: Column, runs: Column) -> Column:
-    """lo, hi, first, last, target of runs (a, b) of rows that have these."""
-    def one(run: Column) -> Column:
-        start, end = F.element_at(rows, run["a"] + 1), F.element_at(rows, run["b"])
-        return F.struct(start["lo"].alias("lo"), end["hi"].alias("hi"), start["first"].alias("first"), end["last"].alias("last"), start["target"].alias("target"))
+    return blocks.withColumn("target", F.when(main & (nth <= 2), OPENING_TARGET).otherwise(TARGET))
 
-    return F.transform(runs, one)
 
-
-def _tail_merged(chunks: Column) -> Column:
-    last, before = F.element_at(chunks, -1), F.try_element_at(chunks, F.lit(-2))
-    both = F.struct(before["lo"].alias("lo"), last["hi"].alias("hi"), before["first"].alias("first"), last["last"].alias("last"), before["target"].alias("target"))
-    joins = before.isNotNull() & _short(last["lo"], last["hi"], last["target"], before["lo"])
-    return F.when(joins, F.concat(F.slice(chunks, F.lit(1), F.size(chunks) - 2), F.array(both))).otherwise(chunks)
-
-
-def chunk_documents(block_tokens: DataFrame, targets: DataFrame) -> DataFrame:
+def opening_target(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_idx, target of blocks."""
+    return aimed(blocks).select("doc_id", "block_idx", "target")
+
+
+def _packed_in_place(parts: list[tuple]) -> list[tuple]:
+    """Chunks (lo, hi, first, last, target) of a block's pieces (the same), packed and with a short tail merged."""
+    out: list[list] = []
+    for lo, hi, first, last, target in parts:
+        if out:
+            c = out[-1]
+            both = hi - c[0]
+            if both <= target or (c[1] - c[0] < min(LEAST, target / 2) and both <= BUDGET):
+                c[1], c[3] = hi, last
+                continue
+        out.append([lo, hi, first, last, target])
+    if len(out) > 1:
+        before, tail = out[-2:]
+        if tail[1] - tail[0] < min(LEAST, tail[4] / 2) and tail[1] - before[0] <= BUDGET:
+            out[-2:] = [[before[0], tail[1], before[2], tail[3], before[4]]]
+    return [tuple(c) for c in out]
+
+
+def chunk_documents(block_tokens: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Chunks of blocks: every token has its letters as symbols, and no token is joined to the next.
 
     The same as tail_merge(chunks_of(pack_chunks(pieces(split_long(words))))), but a block's words are gathered once,
-    without their text, and stay in its row until its chunks are told.
+    without their text, and stay in its row until its chunks are told. Targets may stand in the tokens' own column target,
+    so that no words are shuffled to meet them.
     """
-    words = block_tokens.select(
-        *_BLOCK, "token_idx", F.length("token").alias("symbols"), F.lit(False).alias("joined"), sentence_end(F.col("token")).alias("is_end"), F.col("token").rlike(_CLAUSE).alias("clause")
-    )
-    words = sentences(word_symbol_ranges(words))
-    word = F.struct("token_idx", "lo", "hi", "clause", "joined", "sentence_id")
-    rows = words.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(word)).alias("t")).join(targets, _BLOCK)
-    # places stand for token numbers, which may have gaps
-    rows = rows.withColumn("w", F.transform("t", lambda x, i: F.struct(
-        i.alias("token_idx"), *[x[c].alias(c) for c in ("lo", "hi", "clause", "joined", "sentence_id")], F.col("target").alias("target"), x["token_idx"].alias("first"), x["token_idx"].alias("last")
-    )))
-    rows = rows.select(*_BLOCK, "w", _runs(F.col("w")).alias("runs"))
-    rows = rows.select(*_BLOCK, _spans(F.col("w"), F.col("runs")).alias("pieces"))
-    rows = rows.select(*_BLOCK, _spans(F.col("pieces"), _packed(F.col("pieces"))).alias("chunks"))
-    chunks = rows.select(*_BLOCK, F.posexplode(_tail_merged(F.col("chunks"))).alias("chunk_idx", "c"))
-    return chunks.select(*_BLOCK, "chunk_idx", "c.lo", "c.hi", "c.first", "c.last", "c.target")
+
+    @F.pandas_udf("array<struct<lo:int,hi:int,first:int,last:int,target:int>>")
+    def chunked(token_idx: pd.Series, symbols: pd.Series, is_end: pd.Series, clause: pd.Series, target: pd.Series) -> pd.Series:
+        out = []
+        for idx, size, ends, clauses, goal in zip(token_idx, symbols, is_end, clause, target):
+            order = np.argsort(idx, kind="stable")
+            idx, size = idx[order], size[order].astype(np.int64)
+            # a separator stands before a word with symbols that has one before it
+            before = np.cumsum(size) - size
+            hi = np.cumsum(size + ((size > 0) & (before > 0)))
+            lo = hi - size
+            fresh = [0] + (np.flatnonzero(ends[order][:-1]) + 1).tolist()
+            low, high, at = lo.tolist(), hi.tolist(), idx.tolist()
+            starts = _runs((low, high, clauses[order].tolist(), [False] * len(at)), fresh, int(goal))
+            parts = [(low[a], high[b - 1], at[a], at[b - 1], int(goal)) for a, b in zip(starts, starts[1:] + [len(at)])]
+            out.append([dict(zip(("lo", "hi", "first", "last", "target"), c)) for c in _packed_in_place(parts)])
+        return pd.Series(out, dtype=object)
+
+    word = F.struct("token_idx", F.length("token").alias("symbols"), sentence_end(F.col("token")).alias("is_end"), F.col("token").rlike(CLAUSE).alias("clause"))
+    own = [] if targets is not None else [F.first("target").alias("target")]
+    rows = block_tokens.groupBy(*_BLOCK).agg(F.collect_list(word).alias("t"), *own)
+    rows = rows if targets is None else rows.join(targets, _BLOCK)
+    rows = rows.select(*_BLOCK, chunked("t.token_idx", "t.symbols", "t.is_end", "t.clause", "target").alias("c"))
+    return rows.select(*_BLOCK, F.posexplode("c").alias("chunk_idx", "c")).select(*_BLOCK, "chunk_idx", "c.lo", "c.hi", "c.first", "c.last", "c.target")
 
 
 def passages(tokens: DataFrame, limit: int = 120) -> DataFrame:
     """tokens with passage_id: at most `limit` tokens, cut after the last sentence end, else clause end, of the final two
     thirds, else hard."""
     ends = F.transform("t", lambda x: x["e"])
-    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_idx", F.when(F.col("token").rlike(r"[.!?…][\"'”’)\]]*$"), 2).when(F.col("token").rlike(_CLAUSE), 1).otherwise(0).alias("e")))).alias("t"))
+    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_idx", F.when(F.col("token").rlike(r"[.!?…][\"'”’)\]]*$"), 2).when(F.col("token").rlike(CLAUSE), 1).otherwise(0).alias("e")))).alias("t"))
     rows = rows.select("doc_id", ends.alias("e"), F.size("t").alias("n"))
     least = limit - limit // 3
     zero = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
@@ -254,21 +291,39 @@ def route_streams(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 def uniform_chunks(words: DataFrame, budget: int = BUDGET) -> DataFrame:
     """words (lo, hi, is_end) with chunk_idx: blocks over the budget are cut to an even target, backing off to a sentence
     end in its last quarter."""
-    one = F.struct("token_idx", "lo", "hi", "is_end")
-    rows = words.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(one)).alias("w"))
-    size = F.array_max(F.transform("w", lambda x: x["hi"]))
-    rows = rows.withColumn("goal", F.ceil(size / F.ceil(size / budget)).cast("int"))
-    zero = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("at"), F.lit(-1).alias("cut"), F.lit(0).alias("cut_lo"), F.lit(False).alias("open"), F.array(F.lit(0)).alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        cut, cut_lo = F.when(s["open"], w["token_idx"]).otherwise(s["cut"]), F.when(s["open"], w["lo"]).otherwise(s["cut_lo"])
-        over = (w["hi"] - s["lo"] > F.col("goal")) & (w["token_idx"] > s["at"])
-        at, lo = F.when(cut > s["at"], cut).otherwise(w["token_idx"]), F.when(cut > s["at"], cut_lo).otherwise(w["lo"])
-        start = F.when(over, at).otherwise(s["at"])
-        begin = F.when(over, lo).otherwise(s["lo"])
-        opens = w["is_end"] & (w["hi"] - begin >= F.col("goal") * 0.75)
-        return F.struct(begin.alias("lo"), start.alias("at"), F.when(cut > start, cut).otherwise(-1).alias("cut"), F.when(cut > start, cut_lo).otherwise(0).alias("cut_lo"), opens.alias("open"), F.when(over, F.array_append(s["out"], start)).otherwise(s["out"]).alias("out"))
-
-    starts = rows.select(*_BLOCK, F.explode(F.aggregate("w", zero, step, lambda s: s["out"])).alias("token_idx")).distinct().withColumn("_s", F.lit(1))
-    along = W.partitionBy(*_BLOCK).orderBy("token_idx").rowsBetween(W.unboundedPreceding, 0)
-    return words.join(starts, [*_BLOCK, "token_idx"], "left").withColumn("chunk_idx", (F.sum(F.coalesce("_s", F.lit(0))).over(along) - 1).cast("int")).drop("_s")
+
+    @F.pandas_udf("struct<at:array<int>,chunk:array<int>>")
+    def cut(token_idx: pd.Series, lo: pd.Series, hi: pd.Series, is_end: pd.Series) -> pd.DataFrame:
+        at, chunk = [], []
+        for idx, *row in zip(token_idx, lo, hi, is_end):
+            order = np.argsort(idx, kind="stable")
+            mark = np.zeros(len(order), dtype=np.int32)
+            mark[_even(*(c[order].tolist() for c in row), budget)] = 1
+            at.append(order)
+            chunk.append(np.cumsum(mark) - 1)
+        return pd.DataFrame({"at": at, "chunk": chunk}, dtype=object)
+
+    rest = [c for c in words.columns if c not in _BLOCK]
+    rows = words.groupBy(*_BLOCK).agg(F.collect_list(F.struct(*rest)).alias("t"))
+    rows = rows.select(*_BLOCK, "t", cut("t.token_idx", "t.lo", "t.hi", "t.is_end").alias("c"))
+    each = rows.select(*_BLOCK, "t", F.inline(F.arrays_zip(F.col("c.at").alias("at"), F.col("c.chunk").alias("chunk_idx"))))
+    each = each.select(*_BLOCK, F.get("t", F.col("at")).alias("t"), "chunk_idx")
+    return each.select(*[c if c in _BLOCK else F.col(f"t.{c}") for c in words.columns], "chunk_idx")
+
+
+def _even(lo: list, hi: list, is_end: list, budget: int) -> list[int]:
+    """Places at which even chunks of a block's words start."""
+    size = max(hi)
+    if size <= 0:
+        return [0]
+    goal = ceil(size / ceil(size / budget))
+    at, start, cut, is_open, out = 0, 0, -1, False, [0]
+    for i in range(len(lo)):
+        if is_open:
+            cut = i
+        if hi[i] - start > goal and i > at:
+            at = cut if cut > at else i
+            start = lo[at]
+            out.append(at)
+        is_open = is_end[i] and hi[i] - start >= goal * 0.75
+    return out

@@ -79,3 +79,12 @@ def test_punctuation_is_attached_without_joins(spark, capsys):
     assert rows(told, "group", "token", "n_boxes") == [(i, "word", 1) for i in range(1500)] + [(1500, '"quoted,', 3), (1501, "(end", 2)]
     told.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_words_of_blocks_are_cut_in_place(spark, capsys):
+    for name in ("split_long", "uniform_chunks", "chunk_documents"):
+        all_queries()[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        assert "aggregate(" not in plan, name
+        if name != "chunk_documents":
+            assert "Join" not in plan and plan.count("- Exchange ") == plan.count("REPARTITION_BY_NUM") > 0, name
