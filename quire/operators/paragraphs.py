@@ -17,34 +17,39 @@ GAP, INDENT = 1.25, 0.8
 _COL = ["doc_id", "page_index", "col"]
 
 
-def column_metrics(lines: DataFrame) -> DataFrame:
-    """doc_id, page_index, col, n, em, pitch, slope, intercept, right_edge of lines (x0, x1, baseline, height, line)."""
-    along = W.partitionBy(*_COL).orderBy(F.desc("baseline"), "line")
-    l_ = lines.withColumn("_d", F.lag("baseline").over(along) - F.col("baseline"))
-    first = l_.groupBy(*_COL).agg(F.count("*").alias("n"), F.median("height").alias("em"), F.sort_array(F.collect_list("x0")).alias("_l"))
-    first = first.withColumn("em", F.when(F.coalesce("em", F.lit(0.0)) == 0, 10.0).otherwise(F.col("em"))).withColumn("_low", F.element_at("_l", F.floor((F.col("n") - 1) * 0.2).cast("int") + 1))
-    j = l_.join(first.drop("_l"), _COL)
+def _measured(lines: DataFrame) -> DataFrame:
+    """lines with n, em, pitch, slope, intercept and right_edge of their column, by windows: lines are read once and meet
+    their column's measures in place."""
+    whole = W.partitionBy(*_COL)
+    along = whole.orderBy(F.desc("baseline"), "line")
+    at = lambda rows, share: F.element_at(F.sort_array(rows), F.floor((F.col("n") - 1) * share).cast("int") + 1)
+    l_ = lines.select("*", (F.lag("baseline").over(along) - F.col("baseline")).alias("_d"), F.count("*").over(whole).alias("n"), F.median("height").over(whole).alias("em"), F.collect_list("x0").over(whole).alias("_l"))
+    l_ = l_.withColumn("em", F.when(F.coalesce("em", F.lit(0.0)) == 0, 10.0).otherwise(F.col("em"))).withColumn("_low", at(F.col("_l"), 0.2)).drop("_l")
     near = F.abs(F.col("x0") - F.col("_low")) <= F.col("em") * 0.6
     step = (F.col("_d") > F.col("em") * 0.5) & (F.col("_d") < F.col("em") * 3)
     # sums for the least-squares line through the starts of lines on the margin
-    on = lambda c: F.avg(F.when(near, c))
-    fit = j.groupBy(*_COL, "n", "em", "_low").agg(
-        F.median(F.when(step, F.col("_d"))).alias("_p"), F.count_if(near).alias("_k"), on(F.col("baseline")).alias("_my"), on(F.col("x0")).alias("_mx"),
-        F.regr_slope(F.when(near, F.col("x0")), F.when(near, F.col("baseline"))).alias("_s"),
+    on = lambda c: F.avg(F.when(near, c)).over(whole)
+    l_ = l_.select(
+        "*", F.median(F.when(step, F.col("_d"))).over(whole).alias("_p"), F.count_if(near).over(whole).alias("_k"), on(F.col("baseline")).alias("_my"), on(F.col("x0")).alias("_mx"),
+        F.regr_slope(F.when(near, F.col("x0")), F.when(near, F.col("baseline"))).over(whole).alias("_s"),
     )
     slope = F.when(F.col("_k") >= 4, F.greatest(F.lit(-0.025), F.least(F.lit(0.025), F.coalesce("_s", F.lit(0.0))))).otherwise(0.0)
-    fit = fit.select(*_COL, "n", "em", F.coalesce("_p", F.col("em") * 1.2).alias("pitch"), slope.alias("slope"), "_low", "_k", "_my", "_mx")
-    fit = fit.withColumn("intercept", F.when(F.col("_k") >= 4, F.col("_mx") - F.col("slope") * F.col("_my")).otherwise(F.col("_low"))).drop("_low", "_k", "_my", "_mx")
-    edges = lines.join(fit, _COL).groupBy(*_COL).agg(F.sort_array(F.collect_list(F.col("x1") - F.col("slope") * F.col("baseline"))).alias("_r"), F.count("*").alias("_n"))
-    edges = edges.select(*_COL, F.element_at("_r", F.floor((F.col("_n") - 1) * 0.8).cast("int") + 1).alias("right_edge"))
-    return fit.join(edges, _COL)
+    l_ = l_.withColumn("pitch", F.coalesce("_p", F.col("em") * 1.2)).withColumn("slope", slope)
+    l_ = l_.withColumn("intercept", F.when(F.col("_k") >= 4, F.col("_mx") - F.col("slope") * F.col("_my")).otherwise(F.col("_low")))
+    l_ = l_.withColumn("_r", F.collect_list(F.col("x1") - F.col("slope") * F.col("baseline")).over(whole)).withColumn("right_edge", at(F.col("_r"), 0.8))
+    return l_.select(*lines.columns, "n", "em", "pitch", "slope", "intercept", "right_edge")
+
+
+def column_metrics(lines: DataFrame) -> DataFrame:
+    """doc_id, page_index, col, n, em, pitch, slope, intercept, right_edge of lines (x0, x1, baseline, height, line)."""
+    measures = ("n", "em", "pitch", "slope", "intercept", "right_edge")
+    return _measured(lines).groupBy(*_COL).agg(*[F.first(c).alias(c) for c in measures])
 
 
 def paragraph_breaks(lines: DataFrame) -> DataFrame:
     """lines with starts, indented, full: where paragraphs begin in a column, by gap, indent, short lines and size."""
-    m = column_metrics(lines)
     along = W.partitionBy(*_COL).orderBy(F.desc("baseline"), "line")
-    j = lines.join(m, _COL)
+    j = _measured(lines)
     j = j.withColumn("inset", F.col("x0") - (F.col("intercept") + F.col("slope") * F.col("baseline"))).withColumn("indented", F.col("inset") > F.col("em") * INDENT)
     width = F.greatest(F.col("em"), F.col("right_edge") - F.col("intercept"))
     j = j.withColumn("short", F.col("x1") < F.col("right_edge") + F.col("slope") * F.col("baseline") - F.greatest(F.col("em") * 1.5, width * 0.06)).withColumn("ends", ends_sentence(F.col("text")))
@@ -63,7 +68,8 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
         | (~F.col("ragged") & F.col("p_short") & F.col("p_ends") & ~F.col("indented") & ~F.col("p_indented")) | (ratio > 1.3) | (ratio < 0.77) | (((ratio > 1.15) | (ratio < 0.87)) & long)
     )
     j = j.withColumn("fixed", F.coalesce(fixed, F.lit(True))).withColumn("back", F.coalesce(~F.col("indented") & F.col("p_indented") & could, F.lit(False)))
-    one = F.struct("i", "line", "fixed", "back", "indented", F.coalesce("p_indented", F.lit(False)).alias("p_indented"))
+    rest = [c for c in lines.columns if c not in _COL]
+    one = F.struct("i", "fixed", "back", "indented", F.coalesce("p_indented", F.lit(False)).alias("p_indented"), (~F.col("short")).alias("full"), F.struct(*rest).alias("x"))
     rows = j.groupBy(*_COL).agg(F.array_sort(F.collect_list(one)).alias("l"))
     zero = F.struct(F.lit(0).alias("run"), F.array().cast("array<boolean>").alias("out"))
 
@@ -72,8 +78,8 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
         run = F.when(x["indented"], F.when(x["p_indented"] & ~starts, s["run"] + 1).otherwise(1)).otherwise(0)
         return F.struct(run.alias("run"), F.array_append(s["out"], starts).alias("out"))
 
-    out = rows.select(*_COL, F.explode(F.arrays_zip(F.transform("l", lambda x: x["line"]), F.aggregate("l", zero, step, lambda s: s["out"])).cast("array<struct<line:int,starts:boolean>>")).alias("z")).select(*_COL, "z.line", "z.starts")
-    return j.select(*lines.columns, "indented", (~F.col("short")).alias("full")).join(out, [*_COL, "line"])
+    out = rows.select(*_COL, F.inline(F.arrays_zip("l", F.aggregate("l", zero, step, lambda s: s["out"]).alias("starts")))).toDF(*_COL, "l", "starts")
+    return out.select(*[c if c in _COL else F.col(f"l.x.{c}") for c in lines.columns], "l.indented", "l.full", "starts")
 
 
 def paragraphs(breaks: DataFrame) -> DataFrame:

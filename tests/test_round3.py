@@ -88,3 +88,11 @@ def test_words_of_blocks_are_cut_in_place(spark, capsys):
         assert "aggregate(" not in plan, name
         if name != "chunk_documents":
             assert "Join" not in plan and plan.count("- Exchange ") == plan.count("REPARTITION_BY_NUM") > 0, name
+
+
+def test_lines_meet_their_columns_measures_in_place(spark, capsys):
+    lines = spark.createDataFrame([(1, 0, 0, i, 72.0, 300.0, 700.0 - 15 * i, 10.0, 9, "some text") for i in range(8)], "doc_id long, page_index int, col int, line int, x0 double, x1 double, baseline double, height double, n_runs long, text string")
+    told = paragraphs.paragraph_breaks(lines)
+    assert rows(told, "line", "starts") == [(i, i == 0) for i in range(8)]
+    told.explain()
+    assert "Join" not in capsys.readouterr().out
