@@ -196,6 +196,22 @@ def _accented(part: Column) -> Column:
     return F.concat(F.aggregate(first, state, step, lambda s: F.concat(s["head"], s["tail"])), rest)
 
 
+_PLAIN = "A-Za-z" + "".join(DOTLESS)
+
+
+def _one_mark(part: Column) -> Column:
+    """The same as _accented for a plain letter with one accent, before or after it, by which nearly all words are told."""
+    before = part.rlike(rf"^{_MARK}")
+    letter = F.translate(F.when(before, F.substring(part, 2, 1)).otherwise(F.substring(part, 1, 1)), "".join(DOTLESS), "".join(DOTLESS.values()))
+    mark = F.when(before, F.substring(part, 1, 1)).otherwise(F.substring(part, 2, 1))
+    out = F.lit(None).cast("string")
+    for spacing, combining in ACCENTS.items():
+        pairs = [(x, y) for x, y in zip(*composed(combining)) if x.isascii()]
+        whole = F.translate(letter, "".join(x for x, _ in pairs), "".join(y for _, y in pairs)) if pairs else letter
+        out = F.when(mark == spacing, F.when(whole != letter, whole).otherwise(F.concat(letter, F.lit(combining)))).otherwise(out)
+    return out
+
+
 def clean_word(text: Column) -> Column:
     """Ligatures spelled out, soft hyphens resolved, spacing accents composed with the letter after, else before them.
 
@@ -206,7 +222,8 @@ def clean_word(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, "\u00ad(?=.)", ""), "\u00ad$", "-")
     after = rf"{_MARK}[{''.join(m for m in ACCENTS if not m.isalpha())}]*(?!\p{{L}})"  # marks none of which has a letter next
     parts = F.regexp_extract_all(text, F.lit(rf"(?s){_MARK}\p{{L}}(?:{after})?|\p{{L}}{after}|[^{_MARK[1:-1]}]+(?!{_MARK})|."), F.lit(0))
-    cut = F.transform(parts, lambda p: F.when(p.rlike(rf"^(?:{_MARK}\p{{L}}|\p{{L}}{_MARK})"), _accented(p)).otherwise(p))
+    plain = rf"^(?:{_MARK}[{_PLAIN}]|[{_PLAIN}]{_MARK})\z"
+    cut = F.transform(parts, lambda p: F.when(p.rlike(plain), _one_mark(p)).when(p.rlike(rf"^(?:{_MARK}\p{{L}}|\p{{L}}{_MARK})"), _accented(p)).otherwise(p))
     return F.when(text.rlike(_MARK), F.array_join(cut, "")).otherwise(text)
 
 
