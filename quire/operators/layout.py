@@ -176,16 +176,14 @@ def attach_superscripts(lines: DataFrame, marks: DataFrame) -> DataFrame:
 def column_gap_histogram(runs: DataFrame, pages: DataFrame, bin_width: float = 10.0) -> DataFrame:
     """doc_id, page_index, split_x: the middle of the longest run of empty bins of word middles, if it is over 15 % of the
     page's width, central, and the page has twelve words."""
-    b = F.floor((F.col("x") + F.col("width") / 2 - F.col("x0")) / bin_width).cast("int")
-    r = runs.join(pages, _PAGE).withColumn("bin", b)
-    full = r.select(*_PAGE, "bin").distinct()
-    size = r.groupBy(*_PAGE).agg(F.count("*").alias("n"), F.first("x0").alias("x0"), (F.first("x1") - F.first("x0")).alias("w")).where("n >= 12")
-    bins = size.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / bin_width).cast("int") - 1)).alias("bin"))
-    empty = bins.join(full, [*_PAGE, "bin"], "left_anti")
-    runs_ = empty.withColumn("_g", F.col("bin") - F.row_number().over(W.partitionBy(*_PAGE).orderBy("bin"))).groupBy(*_PAGE, "_g", "x0", "w").agg(F.min("bin").alias("start"), F.count("*").alias("len"))
-    middle = F.col("x0") + (F.col("start") + F.col("len") / 2) * bin_width
-    good = runs_.withColumn("split_x", middle).where((F.col("len") * bin_width > 0.15 * F.col("w")) & (F.col("split_x") - F.col("x0") >= 0.3 * F.col("w")) & (F.col("split_x") - F.col("x0") <= 0.7 * F.col("w")))
-    return good.groupBy(*_PAGE).agg(F.max_by("split_x", F.struct(F.col("len"), -F.col("start"))).alias("split_x"))
+    # a page's different middles are gathered where its words are; pages, not words, are joined
+    p = runs.groupBy(*_PAGE).agg(F.count("*").alias("n"), F.collect_set(F.col("x") + F.col("width") / 2).alias("_m")).where("n >= 12").join(pages, _PAGE)
+    w, last = F.col("x1") - F.col("x0"), F.ceil((F.col("x1") - F.col("x0")) / bin_width).cast("int") - 1
+    bins = F.array_sort(F.array_distinct(F.transform("_m", lambda m: F.floor((m - F.col("x0")) / bin_width).cast("int"))))
+    p = p.withColumn("_w", w).withColumn("_last", last).withColumn("_b", F.filter(bins, lambda x: (x >= 0) & (x <= last)))
+    empty = F.zip_with(F.concat(F.array(F.lit(-1)), "_b"), F.concat("_b", F.array(F.col("_last") + 1)), lambda x, y: F.struct((y - x - 1).alias("len"), (-x - 1).alias("back"), (F.col("x0") + (x + 1 + (y - x - 1) / 2) * bin_width).alias("split_x")))
+    good = F.filter(empty, lambda g: (g["len"] * bin_width > 0.15 * F.col("_w")) & (g["split_x"] - F.col("x0") >= 0.3 * F.col("_w")) & (g["split_x"] - F.col("x0") <= 0.7 * F.col("_w")))
+    return p.select(*_PAGE, F.array_max(good).alias("_g")).where("_g is not null").select(*_PAGE, "_g.split_x")
 
 
 def baseline_lines(runs: DataFrame) -> DataFrame:
