@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators.windows import islands
 
 FRAMES_A_SECOND, MOST_FAILURES, LOOKAHEAD = 40, 3, 8
+#: Waiting chunks of a document that are read and written together.
+BLOCK = 256
 
 
 def render_progress(events: DataFrame) -> DataFrame:
@@ -74,39 +76,53 @@ def ready_to_resume(chunks: DataFrame) -> DataFrame:
 class _Rendered:
     """What a document's state holds: how far its chunks are rendered without a hole, and the chunks beyond that.
 
-    Events of a document come in the order of seq, over as many micro-batches as it takes. The value is read and written
-    once for each key and micro-batch; the map is touched for chunks beyond a hole only.
+    Events of a document come in the order of seq, over as many micro-batches as it takes. Each call of the state is a
+    round trip between Python and the JVM, so chunks beyond a hole are kept in blocks of `BLOCK`: the value and each
+    block touched are read and written once for each key and micro-batch, however many chunks wait.
     """
 
     def init(self, handle) -> None:
-        self.waiting = handle.getMapState("waiting", "chunk_index int", "seq long, frames long, total long")
+        self.waiting = handle.getMapState("waiting", "block int", "chunk array<int>, seq array<bigint>, frames array<bigint>, total array<bigint>")
         self.through = handle.getValueState("through", "prefix int, frames long, total long, at long, held int, told boolean")
 
     def advanced(self, rows):
         """The state after each chunk that joins the prefix: prefix, frames, total (largest so far), at (largest seq
         through it), own total; last comes the state as it is, with an own total of null. Writes the state in the end."""
-        import pandas as pd
-
-        prefix, frames, total, at, held, self.told = self.through.get() if self.through.exists() else (0, 0, 0, -1, 0, False)
-        part = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for r in part[part["status"] == "rendered"].itertuples():
-            chunk, own = int(r.chunk_index), int(r.total_chunks)
+        prefix, frames, total, at, held, self.told = self.through.get() or (0, 0, 0, -1, 0, False)
+        stored, blocks, changed = held > 0, {}, set()
+
+        def block(chunk: int) -> dict[int, tuple[int, int, int]]:
+            """Waiting chunks of the chunk's block: seq, frames and own total."""
+            n = chunk // BLOCK
+            if n not in blocks:
+                found = self.waiting.getValue((n,)) if stored else None
+                blocks[n] = dict(zip(found[0], zip(*found[1:]))) if found else {}
+            return blocks[n]
+
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            chunk, own = r["chunk_index"], r["total_chunks"]
             total = max(total, own)
-            if chunk > prefix and not (held and self.waiting.containsKey((chunk,))):
-                self.waiting.updateValue((chunk,), (int(r.seq), int(r.frames), own))
+            if chunk > prefix and chunk not in block(chunk):
+                block(chunk)[chunk] = (r["seq"], r["frames"], own)
+                changed.add(chunk // BLOCK)
                 held += 1
             if chunk != prefix:
                 continue
-            seq, more = int(r.seq), int(r.frames)
+            seq, more = r["seq"], r["frames"]
             while True:
                 prefix, frames, at = prefix + 1, frames + more, max(at, seq)
                 yield prefix, frames, total, at, own
-                if not held or not self.waiting.containsKey((prefix,)):
+                if not held or prefix not in block(prefix):
                     break
-                seq, more, own = self.waiting.getValue((prefix,))
-                self.waiting.removeKey((prefix,))
+                seq, more, own = block(prefix).pop(prefix)
+                changed.add(prefix // BLOCK)
                 held -= 1
         yield prefix, frames, total, at, None
+        for n in changed:
+            if blocks[n]:
+                self.waiting.updateValue((n,), (list(blocks[n]), *map(list, zip(*blocks[n].values()))))
+            elif stored:
+                self.waiting.removeKey((n,))
         self.through.update((prefix, frames, total, at, held, self.told))
 
     def close(self) -> None:
@@ -114,29 +130,32 @@ class _Rendered:
 
 
 def _stateful(events: DataFrame, processor, schema: str, mode: str) -> DataFrame:
-    return events.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+    """events by doc_id through a processor, which gets rows: documents have few in a micro-batch, and a pandas frame for
+    each would cost more than the work."""
+    return events.groupBy("doc_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+
+
+def _rendered(events: DataFrame) -> DataFrame:
+    return events.where("status = 'rendered'").select("doc_id", "seq", "chunk_index", "frames", "total_chunks")
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
-    """render_progress as a stream, in update mode: one row for each document that a micro-batch touches.
+    """render_progress as a stream, in update mode: one row for each document that a micro-batch renders chunks of.
 
     events is a stream of (doc_id, seq, chunk_index, frames, status, total_chunks). Needs the RocksDB state store provider.
     """
-    import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Progress(_Rendered, StatefulProcessor):
         def handleInputRows(self, key, rows, timer_values):
             *_, (prefix, frames, total, _, _) = self.advanced(rows)
-            if total:
-                yield pd.DataFrame({"doc_id": [key[0]], "prefix": [prefix], "frames": [frames], "seconds": [frames / FRAMES_A_SECOND], "complete": [prefix == total]})
+            yield Row(doc_id=key[0], prefix=prefix, frames=frames, seconds=frames / FRAMES_A_SECOND, complete=prefix == total)
 
-    return _stateful(events, Progress(), "doc_id long, prefix long, frames long, seconds double, complete boolean", "Update")
+    return _stateful(_rendered(events), Progress(), "doc_id long, prefix long, frames long, seconds double, complete boolean", "Update")
 
 
 def priming_stream(events: DataFrame, lead_frames: int) -> DataFrame:
     """priming as a stream, in append mode: a document's one row comes in the micro-batch in which the lead is reached."""
-    import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Priming(_Rendered, StatefulProcessor):
@@ -146,15 +165,14 @@ def priming_stream(events: DataFrame, lead_frames: int) -> DataFrame:
                 if own is not None and not self.told and (frames >= lead_frames or prefix == own):
                     self.told, ready = True, at
             if ready is not None:
-                yield pd.DataFrame({"doc_id": [key[0]], "ready_at": [ready]})
+                yield Row(doc_id=key[0], ready_at=ready)
 
-    return _stateful(events, Priming(), "doc_id long, ready_at long", "Append")
+    return _stateful(_rendered(events), Priming(), "doc_id long, ready_at long", "Append")
 
 
 def breaker_stream(events: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
     """Events that pass the breaker, in append mode, with opened on the failure that opens it; later ones of the document
     are cut. A rendered chunk resets the count; other states pass and leave it."""
-    import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Breaker(StatefulProcessor):
@@ -162,22 +180,21 @@ def breaker_stream(events: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
             self.count = handle.getValueState("count", "failures int, open boolean")
 
         def handleInputRows(self, key, rows, timer_values):
-            failures, is_open = self.count.get() if self.count.exists() else (0, False)
-            passed = []
-            if not is_open:
-                for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-                    failures = failures + 1 if r.status == "failed" else 0 if r.status == "rendered" else failures
-                    is_open = failures >= most
-                    passed.append((key[0], r.seq, r.chunk_index, r.status, is_open))
-                    if is_open:
-                        break
-                self.count.update((failures, is_open))
-            yield pd.DataFrame(passed, columns=["doc_id", "seq", "chunk_index", "status", "opened"])
+            failures, is_open = self.count.get() or (0, False)
+            if is_open:
+                return
+            for r in sorted(rows, key=lambda r: r["seq"]):
+                failures = failures + 1 if r["status"] == "failed" else 0 if r["status"] == "rendered" else failures
+                is_open = failures >= most
+                yield Row(doc_id=key[0], seq=r["seq"], chunk_index=r["chunk_index"], status=r["status"], opened=is_open)
+                if is_open:
+                    break
+            self.count.update((failures, is_open))
 
         def close(self) -> None:
             pass
 
-    return _stateful(events, Breaker(), "doc_id long, seq long, chunk_index int, status string, opened boolean", "Append")
+    return _stateful(events.select("doc_id", "seq", "chunk_index", "status"), Breaker(), "doc_id long, seq long, chunk_index int, status string, opened boolean", "Append")
 
 
 def lookahead_stream(cursors: DataFrame, chunks: DataFrame, ahead: int = LOOKAHEAD) -> DataFrame:
