@@ -78,15 +78,20 @@ def split_items(items: DataFrame) -> DataFrame:
 
     White-space items give no piece, but the piece before them gets a space after.
     """
-    found = F.regexp_extract_all("str", F.lit(r"(?U)\S+"), F.lit(0))
-    gaps = F.split("str", r"(?U)\S+", -1)
     n = F.length("str")
-    i = items.where(n > 0).withColumn("_words", found).withColumn("_gaps", F.transform(gaps, F.length))
-    blank = F.size("_words") == 0
+    # most items hold no white space: they are one piece, and none of what follows is worked out for them
+    plain = ~F.col("str").rlike(r"(?U)\s")
+    found = F.when(plain, F.array("str")).otherwise(F.regexp_extract_all("str", F.lit(r"(?U)\S+"), F.lit(0)))
+    gaps = F.when(plain, F.array(F.lit(0), F.lit(0))).otherwise(F.transform(F.split("str", r"(?U)\S+", -1), F.length))
+    blank = ~F.col("str").rlike(r"(?U)\S")
     along = W.partitionBy(*_PAGE).orderBy("item_seq")
-    i = i.withColumn("_blank_next", F.coalesce(F.lead(blank).over(along), F.lit(False))).where(F.size("_words") > 0)
+    i = items.where(n > 0).withColumn("_blank", blank)
+    i = i.withColumn("_blank_next", F.coalesce(F.lead("_blank").over(along), F.lit(False))).where("not _blank").drop("_blank")
+    i = i.withColumn("_words", found).withColumn("_gaps", gaps)
     i = i.select("*", F.posexplode("_words").alias("piece", "text"))
-    start = F.aggregate(F.slice("_gaps", 1, F.col("piece") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("_words", F.lit(1), F.col("piece")), F.lit(0), lambda a, x: a + F.length(x))
+    first = F.element_at("_gaps", 1)
+    later = F.aggregate(F.slice("_gaps", 1, F.col("piece") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("_words", F.lit(1), F.col("piece")), F.lit(0), lambda a, x: a + F.length(x))
+    start = F.when(F.col("piece") == 0, first).otherwise(later)
     unit = F.col("width") / n
     i = i.withColumn("_at", start)
     last = F.col("piece") == F.size("_words") - 1

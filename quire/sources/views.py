@@ -30,7 +30,7 @@ def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    words = F.array_remove(F.split("text", r"\s+"), "")
     return dealt(spark, sf_dir).select("doc_id", F.posexplode(words).alias("token_idx", "token"))
 
 
