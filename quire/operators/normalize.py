@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import bare
 from quire.functions.wordlists import DETERMINERS, HOMOGRAPHS, PREPOSITIONS, SUBJECT_PRONOUNS, UNCONDITIONAL, VERB_CUES
+from quire.operators.windows import cut_lineage
+
+#: Most tokens of a lexicon that are broadcast; none of them is long.
+FREQUENT = 100_000
 
 _EDGE = r"[^\p{L}\p{N}]"
 
@@ -157,17 +161,35 @@ def homographs(tagged: DataFrame) -> DataFrame:
     return t.withColumn("phonemes", F.when(F.col("tag") == "verb", F.col("verb")).otherwise(F.col("noun"))).drop("noun", "verb", "core")
 
 
+def _frequent(counts: DataFrame) -> Column:
+    """Which rows of counts (token, n, phonemes) may be broadcast: those of the highest counts, FREQUENT at most, without
+    long ones. Counts are told apart by quarters of a doubling, so few numbers reach the driver."""
+    step, taken, least = F.floor(F.log2("n") * 4), 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect(), reverse=True):
+        taken += row["rows"]
+        if taken > FREQUENT:
+            break
+        least = row["least"]
+    return F.lit(False) if least is None else (F.col("n") >= least) & (F.length("token") <= 64) & (F.length("phonemes") <= 256)
+
+
 def pronounce_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """tokens with phonemes from a lexicon (word, phonemes), letter by letter for words it lacks, one group for each token.
 
-    Each different word is looked up once; the row count stays, since words of the lexicon are made distinct.
+    Each different token is made bare and looked up once; the row count stays, since words of the lexicon are made
+    distinct. Tokens that occur often meet theirs where they stand, so only the others are shuffled.
     """
-    word = tokens.withColumn("word", bare(F.col("token")))
     once = lexicon.groupBy("word").agg(F.min("phonemes").alias("phonemes"))
-    said = word.select("word").distinct().join(once, "word", "left")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("n")).where("token is not null").withColumn("word", bare(F.col("token")))
     spelled = F.array_join(F.filter(F.split("word", ""), lambda x: x != ""), "-")
-    said = said.select("word", F.coalesce("phonemes", spelled).alias("phonemes"), F.col("phonemes").isNull().alias("spelled"))
-    return word.join(said, "word").drop("word")
+    said = seen.join(once, "word", "left").select("token", "n", F.coalesce("phonemes", spelled).alias("phonemes"), F.col("phonemes").isNull().alias("spelled"))
+    said = cut_lineage(said)
+    often = _frequent(said)
+    frequent, rest = said.where(often).drop("n"), said.where(~often).drop("n")
+    near = tokens.join(F.broadcast(frequent), "token")
+    far = tokens.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(rest, "token")
+    columns = [*tokens.columns, "phonemes", "spelled"]
+    return near.select(columns).unionByName(far.select(columns))
 
 
 def phoneme_postprocess(phonemes: Column, american: bool = True) -> Column:

@@ -193,7 +193,10 @@ _LEXICON = f"lexicon AS (SELECT word, reverse(word) AS phonemes FROM (SELECT {_B
 
 def _lexicon(spark, d):
     """Words that occur three times or more, read backwards: a stand-in for a pronouncing dictionary."""
-    words = v.v_tokens(spark, d).select(bare(F.col("token")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    seen = v.v_tokens(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+    word = bare(F.col("token"))
+    # told from sums alone, so that tokens are counted as pronounce_join counts them, and both share that step
+    words = seen.where("token is not null").groupBy(word.alias("word")).agg(F.sum(F.when(word != "", F.col("n"))).alias("n"))
     return words.where("n >= 3").select("word", F.reverse("word").alias("phonemes"))
 
 
