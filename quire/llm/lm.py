@@ -20,16 +20,17 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, slices, split_words, staged
+from quire.llm.common import staged
 
 #: The end token; no word holds white space.
 END = b"\n"
@@ -43,8 +44,8 @@ RATE, FIRST_SQUARE = 0.1, 1e-7
 BLOCK = 2048
 #: Tokens in a window of scoring, about.
 ROWS = 16_384
-#: Tokens that a trainer holds at once; one longer document is held whole.
-BATCH = 1_200_000
+#: Tokens that a trainer or a scorer holds at once; one longer document is held whole. Lanes of so many end nearly together.
+BATCH = 4_000_000
 #: Shares, of 16, of the documents in each round of training.
 ROUNDS = (1, 4, 11)
 DOCS_PER_TRAINER = 10_000
@@ -58,6 +59,16 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As split_words, with lower-cased words as one binary array."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    # white space at a text's ends leaves empty words
+    some = pc.not_equal(pc.binary_length(words), 0)
+    of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    return words.filter(some).cast(pa.binary()), np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
 def training_row(doc_id):
     """Whether a row is learned from: the crc32 of its doc_id as text is not 2 modulo 7."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
@@ -66,27 +77,27 @@ def training_row(doc_id):
 def word_counts(docs: DataFrame) -> DataFrame:
     """word binary, tail int, c long of all texts, with the end token."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-        def out() -> pd.DataFrame:
-            words = list(held)
-            return pd.DataFrame({"word": words, "c": list(held.values())})
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for part in parts:
-            for at in range(0, len(part), 1000):
-                words, sizes = split_words(part["text"].iloc[at : at + 1000])
-                held.update(words)
-                held[END] += len(sizes)
-            if len(held) > 600_000:
-                yield out()
-                held.clear()
+            for at in range(0, part.num_rows, 1000):
+                words, sizes = arrow_words(part.column("text").slice(at, 1000))
+                found = words.value_counts()
+                held += [pa.table({"word": found.field("values"), "c": found.field("counts")}), pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([len(sizes)], pa.int64())})]
+            if sum(len(t) for t in held) > 1_200_000:
+                held = [merged()]
+                if len(held[0]) > 600_000:
+                    yield from held.pop().to_batches(100_000)
         if held:
-            yield out()
+            yield from merged().to_batches(100_000)
 
     # the tail class as tail_class has it
     tail = (F.crc32(F.expr("substring(word, -2, 2)")) % TAILS).cast("int")
-    return docs.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).select("word", tail.alias("tail"), "c")
+    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).select("word", tail.alias("tail"), "c")
 
 
 @dataclass
@@ -184,10 +195,10 @@ def _states(w: dict, entry: np.ndarray, on: np.ndarray | None, h: np.ndarray, li
 
 
 def _softmax_log(e: np.ndarray, target: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each column's target, and the column's sum; logits e become their exponentials."""
+    """Natural log probability of each column's target, given by its place in e, and the column's sum; logits e become their exponentials."""
     if not bounded:
         e -= e.max(axis=0)
-    hit = e[target, np.arange(len(target))]
+    hit = e.take(target)
     np.exp(e, out=e)
     total = e.sum(axis=0)
     return hit - np.log(total), total
@@ -211,10 +222,11 @@ def log_probability(model: Model, h: np.ndarray, ids: np.ndarray, klass: np.ndar
         """Log probabilities of the targets, and the gradients for out and for the states."""
         some = states[:, at]
         e = out @ some
+        target = target * np.intp(len(target)) + np.arange(len(target))
         found, total = _softmax_log(e, target, model.bounded)
         if not learns:
             return found, None, None
-        e[target, np.arange(len(target))] -= total
+        e.reshape(-1)[target] -= total
         share = 1 / total
         back = out[:, :HIDDEN].T @ e
         back *= share
@@ -243,7 +255,7 @@ def log_probability(model: Model, h: np.ndarray, ids: np.ndarray, klass: np.ndar
     place = np.empty(n, np.intp)
     place[order] = np.arange(n)
     if learns:
-        grads["h"] = np.take(dh, place, axis=1).T
+        grads["h"] = np.take(dh, place, axis=1, mode="clip").T
     return lp[place]
 
 
@@ -281,7 +293,7 @@ def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     free = max(0, (STREAMS if rest is not None else min(STREAMS, len(segments))) - len(old))
     lanes = [(len(x[0]), i, [x]) for i, (x, _) in enumerate(old)] + [(0, len(old) + i, []) for i in range(free)]
     heapq.heapify(lanes)
-    # the longest documents first, each to the shortest lane
+    # the longest documents are dealt first, each to the shortest lane; a lane has them in any order
     for i in sorted(range(len(segments)), key=lambda i: -len(segments[i][0])):
         load, k, held = lanes[0]
         carried = np.ones((len(segments[i][0]), 1), np.float32)
@@ -291,6 +303,10 @@ def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     lanes = sorted((x for x in lanes if x[0]), key=lambda x: (-x[0], x[1]))
     if not lanes:
         return 0
+    rng = np.random.default_rng(len(segments))
+    for _, i, held in lanes:
+        first = i < len(old)
+        held[first:] = [held[first + j] for j in rng.permutation(len(held) - first)]
     loads = np.array([x[0] for x in lanes])
     ids, klass, entry, carried = (np.concatenate([x[k] for _, _, held in lanes for x in held]) for k in range(4))
     start = np.cumsum(loads) - loads
@@ -361,33 +377,43 @@ def train(model: Model, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     return steps
 
 
-def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndarray, sizes: np.ndarray, group: int = 2048, window: int = 512) -> np.ndarray:
-    """Sum of log_probability over each text, of texts whose tokens stand one after another. Texts of like lengths run
-    side by side, about ROWS tokens in a window; the state goes from window to window."""
-    total = np.zeros(len(sizes))
+def score_texts(model: Model, ids: np.ndarray, klass: np.ndarray, entry: np.ndarray, sizes: np.ndarray, group: int = STREAMS, window: int = 512) -> np.ndarray:
+    """Sum of log_probability over each text, of texts whose tokens stand one after another. Texts follow each other in
+    lanes, `group` of them at most and so few that the longest text is no longer than a lane; about ROWS tokens are in a
+    window, and the state goes from window to window."""
     starts = np.cumsum(sizes) - sizes
     inputs = np.empty_like(entry)
     inputs[1:] = entry[:-1]
     inputs[starts] = model.first
-    by_size = np.argsort(-sizes, kind="stable")
+    on = np.ones(len(ids), np.float32)
+    on[starts] = 0
+    lanes = [(0, i, []) for i in range(max(1, min(group, len(sizes), int(sizes.sum() // sizes.max(initial=1)))))]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        load, k, held = lanes[0]
+        held.append(i)
+        heapq.heapreplace(lanes, (load + int(sizes[i]), k, held))
+    lanes.sort(key=lambda x: (-x[0], x[1]))
+    loads = np.array([x[0] for x in lanes])
+    first = np.cumsum(loads) - loads
+    # where the lanes' tokens stand
+    texts = np.array([i for _, _, held in lanes for i in held], np.intp)
+    size = sizes[texts]
+    at = np.arange(len(ids)) + np.repeat(starts[texts] - (np.cumsum(size) - size), size)
+    found = np.empty(len(ids), np.float32)
     model.watch()
     w = model.weights | {"x": np.asfortranarray(model.weights["x"])}
-    for at in range(0, len(sizes), group):
-        texts = by_size[at : at + group]
-        size, start = sizes[texts], starts[texts]
-        h = np.zeros((HIDDEN, len(texts)), np.float32)
-        lo, live = 0, len(texts)
-        while live:
-            times = np.arange(lo, min(lo + min(window, -(-ROWS // live)), int(size[0])))
-            lives = np.searchsorted(-size, -times)
-            rows = np.concatenate([start[:n] + t for t, n in zip(times, lives)])
-            walked = _states(w, inputs[rows], None, h, lives)
-            h = walked[-1][1]
-            lp = log_probability(model, np.concatenate([x[1] for x in walked], axis=1).T, ids[rows], klass[rows])
-            total += np.bincount(np.concatenate([texts[:n] for n in lives]), lp, minlength=len(sizes))
-            lo += len(times)
-            live = int(np.searchsorted(-size, -lo))
-    return total
+    h = np.zeros((HIDDEN, len(lanes)), np.float32)
+    lo, stop = 0, int(loads[0])
+    while lo < stop:
+        live = int(np.searchsorted(-loads, -lo))
+        times = np.arange(lo, min(lo + min(window, -(-ROWS // live)), stop))
+        lives = np.searchsorted(-loads, -times)
+        rows = at[np.concatenate([first[:n] + t for t, n in zip(times, lives)])]
+        walked = _states(w, inputs[rows], on[rows], h, lives)
+        h = walked[-1][1]
+        found[rows] = log_probability(model, np.concatenate([x[1] for x in walked], axis=1).T, ids[rows], klass[rows])
+        lo += len(times)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, minlength=len(sizes))
 
 
 def listed_words(counts: DataFrame) -> pd.DataFrame:
@@ -495,40 +521,38 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
     share of log10 P(word | class) that their counts do not tell), codes, rare (unlisted words and how often they occur)."""
     told = docs.sparkSession.sparkContext.broadcast(model.plain())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**told.value).ready()
-        listed, base = len(m.words), len(m.bounds) - 1
+        listed, base, end = len(m.words), len(m.bounds) - 1, m.codes([END])[0]
         fixed = -m.tail_log if listed else m.class_shares() - m.tail_log
-        for part in slices(parts, 1000):
-            words, sizes = split_words(part["text"])
-            flat, edge = [], 0
-            for n in sizes:
-                flat += words[edge : edge + n]
-                flat.append(END)
-                edge += n
-            sizes = sizes + 1
-            codes = m.codes(flat)
-            text = np.repeat(np.arange(len(sizes)), sizes)
+        for part in (part.slice(at, 1000) for part in parts for at in range(0, part.num_rows, 1000)):
+            words, sizes = arrow_words(part.column("text"))
+            words = words.dictionary_encode()
+            names, which = words.dictionary, words.indices.to_numpy()
+            code = m.codes(names.to_pylist())
+            edges = np.append(0, np.cumsum(sizes + 1))
+            text = np.repeat(np.arange(len(sizes)), sizes + 1)
+            inner = np.ones(len(text), bool)
+            inner[edges[1:] - 1] = False
+            codes = np.full(len(text), end, np.int32)
+            codes[inner] = code[which]
             tail = np.flatnonzero(codes >= m.n_head)
-            total = lambda at, x: np.bincount(text[at], x, minlength=len(sizes))
-            log_c = m.log_c[codes]
-            within = np.where(codes[tail] < listed, log_c[tail], 0.0) + fixed[m.klass[codes[tail]] - base]
-            rare = np.flatnonzero(codes >= listed)
-            names = WordIds()
-            pairs, times = np.unique((text[rare] << 32) | names.ids([flat[i] for i in rare]), return_counts=True)
-            names, at = list(names), np.searchsorted(pairs >> 32, np.arange(len(sizes) + 1))
-            who = (pairs & 0xFFFFFFFF).tolist()
-            edges = np.append(0, np.cumsum(sizes))
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].array, "round": part["round"].array, "n_tokens": sizes, "listed": total(slice(None), codes < listed).astype(np.int64), "log_c": total(slice(None), log_c),
-                "within": total(tail, within), "codes": [codes[x:y].tobytes() for x, y in zip(edges, edges[1:])],
-                "rare": [[names[i] for i in who[x:y]] for x, y in zip(at, at[1:])], "times": [times[x:y] for x, y in zip(at, at[1:])],
-            })
-
-    # ids pass Python as text, since pandas has no whole numbers with nulls
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), round_of().cast("int").alias("round"), "text")
-    out = rows.mapInPandas(run, "doc_id string, round int, n_tokens long, listed long, log_c double, within double, codes binary, rare array<binary>, times array<long>")
-    return staged(out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "encoded", by="round")
+            total = lambda at, x: pa.array(np.bincount(text[at], x, minlength=len(sizes)).astype(np.float64))
+            within = np.where(codes[tail] < listed, m.log_c[codes[tail]], 0.0) + fixed[m.klass[codes[tail]] - base]
+            rare = np.flatnonzero((code >= listed)[which])
+            pairs, times = np.unique((text[inner][rare] << 32) | which[rare], return_counts=True)
+            at = pa.array(np.searchsorted(pairs >> 32, np.arange(len(sizes) + 1)), pa.int32())
+            out = {
+                "doc_id": part.column("doc_id"), "round": part.column("round"), "n_tokens": pa.array(sizes + 1, pa.int64()), "listed": pa.array(np.bincount(text[codes < listed], minlength=len(sizes)), pa.int64()),
+                "log_c": total(slice(None), m.log_c[codes]), "within": total(tail, within),
+                "codes": pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(codes)]),
+                "rare": pa.ListArray.from_arrays(at, names.take(pa.array(pairs & 0xFFFFFFFF))), "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int64())),
+            }
+            yield pa.RecordBatch.from_pydict(out)
+
+    rows = docs.select("doc_id", round_of().cast("int").alias("round"), "text")
+    out = rows.mapInArrow(run, "doc_id long, round int, n_tokens long, listed long, log_c double, within double, codes binary, rare array<binary>, times array<long>")
+    return staged(out.withColumn("row", F.monotonically_increasing_id()), "encoded", by="round")
 
 
 def fit(spark, rows: DataFrame, model: Model) -> Model:
@@ -555,7 +579,9 @@ def fit(spark, rows: DataFrame, model: Model) -> Model:
             total = sum(np.frombuffer(r, np.float32).astype(np.float64) * k for r, k in zip(group["raw"], group["n"]))
             return pd.DataFrame({"piece": [group["piece"].iloc[0]], "raw": [(total / n).astype(np.float32).tobytes()]})
 
-        trained = rows.where(F.col("round") == turn).select("codes").coalesce(trainers).mapInPandas(run, "piece int, n double, raw binary")
+        # a round of few rows has fewer trainers, since the end of each is walked in few lanes
+        few = max(1, trainers * min(ROUNDS[-1], 2 * share) // ROUNDS[-1])
+        trained = rows.where(F.col("round") == turn).select("codes").coalesce(few).mapInPandas(run, "piece int, n double, raw binary")
         pieces = trained.groupBy("piece").applyInPandas(mean, "piece int, raw binary").collect()
         if not pieces:
             continue
@@ -577,10 +603,21 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(**told.value).ready()
-        for part in slices(parts, 4096):
-            codes = np.frombuffer(b"".join(part["codes"]), np.int32)
+
+        def out(held: list[pd.DataFrame]) -> pd.DataFrame:
+            part = pd.concat(held)
+            codes = np.frombuffer(b"".join(part.pop("codes")), np.int32)
             found = score_texts(m, codes, m.klass[codes], m.entry[codes], part["n_tokens"].to_numpy()) / np.log(10) if m.words else 0.0
-            yield part.drop(columns="codes").assign(model=found)
+            return part.assign(model=found)
+
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            held.append(part)
+            if sum(int(x["n_tokens"].sum()) for x in held) >= BATCH:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
 
     taken = rows.select("row", "n_tokens", "codes").mapInPandas(run, "row long, n_tokens long, model double").select("row", "model")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("tf")).join(counts.select("word", "c"), "word", "left")
