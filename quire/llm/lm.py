@@ -59,6 +59,22 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """tail_class of each word of a binary array; none is empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, ends, raw = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(raw, np.uint8)
+    last, before = raw[ends[1:] - 1].astype(np.int32), raw[np.maximum(ends[1:] - 2, 0)].astype(np.int32)
+    # each pair of bytes, and each single one, is worked out once
+    key = np.where(np.diff(ends) > 1, 65536 + 256 * before + last, last)
+    found = np.bincount(key)
+    for x in np.flatnonzero(found).tolist():
+        found[x] = tail_class(bytes([x >> 8 & 255, x & 255]) if x >= 65536 else bytes([x]))
+    return found[key]
+
+
 def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """As split_words, with lower-cased words as one binary array."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -124,23 +140,23 @@ class Model:
 
     def ready(self) -> "Model":
         """Look-ups that a task makes for itself."""
-        self.number = {w: i for i, w in enumerate(self.words)}
-        n, h, base = len(self.words), self.n_head, len(self.bounds) - 1
-        tails = np.array([*map(tail_class, self.words[h:]), *range(TAILS)], np.int64)
+        self.listed = pa.array(self.words, pa.binary())
+        h, base = self.n_head, len(self.bounds) - 1
+        tails = np.append(tail_classes(self.listed.slice(h)), np.arange(TAILS))
         self.klass = np.concatenate([np.repeat(np.arange(base), np.diff(self.bounds)), base + tails]).astype(np.int16)
         self.entry = np.concatenate([np.arange(h), h + tails]).astype(np.int16)
-        self.end = self.number.get(END, -1)
+        self.end = self.words.index(END) if END in self.words else -1
         self.first = int(self.entry[self.end]) if self.end >= 0 else 0
         self.log_c = np.append(np.log10(self.counts + 1.0), np.zeros(TAILS))
         self.bounded = False
         return self
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """Of each token: its number, or the number of words plus its tail class if it is not listed."""
-        get, n = self.number.get, len(self.words)
-        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+    def codes(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        """Of each word: its number, or the number of words plus its tail class if it is not listed."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        out = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy().copy()
         rare = np.flatnonzero(out < 0)
-        out[rare] = [n + tail_class(words[i]) for i in rare]
+        out[rare] = len(self.words) + tail_classes(words.take(pa.array(rare)))
         return out
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -529,7 +545,7 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
             words, sizes = arrow_words(part.column("text"))
             words = words.dictionary_encode()
             names, which = words.dictionary, words.indices.to_numpy()
-            code = m.codes(names.to_pylist())
+            code = m.codes(names)
             edges = np.append(0, np.cumsum(sizes + 1))
             text = np.repeat(np.arange(len(sizes)), sizes + 1)
             inner = np.ones(len(text), bool)
