@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,29 +87,55 @@ def word_timeline(layout: DataFrame, symbol_frames: DataFrame, words: DataFrame)
     """doc_id, block_idx, token_idx, start_frame, end_frame of words whose chunk-local symbol ranges are lo to hi; chunks
     are framed by one pad symbol at each end."""
     key = ["doc_id", "block_idx", "chunk_idx"]
-
-    @F.pandas_udf("array<struct<s:long,e:long>>")
-    def spans(pos: pd.Series, frames: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([_spans(*(np.asarray(c, dtype=np.int64) for c in row)) for row in zip(pos, frames, lo, hi)], dtype=object)
-
     # a chunk's symbols and words meet as arrays in one row each, so that no symbol is joined by itself
     f = symbol_frames.groupBy(*key).agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("frames").cast("int").alias("frames"))).alias("_f"))
     w = words.groupBy(*key).agg(F.collect_list(F.struct("token_idx", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("_w"))
     both = w.join(f, key).join(layout.select(*key, "start"), key)
-    both = both.withColumn("_s", spans("_f.pos", "_f.frames", "_w.lo", "_w.hi")).select("doc_id", "block_idx", "start", F.inline(F.arrays_zip(F.col("_w.token_idx").alias("token_idx"), F.col("_s").alias("_s"))))
-    both = both.toDF("doc_id", "block_idx", "start", "token_idx", "_s").where("_s is not null")
-    return both.select("doc_id", "block_idx", "token_idx", (F.col("start") + F.col("_s.s")).alias("start_frame"), (F.col("start") + F.col("_s.e")).alias("end_frame"))
-
-
-def _spans(pos, frames, lo, hi) -> list:
-    """Where a chunk's words start and end, in frames from its own start; None for words outside its symbols."""
-    order = np.argsort(pos, kind="stable")
-    pos, end = pos[order], np.cumsum(frames[order])
-    start = end - frames[order]
-    first, last = lo + 1, np.maximum(lo, hi - 1) + 1
-    i, j = (np.minimum(np.searchsorted(pos, at), len(pos) - 1) for at in (first, last))
-    s, e = start[i], np.where(hi > lo, end[j], start[i])
-    return [{"s": a, "e": b} if there else None for a, b, there in zip(s.tolist(), e.tolist(), ((pos[i] == first) & (pos[j] == last)).tolist())]
+    return timed_words(both.select("doc_id", "block_idx", "start", "_f.pos", "_f.frames", "_w.token_idx", "_w.lo", "_w.hi"))
+
+
+def timed_words(chunks: DataFrame) -> DataFrame:
+    """word_timeline of chunks (doc_id, block_idx, start) whose symbols (pos, frames) and words (token_idx, lo, hi) stand in
+    arrays in their own row, so that neither is shuffled."""
+
+    @F.arrow_udf("struct<at:array<int>,from:array<bigint>,to:array<bigint>>")
+    def spans(pos: pa.Array, frames: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        return _spans(pos, frames, lo, hi)
+
+    told = chunks.select("doc_id", "block_idx", "start", "token_idx", spans("pos", "frames", "lo", "hi").alias("_s"))
+    each = told.select("doc_id", "block_idx", "start", "token_idx", F.inline(F.arrays_zip(F.col("_s.at").alias("_at"), F.col("_s.from").alias("_from"), F.col("_s.to").alias("_to"))))
+    each = each.toDF("doc_id", "block_idx", "start", "token_idx", "_at", "_from", "_to")
+    return each.select("doc_id", "block_idx", F.get("token_idx", F.col("_at")).alias("token_idx"), (F.col("start") + F.col("_from")).alias("start_frame"), (F.col("start") + F.col("_to")).alias("end_frame"))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lists, one list after the other, and where in them each list starts."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def _spans(pos: pa.Array, frames: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+    """Which words of each chunk have their symbols in it, and where they start and end, in frames from the chunk's start.
+
+    All chunks of a batch are told at once: a symbol's key is its place, after those of the chunks before.
+    """
+    (pos, symbols), (frames, _), (lo, words), (hi, _) = (_flat(c) for c in (pos, frames, lo, hi))
+    chunks = np.arange(len(words) - 1)
+    last = np.maximum(lo, hi - 1)
+    least = min(pos.min(initial=0), lo.min(initial=0) + 1)
+    wide = max(pos.max(initial=0), last.max(initial=0) + 1) - least + 1
+    key = np.repeat(chunks * wide - least, np.diff(symbols)) + pos
+    order = np.argsort(key, kind="stable")
+    key, end = np.append(key[order], -1), np.append(np.cumsum(frames[order]), 0)
+    start = end - np.append(frames[order], 0)
+    base = np.repeat(chunks * wide - least + 1, np.diff(words))
+    i, j = (np.searchsorted(key[:-1], base + at) for at in (lo, last))
+    at = np.flatnonzero((key[i] == base + lo) & (key[j] == base + last))
+    chunk = np.searchsorted(words, at, side="right") - 1
+    zero, i, j = start[symbols[chunk]], i[at], j[at]
+    kept = np.append(0, np.cumsum(np.bincount(chunk, minlength=len(chunks)))).astype(np.int32)
+    out = ((at - words[chunk]).astype(np.int32), start[i] - zero, np.where((hi > lo)[at], end[j], start[i]) - zero)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(kept), pa.array(c)) for c in out], ["at", "from", "to"])
 
 
 def timing_choice(chunks: DataFrame) -> DataFrame:

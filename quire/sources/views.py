@@ -29,9 +29,13 @@ def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").repartition(size // DEALT + 1, "doc_id")
 
 
+def v_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document in its row."""
+    return dealt(spark, sf_dir).select("doc_id", F.array_remove(F.split("text", r"\s+"), "").alias("words"))
+
+
 def v_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_remove(F.split("text", r"\s+"), "")
-    return dealt(spark, sf_dir).select("doc_id", F.posexplode(words).alias("token_idx", "token"))
+    return v_words(spark, sf_dir).select("doc_id", F.posexplode("words").alias("token_idx", "token"))
 
 
 def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
