@@ -13,7 +13,8 @@ def tokens(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units."""
-    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+    # a text of as many bytes as characters has as many units, and most have
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int"))
 
 
 def bare(token: Column) -> Column:

@@ -33,7 +33,11 @@ def reflow_offsets(block_tokens: DataFrame) -> DataFrame:
 def reflow_text(block_tokens: DataFrame) -> DataFrame:
     """doc_id, text laid out as reflow_offsets has it."""
     lines = block_tokens.groupBy("doc_id", "block_idx").agg(F.array_sort(F.collect_list(F.struct("token_idx", "token"))).alias("t"))
-    lines = lines.select("doc_id", "block_idx", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("line"))
+    return text_of_lines(lines.select("doc_id", "block_idx", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("line")))
+
+
+def text_of_lines(lines: DataFrame) -> DataFrame:
+    """reflow_text of blocks whose tokens stand in a line already (doc_id, block_idx, line)."""
     whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "line"))).alias("l"))
     return whole.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("text"))
 
@@ -43,8 +47,8 @@ def paragraph_ranges(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("doc_id", "block_idx").agg(F.min("loc").alias("loc"), (F.max(F.col("loc") + F.col("len")) - F.min("loc")).alias("len"))
 
 
-#: UTF-16 units of text that tokens are held against at once.
-_UNITS = 512
+#: Characters of a block of text in which a token is looked for.
+_BLOCK = 256
 
 
 def _units(text):
@@ -55,20 +59,22 @@ def _units(text):
 def reflow_check(offsets: DataFrame, texts: DataFrame) -> DataFrame:
     """Tokens that their range does not cut out of the text, ranges in UTF-16 units.
 
-    Texts and tokens are cut at the same places, every _UNITS units, and each piece of a token is held against its block
-    of the text: time is in proportion to the text, and a long document is spread over its blocks. Documents without a
-    text are not told.
+    A text is cut into blocks of _BLOCK characters that stay in its row, and a token is held against those it lies in: time
+    is in proportion to the text, and tokens and texts that are dealt by document meet in place. Documents without a text
+    are not told.
     """
-    size, every = 2 * _UNITS, F.lit(f"(?s).{{1,{2 * _UNITS}}}")
-    blocks = texts.where("text is not null").select("doc_id", F.posexplode_outer(F.regexp_extract_all(_units(F.col("text")), every, F.lit(0))).alias("_no", "_block"))
-    start, u = F.col("loc") * 2, _units(F.col("token"))
-    first = (F.lit(size) - start % size).cast("int")
-    pieces = F.concat(F.array(F.substring(u, F.lit(1), first)), F.regexp_extract_all(F.substring(u, first + 1, F.length(u)), every, F.lit(0)))
-    t = offsets.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "block_idx", "token_idx", start.alias("_start"), F.posexplode(pieces).alias("_i", "_piece"))
-    t = t.withColumn("_no", (F.floor(F.col("_start") / size) + F.col("_i")).cast("int")).withColumn("_at", F.when(F.col("_i") == 0, F.col("_start") % size).otherwise(0).cast("int"))
-    held = t.join(blocks, ["doc_id", "_no"], "left")
-    cut = F.coalesce(F.substring(F.col("_block"), F.col("_at") + 1, F.length("_piece")), F.lit(""))
-    return held.where(cut != F.col("_piece")).select("doc_id", "block_idx", "token_idx").distinct()
+    # characters are units but in texts with some beyond the basic plane
+    text = F.col("text")
+    wide = utf16_length(text) != F.length(text)
+    blocks = texts.where("text is not null").select("doc_id", wide.alias("_wide"), F.when(wide, _units(text)).otherwise(text).alias("_text"))
+    blocks = blocks.select("doc_id", "_wide", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)).alias("_blocks"))
+    token = F.when(F.col("_wide"), _units(F.col("token"))).otherwise(F.col("token"))
+    start, n = F.when(F.col("_wide"), F.col("loc") * 2).otherwise(F.col("loc")), F.length(token)
+    no, at = F.floor(start / _BLOCK).cast("int"), (start % _BLOCK).cast("int")
+    beyond = F.array_join(F.slice("_blocks", no + 1, F.floor((at + n - 1) / _BLOCK).cast("int") + 1), "")
+    cut = F.substring(F.when(at + n <= _BLOCK, F.get("_blocks", no)).otherwise(beyond), at + 1, n)
+    # texts are never broadcast, however small their files are
+    return offsets.join(blocks.hint("merge"), "doc_id").where(F.coalesce(cut, F.lit("")) != token).select("doc_id", "block_idx", "token_idx")
 
 
 def marker_carrier(blocks: DataFrame) -> DataFrame:
